@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import linededup, media, simhash
+from tapeloom.llm import bpe, linededup, media, packing, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_docs(spark, sf_dir), _tokenizer(), digests=True)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_docs(spark, sf_dir), _tokenizer())
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
@@ -37,5 +51,11 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(bad.k)::BIGINT AS n_dropped,
 FROM lines LEFT JOIN bad ON lines.k = bad.k GROUP BY doc_id
 """
 
-QUERIES = {"op1_matroska": op1_matroska, "op2_simhash": op2_simhash, "op3_line_dedup": op3_line_dedup}
+QUERIES = {
+    "op1_matroska": op1_matroska,
+    "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op9_bpe": op9_bpe,
+    "op10_packing": op10_packing,
+}
 SQL = {"op3_line_dedup": OP3_SQL}
