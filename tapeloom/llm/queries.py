@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, linededup, media, packing, simhash
+from tapeloom.llm import bpe, embed, linededup, media, packing, pii, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_docs(spark, sf_dir), key="tapeloom").select("doc_id", "text", "n_entities")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_docs(spark, sf_dir), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -55,6 +68,9 @@ QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op6_multi_index": op6_multi_index,
+    "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
