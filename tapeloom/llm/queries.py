@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, embed, linededup, media, packing, pii, simhash, toxicity
+from tapeloom.llm import bpe, embed, htmltext, linededup, media, packing, pii, simhash, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_min_cut": op4_min_cut,
     "op6_multi_index": op6_multi_index,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
