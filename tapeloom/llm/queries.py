@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, embed, htmltext, linededup, media, packing, pii, simhash, toxicity
+from tapeloom.llm import bpe, embed, htmltext, linededup, media, packing, pii, simhash, suffixes, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op4_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeats(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_min_cut": op4_min_cut,
+    "op5_suffix_array": op5_suffix_array,
     "op6_multi_index": op6_multi_index,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
