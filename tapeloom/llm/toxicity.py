@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import texts, write_table
 
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
-LEAST_CHI2, STEMS, CACHED = 50.0, (4, 5, 6), 400_000
+LEAST_CHI2, LIFT, STEMS, CACHED, CALIBRATED = 50.0, 3.0, (4, 5, 6), 400_000, 4096
 # letters of ASCII are lower-cased, its other signs but digits separate words; bytes of other scripts are kept
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -33,12 +33,16 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 def select_terms(counts: DataFrame, toxic: int, clean: int, limit: int) -> list:
-    """The terms that depart most from the labels' proportion, by chi-square, at least ``LEAST_CHI2``."""
+    """The terms that depart most from the labels' proportion, by chi-square.
+
+    Only terms whose share of label 1 is at least ``LIFT`` times that of all texts, or at most that part of it: words
+    that nearly every text has would make lists long and neighbours meaningless.
+    """
     n, share = toxic + clean, toxic / (toxic + clean)
     df = F.col("t") + F.col("c")
     gap = F.col("t") - df * share
     chi2 = gap * gap / (df * share * (1 - share)) * n / (n - df + 1)
-    return counts.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(limit).collect()
+    return counts.withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & ((F.col("t") >= df * share * LIFT) | (F.col("t") <= df * share / LIFT))).orderBy(F.desc("chi2"), "term").limit(limit).collect()
 
 
 class Index:
@@ -183,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     full = [(r["id"], r["y"], Counter(dict(zip(r["t"], r["n"], strict=True)))) for r in examples if r["t"]]
     if full:
         model.index = Index([model.vector(tf) for _, _, tf in full], [y for _, y, _ in full], [i for i, _, _ in full], len(known))
-        left_out = [(model.index.nearest(model.vector(tf), NEIGHBOURS, i), y) for i, y, tf in full]
+        some = full[:: -(-len(full) // CALIBRATED)]  # each is scored without itself
+        left_out = [(model.index.nearest(model.vector(tf), NEIGHBOURS, i), y) for i, y, tf in some]
         votes = [(model.index.vote(near, model.prior), y) for near, y in left_out if near]
         if votes:
             model.slope, model.shift = _platt(np.array([v for v, _ in votes]), np.array([y for _, y in votes], float))
