@@ -27,6 +27,11 @@ OVERFLOW_HINTS = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once; inside lambda functions Spark would repeat it at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove all Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -72,15 +77,18 @@ def hash64(c: Column) -> Column:
 
 def simhash(tokens: Column, bits: int = 60) -> Column:
     """SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0."""
-    hashes = F.transform(tokens, hash64)
-    ones = F.transform(
-        F.sequence(F.lit(0), F.lit(bits - 1)),
-        lambda b: F.when(
-            F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)) > 0,
-            F.call_function("shiftleft", F.lit(1).cast("long"), b),
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def fold(hashes: Column) -> Column:
+        ones = F.transform(
+            F.sequence(F.lit(0), F.lit(bits - 1)),
+            lambda b: F.when(
+                F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)) > 0,
+                F.call_function("shiftleft", F.lit(1).cast("long"), b),
+            ).otherwise(F.lit(0).cast("long")),
+        )
+        return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return let(F.transform(tokens, hash64), fold)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -89,13 +97,13 @@ def hamming(a: Column, b: Column) -> Column:
 
 def repeats_before(hashes: Column, most: int = 3) -> Column:
     """For each element whether an earlier one is within ``most`` bits."""
-    return F.transform(hashes, lambda h, i: F.exists(F.slice(hashes, 1, i), lambda e: F.bit_count(e.bitwiseXOR(h)) <= most))
+    return let(hashes, lambda hs: F.transform(hs, lambda h, i: F.exists(F.slice(hs, 1, i), lambda e: F.bit_count(e.bitwiseXOR(h)) <= most)))
 
 
 def redundancy(c: Column, n: int = 3, most: int = 3) -> Column:
     """Share of sentences that nearly repeat an earlier one; fewer than two sentences give 0."""
     sentences = split_sentences(c)
-    hashes = F.transform(sentences, lambda s: simhash(word_ngrams(words(s), n)))
+    hashes = F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n))))
     return F.when(F.size(sentences) < 2, 0.0).otherwise(F.size(F.filter(repeats_before(hashes, most), lambda x: x)) / F.size(sentences))
 
 
@@ -135,7 +143,7 @@ def format_metrics(c: Column) -> Column:
     bullets = F.size(F.filter(ls, lambda x: x.rlike(r"(?U)^\s*[-*•]\s")))
     heads = F.size(F.filter(ls, lambda x: x.rlike(r"(?U)^\s*#{1,6}\s") | x.rlike(r"(?U)^[A-ZА-ЯЁ][A-ZА-ЯЁ0-9 ]{2,}:\s*$")))
     full = F.transform(ls, lambda x: (strip(x) != "").cast("int"))
-    paragraphs = F.size(F.filter(F.transform(full, lambda x, i: (x == 1) & ((i == 0) | (F.get(full, i - 1) == 0))), lambda x: x))
+    paragraphs = let(full, lambda f: F.size(F.filter(F.transform(f, lambda x, i: (x == 1) & ((i == 0) | (F.get(f, i - 1) == 0))), lambda x: x)))
     return F.struct(
         paragraphs.alias("paragraph_count"),
         F.when(F.size(ls) == 0, 0.0).otherwise(F.bround(bullets / F.size(ls), 4)).alias("bullet_ratio"),
@@ -167,14 +175,18 @@ def quality_record(summary: Column, source: Column, prompt_tokens: Column | None
 
 
 def asr_tokens(c: Column) -> Column:
-    flat = F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
-    return F.filter(F.transform(F.split(flat, " "), normalize_token), lambda x: x != "")
+    flat = F.lower(c)
+    return F.filter(F.transform(F.split(flat, r"(?U)\s+"), normalize_token), lambda x: x != "")
 
 
 def leading_run(items: Column) -> Column:
     """How many elements at the start equal the first."""
-    other = F.array_position(F.transform(items, lambda x: x == items[0]), F.lit(False))
-    return F.when(F.size(items) == 0, 0).when(other == 0, F.size(items)).otherwise(other.cast("int") - 1)
+
+    def run(xs: Column) -> Column:
+        other = let(F.get(xs, F.lit(0)), lambda head: F.array_position(F.transform(xs, lambda x: x == head), F.lit(False)))
+        return let(other, lambda n: F.when(F.size(xs) == 0, 0).when(n == 0, F.size(xs)).otherwise(n.cast("int") - 1))
+
+    return let(items, run)
 
 
 def top_count(items: Column) -> Column:
@@ -193,12 +205,14 @@ def top_count(items: Column) -> Column:
 
 def is_probable_hallucination(c: Column) -> Column:
     """At least ten tokens and two of: few distinct ones, one that prevails, five equal sentences at an edge."""
-    tokens = asr_tokens(c)
     sentences = F.filter(F.transform(F.split(F.lower(c), r"[.!?…]+"), normalize_token), lambda x: x != "")
-    edge = (F.size(sentences) >= 5) & (F.greatest(leading_run(sentences), leading_run(F.reverse(sentences))) >= 5)
-    n = F.size(tokens)
-    signals = (F.size(F.array_distinct(tokens)) / n < 0.30).cast("int") + (top_count(tokens) / n > 0.35).cast("int") + edge.cast("int")
-    return F.coalesce((n >= 10) & (signals >= 2), F.lit(False))
+    edge = let(sentences, lambda s: (F.size(s) >= 5) & (F.greatest(leading_run(s), leading_run(F.reverse(s))) >= 5))
+
+    def shares(t: Column) -> Column:
+        few = (F.size(F.array_distinct(t)) / F.size(t) < 0.30).cast("int")
+        return F.when(F.size(t) >= 10, few + (top_count(t) / F.size(t) > 0.35).cast("int")).otherwise(-9)
+
+    return F.coalesce(let(asr_tokens(c), shares) + edge.cast("int") >= 2, F.lit(False))
 
 
 def transcript_quality(c: Column) -> Column:

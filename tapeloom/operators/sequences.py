@@ -134,12 +134,16 @@ def trimmed(units: Column, least: int = 6, most_chars: int = 64) -> Column:
                 )
             ),
         )
-        return F.when(~state["over"] & (state["run"] >= least), state["cut"] + state["run"]).otherwise(state["cut"])
+        return tx.let(state, lambda z: F.when(~z["over"] & (z["run"] >= least), z["cut"] + z["run"]).otherwise(z["cut"]))
 
-    head = strip_head(units)
-    rest = F.slice(units, head + 1, F.greatest(F.lit(0), F.size(units) - head))
-    tail = strip_head(F.reverse(rest))
-    return F.struct(F.slice(rest, 1, F.greatest(F.lit(0), F.size(rest) - tail)).alias("kept"), head.alias("head"), tail.alias("tail"))
+    def cut_tail(x: Column) -> Column:
+        tail = strip_head(F.reverse(x["rest"]))
+        return tx.let(tail, lambda n: F.struct(F.slice(x["rest"], 1, F.greatest(F.lit(0), F.size(x["rest"]) - n)).alias("kept"), x["head"].alias("head"), n.alias("tail")))
+
+    def cut_head(us: Column) -> Column:
+        return tx.let(strip_head(us), lambda n: F.struct(F.slice(us, n + 1, F.greatest(F.lit(0), F.size(us) - n)).alias("rest"), n.alias("head")))
+
+    return tx.let(tx.let(units, cut_head), cut_tail)
 
 
 def trim_edges(text: Column) -> Column:
@@ -234,15 +238,17 @@ def plan_segments(duration: Column, points: Column, target: float, window: float
         cut = F.when(chosen - last < least, F.least(duration, last + target)).otherwise(chosen)
         return F.when(a["cursor"] < duration, F.struct(F.concat(a["cuts"], F.array(cut)).alias("cuts"), (cut + target).alias("cursor"))).otherwise(a)
 
-    cuts = F.aggregate(steps, start, step, lambda a: F.concat(a["cuts"], F.array(duration)))
-    n = F.size(cuts) - 1
-    spans = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct(
-            F.greatest(F.lit(0.0), F.get(cuts, i) - F.when(i > 0, overlap).otherwise(0.0)).alias("start"),
-            F.least(duration, F.get(cuts, i + 1) + F.when(i < n - 1, overlap).otherwise(0.0)).alias("end"),
-        ),
-    )
+    def spans_of(cuts: Column) -> Column:
+        n = F.size(cuts) - 1
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.struct(
+                F.greatest(F.lit(0.0), F.get(cuts, i) - F.when(i > 0, overlap).otherwise(0.0)).alias("start"),
+                F.least(duration, F.get(cuts, i + 1) + F.when(i < n - 1, overlap).otherwise(0.0)).alias("end"),
+            ),
+        )
+
+    spans = tx.let(F.aggregate(steps, start, step, lambda a: F.concat(a["cuts"], F.array(duration))), spans_of)
     return F.when(duration > 0, spans).otherwise(F.array().cast("array<struct<start:double,end:double>>"))
 
 
