@@ -142,7 +142,8 @@ def load_shards(rows: list, n_shards: int) -> list[dict]:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
     """Remove every line whose key is found in at least ``min_docs`` documents.
 
-    Returns all columns of ``docs``, the text cleaned, plus ``n_lines`` and ``n_dropped``. A text splits at each line
+    Returns all columns of ``docs``, the text cleaned, plus ``n_lines`` and ``n_dropped`` (which replace columns of
+    these names; ``_row`` and ``_bad`` are taken too). A text splits at each line
     feed (null or empty: one empty line, and the result is an empty text); a key is the line without ASCII white space
     at its ends, A-Z lower-cased; empty keys are never dropped. Repeated rows count as documents of their own. An
     empty table gives an empty one. A document that loses all its lines stays, with an empty text.
@@ -154,6 +155,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     repeated = write_table(line_counts(docs, text_col).filter(F.col("n") >= min_docs), "lines")
     n_keys = repeated.count()
+    docs = docs.drop("n_lines", "n_dropped", "_row", "_bad")
     names, at = docs.columns, docs.columns.index(text_col)
     plain = docs.withColumn(text_col, docs[text_col].cast("string"))
     schema = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

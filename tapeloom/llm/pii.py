@@ -257,12 +257,15 @@ def assign(distinct: DataFrame, key: bytes) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", send_bytes: int = SEND_BYTES) -> DataFrame:
     """All columns of ``docs``, the text's entities replaced, plus ``n_entities`` (0 for a null text, which stays null).
 
+    Columns of ``docs`` that are named ``n_entities``, ``_row`` or ``_moved`` are replaced or left out.
+
     Texts are read twice: once for the distinct entities, whose surrogates are checked against each other, and once
     to replace them. Only entities with another than the first permutation travel to the second pass: by broadcast
     while they take at most ``send_bytes``, beyond that joined to the documents that mention them. Equal mentions in
     any row, repeated rows included, get equal surrogates. An empty table gives an empty one.
     """
     secret = hashlib.blake2b(key.encode()).digest()[:32]
+    docs = docs.drop("n_entities", "_row", "_moved")
     plain = docs.withColumn(text_col, docs[text_col].cast("string"))
     mapping = assign(entities(docs, id_col, text_col).select("kind", "value").distinct(), secret)
     moved = mapping.filter("attempt > 0")

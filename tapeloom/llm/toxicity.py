@@ -196,11 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, held_out, score, predicted, evidence), or with ``keep`` all columns of ``docs`` and score and predicted.
+    """(id, held_out, score, predicted, evidence), or with ``keep`` all columns of ``docs`` and ``_score`` and ``_predicted``.
 
     Map-only. Null and empty texts, and texts without any term, have the score of the sample's texts without terms.
     Equal texts have equal scores. A null id is not held out. An empty table gives an empty one.
     """
+    docs = docs.drop("_score", "_predicted")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     add = [pa.field("score", pa.float64()), pa.field("predicted", pa.int32()), pa.field("evidence", pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))]
     src = docs.withColumn(text_col, docs[text_col].cast("string")) if keep else docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias(text_col))

@@ -130,7 +130,7 @@ def test_line_dedup(spark, limit):
     rng = random.Random(1)
     pool = ["Line One", " line one\t", "ÀB", "àb", "", "  ", "x" * 9000, *[f"line {i}" for i in range(30)]]
     texts = [None, "", "\n\n", *["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(80)]]
-    df = table(spark, texts).drop("n_lines")
+    df = table(spark, texts)
     got = {r.doc_id: r for r in linededup.drop_repeated_lines(df, max_index_bytes=limit).collect()}
     for i, want in enumerate(brute_lines(texts, 10)):
         n = len((texts[i] or "").split("\n"))

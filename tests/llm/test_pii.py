@@ -59,7 +59,7 @@ def test_surrogates_are_distinct(kind, values):
 @pytest.mark.parametrize("limit", [32 << 20, -1])
 def test_operator(spark, limit):
     texts = [*TEXTS, *(f"see {a}.{b}.{c}.{d} now" for a in range(3) for b in range(4) for c in range(5) for d in range(6)), TEXTS[3]]
-    df = spark.createDataFrame([(i, t, "en", "v") for i, t in enumerate(texts)], "doc_id long, text string, kind string, value string")
+    df = spark.createDataFrame([(i, t, "en", "v", 9) for i, t in enumerate(texts)], "doc_id long, text string, kind string, value string, n_entities int")
     rows = {r.doc_id: r for r in pii.pseudonymise(df, "k", send_bytes=limit).collect()}
     assert len(rows) == len(texts) and rows[0].text is None and rows[1].text == "" and rows[2].text == TEXTS[2]
     assert rows[3].text == rows[len(texts) - 1].text and rows[3].kind == "en" and rows[3].n_entities == 4
