@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import by_group, texts, write_table
 
-LENGTH, GRAM, SHALLOW, HOT, CHUNK = 400, 80, 16, 1000, 1 << 20
+LENGTH, GRAM, SHALLOW, HOT, SENT, CHUNK = 400, 80, 16, 16_384, 2_000_000, 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 
@@ -181,7 +181,7 @@ def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, sent: int = SENT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     A string of ``length`` bytes counts as repeated if it starts anywhere else, in any text; matches never cross
@@ -189,8 +189,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are copies of each other; a null id stays null; an empty table gives an empty one. Only id and text are read.
 
     Equal texts collapse first: a copy loses all it has, and one of the copies stands for them against other texts.
-    Grams chosen more than ``hot`` times don't meet in one task: there the windows themselves are counted by hash,
-    with partial sums, and joined back by a join that splits skewed keys.
+    Grams chosen more than ``hot`` times (in periodic texts, say) don't meet in one task: there the windows themselves
+    are compared by hash, distinct ones within each slice first. Up to ``sent`` repeated hashes (8 bytes each) are
+    broadcast and looked up; beyond that they are joined back by a join that splits skewed keys.
     """
     x, y = F.xxhash64(text_col), F.crc32(F.col(text_col).cast("binary")) + F.octet_length(text_col).cast("long") * (1 << 32)
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias(text_col))
@@ -264,21 +265,61 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = by_group(joined.mapInArrow(contexts, "h long, rid long, x long, pos long, l binary, r binary"), ["h"], sort, "rid long, x long, lo long, hi long")
     if any_hot:
 
-        def windows(batches):
+        def hashed(batches):
+            """(batch, row in it, window starts, window hashes) of the hot grams of each text."""
             for batch, raw in texts(batches, text_col, 1 << 20):
-                rows = []
-                for rid, key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw, batch.column(3).to_pylist(), strict=True):
-                    for p in places:
-                        if p["hot"]:
-                            rows += [(xxhash.xxh3_64_intdigest(text[s : s + length]), rid, key, s) for s in range(p["first"], p["last"] + 1)]
-                if rows:
-                    w, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(w, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in rest)], names=["w", "rid", "x", "pos"])
-
-        seen = joined.mapInArrow(windows, "w long, rid long, x long, pos long")
-        twice = seen.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w")
+                for i, (text, places) in enumerate(zip(raw, batch.column(3).to_pylist(), strict=True)):
+                    starts = [s for p in places if p["hot"] for s in range(p["first"], p["last"] + 1)]
+                    if starts:
+                        w = np.array([xxhash.xxh3_64_intdigest(text[s : s + length]) for s in starts], np.uint64).view(np.int64)
+                        yield batch, i, np.array(starts, np.int64), w
+
+        def distinct(batches):
+            """Hashes with the least and greatest place of each, merged while they are few."""
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def out():
+                w, k = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.lexsort((k, w))
+                w, k = w[order], k[order]
+                cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array(w[cut]), pa.array(k[cut]), pa.array(k[np.append(cut[1:], len(w)) - 1])], names=["w", "a", "b"])
+
+            for batch, i, starts, w in hashed(batches):
+                key = np.int64(batch.column(1)[i].as_py())
+                with np.errstate(over="ignore"):
+                    held.append((w, (starts * np.int64(0x5851F42D4C957F2D)) ^ key))
+                if sum(len(x) for x, _ in held) > 1 << 20:
+                    yield out()
+            if held:
+                yield out()
+
+        twice = joined.mapInArrow(distinct, "w long, a long, b long").groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("w")
         twice = write_table(twice, "windows")
-        back = seen.join(twice.hint("merge"), "w", "left_semi").select("rid", "x", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi"))
+        if twice.count() <= sent:
+            known = joined.sparkSession.sparkContext.broadcast(np.sort(np.array([r.w for r in twice.collect()], np.int64)))
+
+            def mark(batches):
+                for batch, i, starts, w in hashed(batches):
+                    at = np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)
+                    own = np.sort(starts[known.value[at] == w]) if len(known.value) else starts[:0]
+                    if len(own):
+                        cut = np.flatnonzero(np.append(True, np.diff(own) > length))
+                        same = np.full(len(cut), i)
+                        ends = own[np.append(cut[1:], len(own)) - 1] + length
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same)), batch.column(1).take(pa.array(same)), pa.array(own[cut]), pa.array(ends)], names=["rid", "x", "lo", "hi"])
+
+            back = joined.mapInArrow(mark, "rid long, x long, lo long, hi long")
+        else:
+
+            def each(batches):
+                for batch, i, starts, w in hashed(batches):
+                    same = pa.array(np.full(len(w), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(w), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts)], names=["w", "rid", "x", "pos"])
+
+            seen = joined.mapInArrow(each, "w long, rid long, x long, pos long")
+            back = seen.join(twice.hint("merge"), "w", "left_semi").select("rid", "x", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi"))
         spans = spans.unionByName(back)
     per_text = spans.groupBy("rid", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     keys = base.select("rid", "x", "y")
