@@ -75,20 +75,27 @@ def hash64(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def simhash(tokens: Column, bits: int = 60) -> Column:
-    """SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0."""
+def simhash(tokens: Column, hashed=hash64) -> Column:
+    """60-bit SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0.
+
+    The set bits are counted three at a time, in fields of 20 bits of a long, so a token costs 20 additions.
+    """
+    fields = F.lit(1 | 1 << 20 | 1 << 40).cast("long")
+    low = F.lit((1 << 20) - 1).cast("long")
 
     def fold(hashes: Column) -> Column:
-        ones = F.transform(
-            F.sequence(F.lit(0), F.lit(bits - 1)),
-            lambda b: F.when(
-                F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.call_function("getbit", h, b) == 1, 1).otherwise(-1)) > 0,
-                F.call_function("shiftleft", F.lit(1).cast("long"), b),
-            ).otherwise(F.lit(0).cast("long")),
+        counts = F.transform(
+            F.sequence(F.lit(0), F.lit(19)),
+            lambda k: F.struct(k.alias("k"), F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(fields)).alias("n")),
         )
-        return F.aggregate(ones, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(F.transform(tokens, hash64), fold)
+        def bit(x: Column, f: int) -> Column:
+            more = F.shiftrightunsigned(x["n"], 20 * f).bitwiseAND(low) * 2 > F.size(hashes)
+            return F.when(more, F.call_function("shiftleft", F.lit(1).cast("long"), x["k"] + 20 * f)).otherwise(F.lit(0).cast("long"))
+
+        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + bit(x, 0) + bit(x, 1) + bit(x, 2))
+
+    return let(F.transform(tokens, hashed), fold)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -103,7 +110,7 @@ def repeats_before(hashes: Column, most: int = 3) -> Column:
 def redundancy(c: Column, n: int = 3, most: int = 3) -> Column:
     """Share of sentences that nearly repeat an earlier one; fewer than two sentences give 0."""
     sentences = split_sentences(c)
-    hashes = F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n))))
+    hashes = F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n), lambda t: F.xxhash64(t))))
     return F.when(F.size(sentences) < 2, 0.0).otherwise(F.size(F.filter(repeats_before(hashes, most), lambda x: x)) / F.size(sentences))
 
 
@@ -156,22 +163,28 @@ def quality_record(summary: Column, source: Column, prompt_tokens: Column | None
     """All quality measures of a summary against its source, as one struct."""
     source_tokens = F.coalesce(prompt_tokens, estimate_tokens(source)) if prompt_tokens is not None else estimate_tokens(source)
     summary_tokens = F.coalesce(completion_tokens, estimate_tokens(summary)) if completion_tokens is not None else estimate_tokens(summary)
-    parts = [
+    facts = {"number": extract_numbers, "date": extract_dates, "unit": extract_units}
+    base = F.struct(
         source_tokens.alias("transcript_tokens"),
         F.length(source).alias("transcript_chars"),
         (prompt_tokens.isNull() if prompt_tokens is not None else F.lit(True)).alias("token_estimate"),
         summary_tokens.alias("summary_tokens"),
         F.length(summary).alias("summary_chars"),
-        F.when(source_tokens > 0, F.bround(summary_tokens / source_tokens, 4)).otherwise(0.0).alias("compression_ratio"),
-        F.bround(redundancy(summary), 4).alias("redundancy_dup_sentence_ratio"),
-    ]
-    for name, of in (("number", extract_numbers), ("date", extract_dates), ("unit", extract_units)):
-        parts += [
-            F.size(of(summary)).alias(f"{name}s_in_summary"),
-            F.size(of(source)).alias(f"{name}s_in_transcript"),
-            F.size(F.array_except(of(summary), of(source))).alias(f"{name}_mismatch_count"),
-        ]
-    return F.struct(*parts, format_metrics(summary).alias("format"))
+        F.bround(redundancy(summary), 4).alias("redundancy"),
+        format_metrics(summary).alias("format"),
+        *(of(c).alias(f"{name}_{side}") for name, of in facts.items() for side, c in (("s", summary), ("t", source))),
+    )
+
+    def record(z: Column) -> Column:
+        ratio = F.when(z["transcript_tokens"] > 0, F.bround(z["summary_tokens"] / z["transcript_tokens"], 4)).otherwise(0.0)
+        parts = [z[c].alias(c) for c in ("transcript_tokens", "transcript_chars", "token_estimate", "summary_tokens", "summary_chars")]
+        parts += [ratio.alias("compression_ratio"), z["redundancy"].alias("redundancy_dup_sentence_ratio")]
+        for name in facts:
+            s, t = z[f"{name}_s"], z[f"{name}_t"]
+            parts += [F.size(s).alias(f"{name}s_in_summary"), F.size(t).alias(f"{name}s_in_transcript"), F.size(F.array_except(s, t)).alias(f"{name}_mismatch_count")]
+        return F.struct(*parts, z["format"].alias("format"))
+
+    return let(base, record)
 
 
 def asr_tokens(c: Column) -> Column:

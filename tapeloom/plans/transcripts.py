@@ -86,7 +86,8 @@ def _plan(s, d):
 def _quality(s, d):
     docs = read(s, d, "documents").filter("length(text) < 20000")
     pair = docs.select(F.col("doc_id"), F.col("text").alias("summary")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")), "doc_id")
-    q = pair.select("doc_id", tx.quality_record(F.col("summary"), F.col("source")).alias("q")).select("doc_id", "q.*")
+    pair = pair.repartition(int(s.conf.get("spark.sql.shuffle.partitions")))  # much work per row: small joins else end in one task
+    q = pair.select("doc_id", F.inline(F.array(tx.quality_record(F.col("summary"), F.col("source")))))  # inline computes the record once
     return q.select("*", "format.paragraph_count", "format.bullet_ratio", "format.heading_count").drop("format")
 
 
