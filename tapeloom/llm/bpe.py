@@ -23,11 +23,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import texts
+from tapeloom.llm.common import drop_table, texts, write_table
 
 # Fixed value: the pre-token pattern of the byte-level BPE format.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-WORDS, CACHED, NONE = 1 << 15, 300_000, 1 << 60
+WORDS, CACHED, NONE = 1 << 15, 500_000, 1 << 60
+_WORKER: dict = {}  # the encoder that this worker process made last, by lexicon, so that its cache outlives a task
 
 
 def load(path: str) -> dict:
@@ -88,6 +89,56 @@ def _merge_long(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def merge_many(words: list[bytes], first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """Merge many short words at once: each round applies in every word its leftmost pair of lowest rank.
+
+    ``keys`` are the pairs in order, ``values`` their rank and merged id. Only pairs beside a merge are looked up
+    again. Gives each word's ids as little-endian unsigned 32-bit integers.
+    """
+    size = np.array([len(w) for w in words], np.int64)
+    ids = first[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), size)
+
+    def look(left: np.ndarray) -> np.ndarray:
+        """Rank and merged id of the pairs that begin at these places; ``NONE`` at a word's end."""
+        right = np.minimum(left + 1, len(ids) - 1)
+        key = ids[left] << 32 | ids[right]
+        i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where((keys[i] == key) & (word[left] == word[right]) & (left < len(ids) - 1), values[i], NONE)
+
+    done_ids, done_word = [], []
+    rank = look(np.arange(len(ids))) if len(ids) else np.zeros(0, np.int64)
+    while len(ids):
+        start = np.flatnonzero(np.diff(word, prepend=-1))
+        best = np.minimum.reduceat(rank, start)
+        length = np.diff(np.append(start, len(ids)))
+        over = np.repeat(best == NONE, length)
+        if over.any():
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            ids, word, rank = ids[~over], word[~over], rank[~over]
+            if not len(ids):
+                break
+            length, best = length[best != NONE], best[best != NONE]
+            start = np.cumsum(length) - length
+        hits = np.flatnonzero(rank == np.repeat(best, length))
+        at = hits[np.flatnonzero(np.diff(word[hits], prepend=-1))]
+        ids[at] = rank[at] & 0xFFFFFFFF
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids, word, rank = ids[keep], word[keep], rank[keep]
+        at -= np.arange(len(at))
+        rank[at] = look(at)
+        before = at[(at > 0) & (word[at - 1] == word[at])] - 1
+        rank[before] = look(before)
+    ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
+    word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
+    order = np.argsort(word, kind="stable")
+    flat = ids[order].astype("<u4").tobytes()
+    cut = (np.searchsorted(word[order], np.arange(len(words) + 1)) * 4).tolist()
+    return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
 def encode_chunk(chunk: str, tables: dict) -> bytes:
     """Ids of one chunk by exact merges, as little-endian unsigned 32-bit integers."""
     out: list[int] = []
@@ -191,20 +242,36 @@ class Encoder:
 
     def __init__(self, tables: dict, lexicon: dict[str, np.ndarray]):
         self.tables, self.lexicon, self.cache = tables, lexicon, {}
+        keys = np.array(list(tables["merges"]), np.int64)
+        order = np.argsort(keys)
+        self.arrays = np.array(tables["first"], np.int64), keys[order], np.array(list(tables["merges"].values()), np.int64)[order]
         self.special = regex.compile("|".join(map(regex.escape, sorted(tables["added"], key=len, reverse=True)))) if tables["added"] else None
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode chunks (given without their space) that the cache lacks. None marks one after which no cut is safe."""
-        raw = [b" " + p.encode() for p in pieces]
-        number = numbers(self.lexicon, raw).tolist()
+        number = numbers(self.lexicon, [b" " + p.encode() for p in pieces]).tolist()
         start, ids = self.lexicon["start"], self.lexicon["ids"]
+        split: dict[str, list[str]] = {}
+        tokens: dict[str, int] = {}
         for p, n in zip(pieces, number, strict=True):
             if not p or p[-1].isspace():
                 self.cache[p] = None
             elif n >= 0:
                 self.cache[p] = ids[start[n] : start[n + 1]].tobytes()
             else:
-                self.cache[p] = encode_chunk(" " + p, self.tables)
+                own = split[p] = [" " + p] if p.isalpha() else PATTERN.findall(" " + p)
+                for t in own:
+                    tokens.setdefault(t, len(tokens))
+        raw = [t.encode() for t in tokens]
+        short = [i for i, t in enumerate(raw) if len(t) <= 96]
+        done: list[bytes] = [b""] * len(raw)
+        for i, out in zip(short, merge_many([raw[i] for i in short], *self.arrays), strict=True):
+            done[i] = out
+        for i, t in enumerate(raw):
+            if len(t) > 96:
+                done[i] = np.array(merge([self.tables["first"][b] for b in t], self.tables["merges"]), "<u4").tobytes()
+        for p, own in split.items():
+            self.cache[p] = done[tokens[own[0]]] if len(own) == 1 else b"".join([done[tokens[t]] for t in own])
 
     def _plain(self, pieces: list[str]) -> bytes:
         head = encode_chunk(pieces[0], self.tables)
@@ -213,15 +280,19 @@ class Encoder:
                 return head + b"".join([self.cache[p] for p in pieces[1:]])
             except TypeError:
                 pass
-        out, held = [], pieces[0]
+        out, held = [], pieces[0]  # held: what no cut may end yet
         for p in pieces[1:]:
             if held and held[-1].isspace():
                 held += " " + p
             else:
-                out.append(held)
-                held = " " + p
-        out.append(held)
-        return b"".join(encode_chunk(c, self.tables) for c in out)
+                out.append(encode_chunk(held, self.tables) if held else b"")
+                held = ""
+                if (known := self.cache[p]) is not None:
+                    out.append(known)
+                else:
+                    held = " " + p
+        out.append(encode_chunk(held, self.tables))
+        return b"".join(out)
 
     def encode(self, raw: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -254,7 +325,10 @@ def decode(ids: bytes, token: list[bytes]) -> str:
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[str]:
-    """The ``words`` most frequent chunks over all texts (ties by text): counts are summed per task, then shuffled."""
+    """The most frequent chunks over all texts, ``words`` at most: counts are summed per task, then shuffled.
+
+    Words are taken by whole levels of frequency, so the driver gets a short histogram and the chosen words only.
+    """
 
     def run(batches):
         seen: Counter = Counter()
@@ -271,7 +345,15 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", words: int = WORDS)
         return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen]), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
     counts = docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(words).collect() if r.w and not r.w[-1].isspace()]
+    counts = write_table(counts.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16)), "chunks")
+    least, taken = None, 0
+    for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # 16 levels per power of two
+        if taken + r.k > words:
+            break
+        least, taken = r.level, taken + r.k
+    found = [r.w for r in counts.filter(F.col("level") >= least).select("w").collect()] if taken else []
+    drop_table(counts)
+    return sorted(w for w in found if w and not w[-1].isspace())
 
 
 def encoder_for(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS):
@@ -291,7 +373,10 @@ def encoder_for(docs: DataFrame, tokenizer: str, text_col: str = "text", words:
     sent = spark.sparkContext.broadcast(tables)
 
     def make() -> Encoder:
-        return Encoder(sent.value, memory_map(SparkFiles.get(name)))
+        if name not in _WORKER:
+            _WORKER.clear()
+            _WORKER[name] = Encoder(sent.value, memory_map(SparkFiles.get(name)))
+        return _WORKER[name]
 
     return make
 
