@@ -7,6 +7,7 @@ frequent chunks; along a path its arcs' outputs add up to the word's number, whi
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -249,29 +250,36 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode chunks (given without their space) that the cache lacks. None marks one after which no cut is safe."""
-        number = numbers(self.lexicon, [b" " + p.encode() for p in pieces]).tolist()
-        start, ids = self.lexicon["start"], self.lexicon["ids"]
-        split: dict[str, list[str]] = {}
-        tokens: dict[str, int] = {}
-        for p, n in zip(pieces, number, strict=True):
-            if not p or p[-1].isspace():
-                self.cache[p] = None
-            elif n >= 0:
-                self.cache[p] = ids[start[n] : start[n + 1]].tobytes()
+        raw = [b" " + p.encode() for p in pieces]
+        number = numbers(self.lexicon, raw)
+        start, ids = self.lexicon["start"].tolist() if number.max(initial=-1) >= 0 else [], self.lexicon["ids"].tobytes()
+        cache, alone, split = self.cache, [], []
+        for i, (p, n) in enumerate(zip(pieces, number.tolist(), strict=True)):
+            if n >= 0:
+                cache[p] = ids[start[n] : start[n + 1]]
+            elif p.isalpha():
+                alone.append(i)  # one pre-token
+            elif not p or p[-1].isspace():
+                cache[p] = None
             else:
-                own = split[p] = [" " + p] if p.isalpha() else PATTERN.findall(" " + p)
-                for t in own:
-                    tokens.setdefault(t, len(tokens))
-        raw = [t.encode() for t in tokens]
-        short = [i for i, t in enumerate(raw) if len(t) <= 96]
-        done: list[bytes] = [b""] * len(raw)
-        for i, out in zip(short, merge_many([raw[i] for i in short], *self.arrays), strict=True):
-            done[i] = out
-        for i, t in enumerate(raw):
-            if len(t) > 96:
-                done[i] = np.array(merge([self.tables["first"][b] for b in t], self.tables["merges"]), "<u4").tobytes()
-        for p, own in split.items():
-            self.cache[p] = done[tokens[own[0]]] if len(own) == 1 else b"".join([done[tokens[t]] for t in own])
+                split.append(i)
+        parts = [PATTERN.findall(" " + pieces[i]) for i in split]
+        tokens = list({t for own in parts for t in own})
+        for i, out in zip(alone, self._merged([raw[i] for i in alone]), strict=True):
+            cache[pieces[i]] = out
+        known = dict(zip(tokens, self._merged([t.encode() for t in tokens]), strict=True))
+        for i, own in zip(split, parts, strict=True):
+            cache[pieces[i]] = b"".join([known[t] for t in own])
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        short = [i for i, w in enumerate(words) if len(w) <= 96]
+        out: list[bytes] = [b""] * len(words)
+        for i, ids in zip(short, merge_many([words[i] for i in short], *self.arrays), strict=True):
+            out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > 96:
+                out[i] = np.array(merge([self.tables["first"][b] for b in w], self.tables["merges"]), "<u4").tobytes()
+        return out
 
     def _plain(self, pieces: list[str]) -> bytes:
         head = encode_chunk(pieces[0], self.tables)
@@ -312,9 +320,10 @@ class Encoder:
                     new.update(p[1:])
         missing = [p for p in new if p not in self.cache]
         if len(self.cache) + len(missing) > CACHED:
-            self.cache.clear()
-            missing = list(new)
+            self.cache = {p: self.cache[p] for p in new if p in self.cache}
+        gc.disable()  # nothing here makes cycles, and collections would scan all the strings again and again
         self._learn(missing)
+        gc.enable()
         for parts in split:
             yield b"".join(self._plain(p) if isinstance(p, list) else np.array([self.tables["added"][p]], "<u4").tobytes() for p in parts)
 
@@ -357,14 +366,14 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", words: int = WORDS)
 
 
 def encoder_for(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS):
-    """Compile the lexicon of ``docs`` (bounded by ``words``) and return a function that gives a worker its encoder.
+    """Compile the lexicon of ``docs`` (bounded by ``words``; 0: an empty one, no count) and return a function that gives a worker its encoder.
 
     The lexicon file goes to the executors by ``addFile``, which hands it to replacements of lost ones too; each
     worker memory-maps its executor's copy.
     """
     spark = docs.sparkSession
     tables = load(tokenizer)
-    chunks = frequent_chunks(docs, text_col, words)
+    chunks = frequent_chunks(docs, text_col, words) if words else []
     lexicon = compile_words([b" " + c.encode() for c in chunks], [encode_chunk(" " + c, tables) for c in chunks])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)

@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     ``row`` is a digest of the text that tells apart rows that repeat an id.
     """
-    make = encoder_for(docs, tokenizer, text_col)
+    make = encoder_for(docs, tokenizer, text_col, words=0)  # a text is encoded once here: counting words first costs more than it saves
     end = np.array([END], "<u4").tobytes()
     schema = f"{id_col} long, row long, start long, length long, ids_crc32 long, doc_tokens long"
 
