@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import by_group, texts, write_table
 
-LENGTH, GRAM, SHALLOW, HOT, SENT, CHUNK = 400, 80, 16, 16_384, 2_000_000, 1 << 20
+LENGTH, GRAM, SHALLOW, HOT, CHUNK = 400, 80, 16, 16_384, 1 << 20
+NO_ID = -(1 << 63)  # stands for a null id
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 
@@ -181,7 +182,7 @@ def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, sent: int = SENT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     A string of ``length`` bytes counts as repeated if it starts anywhere else, in any text; matches never cross
@@ -190,12 +191,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal texts collapse first: a copy loses all it has, and one of the copies stands for them against other texts.
     Grams chosen more than ``hot`` times (in periodic texts, say) don't meet in one task: there the windows themselves
-    are compared by hash, distinct ones within each slice first. Up to ``sent`` repeated hashes (8 bytes each) are
-    broadcast and looked up; beyond that they are joined back by a join that splits skewed keys.
+    are counted by hash, with partial sums, and joined back by a join that splits skewed keys. A window that
+    repeats inside its own text is known to at once, and counts for the others as one row.
     """
     x, y = F.xxhash64(text_col), F.crc32(F.col(text_col).cast("binary")) + F.octet_length(text_col).cast("long") * (1 << 32)
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias(text_col))
-    base = base.select(F.coalesce("id", F.lit(-(1 << 63))).alias("rid"), x.alias("x"), text_col, F.col("id").isNull().alias("no_id"), y.alias("y"))
+    base = base.select(F.coalesce("id", F.lit(NO_ID)).alias("rid"), x.alias("x"), text_col, y.alias("y"))
     window = length - gram
 
     def choose(batches):
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tagged = found.join(many.hint("merge"), "h", "left") if any_hot else found.withColumn("hot", F.lit(None).cast("boolean"))
     wanted = tagged.groupBy("rid", "x").agg(F.collect_list(F.struct("h", "pos", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
     wanted = write_table(wanted, "wanted")
-    body = base.select("rid", "x", text_col, "no_id", "y")
+    body = base.select("rid", "x", text_col)  # the same columns for all joins below, so Spark shuffles the texts once
     joined = body.join(wanted.hint("merge"), ["rid", "x"]).select("rid", "x", text_col, "places")
 
     def contexts(batches):
@@ -274,58 +275,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         w = np.array([xxhash.xxh3_64_intdigest(text[s : s + length]) for s in starts], np.uint64).view(np.int64)
                         yield batch, i, np.array(starts, np.int64), w
 
-        def distinct(batches):
-            """Hashes with the least and greatest place of each, merged while they are few."""
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def out():
-                w, k = (np.concatenate(c) for c in zip(*held, strict=True))
-                order = np.lexsort((k, w))
-                w, k = w[order], k[order]
-                cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(w[cut]), pa.array(k[cut]), pa.array(k[np.append(cut[1:], len(w)) - 1])], names=["w", "a", "b"])
-
+        def once(batches):
+            """One row for each distinct window of a text: a place where it starts."""
             for batch, i, starts, w in hashed(batches):
-                key = np.int64(batch.column(1)[i].as_py())
-                with np.errstate(over="ignore"):
-                    held.append((w, (starts * np.int64(0x5851F42D4C957F2D)) ^ key))
-                if sum(len(x) for x, _ in held) > 1 << 20:
-                    yield out()
-            if held:
-                yield out()
-
-        twice = joined.mapInArrow(distinct, "w long, a long, b long").groupBy("w").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("w")
-        twice = write_table(twice, "windows")
-        if twice.count() <= sent:
-            known = joined.sparkSession.sparkContext.broadcast(np.sort(np.array([r.w for r in twice.collect()], np.int64)))
-
-            def mark(batches):
-                for batch, i, starts, w in hashed(batches):
-                    at = np.minimum(np.searchsorted(known.value, w), len(known.value) - 1)
-                    own = np.sort(starts[known.value[at] == w]) if len(known.value) else starts[:0]
-                    if len(own):
-                        cut = np.flatnonzero(np.append(True, np.diff(own) > length))
-                        same = np.full(len(cut), i)
-                        ends = own[np.append(cut[1:], len(own)) - 1] + length
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same)), batch.column(1).take(pa.array(same)), pa.array(own[cut]), pa.array(ends)], names=["rid", "x", "lo", "hi"])
-
-            back = joined.mapInArrow(mark, "rid long, x long, lo long, hi long")
-        else:
+                w, first = np.unique(w, return_index=True)
+                same = pa.array(np.full(len(w), i))
+                yield pa.RecordBatch.from_arrays([pa.array(w), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts[first])], names=["w", "rid", "x", "pos"])
 
-            def each(batches):
-                for batch, i, starts, w in hashed(batches):
-                    same = pa.array(np.full(len(w), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(w), batch.column(0).take(same), batch.column(1).take(same), pa.array(starts)], names=["w", "rid", "x", "pos"])
-
-            seen = joined.mapInArrow(each, "w long, rid long, x long, pos long")
-            back = seen.join(twice.hint("merge"), "w", "left_semi").select("rid", "x", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi"))
+        def within(batches):
+            """The bytes covered by windows that start more than once in their own text."""
+            for batch, i, starts, w in hashed(batches):
+                _, back, n = np.unique(w, return_inverse=True, return_counts=True)
+                own = np.sort(starts[n[back] > 1])
+                if len(own):
+                    cut = np.flatnonzero(np.append(True, np.diff(own) > length))
+                    same = pa.array(np.full(len(cut), i))
+                    ends = own[np.append(cut[1:], len(own)) - 1] + length
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), pa.array(own[cut]), pa.array(ends)], names=["rid", "x", "lo", "hi"])
+
+        seen = joined.mapInArrow(once, "w long, rid long, x long, pos long")
+        twice = seen.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("w")
+        back = seen.join(twice.hint("merge"), "w", "left_semi").select("rid", "x", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi"))
+        back = back.unionByName(joined.mapInArrow(within, "rid long, x long, lo long, hi long"))
         spans = spans.unionByName(back)
     per_text = spans.groupBy("rid", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     keys = base.select("rid", "x", "y")
     copied = keys.join(write_table(keys.groupBy("x", "y").count().filter("count > 1").select("x", "y"), "copies").hint("merge"), ["x", "y"], "left_semi")
     copied = copied.select("rid", "x").distinct().withColumn("copied", F.lit(True))
-    whole = body.join(per_text.hint("merge"), ["rid", "x"], "left").join(copied.hint("merge"), ["rid", "x"], "left").select("rid", "no_id", text_col, "spans", "copied")
+    whole = body.join(per_text.hint("merge"), ["rid", "x"], "left").join(copied.hint("merge"), ["rid", "x"], "left").select("rid", "x", text_col, "spans", "copied")
 
     def strike(batches):
         for batch, raw in texts(batches, text_col):
@@ -339,7 +316,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept = b"".join([*kept, text[at:]])
                 out.append((len(text), len(text) - len(kept), len(cover), kept))
             cols = list(zip(*out, strict=True))
-            ids = pa.compute.if_else(batch.column(1), pa.scalar(None, pa.int64()), batch.column(0))
+            ids = pa.compute.if_else(pa.compute.equal(batch.column(0), NO_ID), pa.scalar(None, pa.int64()), batch.column(0))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return whole.mapInArrow(strike, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary")
