@@ -107,10 +107,18 @@ def repeats_before(hashes: Column, most: int = 3) -> Column:
     return let(hashes, lambda hs: F.transform(hs, lambda h, i: F.exists(F.slice(hs, 1, i), lambda e: F.bit_count(e.bitwiseXOR(h)) <= most)))
 
 
+def sentence_hashes(sentences: Column, n: int = 3) -> Column:
+    """The 60-bit SimHash of each sentence over its shingles of n words."""
+    return F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n), lambda t: F.xxhash64(t))))
+
+
 def redundancy(c: Column, n: int = 3, most: int = 3) -> Column:
-    """Share of sentences that nearly repeat an earlier one; fewer than two sentences give 0."""
+    """Share of sentences that nearly repeat an earlier one; fewer than two sentences give 0.
+
+    Compares all sentences of a text, so it is for short texts; ``sequences.repeat_shares`` does the same for long ones.
+    """
     sentences = split_sentences(c)
-    hashes = F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n), lambda t: F.xxhash64(t))))
+    hashes = sentence_hashes(sentences, n)
     return F.when(F.size(sentences) < 2, 0.0).otherwise(F.size(F.filter(repeats_before(hashes, most), lambda x: x)) / F.size(sentences))
 
 
@@ -159,8 +167,8 @@ def format_metrics(c: Column) -> Column:
     )
 
 
-def quality_record(summary: Column, source: Column, prompt_tokens: Column | None = None, completion_tokens: Column | None = None) -> Column:
-    """All quality measures of a summary against its source, as one struct."""
+def quality_record(summary: Column, source: Column, prompt_tokens: Column | None = None, completion_tokens: Column | None = None, repeats: Column | None = None) -> Column:
+    """All quality measures of a summary against its source, as one struct; ``repeats`` is the summary's redundancy if it is known."""
     source_tokens = F.coalesce(prompt_tokens, estimate_tokens(source)) if prompt_tokens is not None else estimate_tokens(source)
     summary_tokens = F.coalesce(completion_tokens, estimate_tokens(summary)) if completion_tokens is not None else estimate_tokens(summary)
     facts = {"number": extract_numbers, "date": extract_dates, "unit": extract_units}
@@ -170,7 +178,7 @@ def quality_record(summary: Column, source: Column, prompt_tokens: Column | None
         (prompt_tokens.isNull() if prompt_tokens is not None else F.lit(True)).alias("token_estimate"),
         summary_tokens.alias("summary_tokens"),
         F.length(summary).alias("summary_chars"),
-        F.bround(redundancy(summary), 4).alias("redundancy"),
+        F.bround(redundancy(summary) if repeats is None else repeats, 4).alias("redundancy"),
         format_metrics(summary).alias("format"),
         *(of(c).alias(f"{name}_{side}") for name, of in facts.items() for side, c in (("s", summary), ("t", source))),
     )

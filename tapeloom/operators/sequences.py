@@ -259,3 +259,30 @@ def preview_turns(turns: DataFrame, by: str, seconds: float, n: int = 3) -> Data
     clip = F.least(F.lit(seconds), length)
     out = turns.withColumn("rank", rank).filter(F.col("rank") <= n)
     return out.select(by, "speaker", "rank", ((F.col("start") + F.col("end") - clip) / 2).alias("clip_start"), ((F.col("start") + F.col("end") + clip) / 2).alias("clip_end"))
+
+
+def repeat_shares(texts: DataFrame, key: list[str], text: str = "text", n: int = 3, most: int = 3, few: int = 256) -> DataFrame:
+    """(key, share): ``tx.redundancy`` of texts of any length; texts of fewer than two sentences have no row.
+
+    Equal fingerprints of a text collapse first. Up to ``few`` of them are compared in place. Of more, two within
+    ``most`` bits agree in one of ``most`` + 1 blocks of bits, so only those that share a block's value meet; equal
+    texts under one key count once.
+    """
+    bits = -(-60 // (most + 1))
+
+    def block(x: Column, i: Column, b: int) -> Column:
+        return F.struct(F.lit(b).alias("_b"), F.shiftright(x, b * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("_v"), i.alias("_i"), x.alias("_h"))
+
+    def parts(h: Column) -> Column:
+        near = F.size(F.filter(tx.repeats_before(h, most), lambda x: x))
+        whole = F.array(F.struct(F.lit(-1).alias("_b"), F.lit(0).cast("long").alias("_v"), F.lit(-1).alias("_i"), near.cast("long").alias("_h")))
+        return F.when(F.size(h) <= few, whole).otherwise(F.flatten(F.transform(h, lambda x, i: F.array(*(block(x, i, b) for b in range(most + 1))))))
+
+    hashes = tx.sentence_hashes(tx.split_sentences(F.col(text)), n)
+    once = F.explode(F.array(tx.let(hashes, lambda h: F.struct(F.size(h).alias("n"), F.array_distinct(h).alias("h")))))
+    own = texts.select(*key, once.alias("_s")).filter("_s.n > 1").select(*key, F.col("_s.n").alias("_n"), F.size("_s.h").alias("_m"), F.explode(parts(F.col("_s.h"))).alias("_p")).select(*key, "_n", "_m", "_p.*")
+    met = own.groupBy(*key, "_b", "_v").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"), F.array_sort(F.collect_set(F.struct("_i", "_h"))).alias("_all"))
+    near = tx.let(tx.repeats_before(F.col("_all._h"), most), lambda r: F.transform(F.filter(F.arrays_zip(r.alias("r"), F.col("_all._i").alias("i")), lambda x: x["r"]), lambda x: x["i"]))
+    flagged = met.select(*key, "_n", "_m", F.when(F.col("_b") < 0, F.get(F.col("_all._h"), F.lit(0))).alias("_in"), F.explode_outer(F.when(F.size("_all") > 1, near)).alias("_i"))
+    out = flagged.groupBy(*key).agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"), (F.coalesce(F.max("_in"), F.lit(0)) + F.count_distinct("_i")).alias("_near"))
+    return out.select(*key, ((F.col("_n") - F.col("_m") + F.col("_near")) / F.col("_n")).alias("share"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import text as tx
 from tapeloom.operators import intervals, sequences
+from tapeloom.plans import transcripts
 from tapeloom.streaming.throttle import throttle, throttle_stream
 
 
@@ -199,3 +200,31 @@ def test_throttle_batch_and_stream(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert set(got) <= set(range(200)) and len(got) == len(set(got))
     assert got == want or abs(len(got) - len(want)) <= 6  # files may come in either order
+
+
+def test_repeat_shares_equals_redundancy(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [None, "", "One.", "One. One.", "One. Two. one."]
+    for k in (5, 60, 300):
+        base = [[rng.choice(words) for _ in range(40)] for _ in range(k)]
+        near = [[*rng.choice(base)] for _ in range(k)]
+        for x in near:
+            x[rng.choice([0, 39])] = rng.choice(words)
+        sentences = [" ".join(x) + "." for x in [*base, *near, *base[:3]]]
+        rng.shuffle(sentences)
+        texts.append(" ".join(sentences))
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (5, texts[6])], "id long, text string").withColumn("h", F.xxhash64("text"))
+    want = {(r.id, r.h): r.x for r in df.select("id", "h", tx.redundancy(F.col("text")).alias("x")).collect()}
+    for few in (0, 256):
+        got = {(r.id, r.h): r.share for r in sequences.repeat_shares(df, ["id", "h"], few=few).collect()}
+        assert {k: x for k, x in want.items() if k in got} == got and all(not x for k, x in want.items() if k not in got) and min(got.values()) > 0.2
+
+
+def test_quality_record_takes_long_texts(spark, tmp_path):
+    long = " ".join(f"Sentence {i} has the number {i * 7} of {i % 400} words." for i in range(800))
+    texts = ["Short one. Short two.", long, "Another one.", long + " " + long]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in transcripts.QUERIES["quality_record"][0](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [0, 1, 2] and [rows[i].summary_chars for i in range(3)] == [len(t) for t in texts[:3]] and rows[2].transcript_chars == len(texts[3])
+    assert rows[1].redundancy_dup_sentence_ratio == spark.createDataFrame([(long,)], "t string").select(F.bround(tx.redundancy(F.col("t")), 4)).head()[0]
