@@ -26,9 +26,9 @@ _TABLE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], n
 class Grams:
     """Chooses grams: polynomial hashes of all grams by prefix sums, then the least one in each window."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.window = length, gram, length - gram + 1
-        n = CHUNK + length
+    def __init__(self, length: int, gram: int, chunk: int = CHUNK):
+        self.length, self.gram, self.window, self.chunk = length, gram, length - gram + 1, chunk
+        n = chunk + length
         with np.errstate(over="ignore"):
             self.power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _ODD, np.uint64))])
             self.inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), np.uint64))])
@@ -36,8 +36,8 @@ class Grams:
     def choose(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(position, hash, first window, last window) of each chosen gram, for all windows of the text."""
         parts, n = [], len(text) - self.length + 1
-        for start in range(0, max(n, 0), CHUNK):
-            count = min(CHUNK, n - start)
+        for start in range(0, max(n, 0), self.chunk):
+            count = min(self.chunk, n - start)
             data = np.frombuffer(text, np.uint8, count + self.length - 1, start)
             with np.errstate(over="ignore"):
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * self.power[: len(data)])])
@@ -182,7 +182,7 @@ def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     A string of ``length`` bytes counts as repeated if it starts anywhere else, in any text; matches never cross
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     window = length - gram
 
     def choose(batches):
-        grams = Grams(length, gram)
+        grams = Grams(length, gram, chunk)
         for batch, raw in texts(batches, text_col):
             got = [grams.choose(t) for t in raw]
             of = np.repeat(np.arange(len(raw)), [len(g[0]) for g in got])
@@ -212,7 +212,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.xxhash64("x", "pos")
     again = grams.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h")
     again = write_table(again, "repeated")
-    found = grams.join(again.hint("merge"), "h", "left_semi").groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.min("last").alias("last"))
+    # a gram chosen on both sides of a chunk's border comes twice, with adjoining windows
+    found = grams.join(again.hint("merge"), "h", "left_semi").groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
     found = write_table(found, "found")
     many = write_table(found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("hot")), "hot")
     any_hot = not many.isEmpty()

@@ -92,3 +92,16 @@ def test_repeated_and_missing_ids_and_real_length(spark):
     got = sorted((str(r.doc_id), r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df).collect())
     assert got == sorted((str(i), *w[1:]) for i, w in zip([*ids, 6], brute([*texts, texts[6]], 400), strict=True))
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_hot_grams_across_chunks(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    texts = []
+    for k in range(40):
+        passage = text(40)
+        at = 200 + k % 4  # the only repeated window starts here, just behind a chunk's border
+        texts += [text(at) + passage + text(300), text(77) + passage + text(60)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, length=40, gram=12, hot=0, chunk=200).collect()}
+    assert got == dict(enumerate(brute(texts, 40)))
