@@ -35,6 +35,9 @@ _BAD = re.compile(
     re.I,
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|content|body|main|text|prose)(?:$|[\s_-])", re.I)
+# what a page has or lacks, said on its wrapper; topics of a post, said on its article
+_ABOUT = re.compile(r"(?:^|(?<=[_-]))(?:has|with|without|no)[_-].*", re.I)
+_TOPIC = re.compile(r"tag[_-]", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BAD_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _TOKEN = re.compile(
@@ -45,8 +48,18 @@ _ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 SCALE, ADJACENT, KIN, ACROSS = 100, 1.0, 0.8, 0.2
 
 
+def _boilerplate(names: str, main: bool) -> bool:
+    """Whether one of the class and id tokens names boilerplate."""
+    return any(_BAD.search(_ABOUT.sub("", t)) for t in names.split() if not (main and _TOPIC.match(t)))
+
+
 class Node:
-    __slots__ = ("tag", "parent", "bad", "article", "good", "depth")
+    """An element; ``bad`` is the greater of what elements (``kind``) and names (``named``) around it say against it.
+
+    An article or main part inside a wrapper with such a name speaks for itself; one inside an aside does not.
+    """
+
+    __slots__ = ("tag", "parent", "kind", "named", "bad", "article", "good", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent = tag, parent
@@ -54,23 +67,27 @@ class Node:
         self.depth = up.depth + 1 if up else 0
         self.article = bool(up and up.article) or tag == "article"
         self.good = 1.5 if tag == "main" else up.good if up else 0.0
-        self.bad = up.bad if up else 0.0
+        self.kind = up.kind if up else 0.0
+        a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs else {}
+        role = a.get("role", "").lower()
+        main = tag in ("article", "main") or role in ("article", "main")
+        self.named = up.named if up and not main else 0.0
         if tag in BOILER or tag == "header" and not self.article:
-            self.bad = max(self.bad, 6.0)
-        if attrs:
-            a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)}
+            self.kind = max(self.kind, 6.0)
+        if a:
             names = f"{a.get('class', '')} {a.get('id', '')}"
             if names != " " and tag not in ("html", "body"):
-                if _BAD.search(names):
-                    self.bad = max(self.bad, 7.0)
+                if _boilerplate(names, main):
+                    self.named = 7.0
                 elif _GOOD.search(names):
                     self.good = max(self.good, 1.5)
-            if a.get("role", "").lower() in BAD_ROLES:
-                self.bad = max(self.bad, 6.0)
-            if a.get("role", "").lower() in ("main", "article"):
+            if role in BAD_ROLES:
+                self.kind = max(self.kind, 6.0)
+            if role in ("main", "article"):
                 self.good = max(self.good, 1.5)
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-                self.bad = 20.0
+                self.kind = 20.0
+        self.bad = max(self.kind, self.named)
 
 
 class Block:

@@ -47,3 +47,17 @@ def test_operator(spark):
     rows = htmltext.extract(df).collect()
     assert [(r.page_id, r.url, r.text, r.n_chars) for r in rows] == [(1, "u", WANT, len(WANT)), (2, None, "", 0), (3, "v", "", 0), (1, "u", WANT, len(WANT)), (None, "w", LONG, len(LONG))]
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_names_of_wrappers():
+    two = f"{LONG}\n\n{LONG}"
+    body = f"<p>{LONG}<p>{LONG}"
+    for page in (
+        f"<div class='content has-sidebar'>{body}</div>",
+        f"<div class='layout layout--with-sidebar no-comments'>{body}</div>",
+        f"<article class='post-12 post tag-news'>{body}</article>",
+        f"<div class='wrap sidebar-right'><article>{body}</article><div class=sidebar>{LONG}</div></div>",
+        f"<div id=widget-page><main>{body}</main></div>",
+        f"<article>{body}<section id=comments><article class=comment-body>{LONG}</article></section></article><aside><article>{LONG}</article></aside>",
+    ):
+        assert htmltext.main_text(page)[0] == two, page
