@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import drop_table, partitions, texts, write_table
 
-ROUNDS, TRIES, SEND_BYTES = 6, 32, 32 << 20
+ROUNDS, TRIES, WIDER, SEND_BYTES = 6, 8, 4, 32 << 20
 
 # Spellings of honorifics, by the gender they tell (f, m, or x for none).
 HONORIFICS = {
@@ -28,11 +29,13 @@ HONORIFICS = {
     "Dr": "x", "Prof": "x", "Professor": "x", "Doktor": "x", "Doctor": "x",
     "Господин": "m", "Госпожа": "f", "г-н": "m", "г-жа": "f",
 }
-# Letters by script, vowels first; what is in none of them stays as it is.
-ALPHABETS = [("aeiou", "bcdfghjklmnprstvwz"), ("аеиоу", "бвгдзклмнпрстх"), ("αεηιο", "βγδθκλμνπρστφχ")]
+# Letters by script, vowels first; other letters change within the part of Unicode that they come from.
+ALPHABETS = [("aeiou", "bcdfghjklmnpqrstvwxyz"), ("аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь"), ("αεηιουω", "βγδζθκλμνξπρστφχψ")]
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _ALNUM = _DIGITS + _UPPER
+_SIGNS = "!#$%&()*+-./:<=>?@[]^_`{|}~"
+_PARTS = [range(1, 10), range(10, 13), range(13, 29), range(29, 31), range(31, 32), range(32, 1900), range(1900, 2000), range(2000, 2100), range(2100, 10000), range(1)]
 _OCTETS = [list(range(10)), list(range(10, 100)), list(range(100, 256))]
 _NAME = r"[^\W\d_a-zßà-öø-ÿа-яё][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _FORMS = [
@@ -43,9 +46,19 @@ _FORMS = [
     ("ip", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])")),
     ("card", re.compile(r"(?<![\w.,-])[0-9]{4}(?:([ -]?)[0-9]{4}(?:\1[0-9]{4}\1[0-9]{1,7}|[0-9]{0,3}\1[0-9]{5}))(?![\w])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("birth", re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[: ]{1,3}(?P<v>[0-9]{1,4}([./-])[0-9]{1,2}\2[0-9]{1,4})(?![\w./-])")),
+    ("passport", re.compile(r"(?i)(?<!\w)(?:passport|reisepass|passeport|pasaporte)[ -]?(?:no|nr|number|nummer|num|n°)?\.?[:# ]{1,3}(?P<v>(?=[A-Z]*[0-9])[A-Z0-9]{6,9})(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w]|[.,][0-9])")),
+    # after a plus or a leading 0: groups of any length, or none
+    ("phone", re.compile(r"(?<![\w.+-])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,14}(?:[ .-][0-9]{2,9}){0,4}|\(?0[1-9][0-9]{1,4}\)?[ /-][0-9]{3,9}(?:[ -][0-9]{2,5}){0,3})(?![\w]|[.,/-][0-9])")),
+    ("address", re.compile(r"(?<![\w.,-])(?P<v>[1-9][0-9]{0,4}[A-Za-z]?(?: [A-Z][a-z]+){1,3})(?= (?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Court|Square|Terrace)(?!\w))")),
+    ("address", re.compile(r"(?<!\w)(?P<v>[A-ZÄÖÜ][a-zäöüß]{2,})(?=(?:straße|strasse|str\.|gasse|allee) [1-9][0-9]{0,3}(?![0-9]))")),
+    ("address", re.compile(r"(?<![\w.])[1-9][0-9]{0,3}(?: bis| ter)?,? (?:rue|boulevard|impasse|quai) (?:(?:de|du|des|la|le|les) |[dl]['’])*(?P<v>[^\W\d_a-zà-ÿ][^\W\d_]+(?:[ -][^\W\d_a-zà-ÿ][^\W\d_]+){0,2})")),
+    ("address", re.compile(r"(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza) (?:(?:de|del|la|las|los|el) )*(?P<v>[^\W\d_a-zà-ÿ][^\W\d_]+(?: [^\W\d_a-zà-ÿ][^\W\d_]+){0,2})(?=,? [1-9][0-9]{0,3}(?![0-9]))")),
 ]
 _TITLE = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, HONORIFICS), key=len, reverse=True))})\.?[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
+_INTRO = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es)[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}([-. ])(?:0[1-9]|1[0-2])\1(?:[0-2][0-9]|3[01])(?![0-9])")
 _MAYBE = re.compile(r"[0-9@]")
 _SECRET_WORDS = ("passw", "pwd", "secret", "token", "key")
 
@@ -72,7 +85,8 @@ def canonical(kind: str, raw: str) -> str:
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities, in order and without overlaps; earlier kinds win.
 
-    Names are found after an honorific; once found, their words count as the same person's throughout the text.
+    Names are found after an honorific or words such as "my name is", birth dates, passports and streets by the words
+    around them; once a name is found, its words count as the same person's throughout the text.
     """
     found: list[tuple[int, int, str, str]] = []
     low = None
@@ -83,7 +97,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if free:
         for kind, form in _FORMS:
             for m in form.finditer(text):
-                a, b = m.span(2) if kind == "secret" else m.span()
+                a, b = m.span(2) if kind == "secret" else m.span("v") if "v" in form.groupindex else m.span()
                 raw = text[a:b]
                 if kind == "ip" and any(int(x) > 255 for x in raw.split(".")):
                     continue
@@ -91,13 +105,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                     continue
                 if kind == "phone" and not 7 <= sum(c.isdigit() for c in raw) <= 15:
                     continue
+                if kind == "phone" and _DATE.match(raw):
+                    continue
                 if kind == "phone" and not (raw[0] in "+(" or sum(c.isdigit() for c in raw) >= 9):
                     continue
                 if not any(x < b and a < y for x, y, _, _ in found):
                     found.append((a, b, kind, canonical(kind, raw)))
     people: dict[str, str] = {}
-    for m in _TITLE.finditer(text):
-        gender, names = HONORIFICS[m[1]], re.split(r"[ \t]+", m[2])
+    named = [(HONORIFICS[m[1]], m[2]) for m in _TITLE.finditer(text)] + [("x", m[1]) for m in _INTRO.finditer(text)]
+    for gender, name in named:
+        names = re.split(r"[ \t]+", name)
         for i, n in enumerate(names):
             people.setdefault(n, "surname" if i == len(names) - 1 else f"given-{gender}")
     if people:
@@ -123,6 +140,30 @@ def _permute(symbols: list[int], radix: list[int], key: bytes) -> list[int]:
     return out
 
 
+@lru_cache(1 << 14)
+def _like(c: str) -> str | None:
+    """Characters like ``c``: signs of ASCII, or the letters, digits or symbols of its case near it in Unicode."""
+    if c in _SIGNS:
+        return _SIGNS
+    sort = unicodedata.category(c)
+    if sort[0] not in "LNSP":
+        return None
+    for width in (256, 4096, 65536):
+        first = ord(c) // width * width
+        near = "".join(x for x in map(chr, range(first, min(first + width, 0x110000))) if unicodedata.category(x) == sort and x not in "\"',;\\")
+        if len(near) >= 10:
+            break
+    return near if c in near else None
+
+
+def _base(c: str) -> str:
+    """The letter that carries an accent, if it is one of ``ALPHABETS``; else the character itself."""
+    if any(c in a for pair in ALPHABETS for a in pair):
+        return c
+    plain = unicodedata.normalize("NFD", c)[0]
+    return plain if any(plain in a for pair in ALPHABETS for a in pair) else c
+
+
 def _classes(kind: str, value: str) -> list[str | None]:
     """For each character of a canonical value the alphabet that it may change within; None: it stays."""
     if kind == "phone":  # the country code stays; so does whether the number begins with 0
@@ -138,27 +179,62 @@ def _classes(kind: str, value: str) -> list[str | None]:
         return [None] * 4 + [_DIGITS if c.isdigit() else _UPPER for c in value[4:]]
     if kind == "secret":
         hexed = re.fullmatch("[0-9a-f]+", value) is not None
-        return [_HEX if hexed else next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), None) for c in value]
+        return [_HEX if hexed else next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), None) or _like(c) for c in value]
+    if kind == "passport":
+        return [_DIGITS if c.isdigit() else _UPPER if c in _UPPER else _LOWER for c in value]
     if kind == "email":
         top = value.rfind(".")
         return [None if i >= top else next((a for a in (_DIGITS, _LOWER) if c in a), None) for i, c in enumerate(value)]
     out: list[str | None] = []
-    for c in value:  # names: vowels stay vowels of their script
-        plain = unicodedata.normalize("NFD", c)[0]
-        out.append(next((a for pair in ALPHABETS for a in pair if plain in a), None))
-    if kind.startswith("given") and len(out) > 2:
+    for i, c in enumerate(value):  # names and streets: vowels stay vowels of their script
+        if c in _DIGITS:
+            out.append(_DIGITS[1:] if c != "0" else _DIGITS)
+        elif kind == "address" and (low := _base(c.lower())) != _base(c) and any(low in a for pair in ALPHABETS for a in pair):
+            out.append(next(a for pair in ALPHABETS for a in pair if low in a).upper())
+        else:
+            plain = _base(c)
+            out.append(next((a for pair in ALPHABETS for a in pair if plain in a), None) or (None if c in " -'’" else _like(c)))
+    if kind.startswith("given") and len(out) > 2 and any(_base(value[-1]) in a for pair in ALPHABETS for a in pair):
         out[-1] = None  # the ending tells the gender
     return out
 
 
+def _wider(kind: str, value: str, more: int) -> str:
+    """The value with ``more`` symbols of its kind, for shapes that have no surrogate left to give."""
+    last = value[-1:].lower()
+    vowel = next((pair[0][0] for pair in ALPHABETS if _base(last) in pair[0] + pair[1]), last)
+    fill = {"secret": "0", "email": "a", "aws": "A"}.get(kind) or ("0" if last.isdigit() else vowel)
+    if kind == "email":
+        local, domain = value.rsplit("@", 1)
+        return f"{local}{fill * more}@{domain}"
+    return value[:-1] + fill * more + value[-1:]
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of a canonical value under a key; ``attempt`` chooses another permutation."""
-    if kind == "ip":
-        octets = [int(x) for x in value.split(".")]
-        own = [next(o for o in _OCTETS if x in o) for x in octets]
-        k = hashlib.blake2b(f"{kind}/{attempt}/{[len(o) for o in own]}".encode(), key=key).digest()
-        moved = _permute([o.index(x) for o, x in zip(own, octets, strict=True)], [len(o) for o in own], k)
-        return ".".join(str(o[i]) for o, i in zip(own, moved, strict=True))
+    """The replacement of a canonical value under a key; ``attempt`` chooses another permutation.
+
+    From ``TRIES`` on the value is made longer first, by one symbol more after every ``WIDER`` attempts (an IP address
+    may leave its octets' widths, then becomes one of version 6), so that no shape ever runs out of surrogates.
+    """
+    more = (attempt - TRIES) // WIDER + 1 if attempt >= TRIES else 0
+    if kind in ("ip", "birth"):
+        digits = re.findall("[0-9]+", value)
+        if kind == "ip" and more > 1:
+            wide = hashlib.blake2b(f"{value}/{attempt}".encode(), key=key, digest_size=15).hexdigest()
+            return "fd" + ":".join([wide[:2], *(wide[i : i + 4] for i in range(2, 30, 4))])
+        number = [int(x) for x in digits]
+        sets = [range(256)] if kind == "ip" and more else _OCTETS if kind == "ip" else _PARTS
+        own = [next(o for o in sets if x in o) for x in number]
+        if kind == "birth" and more:  # any year of the same length, later any day
+            own = [range(10 ** (len(d) - 1), 10 ** len(d)) if len(d) > 2 or more > 1 and x > 0 else o for d, o, x in zip(digits, own, number, strict=True)]
+            own = [o if x in o else range(0, 10 ** len(d)) for d, o, x in zip(digits, own, number, strict=True)]
+        k = hashlib.blake2b(f"{kind}/{attempt}/{[(o[0], o[-1]) for o in own]}/{re.sub('[0-9]+', '0', value)}".encode(), key=key).digest()
+        moved = _permute([o.index(x) for o, x in zip(own, number, strict=True)], [len(o) for o in own], k)
+        new = iter(str(o[i]).zfill(len(d) if d[0] == "0" else 0) for o, i, d in zip(own, moved, digits, strict=True))
+        text = re.sub("[0-9]+", lambda m: next(new), value)
+        return text + "9" * (more - 2) if kind == "birth" and more > 2 else text
+    if more:
+        value = _wider(kind, value, more)
     if kind == "email" and "@" in value:  # mentions of one domain keep a domain in common
         local, domain = value.rsplit("@", 1)
         return _shuffle("email", local + ".", key, attempt)[:-1] + "@" + _shuffle("email", domain, key, 0)
@@ -167,7 +243,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
 
 def _shuffle(kind: str, value: str, key: bytes, attempt: int) -> str:
     classes = _classes(kind, value)
-    chars = [unicodedata.normalize("NFD", c)[0] if kind == "surname" or kind.startswith("given") else c for c in value]
+    names = kind == "surname" or kind == "address" or kind.startswith("given")
+    chars = [_base(c) if names and (a is None or c not in a) else c for c, a in zip(value, classes, strict=True)]
+    chars = [c.upper() if a is not None and c not in a and c.upper() in a else c for c, a in zip(chars, classes, strict=True)]
     at = [i for i, a in enumerate(classes) if a is not None and chars[i] in a]
     shape = "".join("|" + (classes[i] or "") if i in set(at) else "=" + c for i, c in enumerate(chars))
     k = hashlib.blake2b(f"{kind}/{attempt}/{shape}".encode(), key=key).digest()
@@ -230,8 +308,8 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def assign(distinct: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt, surrogate) for distinct entities, with no surrogate that another has or that is real.
 
-    Rounds of joins over the entities: whoever's surrogate is a real value of its kind, or that of a smaller value
-    too, tries the next permutation. A shape with too few values to avoid both keeps its last try after ``TRIES``.
+    Rounds of joins over the entities: whoever's surrogate is a real value of its kind (its own included), or that of
+    a smaller value too, tries the next permutation; after ``TRIES`` of them longer ones, so that the rounds end.
     """
 
     def run(batches):
@@ -241,7 +319,7 @@ def assign(distinct: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
     now = write_table(distinct.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(run, "kind string, value string, attempt int, surrogate string"), "surrogates")
-    for _ in range(TRIES):
+    while True:
         real = now.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("real")).distinct()
         first = now.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         judged = now.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")

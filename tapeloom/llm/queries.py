@@ -38,8 +38,13 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of the surrogates: ``spark.tapeloom.pii.key``, a secret of whoever runs the job. The default is for tests only."""
+    return spark.conf.get("spark.tapeloom.pii.key", "not a secret: for tests")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_docs(spark, sf_dir), key="tapeloom").select("doc_id", "text", "n_entities")
+    return pii.pseudonymise(_docs(spark, sf_dir), key=pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
