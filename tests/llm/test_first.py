@@ -4,7 +4,7 @@ import hashlib
 import os
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -98,23 +98,66 @@ def test_simhash(spark, most):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_anchor_covering_finds_every_close_pair(spark):
+@pytest.mark.parametrize("n,threshold", [(300, 4), (10**9, 4), (10**10, 4), (300, 11), (300_000, 11), (10**7, 11)])
+def test_anchor_covering_finds_every_close_pair(spark, n, threshold):
+    blocks = simhash.plan(n, threshold)
+    assert sum(b.size for b in blocks) == 64 and sum(b.threshold + 1 for b in blocks) == threshold + 1 and any(b.code for b in blocks)
     rng = random.Random(3)
-    fps = [rng.getrandbits(64) for _ in range(300)]
-    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for f in fps]
-    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
+    fps = [rng.getrandbits(64) for _ in range(120)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, threshold + 2))) for f in fps]
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f, 0) for i, f in enumerate(fps)], "node long, fp long, more long")
     cells = defaultdict(lambda: ([], []))
-    for r in simhash._cells(df).collect():
+    for r in simhash._cells(df, blocks).collect():
         cells[r.cell][1].append(r.node)
         if r.home:
             cells[r.cell][0].append(r.node)
     met = {frozenset((a, b)) for h, v in cells.values() for a in h for b in v if a != b}
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if (fps[i] ^ fps[j]).bit_count() <= threshold:
                 assert frozenset((i, j)) in met
 
 
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_one_of_each(spark):
+    """Near copies go, their components judged against brute force; texts that share an id are judged by themselves."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    base = [[rng.choice(words) for _ in range(200)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base[:30]):  # one or two words changed: a similarity of 0.9 or more
+        near = list(w)
+        near[rng.randrange(10, 190)] = "other"
+        if i % 2:
+            near[100] = "more"
+        rows.append((100 + i, " ".join(near)))
+    rows += [(3, rows[4][1]), (5, " ".join(base[39][::-1])), (None, rows[6][1]), (None, "alone here"), (7, rows[7][1]), (7, rows[7][1]), (60, None), (61, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, k, "c") for k, (i, t) in enumerate(rows)], "doc_id long, text string, component long, kept string")
+    out = simhash.one_of_each(df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    fps = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
+    far = lambda i, j: [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)]
+    comp = closure(len(rows), lambda i, j: far(i, j)[0] <= 11 and sum(far(i, j)) <= 21)
+    want = {}
+    for k, c in enumerate(comp):
+        i, t = rows[k]
+        here = (i is None, i or 0)
+        if c not in want or here < want[c][0]:
+            want[c] = (here, {t})
+        elif here == want[c][0]:
+            want[c][1].add(t)
+    assert sum(got.values()) == len(want) and sorted(x[0][1] for x in want.values()) == sorted(i or 0 for i, _ in got)
+    assert all(any(t in w[1] for w in want.values()) for _, t in got)
+    left = [shingles(t) for _, t in got]
+    assert sum(len(a & b) >= 0.9 * len(a | b) for n, a in enumerate(left) for b in left[:n]) <= 2  # of 30 near copies
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def brute_lines(texts, min_docs):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
     docs = defaultdict(set)
