@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm import linededup, packing, pii, simhash, toxicity
 from tapeloom.llm.common import write_table
-
-PII_KEY = "tapeloom"
+from tapeloom.llm.queries import pii_key
 
 
 def _tokenizer() -> str:
@@ -39,17 +38,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: the one with the smallest id; of rows that repeat an id, one."""
-    groups = simhash.near_duplicates(docs)
-    kept = write_table(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")), "kept")
-    ids = kept.distinct()
-    out = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.count() != ids.count() else out
+    """Keep one document of each group of near copies (5-word shingles, a similarity of about 0.8 or more)."""
+    return simhash.one_of_each(docs)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data and secrets by keyed surrogates; every document stays."""
-    return _counted(pii.pseudonymise(docs, PII_KEY), docs.columns)
+    return _counted(pii.pseudonymise(docs, pii_key(spark)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
