@@ -12,13 +12,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import texts, write_table
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 20_000, 2048, 15, 64
-LEAST_CHI2, LIFT, STEMS, CACHED, CALIBRATED = 50.0, 3.0, (4, 5, 6), 400_000, 4096
+SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
+ERROR, RATIO, STEMS, CACHED, CALIBRATED = 1e-4, 4.0, (4, 5, 6), 400_000, 4096
 # letters of ASCII are lower-cased, its other signs but digits separate words; bytes of other scripts are kept
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -32,17 +32,32 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STEMS if len(word) >= n)]
 
 
-def select_terms(counts: DataFrame, toxic: int, clean: int, limit: int) -> list:
-    """The terms that depart most from the labels' proportion, by chi-square.
+def quantile(p: float) -> float:
+    """The chi-square (one degree of freedom) that chance exceeds with probability ``p``."""
+    low, high = 0.0, 2000.0
+    for _ in range(60):
+        x = (low + high) / 2
+        low, high = (x, high) if math.erfc(math.sqrt(x / 2)) > p else (low, x)
+    return high
 
-    Only terms whose share of label 1 is at least ``LIFT`` times that of all texts, or at most that part of it: words
-    that nearly every text has would make lists long and neighbours meaningless.
+
+def select_terms(counts: DataFrame, toxic: int, clean: int) -> list:
+    """The terms that tell the labels apart: all that pass two tests, whatever the labels' share and the sample's size.
+
+    A term's rates among the two labels differ by the factor ``RATIO`` or more (words that nearly every text has would
+    make lists long and neighbours meaningless), and chance would bring its chi-square with a probability of ``ERROR``
+    over all terms together.
     """
     n, share = toxic + clean, toxic / (toxic + clean)
     df = F.col("t") + F.col("c")
     gap = F.col("t") - df * share
     chi2 = gap * gap / (df * share * (1 - share)) * n / (n - df + 1)
-    return counts.withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & ((F.col("t") >= df * share * LIFT) | (F.col("t") <= df * share / LIFT))).orderBy(F.desc("chi2"), "term").limit(limit).collect()
+    rates = (F.col("t") + 0.5) / (toxic + 1) / ((F.col("c") + 0.5) / (clean + 1))
+    seen = Observation()
+    near = counts.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("chi2", chi2)
+    near = near.filter((F.col("chi2") >= quantile(ERROR)) & ((rates >= RATIO) | (rates <= 1 / RATIO))).collect()
+    least = quantile(ERROR / max(1, seen.get["n"]))
+    return sorted((r for r in near if r["chi2"] >= least), key=lambda r: (-r["chi2"], bytes(r["term"])))
 
 
 class Index:
@@ -108,7 +123,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Model:
-    """What scoring needs; bounded by the sample size, the number of terms and their lengths."""
+    """What scoring needs; bounded by the sample's rows and terms."""
 
     def __init__(self, terms: dict[bytes, int], idf: list[float], base: float):
         self.terms, self.idf, self.base = terms, idf, base
@@ -145,17 +160,17 @@ class Counts(dict):
         return Counter(n for w in words_of(text) for n in self[w])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows whose crc32(id as text) mod 5 isn't 0 (the smallest by a hash of the id).
 
-    Rows with a null id or label don't count; an id with several labels has the largest. With labels of one kind or
-    none at all, the model gives their rate (0.5 without any) to every text.
+    Rows with a null id or a label that is neither 0 nor 1 don't count; an id with several labels has the largest, one
+    with several texts the least of them. With labels of one kind or none at all, the model gives their rate (0.5 without any) to every text.
     """
-    lab = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).filter("id is not null and y is not null")
+    lab = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     lab = lab.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
     lab = lab.orderBy(F.xxhash64("id"), "id").limit(sample)
     text = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = write_table(text.join(F.broadcast(lab), "id").dropDuplicates(["id"]), "labelled")  # the broadcast side has ``sample`` rows at most
+    rows = write_table(text.join(F.broadcast(lab), "id").groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")  # the broadcast side has ``sample`` rows at most
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -171,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([seen[1][x] for x in every], pa.int64()), pa.array([seen[0][x] for x in every], pa.int64())], names=["term", "t", "c"])
 
     counts = rows.mapInArrow(count, "term binary, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    chosen = select_terms(counts, toxic, clean, terms)
+    chosen = select_terms(counts, toxic, clean)
     known = {bytes(r["term"]): i for i, r in enumerate(chosen)}
     model = Model(known, [math.log((1 + toxic + clean) / (1 + r["t"] + r["c"])) + 1 for r in chosen], toxic / (toxic + clean))
 

@@ -61,3 +61,16 @@ def test_operator(spark):
 def test_terms():
     assert toxicity.words_of("Ab,c! É".encode()) == [b"ab", b"c", "É".encode()]
     assert toxicity.Counts({b"idio*": 0, b"x": 1}).of(b"idiotic idio X id") == Counter({0: 2, 1: 1})
+
+
+def test_odd_labels_and_repeated_ids(spark):
+    """Labels other than 0 and 1 don't count, half the labels may be toxic, and of texts that share an id the least is learned."""
+    bad, good = ["you idiot there", "what an idiot"], ["a fine day", "the sun is out"]
+    docs = spark.createDataFrame([(i, (bad if i % 2 else good)[i % 4 // 2]) for i in range(1, 401)] + [(2, "zzz idiot")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 401)] + [(3, 7), (4, -1), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in rows if r.doc_id != 2)
+
+
+def test_quantile():
+    assert abs(toxicity.quantile(0.05) - 3.8415) < 1e-3 and abs(toxicity.quantile(1e-6) - 23.928) < 1e-2
