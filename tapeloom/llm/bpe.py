@@ -1,24 +1,25 @@
 """Byte-level BPE: a minimal acyclic transducer encodes frequent words, exact merges encode the rest; and decoding.
 
-A text is cut before each space that follows a character that isn't white space. No pre-token crosses such a cut,
-so each chunk (with its space) encodes alike wherever it stands. The transducer's words are the corpus's most
-frequent chunks; along a path its arcs' outputs add up to the word's number, which finds its ids.
+Texts are cut, a slice of many texts at once, where a pre-token must end whatever stands around it: before a space
+that follows no white space, and between ASCII letters, digits and signs. Each chunk then encodes alike wherever it
+stands, so a slice's distinct chunks are encoded once. The transducer's words are the corpus's most frequent chunks;
+along a path its arcs' outputs add up to the word's number, which finds its ids.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -29,6 +30,35 @@ from tapeloom.llm.common import drop_table, texts, write_table
 # Fixed value: the pre-token pattern of the byte-level BPE format.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORDS, CACHED, NONE = 1 << 15, 500_000, 1 << 60
+# One pre-token for sure: an optional space, then letters (of ASCII or the two-byte ones below), digits or signs alone.
+_ONE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5\xd0\xd1][\x80-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)")
+_OTHER, _SPACE, _BLANK, _LETTER, _DIGIT, _SIGN, _APOSTROPHE = range(7)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    for i in range(128):
+        c = chr(i)
+        kinds[i] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN if 32 < i < 127 else _BLANK if c in "\t\n\x0b\x0c\r" else _OTHER
+    kinds[ord(" ")], kinds[ord("'")] = _SPACE, _APOSTROPHE
+    return kinds
+
+
+def _ends() -> np.ndarray:
+    """Whether a pre-token always ends between two bytes of these kinds; an apostrophe may begin a contraction."""
+    plain = (_LETTER, _DIGIT, _SIGN, _APOSTROPHE)
+    ends = np.zeros((8, 8), bool)
+    for a in plain:
+        for b in (_SPACE, _BLANK, *plain):
+            same = a == b or {a, b} == {_SIGN, _APOSTROPHE}
+            ends[a, b] = not same and not (a == _APOSTROPHE and b == _LETTER)
+    return ends.ravel()
+
+
+_KINDS, _ENDS = _kinds(), _ends()
+_LEADS = np.isin(np.arange(256), [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])  # first bytes of two-byte characters that are letters
+# The last bytes of the white space of other scripts, in UTF-8.
+_WIDE = np.array([0xC285, 0xC2A0, 0x9A80, *range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F, 0xA08E], np.uint16)
 _WORKER: dict = {}  # the encoder that this worker process made last, by lexicon, so that its cache outlives a task
 
 
@@ -90,11 +120,11 @@ def _merge_long(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def merge_many(words: list[bytes], first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> list[bytes]:
+def merge_many(words: list[bytes], first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge many short words at once: each round applies in every word its leftmost pair of lowest rank.
 
     ``keys`` are the pairs in order, ``values`` their rank and merged id. Only pairs beside a merge are looked up
-    again. Gives each word's ids as little-endian unsigned 32-bit integers.
+    again. Gives all ids, word by word, and how many each word has.
     """
     size = np.array([len(w) for w in words], np.int64)
     ids = first[np.frombuffer(b"".join(words), np.uint8)]
@@ -135,9 +165,7 @@ def merge_many(words: list[bytes], first: np.ndarray, keys: np.ndarray, values:
     ids = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
     word = np.concatenate(done_word) if done_word else np.zeros(0, np.int64)
     order = np.argsort(word, kind="stable")
-    flat = ids[order].astype("<u4").tobytes()
-    cut = (np.searchsorted(word[order], np.arange(len(words) + 1)) * 4).tolist()
-    return [flat[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+    return ids[order].astype("<u4"), np.bincount(word, minlength=len(words))
 
 
 def encode_chunk(chunk: str, tables: dict) -> bytes:
@@ -238,94 +266,115 @@ def memory_map(path: str) -> dict[str, np.ndarray]:
     return {k: np.memmap(path, dtype, "r", at, (n,)) if n else np.zeros(0, dtype) for k, (at, n, dtype) in head.items()}
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a pre-token must end, as places after the first byte: see ``_ends``; before a space also after other scripts."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(_LEADS[data[:-1]])
+    lead = lead[(data[lead] != 0xC3) | (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of multiplication and division
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    ends = _ENDS[kinds[:-1] << 3 | kinds[1:]]
+    wide = np.flatnonzero((data[:-1] >= 128) & (kinds[:-1] == _OTHER) & (kinds[1:] == _SPACE))
+    last = data[wide].astype(np.uint16) | data[wide - 1].astype(np.uint16) << 8  # never at 0: a character of 128 or more has two bytes
+    ends[wide] = ~np.isin(last, _WIDE)
+    return np.flatnonzero(ends) + 1
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs [start, start + size) of ``flat``, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def split(raw: list[bytes], marks: re.Pattern | None = None) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Cut texts, laid end to end, into chunks: where each begins, and the chunks. ``marks`` are chunks of their own."""
+    data, ends = b"".join(raw), np.cumsum([0, *map(len, raw)])
+    own = [(base + m.start(), base + m.end()) for base, t in zip(ends.tolist(), raw, strict=False) for m in marks.finditer(t)] if marks else []
+    first = np.zeros(len(data) + 1, bool)
+    first[cuts(np.frombuffer(data, np.uint8))] = True
+    for a, b in own:
+        first[a:b] = False
+    first[ends] = first[np.array(own, np.int64).ravel()] = True
+    starts = np.flatnonzero(first[:-1])
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
+
 class Encoder:
     """Encodes texts in one worker: a bounded cache in front of the memory-mapped lexicon and the exact merges."""
 
     def __init__(self, tables: dict, lexicon: dict[str, np.ndarray]):
-        self.tables, self.lexicon, self.cache = tables, lexicon, {}
+        self.tables, self.lexicon = tables, lexicon
         keys = np.array(list(tables["merges"]), np.int64)
         order = np.argsort(keys)
         self.arrays = np.array(tables["first"], np.int64), keys[order], np.array(list(tables["merges"].values()), np.int64)[order]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(tables["added"], key=len, reverse=True)))) if tables["added"] else None
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode chunks (given without their space) that the cache lacks. None marks one after which no cut is safe."""
-        raw = [b" " + p.encode() for p in pieces]
-        number = numbers(self.lexicon, raw)
-        start, ids = self.lexicon["start"].tolist() if number.max(initial=-1) >= 0 else [], self.lexicon["ids"].tobytes()
-        cache, alone, split = self.cache, [], []
-        for i, (p, n) in enumerate(zip(pieces, number.tolist(), strict=True)):
-            if n >= 0:
-                cache[p] = ids[start[n] : start[n + 1]]
-            elif p.isalpha():
-                alone.append(i)  # one pre-token
-            elif not p or p[-1].isspace():
-                cache[p] = None
-            else:
-                split.append(i)
-        parts = [PATTERN.findall(" " + pieces[i]) for i in split]
+        special = {c.encode(): i for c, i in tables["added"].items()}
+        self.marks = re.compile(b"|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        # the cache: chunks, special tokens first, and the runs of ``flat`` that are their ids
+        self.known, self.flat, self.start = pa.array(list(special), pa.binary()), np.array(list(special.values()), "<u4"), np.arange(len(special) + 1)
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by exact merges, and their numbers; long ones by a heap, one at a time."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        short, long = np.flatnonzero(sizes <= 96), np.flatnonzero(sizes > 96)
+        flat, count = merge_many([words[i] for i in short.tolist()], *self.arrays)
+        if not len(long):
+            return flat, count
+        by_heap = [np.array(merge([self.tables["first"][b] for b in words[i]], self.tables["merges"]), "<u4") for i in long.tolist()]
+        flat, count = np.concatenate([flat, *by_heap]), np.concatenate([count, [len(x) for x in by_heap]])
+        back = np.argsort(np.concatenate([short, long]))
+        return gather(flat, (np.cumsum(count) - count)[back], count[back]), count[back]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks and their numbers: by the lexicon, by merges, or by the merges of their pre-tokens."""
+        number = numbers(self.lexicon, words)
+        found, rest = np.flatnonzero(number >= 0), np.flatnonzero(number < 0).tolist()
+        whole = [_ONE.fullmatch(words[i]) is not None for i in rest]
+        one, split = [i for i, w in zip(rest, whole, strict=True) if w], [i for i, w in zip(rest, whole, strict=True) if not w]
+        parts = [[t.encode() for t in PATTERN.findall(words[i].decode())] for i in split]
         tokens = list({t for own in parts for t in own})
-        for i, out in zip(alone, self._merged([raw[i] for i in alone]), strict=True):
-            cache[pieces[i]] = out
-        known = dict(zip(tokens, self._merged([t.encode() for t in tokens]), strict=True))
-        for i, own in zip(split, parts, strict=True):
-            cache[pieces[i]] = b"".join([known[t] for t in own])
-
-    def _merged(self, words: list[bytes]) -> list[bytes]:
-        short = [i for i, w in enumerate(words) if len(w) <= 96]
-        out: list[bytes] = [b""] * len(words)
-        for i, ids in zip(short, merge_many([words[i] for i in short], *self.arrays), strict=True):
-            out[i] = ids
-        for i, w in enumerate(words):
-            if len(w) > 96:
-                out[i] = np.array(merge([self.tables["first"][b] for b in w], self.tables["merges"]), "<u4").tobytes()
-        return out
-
-    def _plain(self, pieces: list[str]) -> bytes:
-        head = encode_chunk(pieces[0], self.tables)
-        if not pieces[0] or not pieces[0][-1].isspace():
-            try:
-                return head + b"".join([self.cache[p] for p in pieces[1:]])
-            except TypeError:
-                pass
-        out, held = [], pieces[0]  # held: what no cut may end yet
-        for p in pieces[1:]:
-            if held and held[-1].isspace():
-                held += " " + p
-            else:
-                out.append(encode_chunk(held, self.tables) if held else b"")
-                held = ""
-                if (known := self.cache[p]) is not None:
-                    out.append(known)
-                else:
-                    held = " " + p
-        out.append(encode_chunk(held, self.tables))
-        return b"".join(out)
+        at = {t: len(one) + k for k, t in enumerate(tokens)}
+        flat, count = self._merged([words[i] for i in one] + tokens)
+        start = np.cumsum(count) - count
+        of = np.array([at[t] for own in parts for t in own], np.int64)
+        many = np.array([len(own) for own in parts], np.int64)
+        joined = gather(flat, start[of], count[of])
+        size = np.add.reduceat(np.append(count[of], 0), np.cumsum(many) - many) if len(parts) else np.zeros(0, np.int64)
+        first = self.lexicon["start"][number[found]] if len(found) else np.zeros(0, np.int64)
+        length = self.lexicon["start"][number[found] + 1] - first if len(found) else first
+        own = gather(self.lexicon["ids"].view("<u4"), first // 4, length // 4) if len(found) else np.zeros(0, "<u4")
+        ones = int(count[: len(one)].sum())
+        every, sizes = np.concatenate([own, flat[:ones], joined]), np.concatenate([length // 4, count[: len(one)], size])
+        back = np.argsort(np.concatenate([found, np.array(one, np.int64), np.array(split, np.int64)]), kind="stable")
+        return gather(every, (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
+
+    def _find(self, distinct: pa.Array) -> np.ndarray:
+        """The cache's numbers of distinct chunks, after learning those that it lacks."""
+        at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        if len(self.known) + len(missing) > CACHED:
+            keep = np.union1d(np.arange(len(self.tables["added"])), at[at >= 0])
+            size = np.diff(self.start)[keep]
+            self.known, self.flat, self.start = self.known.take(pa.array(keep)), gather(self.flat, self.start[keep], size), np.concatenate([[0], np.cumsum(size)])
+            at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy(zero_copy_only=False)
+        new = distinct.take(pa.array(missing))
+        flat, size = self._learn(new.to_pylist())
+        at = at.copy()
+        at[missing] = len(self.known) + np.arange(len(missing))
+        self.known = pa.concat_arrays([self.known, new])
+        self.flat, self.start = np.concatenate([self.flat, flat]), np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+        return at
 
     def encode(self, raw: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in raw:
-            t = t.decode()
-            if self.special is None or not self.special.search(t):
-                split.append([t.split(" ")])
-            else:
-                parts = self.special.split(t)
-                marks = self.special.findall(t)
-                split.append([x for p, m in zip(parts, [*marks, None], strict=True) for x in (p.split(" "), m) if x is not None])
-        new = set()
-        for parts in split:
-            for p in parts:
-                if isinstance(p, list):
-                    new.update(p[1:])
-        missing = [p for p in new if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHED:
-            self.cache = {p: self.cache[p] for p in new if p in self.cache}
-        gc.disable()  # nothing here makes cycles, and collections would scan all the strings again and again
-        self._learn(missing)
-        gc.enable()
-        for parts in split:
-            yield b"".join(self._plain(p) if isinstance(p, list) else np.array([self.tables["added"][p]], "<u4").tobytes() for p in parts)
+        starts, chunks = split(raw, self.marks)
+        number = self._find(chunks.dictionary)[chunks.indices.to_numpy()]
+        size = np.diff(self.start)[number]
+        total = np.append(0, np.cumsum(size))
+        edges = total[np.searchsorted(starts, np.cumsum([0, *map(len, raw)]))].tolist()
+        ids = memoryview(gather(self.flat, self.start[number], size).tobytes())
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield bytes(ids[4 * a : 4 * b])
 
 
 def decode(ids: bytes, token: list[bytes]) -> str:
@@ -333,36 +382,38 @@ def decode(ids: bytes, token: list[bytes]) -> str:
     return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-def frequent_chunks(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[str]:
+def frequent_chunks(docs: DataFrame, text_col: str = "text", words: int = WORDS) -> list[bytes]:
     """The most frequent chunks over all texts, ``words`` at most: counts are summed per task, then shuffled.
 
     Words are taken by whole levels of frequency, so the driver gets a short histogram and the chosen words only.
     """
 
     def run(batches):
-        seen: Counter = Counter()
+        held, n = [], 0
         for _, raw in texts(batches, "_text"):
-            for t in raw:
-                seen.update(t.split(b" ")[1:])
-            if len(seen) > CACHED:
-                yield out(seen)
-                seen = Counter()
-        if seen:
-            yield out(seen)
-
-    def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in seen]), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    counts = docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+            chunks = split(raw)[1]
+            held.append(pa.table({"w": chunks.dictionary, "n": np.bincount(chunks.indices.to_numpy(), minlength=len(chunks.dictionary))}))
+            n += held[-1].num_rows
+            if n > CACHED:
+                held, n = [total(held)], 0
+                if held[0].num_rows > CACHED:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from total(held).to_batches()
+
+    def total(held):
+        return pa.concat_tables(held).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
+    counts = docs.select(docs[text_col].cast("string").alias("_text")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counts = write_table(counts.filter("n > 1").withColumn("level", F.floor(F.log2("n") * 16)), "chunks")
     least, taken = None, 0
     for r in counts.groupBy("level").agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect():  # 16 levels per power of two
         if taken + r.k > words:
             break
         least, taken = r.level, taken + r.k
-    found = [r.w for r in counts.filter(F.col("level") >= least).select("w").collect()] if taken else []
+    found = [bytes(r.w) for r in counts.filter(F.col("level") >= least).select("w").collect()] if taken else []
     drop_table(counts)
-    return sorted(w for w in found if w and not w[-1].isspace())
+    return sorted(found)
 
 
 def encoder_for(docs: DataFrame, tokenizer: str, text_col: str = "text", words: int = WORDS):
@@ -374,7 +425,7 @@ def encoder_for(docs: DataFrame, tokenizer: str, text_col: str = "text", words:
     spark = docs.sparkSession
     tables = load(tokenizer)
     chunks = frequent_chunks(docs, text_col, words) if words else []
-    lexicon = compile_words([b" " + c.encode() for c in chunks], [encode_chunk(" " + c, tables) for c in chunks])
+    lexicon = compile_words(chunks, [encode_chunk(c.decode(), tables) for c in chunks])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
     _save(lexicon, path)
