@@ -31,7 +31,8 @@ def op4_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeats(_docs(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may fall inside a character
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), text.alias("text"))
 
 
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import by_group, texts, write_table
+from tapeloom.llm.common import FEW, by_group, salted_semi_join, texts, write_table
 
 LENGTH, GRAM, SHALLOW, HOT, CHUNK = 400, 80, 16, 16_384, 1 << 20
 NO_ID = -(1 << 63)  # stands for a null id
@@ -182,7 +182,7 @@ def _cover(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that repeated strings cover.
 
     A string of ``length`` bytes counts as repeated if it starts anywhere else, in any text; matches never cross
@@ -210,10 +210,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     grams = write_table(base.filter(F.octet_length(text_col) >= length).select("rid", "x", text_col).mapInArrow(choose, "rid long, x long, h long, pos long, first long, last long"), "grams")
     place = F.xxhash64("x", "pos")
-    again = grams.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("h")
-    again = write_table(again, "repeated")
+    again = grams.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a <> b")
+    again = write_table(again.select("h", "n"), "repeated")
     # a gram chosen on both sides of a chunk's border comes twice, with adjoining windows
-    found = grams.join(again.hint("merge"), "h", "left_semi").groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
+    found = salted_semi_join(grams, again, ["h"], ["rid", "pos"], few).groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
     found = write_table(found, "found")
     many = write_table(found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("hot")), "hot")
     any_hot = not many.isEmpty()
@@ -301,7 +301,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = spans.unionByName(back)
     per_text = spans.groupBy("rid", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     keys = base.select("rid", "x", "y")
-    copied = keys.join(write_table(keys.groupBy("x", "y").count().filter("count > 1").select("x", "y"), "copies").hint("merge"), ["x", "y"], "left_semi")
+    copies = write_table(keys.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1"), "copies")
+    copied = salted_semi_join(keys, copies, ["x", "y"], ["rid"], few)
     copied = copied.select("rid", "x").distinct().withColumn("copied", F.lit(True))
     whole = body.join(per_text.hint("merge"), ["rid", "x"], "left").join(copied.hint("merge"), ["rid", "x"], "left").select("rid", "x", text_col, "spans", "copied")
 

@@ -69,11 +69,11 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 1000), (3, 3), (4, 0), (5, 0)])
-def test_remove_repeats(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,few", [(1, 1000, 4096), (3, 3, 2), (4, 0, 1), (5, 0, 4096), (6, 1000, 1)])
+def test_remove_repeats(spark, seed, hot, few):
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, x long")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, length=40, gram=12, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.remove_repeats(df, length=40, gram=12, hot=hot, few=few).collect()}
     want = brute(texts, 40)
     assert sum(w[1] > 0 for w in want) > 20
     for i, w in enumerate(want):
