@@ -71,29 +71,29 @@ def words(c: Column) -> Column:
 
 
 def hash64(c: Column) -> Column:
-    """A hash that other engines can compute, too: the first 15 hexadecimal digits of MD5, as a long."""
-    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 15), 16, 10).cast("long")
+    """A hash that other engines can compute, too: the first 16 hexadecimal digits of MD5, as a signed long."""
+    return F.conv(F.substring(F.md5(c.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
 def simhash(tokens: Column, hashed=hash64) -> Column:
-    """60-bit SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0.
+    """64-bit SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0.
 
-    The set bits are counted three at a time, in fields of 20 bits of a long, so a token costs 20 additions.
+    The set bits are counted three at a time, in fields of 22 bits of a long, so a token costs 22 additions.
     """
-    fields = F.lit(1 | 1 << 20 | 1 << 40).cast("long")
-    low = F.lit((1 << 20) - 1).cast("long")
+    fields = F.lit(1 | 1 << 22 | 1 << 44).cast("long")
+    low = F.lit((1 << 22) - 1).cast("long")
 
     def fold(hashes: Column) -> Column:
         counts = F.transform(
-            F.sequence(F.lit(0), F.lit(19)),
+            F.sequence(F.lit(0), F.lit(21)),
             lambda k: F.struct(k.alias("k"), F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(fields)).alias("n")),
         )
 
         def bit(x: Column, f: int) -> Column:
-            more = F.shiftrightunsigned(x["n"], 20 * f).bitwiseAND(low) * 2 > F.size(hashes)
-            return F.when(more, F.call_function("shiftleft", F.lit(1).cast("long"), x["k"] + 20 * f)).otherwise(F.lit(0).cast("long"))
+            more = F.shiftrightunsigned(x["n"], 22 * f).bitwiseAND(low) * 2 > F.size(hashes)  # bits 64 and 65 are never set
+            return F.when(more, F.call_function("shiftleft", F.lit(1).cast("long"), x["k"] + 22 * f)).otherwise(F.lit(0).cast("long"))
 
-        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + bit(x, 0) + bit(x, 1) + bit(x, 2))
+        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x, 0)).bitwiseOR(bit(x, 1)).bitwiseOR(bit(x, 2)))
 
     return let(F.transform(tokens, hashed), fold)
 
@@ -108,8 +108,8 @@ def repeats_before(hashes: Column, most: int = 3) -> Column:
 
 
 def sentence_hashes(sentences: Column, n: int = 3) -> Column:
-    """The 60-bit SimHash of each sentence over its shingles of n words."""
-    return F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n), lambda t: F.xxhash64(t))))
+    """The 64-bit SimHash of each sentence over its shingles of n words."""
+    return F.transform(sentences, lambda s: let(words(s), lambda w: simhash(word_ngrams(w, n))))
 
 
 def redundancy(c: Column, n: int = 3, most: int = 3) -> Column:

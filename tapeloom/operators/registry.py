@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from tapeloom.functions.numbers import bucket, cosine_distance
 
 
-def nearest(queries: DataFrame, samples: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, samples: DataFrame, k: int, most: int = 64, deal: int = 16) -> DataFrame:
     """For each query (query_id, vector, model) the k speakers with the least distance of any sample of that model.
 
-    A speaker's samples are packed into ``blocks`` arrays, so a query meets few rows, by an equi-join on the model; distances reduce to one per speaker before the ranking. Ties go by speaker.
+    A speaker's samples are packed into arrays of about ``most``, however many there are, so a query meets few rows; a
+    query that is itself a sample (``query_id`` = ``sample_id``) leaves itself out. The few models would be hot join
+    keys, so each model's arrays are dealt to ``deal`` parts and the queries sent to all of them: a block-wise search.
+    Distances reduce to one per speaker before the ranking. Ties go by speaker.
     """
-    packed = samples.withColumn("_b", F.pmod(F.xxhash64("sample_id"), F.lit(blocks))).groupBy("model", "speaker_id", "_b").agg(F.collect_list("vector").alias("_v"))
-    least = F.array_min(F.transform("_v", lambda v: cosine_distance(F.col("vector"), v)))
-    each = queries.join(packed, "model").select("query_id", "speaker_id", least.alias("d")).groupBy("query_id", "speaker_id").agg(F.min("d").alias("distance"))
+    n = samples.groupBy("model", "speaker_id").agg(F.count("*").alias("_n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("int")
+    packed = samples.join(n, ["model", "speaker_id"]).withColumn("_b", F.pmod(F.xxhash64("sample_id"), parts))
+    packed = packed.groupBy("model", "speaker_id", "_b").agg(F.collect_list(F.struct("sample_id", "vector")).alias("_v")).withColumn("_p", F.pmod(F.xxhash64("speaker_id", "_b"), F.lit(deal)))
+    others = F.filter("_v", lambda v: v["sample_id"] != F.col("query_id"))
+    least = F.array_min(F.transform(others, lambda v: cosine_distance(F.col("vector"), v["vector"])))
+    sent = queries.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
+    each = sent.join(packed, ["model", "_p"]).select("query_id", "speaker_id", least.alias("d")).filter("d is not null")
+    each = each.groupBy("query_id", "speaker_id").agg(F.min("d").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "speaker_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -268,7 +268,7 @@ def repeat_shares(texts: DataFrame, key: list[str], text: str = "text", n: int =
     ``most`` bits agree in one of ``most`` + 1 blocks of bits, so only those that share a block's value meet; equal
     texts under one key count once.
     """
-    bits = -(-60 // (most + 1))
+    bits = -(-64 // (most + 1))
 
     def block(x: Column, i: Column, b: int) -> Column:
         return F.struct(F.lit(b).alias("_b"), F.shiftright(x, b * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("_v"), i.alias("_i"), x.alias("_h"))

@@ -14,12 +14,12 @@ _DIST = "CASE WHEN list_dot_product(a.vector::DOUBLE[], a.vector::DOUBLE[]) = 0
 def _nearest(s, d):
     samples = view(s, d, "samples")
     queries = samples.filter("sample_id % 20 = 0").select(F.col("sample_id").alias("query_id"), "vector", "model")
-    return rg.nearest(queries, samples.filter("sample_id % 20 > 0"), 3)
+    return rg.nearest(queries, samples, 3)
 
 
 _NEAREST = (
     cte("samples")
-    + f""", e AS (SELECT a.sample_id AS query_id, b.speaker_id, min({_DIST}) AS distance FROM samples a JOIN samples b ON a.model = b.model AND a.sample_id % 20 = 0 AND b.sample_id % 20 > 0 GROUP BY ALL),
+    + f""", e AS (SELECT a.sample_id AS query_id, b.speaker_id, min({_DIST}) AS distance FROM samples a JOIN samples b ON a.model = b.model AND a.sample_id % 20 = 0 AND a.sample_id <> b.sample_id GROUP BY ALL),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, speaker_id) AS INT) AS rank FROM e QUALIFY rank <= 3)"""
 )
 
@@ -40,12 +40,13 @@ _NOISE = _SHARES + f", auto AS (SELECT DISTINCT a.task_id, a.speaker FROM g a JO
 
 
 def _decided(s, d):
-    return view(s, d, "decisions").filter("decision_id % 5 = 0").select((F.col("task_id") % 50).alias("task_id"), (F.col("decision_id") % 10).cast("string").alias("speaker"), "is_noise").filter("task_id % 2 = 0")
+    """All decisions; the recordings without any are those whose ids the users don't reach."""
+    return view(s, d, "decisions").select((F.col("task_id") * 2).alias("task_id"), (F.col("decision_id") % 10).cast("string").alias("speaker"), "is_noise")
 
 
 _RESOLVED = (
     _NOISE.replace("WITH samples", "WITH decisions AS (SELECT "  + cte("decisions").split("AS (SELECT ", 1)[1].rstrip(")") + "), samples", 1)
-    + ", d AS (SELECT task_id % 50 AS task_id, CAST(decision_id % 10 AS VARCHAR) AS speaker, is_noise FROM decisions WHERE decision_id % 5 = 0 AND task_id % 50 % 2 = 0), n AS (SELECT DISTINCT task_id, speaker FROM d WHERE is_noise UNION ALL SELECT task_id, speaker FROM auto WHERE task_id NOT IN (SELECT task_id FROM d))"
+    + ", d AS (SELECT task_id * 2 AS task_id, CAST(decision_id % 10 AS VARCHAR) AS speaker, is_noise FROM decisions), n AS (SELECT DISTINCT task_id, speaker FROM d WHERE is_noise UNION ALL SELECT task_id, speaker FROM auto WHERE task_id NOT IN (SELECT task_id FROM d))"
 )
 
 
@@ -55,7 +56,7 @@ def _kept(s, d):
 
 
 def _pause(s, d):
-    m = view(s, d, "decisions").select("task_id", nm.bucket(F.col("decision_id") % 100 / 100).alias("bucket"), "is_noise").filter("task_id % 4 > 0 or bucket = 'auto'")
+    m = view(s, d, "decisions").select("task_id", nm.bucket(F.col("decision_id") % 100 / 100).alias("bucket"), "is_noise")
     return rg.needs_pause(m)
 
 
@@ -86,7 +87,7 @@ QUERIES = {
     ),
     "needs_pause": (
         _pause,
-        cte("decisions") + ", m AS (SELECT task_id, CASE WHEN decision_id % 100 <= 25 THEN 'auto' WHEN decision_id % 100 <= 55 THEN 'grey' ELSE 'miss' END AS bucket, is_noise FROM decisions) SELECT task_id, bool_or(bucket <> 'auto' AND NOT is_noise) AS pause FROM m WHERE task_id % 4 > 0 OR bucket = 'auto' GROUP BY 1",
+        cte("decisions") + ", m AS (SELECT task_id, CASE WHEN decision_id % 100 <= 25 THEN 'auto' WHEN decision_id % 100 <= 55 THEN 'grey' ELSE 'miss' END AS bucket, is_noise FROM decisions) SELECT task_id, bool_or(bucket <> 'auto' AND NOT is_noise) AS pause FROM m GROUP BY 1",
     ),
     "live_names": (
         _live,
