@@ -26,8 +26,8 @@ def worst(events: DataFrame, by: list[str], key: str, n: int = 3, order: str = "
 def rollup(events: DataFrame) -> DataFrame:
     """One row per task: wall time per stage, percentiles of rates, and the three worst segments two ways.
 
-    One grouping: every measure is a conditional aggregate over the same shuffle; the worst segments come from a
-    bounded sort inside it.
+    All percentiles come from one grouping by task; times by stage are summed by (task, stage) first, and the worst
+    segments are ranked by windows that keep three rows a task, so only small rows are joined.
     """
     asr, summary = F.col("stage") == "transcribe.segment", F.col("stage").isin(SUMMARIES)
     wall = F.when(F.col("stage") != "task.final", F.col("t_wall_ms").cast("long"))

@@ -14,8 +14,8 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> Data
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the rows whose key comes again, append the others."""
-    return table.join(rows.select(keys), keys, "left_anti").unionByName(rows)
+    """Replace the rows whose key comes again, append the others; of new rows that repeat a key, one."""
+    return table.join(rows.select(keys), keys, "left_anti").unionByName(rows.dropDuplicates(keys))
 
 
 def delete(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -118,10 +118,11 @@ def queue_positions(tasks: DataFrame) -> DataFrame:
     """1-based position of each queued task by (created_at, task_id).
 
     The order is global, but no single task sorts it: rows are range-partitioned by the key, ranked inside their
-    range and shifted by the sizes of the ranges before, of which there are as many as partitions.
+    range and shifted by the sizes of the ranges before, of which there are as many as partitions. Their number is
+    given, so that adaptive execution leaves the two uses of the ranges alike.
     """
     queued = tasks.filter(F.col("status") == "queued").select("task_id", "created_at")
-    ranged = queued.repartitionByRange("created_at", "task_id").withColumn("_p", F.spark_partition_id())
+    ranged = queued.repartitionByRange(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "created_at", "task_id").withColumn("_p", F.spark_partition_id())
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     shift = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("created_at", "task_id")))

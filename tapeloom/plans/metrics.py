@@ -9,7 +9,11 @@ from tapeloom.functions import text as tx
 from tapeloom.operators import metrics as mt
 from tapeloom.plans.adapters import cte, read, view
 
-SEED = [("download", 5.5), ("transcribe_segments", 174.8), ("summarize_windows", 74.8), ("merge_transcript", 0.1)]
+# Seconds of each step before there are measurements.
+SEED = [
+    ("download", 5.5), ("extract_audio", 2.0), ("trim_initial_silence", 0.3), ("segment_audio", 1.2), ("detect_language", 2.6),
+    ("transcribe_segments", 174.8), ("merge_transcript", 0.1), ("prepare_llama_model", 6.3), ("prepare_summary_chunks", 0.1), ("summarize_windows", 74.8),
+]
 
 
 def task_rollup(s, d):

@@ -97,15 +97,32 @@ def manifest(spans: DataFrame, key: str) -> DataFrame:
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write beside the target, then put it in place: readers see the old table or the whole new one."""
+    """Write beside the target, then put it in place: no reader ever sees half a table.
+
+    The old table is set aside by one rename and the new one put in place by the next; between the two the target is
+    missing for a moment. If the second fails the old table comes back; if the job dies in between, the next write finds it
+    beside the target (``<path>.old``) and restores it first.
+    """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
-    df.write.format(fmt).save(staging)
+    path = path.rstrip("/")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staging)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    target, aside, staging = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old", f"{path}.{uuid.uuid4().hex}.tmp"))
+    fs = target.getFileSystem(conf)
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"can't restore {path}")
+    df.write.format(fmt).save(staging.toString())
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"can't set {path} aside")
+    if not fs.rename(staging, target):
+        if had:
+            fs.rename(aside, target)
+        raise OSError(f"can't put {path} in place")
+    if had:
+        fs.delete(aside, True)
 
 
 def append_events(events: DataFrame, path: str, task_id: str, run_id: str) -> None:
