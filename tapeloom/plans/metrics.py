@@ -85,7 +85,7 @@ QUERIES = {
     ),
     "step_weights": (lambda s, d: mt.step_weights(view(s, d, "durations")), _NORM + " SELECT name, round_even(median(sec), 1) AS weight, count(*) AS samples FROM n WHERE sec IS NOT NULL GROUP BY 1"),
     "step_weights_by_user": (lambda s, d: mt.step_weights(view(s, d, "durations"), by=("user_id",)), _NORM + " SELECT user_id, name, round_even(median(sec), 1) AS weight, count(*) AS samples FROM n WHERE sec IS NOT NULL GROUP BY ALL"),
-    "seeded_weights": (_seeded, _NORM + ", c AS (SELECT name, round_even(median(sec), 1) AS weight, count(*) AS samples FROM n WHERE sec IS NOT NULL GROUP BY 1), seed(name, seed) AS (VALUES ('download', 5.5::DOUBLE), ('transcribe_segments', 174.8), ('summarize_windows', 74.8), ('merge_transcript', 0.1)) SELECT name, CASE WHEN samples >= 5 THEN weight ELSE seed END AS weight FROM seed LEFT JOIN c USING (name)"),
+    "seeded_weights": (_seeded, _NORM + ", c AS (SELECT name, round_even(median(sec), 1) AS weight, count(*) AS samples FROM n WHERE sec IS NOT NULL GROUP BY 1), seed(name, seed) AS (VALUES " + ", ".join(f"('{n}', {w}::DOUBLE)" for n, w in SEED) + ") SELECT name, CASE WHEN samples >= 5 THEN weight ELSE seed END AS weight FROM seed LEFT JOIN c USING (name)"),
     "final_fallback": (lambda s, d: mt.final_fallback(view(s, d, "durations").filter("name = 'final_summary'"), 5, 514.4), _D + " SELECT CASE WHEN count(duration_sec) >= 5 THEN median(duration_sec) ELSE 514.4 END AS fallback FROM durations WHERE name = 'final_summary'"),
     "step_durations": (
         lambda s, d: mt.step_durations(view(s, d, "steps").withColumns({"started_at": F.expr("timestampadd(SECOND, -CAST(event_id % 50 - 5 AS INT), started_at)"), "window_total": (F.col("event_id") % 4).cast("int")})).select("event_id", "duration_sec", "window_total"),
