@@ -1,21 +1,29 @@
-"""Line dedup: sharded minimal perfect hashes index the counts of repeated lines; documents probe arrays, no lines are joined."""
+"""Line dedup: sharded minimal perfect hashes index the counts of repeated lines; documents probe arrays, no lines are joined.
+
+The shards are built in parallel and written to the shared folder; ``addFile`` brings them to every executor, also to
+one that replaces a lost one. There each becomes one file that the workers map into memory, so the index takes its
+size once an executor, on disk, and only the pages that are probed are read.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import by_group, partitions, texts, write_table
+from tapeloom.llm.common import by_group, drop_table, texts, write_table
 
 SPACE = b" \t\n\x0b\x0c\r"
 GAMMA, LEVELS, SHARD_KEYS = 2.0, 64, 1 << 16
-BYTES_PER_KEY = 12  # 8 of fingerprint, 2 of count, about 4 bits of perfect hash, rank included
 
 
 def _mix(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
@@ -28,7 +36,7 @@ def build(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> dict:
     """A minimal perfect hash over distinct 128-bit keys (a, b), with the fingerprint and count arrays it indexes.
 
     Level by level, keys that are alone at their bit set it; the rest go on to the next, smaller level. A key's
-    index is the rank of its bit. Counts saturate at 65535.
+    index is the rank of its bit. Counts saturate at 2^32 - 1.
     """
     left, words, sizes = np.arange(len(a)), [], []
     while len(left):
@@ -42,9 +50,9 @@ def build(a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> dict:
         left = left[~alone[at]]
     index = {"words": np.concatenate(words) if words else np.zeros(0, np.uint64), "sizes": sizes}
     where = rank(index, a, b)
-    index["prints"], index["counts"] = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint16)
+    index["prints"], index["counts"] = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint32)
     index["prints"][where] = b
-    index["counts"][where] = np.minimum(counts, 65535)
+    index["counts"][where] = np.minimum(counts, 0xFFFFFFFF)
     return index
 
 
@@ -131,31 +139,85 @@ def build_shards(counts: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return by_group(keyed, ["shard"], run, "shard int, sizes array<int>, words binary, prints binary, counts binary"), n_shards
 
 
-def load_shards(rows: list, n_shards: int) -> list[dict]:
-    empty = {"words": np.zeros(0, np.uint64), "sizes": [], "prints": np.zeros(0, np.uint64), "counts": np.zeros(0, np.uint16)}
-    shards = [empty] * n_shards
-    for r in rows:
-        shards[r["shard"]] = {"sizes": r["sizes"], "words": np.frombuffer(r["words"], np.uint64), "prints": np.frombuffer(r["prints"], np.uint64), "counts": np.frombuffer(r["counts"], np.uint16)}
-    return shards
+FIELDS = {"words": np.uint64, "prints": np.uint64, "counts": np.uint32}
+
 
+def send_shards(built: DataFrame, n_shards: int):
+    """Send the shards to the executors and return a function that opens them in a task: a list of memory-mapped shards.
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+    The driver handles file names only. The first task on an executor that needs a file's shards unpacks them beside
+    it, under a name of its own first, so that tasks that do so at once don't meet.
+    """
+    spark = built.sparkSession
+    table = write_table(built, f"shards-{uuid.uuid4().hex}")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(table.table_path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".parquet")]
+    for f in files:
+        spark.sparkContext.addFile(f.toString())
+    names = [f.getName() for f in files]
+    opened: dict = {}
+
+    def load() -> list[dict]:
+        if not opened:
+            empty = {"sizes": [], **{k: np.zeros(0, t) for k, t in FIELDS.items()}}
+            shards = [empty] * n_shards
+            for name in names:
+                path = SparkFiles.get(name)
+                if not os.path.exists(f"{path}.map"):
+                    _unpack(path)
+                shards_of(f"{path}.map", shards)
+            opened["shards"] = shards
+        return opened["shards"]
+
+    return load
+
+
+def _unpack(path: str) -> None:
+    """Write the shards of a Parquet file one after the other: number, sizes, then the arrays, all in 8-byte steps."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as out:
+        for batch in pq.ParquetFile(path).iter_batches(batch_size=1):
+            for r in batch.to_pylist():
+                head = [r["shard"], len(r["sizes"]), *r["sizes"], *(len(r[k]) for k in FIELDS)]
+                out.write(np.array(head, np.int64).tobytes())
+                for k in FIELDS:
+                    out.write(r[k].ljust(-(-len(r[k]) // 8) * 8, b"\0"))
+    os.replace(own, f"{path}.map")
+
+
+def shards_of(path: str, shards: list[dict]) -> None:
+    """Put the mapped shards of an unpacked file in their places."""
+    if not os.path.getsize(path):
+        return
+    data, at = np.memmap(path, np.int64, "r"), 0
+    while at < len(data):
+        shard, n = int(data[at]), int(data[at + 1])
+        sizes, lengths = data[at + 2 : at + 2 + n].tolist(), data[at + 2 + n : at + 5 + n].tolist()
+        at += 5 + n
+        index: dict = {"sizes": sizes}
+        for (k, t), size in zip(FIELDS.items(), lengths, strict=True):
+            step = -(-size // 8)
+            index[k] = data[at : at + step].view(t)[: size // np.dtype(t).itemsize]
+            at += step
+        shards[shard] = index
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
     """Remove every line whose key is found in at least ``min_docs`` documents.
 
     Returns all columns of ``docs``, the text cleaned, plus ``n_lines`` and ``n_dropped`` (which replace columns of
-    these names; ``_row`` and ``_bad`` are taken too). A text splits at each line
-    feed (null or empty: one empty line, and the result is an empty text); a key is the line without ASCII white space
+    these names). A text splits at each line feed (null or empty: one empty line, and the result is an empty text); a key is the line without ASCII white space
     at its ends, A-Z lower-cased; empty keys are never dropped. Repeated rows count as documents of their own. An
     empty table gives an empty one. A document that loses all its lines stays, with an empty text.
 
     Digests are 128 bits wide (64 of them kept as fingerprint, 64 choosing shard and bit). Only keys at ``min_docs``
-    or more are indexed. The index is broadcast if it has at most ``max_index_bytes`` by its key count; beyond that
-    the documents' digests meet the repeated ones in a shuffled, skew-splitting semi join instead.
+    or more are indexed, at 13 bytes each: a thousand million repeated lines take 13 GB of an executor's disk.
     """
-    spark = docs.sparkSession
     repeated = write_table(line_counts(docs, text_col).filter(F.col("n") >= min_docs), "lines")
     n_keys = repeated.count()
-    docs = docs.drop("n_lines", "n_dropped", "_row", "_bad")
+    docs = docs.drop("n_lines", "n_dropped")
     names, at = docs.columns, docs.columns.index(text_col)
     plain = docs.withColumn(text_col, docs[text_col].cast("string"))
     schema = T.StructType([*plain.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -164,57 +226,27 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         cols = [pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()) if i == at else batch.column(i) for i in range(len(names))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    if n_keys * BYTES_PER_KEY <= max_index_bytes:
-        built, n_shards = build_shards(repeated, n_keys)
-        sent = spark.sparkContext.broadcast([r.asDict() for r in built.collect()])
-        loaded: dict = {}
-
-        def run(batches):
-            if "x" not in loaded:
-                loaded["x"] = load_shards(sent.value, n_shards)
-            for batch, raw in texts(batches, text_col):
-                split = [_keys(t) for t in raw]
-                flat = [d for _, keys in split for d in keys]
-                hit = np.zeros(len(flat), bool)
-                real = np.flatnonzero([bool(d) for d in flat])
-                if len(real):
-                    hit[real] = probe(loaded["x"], *_halves([flat[i] for i in real.tolist()])) >= min_docs
-                kept, n, dropped, i = [], [], [], 0
-                for lines, keys in split:
-                    h = hit[i : i + len(keys)]
-                    i += len(keys)
-                    bad = int(h.sum())
-                    kept.append(b"\n".join(x for x, y in zip(lines, h.tolist(), strict=True) if not y) if bad else b"\n".join(lines))
-                    n.append(len(lines))
-                    dropped.append(bad)
-                yield out_batch(batch, kept, n, dropped)
-
-        return plain.mapInArrow(run, schema)
-
-    # The index would be too large to send: the digests of each row's lines travel instead, the texts only once more.
-    tagged = write_table(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-    def explode(batches):
-        for batch, raw in texts(batches, text_col):
-            ids = batch.column(batch.schema.get_field_index("_row")).to_pylist()
-            rows = [(i, d) for i, t in zip(ids, raw, strict=True) for d in set(_keys(t)[1]) - {b""}]
-            if rows:
-                a, b = _halves([d for _, d in rows])
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["_row", "a", "b"])
-
-    bad = tagged.mapInArrow(explode, "_row long, a long, b long").join(repeated.select("a", "b").hint("merge"), ["a", "b"], "left_semi")
-    bad = bad.groupBy("_row").agg(F.collect_list(F.struct("a", "b")).alias("_bad"))
+    built, n_shards = build_shards(repeated, n_keys)
+    load = send_shards(built, n_shards)
+    drop_table(repeated)
 
-    def strike(batches):
+    def run(batches):
+        shards = load()
         for batch, raw in texts(batches, text_col):
-            kept, n, dropped = [], [], []
-            for text, gone in zip(raw, batch.column(batch.schema.get_field_index("_bad")).to_pylist(), strict=True):
-                lines, keys = _keys(text)
-                out = {(g["a"] & (1 << 64) - 1).to_bytes(8, "big") + (g["b"] & (1 << 64) - 1).to_bytes(8, "big") for g in gone or []}
-                stay = [x for x, d in zip(lines, keys, strict=True) if d not in out]
-                kept.append(b"\n".join(stay))
+            split = [_keys(t) for t in raw]
+            flat = [d for _, keys in split for d in keys]
+            hit = np.zeros(len(flat), bool)
+            real = np.flatnonzero([bool(d) for d in flat])
+            if len(real):
+                hit[real] = probe(shards, *_halves([flat[i] for i in real.tolist()])) > 0
+            kept, n, dropped, i = [], [], [], 0
+            for lines, keys in split:
+                h = hit[i : i + len(keys)]
+                i += len(keys)
+                bad = int(h.sum())
+                kept.append(b"\n".join(x for x, y in zip(lines, h.tolist(), strict=True) if not y) if bad else b"\n".join(lines))
                 n.append(len(lines))
-                dropped.append(len(lines) - len(stay))
+                dropped.append(bad)
             yield out_batch(batch, kept, n, dropped)
 
-    return tagged.join(bad, "_row", "left").select(*names, "_bad").repartition(partitions(spark)).mapInArrow(strike, schema)
+    return plain.mapInArrow(run, schema)
