@@ -56,10 +56,11 @@ def _boilerplate(names: str, main: bool) -> bool:
 class Node:
     """An element; ``bad`` is the greater of what elements (``kind``) and names (``named``) around it say against it.
 
-    An article or main part inside a wrapper with such a name speaks for itself; one inside an aside does not.
+    An article or main part inside a wrapper with such a name speaks for itself; one inside an aside does not. ``own``
+    is what the element and its own names add; ``excuse`` takes it back.
     """
 
-    __slots__ = ("tag", "parent", "kind", "named", "bad", "article", "good", "depth")
+    __slots__ = ("tag", "parent", "own", "main", "kind", "named", "bad", "article", "good", "depth")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent = tag, parent
@@ -67,26 +68,32 @@ class Node:
         self.depth = up.depth + 1 if up else 0
         self.article = bool(up and up.article) or tag == "article"
         self.good = 1.5 if tag == "main" else up.good if up else 0.0
-        self.kind = up.kind if up else 0.0
+        kind = named = 0.0
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs else {}
         role = a.get("role", "").lower()
-        main = tag in ("article", "main") or role in ("article", "main")
-        self.named = up.named if up and not main else 0.0
+        self.main = main = tag in ("article", "main") or role in ("article", "main")
         if tag in BOILER or tag == "header" and not self.article:
-            self.kind = max(self.kind, 6.0)
+            kind = 6.0
         if a:
             names = f"{a.get('class', '')} {a.get('id', '')}"
             if names != " " and tag not in ("html", "body"):
                 if _boilerplate(names, main):
-                    self.named = 7.0
+                    named = 7.0
                 elif _GOOD.search(names):
                     self.good = max(self.good, 1.5)
             if role in BAD_ROLES:
-                self.kind = max(self.kind, 6.0)
+                kind = 6.0
             if role in ("main", "article"):
                 self.good = max(self.good, 1.5)
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-                self.kind = 20.0
+                kind = 20.0
+        self.own = kind, named
+        self.settle()
+
+    def settle(self) -> None:
+        up, (kind, named) = self.parent, self.own
+        self.kind = max(up.kind if up else 0.0, kind)
+        self.named = max(up.named if up and not self.main else 0.0, named)
         self.bad = max(self.kind, self.named)
 
 
@@ -186,9 +193,42 @@ def blocks(page: str) -> list[Block]:
         if not m[0].endswith("/>") or tag in BLOCKS:
             at = Node(tag, at, m["attrs"] or "")
     flush()
+    excuse(out)
     return out
 
 
+def excuse(bs: list[Block]) -> None:
+    """Take back what is held against a form or a name that wraps the page: over half its text and a main heading.
+
+    Such wrappers are layouts (the form around a whole page, a div named after its side bar), not parts of the page.
+    """
+    held: dict[int, list] = {}
+    total = 0
+    for b in bs:
+        n = len(b.text)
+        total += n
+        x = b.node
+        while x is not None:
+            if x.own[1] or x.tag == "form" and x.own[0]:
+                own = held.setdefault(id(x), [x, 0, False])
+                own[1] += n
+                own[2] = own[2] or b.node.tag == "h1"
+            x = x.parent
+    freed = [x for x, n, head in held.values() if head and 2 * n > total]
+    if not freed:
+        return
+    for x in freed:
+        x.own = (0.0 if x.tag == "form" and x.own[0] < 20 else x.own[0], 0.0)
+    for b in bs:
+        chain = []
+        x = b.node
+        while x is not None:
+            chain.append(x)
+            x = x.parent
+        for x in reversed(chain):
+            x.settle()
+
+
 def score(b: Block) -> float:
     """The classifier: above 0 speaks for content, below for boilerplate."""
     n = b.node

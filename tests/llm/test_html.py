@@ -61,3 +61,22 @@ def test_names_of_wrappers():
         f"<article>{body}<section id=comments><article class=comment-body>{LONG}</article></section></article><aside><article>{LONG}</article></aside>",
     ):
         assert htmltext.main_text(page)[0] == two, page
+
+
+PARAGRAPHS = "".join(f"<p>The {w} of the story is told here in a long and whole sentence, with more than a few words in it.</p>" for w in ("start", "middle", "end"))
+
+
+def test_wrappers_of_whole_pages_are_not_boilerplate():
+    """Layout wrappers keep their article; a comment thread longer than its article still goes."""
+    plain = htmltext.main_text(f"<body><div><h1>Title of it</h1>{PARAGRAPHS}</div></body>")[0]
+    assert plain.count("whole sentence") == 3
+    for a, b in [
+        ('<div class="layout has-sidebar">', "</div>"), ('<form id="aspnetForm" action="x">', "</form>"), ('<div class="post no-comments">', "</div>"),
+        ('<article class="post tags-news">', "</article>"), ('<article class="page-with-search">', "</article>"), ('<div class="sidebar-right">', "</div>"),
+    ]:
+        page = f"<body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{a}<h1>Title of it</h1>{PARAGRAPHS}{b}<footer>© 2020 Firm. All rights reserved.</footer></body>"
+        assert htmltext.main_text(page)[0].count("whole sentence") == 3 and "Home" not in htmltext.main_text(page)[0], a
+    thread = f"<body><article><h1>Title of it</h1>{PARAGRAPHS}</article><section class='comments'><h3>Comments</h3>{'<p>I say this and that about the thing, and I say it again, at length.</p>' * 30}</section></body>"
+    assert htmltext.main_text(thread)[0].count("whole sentence") == 3 and "I say" not in htmltext.main_text(thread)[0]
+    search = f"<body><form><label>Search</label><input><button>Go</button></form><h1>Title of it</h1>{PARAGRAPHS}</body>"
+    assert "Search" not in htmltext.main_text(search)[0] and "Go" not in htmltext.main_text(search)[0].split()
