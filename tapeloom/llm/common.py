@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where the session has
-    none (local tests) a folder of our own is made and remembered there.
+    ``spark.checkpoint.dir`` names it on a cluster; only where a local session
+    has none (tests) a folder of our own is made and remembered there.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

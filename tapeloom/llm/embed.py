@@ -55,14 +55,29 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :h], x[:, h:]
 
 
+def home_ranks(x: np.ndarray, y: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many cells each x visits until the home of its y, in slices of bounded size."""
+    (x1, x2), (y1, y2) = _halves(x), _halves(y)
+    i, j = distances(y1, books[0]).argmin(1), distances(y2, books[1]).argmin(1)
+    d1, d2 = distances(x1, books[0]), distances(x2, books[1])
+    out, step = [np.zeros(0, int)], max(1, (1 << 22) // (len(books[0]) * len(books[1])))
+    for a in range(0, len(x), step):
+        b = min(a + step, len(x))
+        sums = d1[a:b, :, None] + d2[a:b, None, :]
+        own = sums[np.arange(b - a), i[a:b], j[a:b]]
+        out.append((sums < own[:, None, None]).sum((1, 2)) + 1)
+    return np.concatenate(out)
+
+
 def fit(sample: np.ndarray, labels: np.ndarray, threshold: float, n: int, recall: float = RECALL) -> dict:
     """Codebooks and the number of cells to visit, from a bounded sample of unit vectors.
 
-    The codebooks grow with the square root of the table (8 to 256 codewords), so cells keep a like size. Recall is
+    The codebooks grow with the square root of the table, up to one codeword for every 8 rows of the sample, so cells
+    keep a like size (of about 512 vectors, up to 500 million of them with the default sample). Recall is
     that of the sample's linked pairs under the traversal; with no linked pair in the sample, pairs are made by
     moving its vectors by noise to exactly the threshold.
     """
-    k = int(np.clip(np.sqrt(n / 512), 8, 256))
+    k = int(np.clip(np.sqrt(n / 512), 8, max(8, len(sample) // 8)))
     first, second = _halves(sample)
     books = codebook(first, k), codebook(second, k)
     pairs = []
@@ -79,15 +94,7 @@ def fit(sample: np.ndarray, labels: np.ndarray, threshold: float, n: int, recall
     noise /= np.maximum(np.linalg.norm(noise, axis=1), 1e-12)[:, None]
     left = np.concatenate([left, base])
     right = np.concatenate([right, threshold * base + np.sqrt(1 - threshold**2) * noise])
-    ranks = np.zeros(len(left), int)
-    for x, y in ((left, right), (right, left)):
-        (x1, x2), (y1, y2) = _halves(x), _halves(y)
-        home = np.stack([distances(y1, books[0]).argmin(1), distances(y2, books[1]).argmin(1)], axis=1)
-        d1, d2 = distances(x1, books[0]), distances(x2, books[1])
-        sums = d1[:, :, None] + d2[:, None, :]
-        own = sums[np.arange(len(x)), home[:, 0], home[:, 1]]
-        rank = (sums < own[:, None, None]).sum((1, 2)) + 1
-        ranks = np.minimum(ranks, rank) if ranks.any() else rank
+    ranks = np.minimum(*(home_ranks(x, y, books) for x, y in ((left, right), (right, left))))
     visits = int(np.quantile(ranks, recall, method="higher")) if len(ranks) else 1
     return {"books": books, "visits": max(2, visits)}
 

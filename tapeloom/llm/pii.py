@@ -360,6 +360,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     schema = plain.select("*", F.lit(0).cast("long").alias("n_entities")).schema
     if size <= send_bytes:
         sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["value"]): r["attempt"] for r in moved.select("kind", "value", "attempt").collect()})
+        drop_table(mapping)
 
         def run(batches):
             for batch, raw in texts(batches, text_col):

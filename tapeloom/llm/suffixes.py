@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import FEW, by_group, salted_semi_join, texts, write_table
+from tapeloom.llm.common import FEW, by_group, drop_table, salted_semi_join, texts, write_table
 
 LENGTH, GRAM, SHALLOW, HOT, CHUNK = 400, 80, 16, 16_384, 1 << 20
 NO_ID = -(1 << 63)  # stands for a null id
@@ -215,11 +215,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a gram chosen on both sides of a chunk's border comes twice, with adjoining windows
     found = salted_semi_join(grams, again, ["h"], ["rid", "pos"], few).groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
     found = write_table(found, "found")
+    drop_table(grams)
+    drop_table(again)
     many = write_table(found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("hot")), "hot")
     any_hot = not many.isEmpty()
     tagged = found.join(many.hint("merge"), "h", "left") if any_hot else found.withColumn("hot", F.lit(None).cast("boolean"))
     wanted = tagged.groupBy("rid", "x").agg(F.collect_list(F.struct("h", "pos", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
     wanted = write_table(wanted, "wanted")
+    drop_table(found)
+    drop_table(many)
     body = base.select("rid", "x", text_col)  # the same columns for all joins below, so Spark shuffles the texts once
     joined = body.join(wanted.hint("merge"), ["rid", "x"]).select("rid", "x", text_col, "places")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import texts, write_table
+from tapeloom.llm.common import drop_table, texts, write_table
 
 SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 ERROR, RATIO, STEMS, CACHED, CALIBRATED = 1e-4, 4.0, (4, 5, 6), 400_000, 4096
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
+        drop_table(rows)
         return Model({}, [], toxic / (toxic + clean) if toxic + clean else 0.5)
 
     def count(batches):
@@ -197,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("y")), pa.array([list(x) for x in tf], pa.list_(pa.int32())), pa.array([list(x.values()) for x in tf], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
     examples = rows.mapInArrow(vectors, "id long, y int, t array<int>, n array<int>").orderBy("id").collect()
+    drop_table(rows)
     bare = [r["y"] for r in examples if not r["t"]]
     model.base = (sum(bare) + model.base) / (len(bare) + 1)
     full = [(r["id"], r["y"], Counter(dict(zip(r["t"], r["n"], strict=True)))) for r in examples if r["t"]]
