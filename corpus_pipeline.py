@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import linededup, packing, pii, simhash, toxicity
-from tapeloom.llm.common import write_table
+from tapeloom.llm.common import drop_table, write_table
 from tapeloom.llm.queries import pii_key
 
 
@@ -63,8 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again by the next."""
+    """Apply the stages to ``documents``; each result is written to the shared folder, read by the next, then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        after = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            drop_table(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
