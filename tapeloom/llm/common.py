@@ -123,20 +123,20 @@ def grid(df: DataFrame, key: str, most: int, home: Column, visitor: Column) -> D
 FEW, SHARES = 4096, 10_000
 
 
-def salted_semi_join(rows: DataFrame, again: DataFrame, keys: list[str], by: list[str], few: int = FEW) -> DataFrame:
-    """The ``rows`` whose ``keys`` are in ``again`` (keys and ``n``, the key's number of rows), frequent keys dealt to many tasks.
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: list[str], how: str = "left_semi", few: int = FEW) -> DataFrame:
+    """Join ``rows`` with a table of distinct ``keys`` and ``n``, the key's number of rows; frequent keys are dealt to many tasks.
 
     A key with n rows of N in all has ceil(n / max(few, N / SHARES)) salts, so at most ``SHARES`` keys have more than
     one: that many rows at most are broadcast, to tell their rows which salts there are. ``by`` are the columns that
-    choose a row's salt; equal rows may share it.
+    choose a row's salt; equal rows may share it. ``how`` is left_semi or inner; the table's other columns come along.
     """
-    total = again.agg(F.sum("n")).head()[0] or 0
+    total = table.agg(F.sum("n")).head()[0] or 0
     most = max(few, total // SHARES)
     salts = F.ceil(F.col("n") / most).cast("int")
-    wide = again.filter(F.col("n") > most).select(*keys, salts.alias("_salts"))
+    wide = table.filter(F.col("n") > most).select(*keys, salts.alias("_salts"))
     own = rows.join(F.broadcast(wide), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
-    every = again.select(*keys, F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-    return own.join(every.hint("merge"), [*keys, "_salt"], "left_semi").drop("_salt")
+    every = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return own.join(every.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def merge_labels(label: np.ndarray, members: np.ndarray) -> None:

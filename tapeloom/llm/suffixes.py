@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import FEW, by_group, drop_table, salted_semi_join, texts, write_table
+from tapeloom.llm.common import FEW, by_group, drop_table, salted_join, texts, write_table
 
 LENGTH, GRAM, SHALLOW, HOT, CHUNK = 400, 80, 16, 16_384, 1 << 20
 NO_ID = -(1 << 63)  # stands for a null id
@@ -213,7 +213,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = grams.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).filter("a <> b")
     again = write_table(again.select("h", "n"), "repeated")
     # a gram chosen on both sides of a chunk's border comes twice, with adjoining windows
-    found = salted_semi_join(grams, again, ["h"], ["rid", "pos"], few).groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
+    found = salted_join(grams, again, ["h"], ["rid", "pos"], few=few).groupBy("h", "x", "pos").agg(F.min("rid").alias("rid"), F.min("first").alias("first"), F.max("last").alias("last"))
     found = write_table(found, "found")
     drop_table(grams)
     drop_table(again)
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_text = spans.groupBy("rid", "x").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     keys = base.select("rid", "x", "y")
     copies = write_table(keys.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1"), "copies")
-    copied = salted_semi_join(keys, copies, ["x", "y"], ["rid"], few)
+    copied = salted_join(keys, copies, ["x", "y"], ["rid"], few=few)
     copied = copied.select("rid", "x").distinct().withColumn("copied", F.lit(True))
     whole = body.join(per_text.hint("merge"), ["rid", "x"], "left").join(copied.hint("merge"), ["rid", "x"], "left").select("rid", "x", text_col, "spans", "copied")
 
