@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import by_group, grid, merge_labels, texts, write_table
+from tapeloom.llm.common import by_group, grid, merge_labels, salted_join, texts, write_table
 from tapeloom.llm.graph import connected_components
 
 BITS, SEED, THRESHOLD, SHINGLE = 64, 42, 4, 4
 GENERATOR = 0b110001110101  # fixed value: generator polynomial of the binary Golay code, degree 11
-MOST = 4096  # members of a cell that one task compares
+MOST, SLICE = 1 << 18, 1 << 21  # members of a cell that one task compares; comparisons that it does at once
 REPLICA, COMPARISON, PATTERNS = 3e-6, 1.5e-9, 1 << 16  # seconds that a replica and a comparison cost, as measured; error patterns at most
 
 
@@ -57,10 +57,11 @@ class Block(NamedTuple):
 def plan(n: int, threshold: int) -> list[Block]:
     """Blocks and codes of least cost for n fingerprints; their thresholds plus 1 sum to ``threshold`` + 1.
 
-    Blocks with a threshold of 1 or more have a covering code; at most a third of the blocks' thresholds are 0.
+    Blocks with a threshold of 1 or more have a covering code; there are few enough blocks that one at most has a
+    threshold of 0. Cells hold few enough members then, up to millions of fingerprints, for one task each.
     """
     best: tuple[float, list[Block]] | None = None
-    for m in range(1, max(1, 3 * (threshold + 1) // 5) + 1):
+    for m in range(1, -(-(threshold + 1) // 2) + 1):
         each, more = divmod(threshold + 1, m)
         limits = [each] * more + [each - 1] * (m - more)
         for wide in (0, 23):
@@ -198,8 +199,9 @@ def _compare(threshold: int, total: int | None):
         homes = np.flatnonzero(g.column("is_home").to_numpy(zero_copy_only=False))
         visitors = np.flatnonzero(g.column("is_visitor").to_numpy(zero_copy_only=False))
         label, there = np.arange(len(node)), fp[visitors]
-        for i in range(0, len(homes), 256):
-            part = homes[i : i + 256]
+        step = max(1, SLICE // max(1, len(visitors)))
+        for i in range(0, len(homes), step):
+            part = homes[i : i + step]
             home, other = np.nonzero(np.bitwise_count(fp[part][:, None] ^ there[None, :]) <= threshold)
             home, other = part[home], visitors[other]
             good = node[home] != node[other]
@@ -244,8 +246,8 @@ def classes(
     dealt = grid(_cells(distinct, blocks), "cell", most, F.col("home"), F.lit(True))
     links = by_group(dealt, ["cell", "gi", "gj"], _compare(threshold, total), "src long, dst long")
     named = distinct.join(connected_components(links), "node", "left").select(*key, "low", F.coalesce("component", "node").alias("component"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").select(*key, "component", "component_id")
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    named = salted_join(named, lows, ["component"], ["fp"], "inner").select(*key, "component", "component_id")
     return fps.join(named, key, "left").select(fps[id_col], "text_hash", fps["fp"], "component", "component_id")
 
 
@@ -280,7 +282,7 @@ def one_of_each(
     own = write_table(own, "classes")
     first = own.groupBy("component").agg(F.min(F.struct("_none", "_id", "_hash")).alias("kept"), F.count("*").alias("n"))
     several = first.filter("n > 1")
-    gone = own.join(several, "component").filter(F.struct("_none", "_id", "_hash") != F.col("kept")).select("_id", "_none", "_hash").distinct()
+    gone = salted_join(own, several, ["component"], ["_id", "_hash"], "inner").filter(F.struct("_none", "_id", "_hash") != F.col("kept")).select("_id", "_none", "_hash").distinct()
     again = own.groupBy("_id", "_none", "_hash").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     again = write_table(again, "again")
     keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), none), "_none": docs[id_col].isNull(), "_hash": F.xxhash64(docs[text_col].cast("string"))})
