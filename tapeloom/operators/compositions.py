@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,10 +11,23 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as tx
 from tapeloom.operators import intervals as iv
 from tapeloom.operators import sequences as sq
+from tapeloom.operators import tasks as tk
 
 # Steps that a new summary runs again, and the last step's name.
 SUMMARY_STEPS = ["prepare_llama_model", "prepare_summary_chunks", "summarize_windows", "pack_window_notes", "summarize_final"]
 FINAL = "summarize_final"
+# How a run ends. Its kind, the status then (null: as it is), whether an event, a push and the deliveries go out.
+OUTCOMES = [
+    ("done", "completed", True, True, True),
+    ("paused", "paused", True, False, False),
+    ("awaiting_input", "awaiting_input", True, False, False),
+    ("gone", None, False, False, False),
+    ("diarization_cancelled", None, False, False, False),
+    ("download_cancelled", None, False, False, False),
+    ("interrupted", None, False, False, False),
+    ("skipped", None, False, False, False),
+    ("failed", "failed", True, True, False),
+]
 
 
 def split_entries(entries: DataFrame, words: DataFrame, turns: DataFrame, min_words: int, min_seconds: float, by: str = "task_id") -> DataFrame:
@@ -95,6 +109,32 @@ def task_rows(tasks: DataFrame, positions: DataFrame, lanes: DataFrame, asr: Dat
     return rows.join(own, "task_id", "left")
 
 
+def task_outcomes(runs: DataFrame) -> DataFrame:
+    """How each run (task_id, status, raised, message, pause_requested) ends: its kind, the task's status, what goes out.
+
+    ``raised`` is null for a run that came to its end; a name that isn't an outcome's is a failure. A task that can't
+    start is skipped. An interrupted run is a pause if one was requested; else it leaves the task as it is.
+    """
+    known = [kind for kind, *_ in OUTCOMES if kind not in ("done", "skipped", "failed")]
+    kind = (
+        F.when(F.col("status").isin(*tk.GROUPS["skippable_on_start"]), "skipped")
+        .when(F.col("raised").isNull(), "done")
+        .when((F.col("raised") == "interrupted") & F.col("pause_requested"), "paused")
+        .when(F.col("raised").isin(known), F.col("raised"))
+        .otherwise("failed")
+    )
+    table = runs.sparkSession.createDataFrame(OUTCOMES, "kind string, ends string, event boolean, push boolean, deliver boolean")
+    out = runs.withColumn("kind", kind).join(F.broadcast(table), "kind")  # nine rows
+    error = F.when(F.col("kind") == "failed", F.col("message"))
+    return out.select("task_id", "kind", F.coalesce("ends", "status").alias("status"), "event", "push", "deliver", error.alias("error"), tx.classify_failure(error).alias("failure_code"))
+
+
+def wrong_ends(outcomes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(task_id, status, expected) of the tasks whose recorded status isn't their run's."""
+    both = tasks.select("task_id", "status").join(outcomes.select("task_id", F.col("status").alias("expected")), "task_id")
+    return both.filter("not (status <=> expected)")
+
+
 def count_tasks(tasks: DataFrame) -> DataFrame:
     """How many rows a filtered list has; give it what ``filter_tasks`` returns, so both share their filters."""
     return tasks.agg(F.count("*").alias("n"))
@@ -177,6 +217,17 @@ def batch_notes(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda a: a["of"])
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; a local session without one gets its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="tapeloom-"))
+    return df.checkpoint()
+
+
 def pack_until_fits(notes: DataFrame, budget: int, batch: int, shorten: Callable[[Column], Column], size: Callable[[Column], Column] = tx.estimate_tokens, passes: int = 20) -> DataFrame:
     """Notes (id, pos, text) of each id, batched and shortened until they fit the budget together or are one note.
 
@@ -185,7 +236,8 @@ def pack_until_fits(notes: DataFrame, budget: int, batch: int, shorten: Callable
     """
     order = Window.partitionBy("id").orderBy("pos")
     now = notes.select("id", "pos", "text")
-    for _ in range(passes):
+    for i in range(passes):
+        now = _cut(now) if i else now
         total = now.withColumn("_n", size(F.col("text"))).withColumns({"_t": F.sum("_n").over(Window.partitionBy("id")), "_k": F.count("*").over(Window.partitionBy("id"))})
         over = (F.col("_t") > budget) & (F.col("_k") > 1)
         if total.filter(over).isEmpty():

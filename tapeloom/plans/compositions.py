@@ -8,7 +8,7 @@ from tapeloom.functions import text as tx
 from tapeloom.operators import compositions as co
 from tapeloom.operators import tasks as tk
 from tapeloom.plans.adapters import cte, read, view
-from tapeloom.plans.transcripts import _runs_cut, _SAID, _strip
+from tapeloom.plans.transcripts import _runs_cut, _SAID, _SENT, _strip
 
 _SHIFT, _MIN_WORDS, _MIN_SECONDS, _MIN_SHARE = 80, 3, 8.0, 0.2
 
@@ -186,8 +186,6 @@ def _batches(s, d):
 
 
 def _batches_sql() -> str:
-    from tapeloom.plans.transcripts import _SENT
-
     return f"""WITH RECURSIVE l AS (SELECT doc_id, {_SENT} AS l FROM documents), s AS (SELECT doc_id, greatest(1, length(unnest(l)) // 4) AS n, generate_subscripts(l, 1) AS i FROM l),
  p AS (SELECT doc_id, i, 0 AS batch, n AS total FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, batch + (total + s.n > 120)::INT, CASE WHEN total + s.n > 120 THEN s.n ELSE total + s.n END FROM p JOIN s ON s.doc_id = p.doc_id AND s.i = p.i + 1)
  SELECT doc_id, batch, count(*) AS n, (min(i) - 1)::INT AS first FROM p GROUP BY ALL"""
@@ -274,12 +272,92 @@ def _trims(s, d):
     return o.withColumn("v", vectors).select("o_orderkey", co.accepted_trim(F.col("a"), F.col("b"), 30.0).alias("trimmed"), F.size("v").alias("n"), F.col("v")["B"].alias("second"))
 
 
+_RAISED = (None, "paused", "awaiting_input", "gone", "diarization_cancelled", "download_cancelled", "interrupted", "ValueError")
+
+
+def _outcomes(s, d):
+    raised = F.element_at(F.array(*map(F.lit, _RAISED)), (F.col("task_id") % len(_RAISED) + 1).cast("int"))
+    message = F.when(F.col("user_id") % 3 == 0, "Premieres in 3 hours").otherwise(F.concat(F.lit("boom "), "user_id"))
+    return co.task_outcomes(view(s, d, "tasks").select("task_id", "status", raised.alias("raised"), message.alias("message"), (F.col("user_id") % 2 == 0).alias("pause_requested")))
+
+
+_OUTCOMES_SQL = (
+    cte("tasks")
+    + """, k AS (SELECT *, CASE WHEN status = 'completed' THEN 'skipped' ELSE CASE task_id % 8 WHEN 0 THEN 'done' WHEN 1 THEN 'paused' WHEN 2 THEN 'awaiting_input' WHEN 3 THEN 'gone' WHEN 4 THEN 'diarization_cancelled'
+   WHEN 5 THEN 'download_cancelled' WHEN 6 THEN CASE WHEN user_id % 2 = 0 THEN 'paused' ELSE 'interrupted' END ELSE 'failed' END END AS kind FROM tasks),
+ o AS (SELECT task_id, kind, CASE kind WHEN 'done' THEN 'completed' WHEN 'paused' THEN 'paused' WHEN 'awaiting_input' THEN 'awaiting_input' WHEN 'failed' THEN 'failed' ELSE status END AS status,
+   kind IN ('done', 'paused', 'awaiting_input', 'failed') AS event, kind IN ('done', 'failed') AS push, kind = 'done' AS deliver,
+   CASE WHEN kind = 'failed' THEN CASE WHEN user_id % 3 = 0 THEN 'Premieres in 3 hours' ELSE 'boom ' || user_id END END AS error,
+   CASE WHEN kind = 'failed' AND user_id % 3 = 0 THEN 'download_live_not_started' END AS failure_code FROM k)
+"""
+)
+
+
+def _options(s, d):
+    o = read(s, d, "orders").withColumn("k", F.col("o_orderkey") % 5)
+    flag = lambda n: F.when(F.col("k") != n, F.col("o_custkey") % 2 == n % 2)
+    entry = lambda to, v: F.struct(to.alias("deliver_to"), v.alias("variant"), F.lit("s").alias("secret"))
+    delivery = F.when(F.col("k") > 0, F.array(entry(F.col("o_custkey").cast("string"), F.when(F.col("k") == 1, "").otherwise("raw")), entry(F.when(F.col("k") == 2, ""), F.lit("raw"))))
+    options = F.struct(F.when(F.col("k") < 3, F.col("o_orderstatus")).alias("language"), flag(1).alias("audio_only"), flag(2).alias("transcript"), flag(3).alias("diarize"), delivery.alias("delivery"))
+    x = o.withColumn("options", options).select("o_orderkey", co.expand_options(F.col("options")).alias("x")).select("o_orderkey", "x.*")
+    return x.withColumn("delivery", F.array_join(F.transform("delivery", lambda e: F.concat_ws("/", e["deliver_to"], e["variant"])), ","))
+
+
+_OPTIONS_SQL = """WITH k AS (SELECT *, o_orderkey % 5 AS k FROM orders)
+ SELECT o_orderkey, CASE WHEN k < 3 THEN o_orderstatus END AS language, CASE WHEN k = 1 THEN false ELSE o_custkey % 2 = 1 END AS audio_only, CASE WHEN k = 2 THEN true ELSE o_custkey % 2 = 0 END AS transcript,
+ CASE WHEN k = 3 THEN false ELSE o_custkey % 2 = 1 END AS diarize, CASE k WHEN 0 THEN '' WHEN 1 THEN o_custkey::VARCHAR ELSE o_custkey || '/raw' END AS delivery FROM k"""
+
+
+def _presets(s, d):
+    source = F.element_at(F.array(F.lit("system"), F.lit("user"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int"))
+    refs = read(s, d, "events").select("event_id", source.alias("source"), F.col("user_id").cast("string").alias("id"))
+    system = read(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("options"))
+    return co.resolve_preset(refs, system, read(s, d, "customer").select(F.col("c_custkey").alias("preset_id"), F.col("c_name").alias("options")))
+
+
+_PRESETS_SQL = """WITH r AS (SELECT event_id, ['system', 'user', 'other'][event_id % 3 + 1] AS source, user_id FROM events)
+ SELECT event_id, source, user_id::VARCHAR AS id, coalesce(n_name, c_name) AS options FROM r LEFT JOIN nation ON source = 'system' AND n_nationkey = user_id LEFT JOIN customer ON source = 'user' AND c_custkey = user_id"""
+
+
+def _prompts(s, d):
+    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    raw = F.element_at(F.array(F.lit(None), F.to_json(F.array(F.lit("system:summary"), user)), F.to_json(F.array(user, F.lit("user"))), F.lit("{}"), F.lit("["), F.lit("[]")), (F.col("event_id") % 6 + 1).cast("int"))
+    p = read(s, d, "events").select("event_id", co.parse_prompts(raw).alias("p"))
+    return p.select("event_id", "p.error", F.array_join(F.transform("p.refs", lambda r: F.concat_ws(":", r["source"], r["id"])), ",").alias("refs"))
+
+
+_PROMPTS_SQL = """SELECT event_id, [NULL, NULL, 'invalid reference', 'not a list', 'not JSON', NULL][event_id % 6 + 1] AS error,
+ CASE event_id % 6 WHEN 0 THEN 'system:summary' WHEN 1 THEN 'system:summary,user:' || user_id WHEN 5 THEN '' END AS refs FROM events"""
+
+
+def _fitted(s, d):
+    """Sentences of each document as notes; the model's stand-in is a digest of the batch."""
+    t = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "text"))
+    return co.pack_until_fits(t.withColumn("pos", F.col("pos").cast("long")), 60, 40, lambda c: F.md5(c.cast("binary"))).groupBy("id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "|").cast("binary")).alias("h"))
+
+
+def _fitted_sql(passes: int = 6) -> str:
+    """The passes one by one; each numbers its notes, batches those of the ids that don't fit, and digests the batches."""
+    out = [f"WITH RECURSIVE l AS (SELECT doc_id AS id, {_SENT} AS l FROM documents), t0 AS (SELECT id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM l)"]
+    for k in range(passes):
+        out.append(f"n{k} AS (SELECT *, greatest(1, length(text) // 4) AS n FROM t{k}), o{k} AS (SELECT *, sum(n) OVER (PARTITION BY id) > 60 AND count(*) OVER (PARTITION BY id) > 1 AS over FROM n{k}), s{k} AS (SELECT * FROM o{k} WHERE over)")
+        out.append(f"p{k} AS (SELECT id, i, 1 AS batch, n AS total FROM s{k} WHERE i = 1 UNION ALL SELECT s.id, s.i, batch + (total + s.n > 40)::INT, CASE WHEN total + s.n > 40 THEN s.n ELSE total + s.n END FROM p{k} p JOIN s{k} s ON s.id = p.id AND s.i = p.i + 1)")
+        out.append(f"t{k + 1} AS (SELECT id, text, i FROM o{k} WHERE NOT over UNION ALL SELECT id, md5(string_agg(text, chr(10) || chr(10) ORDER BY i)), batch FROM p{k} JOIN s{k} USING (id, i) GROUP BY id, batch)")
+    return ", ".join(out) + f" SELECT id, count(*) AS n, md5(string_agg(text, '|' ORDER BY i)) AS h FROM t{passes} GROUP BY id"
+
+
 QUERIES = {
     "split_entries": (_split, _SPLIT_SQL),
     "diarized_entries": (lambda s, d: _dialogue(s, d)[0], _CLEAN_SQL + ' SELECT task_id, pos, speaker, start, "end", text FROM cl'),
     "diarized_text": (lambda s, d: _dialogue(s, d)[1].select("task_id", F.md5("rendered").alias("h")), _RENDER_SQL),
     "task_rows": (_rows, _ROWS_SQL),
     "task_abilities": (_abilities, _ABILITIES_SQL),
+    "task_outcomes": (_outcomes, _OUTCOMES_SQL + " SELECT * FROM o"),
+    "wrong_ends": (lambda s, d: co.wrong_ends(_outcomes(s, d), view(s, d, "tasks")), _OUTCOMES_SQL + " SELECT task_id, t.status, o.status AS expected FROM tasks t JOIN o USING (task_id) WHERE t.status <> o.status"),
+    "expand_options": (_options, _OPTIONS_SQL),
+    "resolve_preset": (_presets, _PRESETS_SQL),
+    "parse_prompts": (_prompts, _PROMPTS_SQL),
+    "fitted_notes": (_fitted, _fitted_sql()),
     "count_tasks": (lambda s, d: co.count_tasks(tk.filter_tasks(view(s, d, "tasks"), q="VIEW", source_type="file")), cte("tasks") + " SELECT count(*) AS n FROM tasks WHERE (contains(lower(title), 'view') OR contains(lower(url), 'view')) AND starts_with(url, 'file://')"),
     "samples_of": (lambda s, d: co.samples_of(view(s, d, "samples"), read(s, d, "nation").select(F.col("n_nationkey").alias("speaker_id"), F.col("n_regionkey").alias("user_id")), 2).select("sample_id", "speaker_id"), cte("samples") + " SELECT sample_id, speaker_id FROM samples WHERE speaker_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)"),
     "merge_speakers": (_merged, _MERGED_SQL),

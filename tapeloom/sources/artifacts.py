@@ -19,6 +19,7 @@ RAW = T.StructType(
     [
         T.StructField("segment_index", T.IntegerType()),
         T.StructField("start", T.DoubleType()),
+        T.StructField("end", T.DoubleType()),
         T.StructField("raw_json", T.StructType([T.StructField("segments", T.ArrayType(_SPAN))])),
     ]
 )
@@ -57,6 +58,15 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode("e").alias("pos", "x")).select("path", "pos", "x.*").filter("text is not null")
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Raw ASR chunks with the file they come from; a missing or malformed file, or one without a list, has none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), *RAW.fields]))
+    payload = T.StructType([T.StructField("segments", T.ArrayType(RAW))])
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", payload)["segments"].alias("s"))
+    return whole.select("path", F.explode("s").alias("x")).filter("x is not null").select("path", "x.*")
+
+
 def read_windows(spark: SparkSession, primary: str, mirror: str, total: int) -> DataFrame:
     """Window notes: the primary file first, gaps filled from the mirror, indices outside 1..total dropped."""
     return fill_gaps(read_json(spark, primary, WINDOWS).filter("text is not null"), read_json(spark, mirror, WINDOWS).filter("text is not null"), "idx", total)

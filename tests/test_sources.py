@@ -19,6 +19,15 @@ def test_entries_missing_and_malformed(spark, tmp_path):
     assert [(r.pos, r.text, r.speaker) for r in rows] == [(0, "x", None), (2, "y", "S")]
 
 
+def test_raw_payloads(spark, tmp_path):
+    assert artifacts.read_raw(spark, f"{tmp_path}/none/*.json").count() == 0
+    chunk = {"segment_index": 2, "start": 300, "end": 310.5, "raw_json": {"segments": [{"start": 0.5, "end": 1, "text": "x", "more": 1}]}}
+    for name, payload in {"a": json.dumps({"segments": [chunk, None]}), "b": "{ not json", "c": json.dumps({"segments": 5}), "d": json.dumps([1])}.items():
+        (tmp_path / f"{name}.json").write_text(payload)
+    rows = artifacts.read_raw(spark, f"{tmp_path}/*.json").collect()
+    assert [(r.path[-6:], r.segment_index, r.start, r.end, [tuple(x) for x in r.raw_json.segments]) for r in rows] == [("a.json", 2, 300.0, 310.5, [(0.5, 1.0, "x")])]
+
+
 def test_windows_fill_gaps(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"idx": 1, "text": "p1"}, {"idx": 9, "text": "out"}, {"idx": 0, "text": "out"}]))
     (tmp_path / "m.json").write_text(json.dumps([{"idx": 1, "text": "m1"}, {"idx": 2, "text": "m2"}]))
