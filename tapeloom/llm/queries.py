@@ -79,6 +79,20 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(bad.k)::BIGINT AS n_dropped,
 FROM lines LEFT JOIN bad ON lines.k = bad.k GROUP BY doc_id
 """
 
+# All pairs of a label: for small tables, as brute force to compare with.
+OP6_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON r.b = p.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low.b, vec_id) AS component_id, vec_id = coalesce(low.b, vec_id) AS kept
+FROM embeddings LEFT JOIN links ON links.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_simhash": op2_simhash,
@@ -91,4 +105,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
 }
-SQL = {"op3_line_dedup": OP3_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op6_multi_index": OP6_SQL}
