@@ -84,11 +84,12 @@ def _plan(s, d):
 
 
 def _quality(s, d):
-    docs = read(s, d, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    n = int(s.conf.get("spark.sql.shuffle.partitions"))  # much work per row: few row groups or small joins else end in one task
+    table = read(s, d, "documents").filter("doc_id is not null")
+    docs = table.select("doc_id", "text", F.xxhash64("text").alias("h")).repartition(n, "doc_id")
     repeats = sq.repeat_shares(docs, ["doc_id", "h"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "share"))).alias("shares"))
-    n = int(s.conf.get("spark.sql.shuffle.partitions"))  # much work per row: small joins else end in one task
-    source = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")).repartition(n, "doc_id")
-    pair = docs.withColumnRenamed("text", "summary").repartition(n, "doc_id").join(source, "doc_id").join(repeats, "doc_id", "left")
+    source = table.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")).repartition(n, "doc_id")
+    pair = docs.withColumnRenamed("text", "summary").join(source, "doc_id").join(repeats, "doc_id", "left")
     known = F.when(F.col("summary").isNotNull(), F.coalesce(F.try_element_at("shares", F.col("h")), F.lit(0.0)))
     q = pair.select("doc_id", F.inline(F.array(tx.quality_record(F.col("summary"), F.col("source"), repeats=known))))  # inline computes the record once
     return q.select("*", "format.paragraph_count", "format.bullet_ratio", "format.heading_count").drop("format")
