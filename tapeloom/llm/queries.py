@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, embed, htmltext, linededup, media, packing, pii, simhash, suffixes, toxicity
+from tapeloom.llm import bpe, collocations, embed, htmltext, infill, linededup, media, packing, pii, simhash, suffixes, topk, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _tokenizer())
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transform(_docs(spark, sf_dir))
+
+
 OP3_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
@@ -93,6 +105,62 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low.b, vec_id) AS com
 FROM embeddings LEFT JOIN links ON links.a = vec_id LEFT JOIN low ON low.a = vec_id
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+grams AS (SELECT lang, w[i:i + s - 1] AS g FROM places, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE i + s - 1 <= len(w)),
+f AS (SELECT lang, g, count(*)::BIGINT AS a FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+inner_parts AS (
+  SELECT lang, a, g[i:i + s - 1] AS part FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM f WHERE len(g) > 2), (SELECT unnest([2, 3]) AS s)
+  WHERE s < len(g) AND i + s - 1 <= len(g)),
+carried AS (SELECT lang, part, max(a) AS most FROM inner_parts GROUP BY lang, part),
+kept AS (SELECT f.* FROM f LEFT JOIN carried c ON c.lang = f.lang AND c.part = f.g WHERE len(f.g) > 1 AND (most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT)),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM kept),
+scored AS (
+  SELECT c.*, x.a AS l, y.a AS r, (2000000 * c.a::HUGEINT) // (x.a + y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1:len(c.g)]),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM weakest)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+# All queries with all rows: for small tables, as brute force to compare with.
+OP12_SQL = """
+WITH good AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] * c.v[i])::HUGEINT)), 0)::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id % 50 = 0 AND c.row <> q.row AND len(q.v) = len(c.v))
+SELECT query_id, (row_number() OVER best)::INTEGER AS rank, vec_id, score FROM pair
+WINDOW best AS (PARTITION BY row ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
+"""
+
+OP13_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+given AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS p, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS q,
+         n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 AS plain,
+         ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 AS spm
+  FROM drawn),
+parts AS (
+  SELECT *, least(p, q) AS low, greatest(p, q) AS high, substring(t, 1, least(p, q)) AS pre, substring(t, least(p, q) + 1, greatest(p, q) - least(p, q)) AS mid,
+         substring(t, greatest(p, q) + 1, n) AS suf FROM given),
+made AS (SELECT *, CASE WHEN plain THEN t WHEN spm THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END AS output FROM parts),
+cut AS (
+  SELECT *, CASE WHEN plain THEN output WHEN spm THEN split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || split_part(substring(output, 4), '<P>', 1)
+                 ELSE split_part(substring(output, 4), '<S>', 1) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1) END AS back FROM made)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN low END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN high - low END::BIGINT AS middle_chars,
+       sha256(output) AS output_sha256, sha256(back) AS restored_sha256
+FROM cut
+"""
+
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_simhash": op2_simhash,
@@ -104,5 +172,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_threshold_topk": op12_threshold_topk,
+    "op13_infill": op13_infill,
 }
-SQL = {"op3_line_dedup": OP3_SQL, "op6_multi_index": OP6_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op6_multi_index": OP6_SQL, "op11_collocations": OP11_SQL, "op12_threshold_topk": OP12_SQL, "op13_infill": OP13_SQL}
