@@ -67,7 +67,7 @@ def test_collocations_of_nothing(spark):
 def test_a_screen_may_let_rare_grams_through(spark):
     """With a map of few bits nearly every gram passes, with many bits few do; the result is the same."""
     rows = mixed_texts()
-    sizes = [collocations.edges(docs(spark, rows).select("lang", "text"), 4, 4, bits).filter("words > 2").count() for bits in (6, 27)]
+    sizes = [collocations.edges(docs(spark, rows).select("lang", "text").fillna("und"), 4, 4, bits).filter("words > 2").count() for bits in (6, 27)]
     assert sizes[0] > 1.5 * sizes[1]
     assert sorted(map(tuple, collocations.collocations(docs(spark, rows), least=4, map_bits=6).collect())) == brute_phrases(rows, 4, 2000)
 
