@@ -33,16 +33,17 @@ OUTCOMES = [
 def split_entries(entries: DataFrame, words: DataFrame, turns: DataFrame, min_words: int, min_seconds: float, by: str = "task_id") -> DataFrame:
     """Entries (task, pos, speaker, start, end, text) cut where the speaker changes: (task, pos, part, speaker, start, end, text).
 
-    ``words`` (task, pos, word_pos, word, start, end) carry their entry's clock. Entries whose words lack times, or have
-    no words inside them, stay whole with the speaker of greatest overlap; so do those whose words leave one group,
-    with that group's speaker if there is one.
+    ``words`` (task, pos, word_pos, word, start, end) carry their entry's clock. A word that overlaps no turn goes to the
+    nearest one, so a change of speaker lies where the sound changes. Entries whose words lack times, or have no words
+    inside them, stay whole with the speaker of greatest overlap; so do those whose words leave one group, with that
+    group's speaker if there is one.
     """
     key = [by, "pos"]
     frame = entries.select(*key, F.col("start").alias("_s"), F.col("end").alias("_e"))
     glued = sq.glue_subwords(sq.usable_words(words, key), key).join(frame, key)
     moved = glued.withColumns({"start": F.col("start") + F.col("_s"), "end": F.col("end") + F.col("_s")}).filter("`end` > _s and start < _e")
     spans = moved.withColumn("span_id", F.struct("pos", "word_no")).drop("_s", "_e")
-    spoken = iv.speaker_at(spans, turns, by).withColumnRenamed("word_no", "word_pos")
+    spoken = iv.nearest_speaker(spans, turns, by).withColumnRenamed("word_no", "word_pos")
     groups = sq.absorb_small(sq.group_words(spoken, key), key, min_words, min_seconds)
     n = F.count("*").over(Window.partitionBy(*key))
     part = F.row_number().over(Window.partitionBy(*key).orderBy("island")) - 1
@@ -55,9 +56,10 @@ def split_entries(entries: DataFrame, words: DataFrame, turns: DataFrame, min_wo
 
 
 def diarized(entries: DataFrame, words: DataFrame, turns: DataFrame, names: DataFrame, min_words: int, min_seconds: float, min_share: float, word: str = "Speaker") -> tuple[DataFrame, DataFrame]:
-    """(entries, rendered text): entries split by speaker, without repeats at their edges and marginal speakers; then rendered."""
+    """(entries, rendered text): entries split by speaker and numbered anew, without repeats at their edges and marginal speakers; then rendered."""
     parts = split_entries(entries, words, turns, min_words, min_seconds)
-    flat = parts.withColumn("pos", F.col("pos") * 1000 + F.col("part")).drop("part")
+    order = Window.partitionBy("task_id").orderBy("pos", "part")
+    flat = parts.withColumn("pos", F.row_number().over(order).cast("long") - 1).drop("part")
     cleaned = iv.drop_marginal(sq.trim_entries(flat), min_share)
     return cleaned, sq.render_dialogue(cleaned, sq.label_map(cleaned, names, word))
 

@@ -74,12 +74,16 @@ def merge_adjacent(groups: DataFrame, by: list[str]) -> DataFrame:
 
 
 def glue_subwords(tokens: DataFrame, by: list[str]) -> DataFrame:
-    """Join subword tokens into words where any token of the entry is marked by a leading space."""
+    """Join subword tokens into words where any token of the entry is marked by a leading space.
+
+    Words are stripped. Blank and null tokens are none and open no word, though a leading space of theirs counts as a mark.
+    """
     w = Window.partitionBy(*by).orderBy("word_pos")
-    marked = F.max(F.col("word").startswith(" ").cast("int")).over(Window.partitionBy(*by)) == 1
+    marked = tokens.withColumn("_m", F.coalesce(F.max(F.col("word").startswith(" ").cast("int")).over(Window.partitionBy(*by)), F.lit(0)) == 1)
+    full = marked.withColumn("_w", tx.strip(F.col("word"))).filter("_w <> ''")
     opens = F.col("word").startswith(" ") | (F.row_number().over(w) == 1) | ~F.col("_m")
-    runs = tokens.withColumn("_m", marked).withColumn("word_no", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*by, "word_no").agg(ordered_texts("word", "word_pos", sep="").alias("word"), F.min_by("start", "word_pos").alias("start"), F.max_by("end", "word_pos").alias("end"))
+    runs = full.withColumn("word_no", F.sum(opens.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*by, "word_no").agg(ordered_texts("_w", "word_pos", sep="").alias("word"), F.min_by("start", "word_pos").alias("start"), F.max_by("end", "word_pos").alias("end"))
 
 
 def usable_words(words: DataFrame, by: list[str]) -> DataFrame:

@@ -10,18 +10,24 @@ from tapeloom.operators import tasks as tk
 from tapeloom.plans.adapters import cte, read, view
 from tapeloom.plans.transcripts import _runs_cut, _SAID, _SENT, _strip
 
-_SHIFT, _MIN_WORDS, _MIN_SECONDS, _MIN_SHARE = 80, 3, 8.0, 0.2
+_SHIFT, _SILENCE, _MIN_WORDS, _MIN_SECONDS, _MIN_SHARE = 80, 15, 3, 8.0, 0.2
 
 
 def _local_words(s, d):
-    """Words of each entry on its own clock, four seconds apart; the first of some entries has no time."""
+    """Words of each entry on its own clock, four seconds apart; the first of some entries has no time.
+
+    In every other recording they are subwords: a leading space marks where a word begins, and some tokens are blank.
+    """
     w = read(s, d, "conversations").select(F.col("conv_id").alias("task_id"), F.col("turn").alias("pos"), F.posexplode(F.split("text", " ")).alias("word_pos", "word"))
     lost = (F.col("task_id") % 4 == 0) & (F.col("pos") % 3 == 0) & (F.col("word_pos") == 0)
+    part = (F.col("task_id") % 2 == 0) & (F.col("word_pos") % 3 > 0)
+    w = w.withColumn("word", F.when(F.col("word_pos") % 17 == 5, " ").when(part, F.concat(F.lit(" "), "word")).otherwise(F.col("word")))
     return w.withColumns({"start": F.when(~lost, F.col("word_pos") * 4.0), "end": F.col("word_pos") * 4.0 + 3.5})
 
 
 def _shifted_turns(s, d):
-    return view(s, d, "turns").withColumns({"start": F.col("start") + _SHIFT, "end": F.col("end") + _SHIFT})
+    """Turns with silence between them, so that some words overlap none."""
+    return view(s, d, "turns").withColumns({"start": F.col("start") + _SHIFT, "end": F.greatest("start", F.col("end") - _SILENCE) + _SHIFT})
 
 
 def _split(s, d):
@@ -40,14 +46,20 @@ def _dialogue(s, d):
 def _split_sql(entries: str) -> str:
     return (
         cte("turns")
-        + f""", {entries}, t AS (SELECT task_id, seg_pos, speaker, start + {_SHIFT} AS start, "end" + {_SHIFT} AS "end" FROM turns),
- lw AS (SELECT conv_id AS task_id, turn AS pos, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
+        + f""", {entries}, t AS (SELECT task_id, seg_pos, speaker, start + {_SHIFT} AS start, greatest(start, "end" - {_SILENCE}) + {_SHIFT} AS "end" FROM turns),
+ lx AS (SELECT conv_id AS task_id, turn AS pos, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
+ lw AS (SELECT task_id, pos, i, CASE WHEN i % 17 = 5 THEN ' ' WHEN task_id % 2 = 0 AND i % 3 > 0 THEN ' ' || x ELSE x END AS word FROM lx),
  ti AS (SELECT *, task_id % 4 = 0 AND pos % 3 = 0 AND i = 0 AS lost, i * 4.0::DOUBLE AS start, i * 4.0::DOUBLE + 3.5 AS "end" FROM lw),
  us AS (SELECT * FROM ti QUALIFY NOT bool_or(lost) OVER (PARTITION BY task_id, pos)),
- sh AS (SELECT u.task_id, u.pos, i, word, u.start + e.start AS start, u."end" + e.start AS "end" FROM us u JOIN entries e ON e.task_id = u.task_id AND e.pos = u.pos WHERE u."end" > 0 AND u.start + e.start < e."end"),
+ mk AS (SELECT *, bool_or(starts_with(word, ' ')) OVER (PARTITION BY task_id, pos) AS mk FROM us),
+ op AS (SELECT *, (NOT mk OR starts_with(word, ' ') OR row_number() OVER (PARTITION BY task_id, pos ORDER BY i) = 1)::INT AS op FROM mk WHERE regexp_replace(word, '\\s', '', 'g') <> ''),
+ wn AS (SELECT *, sum(op) OVER (PARTITION BY task_id, pos ORDER BY i ROWS UNBOUNDED PRECEDING) AS wn FROM op),
+ gl AS (SELECT task_id, pos, wn AS i, string_agg(regexp_replace(word, '^\\s+|\\s+$', '', 'g'), '' ORDER BY i) AS word, min_by(start, i) AS start, max_by("end", i) AS "end" FROM wn GROUP BY ALL),
+ sh AS (SELECT u.task_id, u.pos, i, word, u.start + e.start AS start, u."end" + e.start AS "end" FROM gl u JOIN entries e ON e.task_id = u.task_id AND e.pos = u.pos WHERE u."end" > 0 AND u.start + e.start < e."end"),
  me AS (SELECT s.task_id, s.pos, s.i, t.speaker, t.seg_pos, least(s."end", t."end") - greatest(s.start, t.start) AS ov FROM sh s JOIN t ON t.task_id = s.task_id),
  be AS (SELECT task_id, pos, i, max_by(speaker, (ov, -seg_pos)) AS speaker FROM me WHERE ov > 0 GROUP BY ALL),
- aw AS (SELECT sh.*, speaker FROM sh LEFT JOIN be USING (task_id, pos, i)),
+ ne AS (SELECT s.task_id, s.pos, s.i, min_by(t.speaker, (least(abs((s.start + s."end") / 2 - t.start), abs((s.start + s."end") / 2 - t."end")), t.seg_pos)) AS near FROM sh s JOIN t ON t.task_id = s.task_id GROUP BY ALL),
+ aw AS (SELECT sh.*, coalesce(speaker, near) AS speaker FROM sh LEFT JOIN be USING (task_id, pos, i) LEFT JOIN ne USING (task_id, pos, i)),
  f AS (SELECT *, last_value(speaker IGNORE NULLS) OVER (PARTITION BY task_id, pos ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM aw),
  c AS (SELECT *, (row_number() OVER p = 1 OR k IS DISTINCT FROM lag(k) OVER p)::INT AS ch FROM f WINDOW p AS (PARTITION BY task_id, pos ORDER BY i)),
  il AS (SELECT *, sum(ch) OVER (PARTITION BY task_id, pos ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM c),
@@ -74,7 +86,7 @@ def _entries_sql(extra: str = "text") -> str:
 
 _SPLIT_SQL = _split_sql(_entries_sql())
 _CLEAN_SQL = (
-    "WITH es AS (SELECT task_id, pos * 1000 + part AS pos, speaker, start, \"end\", text FROM ("
+    "WITH es AS (SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY pos, part) - 1 AS pos, speaker, start, \"end\", text FROM ("
     + _split_sql(_entries_sql("CASE WHEN task_id % 3 = 0 THEN repeat('Thank you. ', 7) || text ELSE text END"))
     + ")), ff AS (SELECT task_id, pos, unnest(l) AS s, generate_subscripts(l, 1) AS j FROM (SELECT task_id, pos, "
     + _SAID

@@ -63,8 +63,9 @@ def _in_entry(s, d):
 
 
 def _glued(s, d):
-    t = _words(s, d).withColumn("word", F.when((F.col("task_id") % 2 == 0) & (F.col("word_pos") % 3 > 0), F.concat(F.lit(" "), "word")).otherwise(F.col("word")))
-    return sq.glue_subwords(t, ["task_id"]).groupBy("task_id").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("longest"))
+    t = _words(s, d).withColumn("word", F.when(F.col("word_pos") % 17 == 5, "  ").when((F.col("task_id") % 2 == 0) & (F.col("word_pos") % 3 > 0), F.concat(F.lit(" "), "word")).otherwise(F.col("word")))
+    t = t.withColumn("word", F.when((F.col("task_id") % 4 != 1) | (F.col("word_pos") % 17 != 5), F.col("word")).otherwise(""))
+    return sq.glue_subwords(t, ["task_id"]).groupBy("task_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.md5(sq.ordered_texts("word", "word_no", sep="|")).alias("h"))
 
 
 def _chunks(s, d):
@@ -298,9 +299,12 @@ QUERIES = {
     "glue_subwords": (
         _glued,
         _WORDS
-        + """, t AS (SELECT task_id, word_pos, CASE WHEN task_id % 2 = 0 AND word_pos % 3 > 0 THEN ' ' || word ELSE word END AS word FROM words),
- o AS (SELECT *, (starts_with(word, ' ') OR row_number() OVER (PARTITION BY task_id ORDER BY word_pos) = 1 OR NOT bool_or(starts_with(word, ' ')) OVER (PARTITION BY task_id))::INT AS op FROM t),
- n AS (SELECT *, sum(op) OVER (PARTITION BY task_id ORDER BY word_pos ROWS UNBOUNDED PRECEDING) AS no FROM o), g AS (SELECT task_id, no, string_agg(word, '' ORDER BY word_pos) AS word FROM n GROUP BY ALL) SELECT task_id, count(*) AS n, max(length(word))::INT AS longest FROM g GROUP BY 1""",
+        + """, t AS (SELECT task_id, word_pos, start, "end", CASE WHEN word_pos % 17 = 5 THEN CASE WHEN task_id % 4 = 1 THEN '' ELSE '  ' END WHEN task_id % 2 = 0 AND word_pos % 3 > 0 THEN ' ' || word ELSE word END AS word FROM words),
+ k AS (SELECT *, bool_or(starts_with(word, ' ')) OVER (PARTITION BY task_id) AS k FROM t),
+ o AS (SELECT *, (NOT k OR starts_with(word, ' ') OR row_number() OVER (PARTITION BY task_id ORDER BY word_pos) = 1)::INT AS op FROM k WHERE regexp_replace(word, '\\s', '', 'g') <> ''),
+ n AS (SELECT *, sum(op) OVER (PARTITION BY task_id ORDER BY word_pos ROWS UNBOUNDED PRECEDING) AS no FROM o),
+ g AS (SELECT task_id, no, string_agg(regexp_replace(word, '^\\s+|\\s+$', '', 'g'), '' ORDER BY word_pos) AS word, min_by(start, word_pos) AS start, max_by("end", word_pos) AS "end" FROM n GROUP BY ALL)
+ SELECT task_id, count(*) AS n, sum(start) AS starts, sum("end") AS ends, md5(string_agg(word, '|' ORDER BY no)) AS h FROM g GROUP BY 1""",
     ),
     "label_map": (lambda s, d: sq.label_map(view(s, d, "entries"), _names(s, d)), _LABELS + " SELECT task_id, speaker, label FROM l"),
     "render_dialogue": (
