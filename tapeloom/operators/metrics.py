@@ -23,34 +23,57 @@ def worst(events: DataFrame, by: list[str], key: str, n: int = 3, order: str = "
     return events.filter(F.col(key).isNotNull()).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= n)
 
 
-def rollup(events: DataFrame) -> DataFrame:
-    """One row per task: wall time per stage, percentiles of rates, and the three worst segments two ways.
+RATES = ["rtf", "llm_tok_per_s", "compression_ratio", "redundancy_dup_sentence_ratio"]
+WORST = {"worst3_number_mismatch": "number_mismatch_count", "worst3_redundancy": "redundancy_dup_sentence_ratio"}
 
-    All percentiles come from one grouping by task; times by stage are summed by (task, stage) first, and the worst
-    segments are ranked by windows that keep three rows a task, so only small rows are joined.
+
+def rollup(events: DataFrame, n: int = 3) -> DataFrame:
+    """One row per task: wall time per stage, percentiles of rates, and the n worst segments two ways.
+
+    An event becomes facets: its stage's wall time and each rate that counts at its stage. One grouping by task and
+    facet, with partial sums and percentiles, reduces them; the worst segments are kept by a window that holds n rows a
+    task and list already before its shuffle. Only these few rows are dealt by task, so a task with most of the events
+    is spread over its facets and nothing is joined. A measure without a value is null.
     """
     asr, summary = F.col("stage") == "transcribe.segment", F.col("stage").isin(SUMMARIES)
     wall = F.when(F.col("stage") != "task.final", F.col("t_wall_ms").cast("long"))
-    measures = []
-    for name, when in (("rtf", asr), ("llm_tok_per_s", summary), ("compression_ratio", summary), ("redundancy_dup_sentence_ratio", summary)):
-        for p in (50, 95):
-            measures.append(percentile_or_null(F.when(when, F.col(name)), p).alias(f"p{p}_{name}"))
-    per_stage = events.groupBy("task_id", "stage").agg(F.sum(wall).alias("ms")).filter("ms is not null")
-    per_stage = per_stage.groupBy("task_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("total_wall_ms_by_stage"))
-    tops = []
-    for name, key in (("worst3_number_mismatch", "number_mismatch_count"), ("worst3_redundancy", "redundancy_dup_sentence_ratio")):
-        top = worst(events.filter(summary), ["task_id"], key).groupBy("task_id")
-        tops.append(top.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment_id"))), lambda x: x["segment_id"]).alias(name)))
-    out = events.groupBy("task_id").agg(*measures).join(per_stage, "task_id", "left")
-    for top in tops:
-        out = out.join(top, "task_id", "left")
-    return out
+    none, some = F.lit(None).cast("double"), lambda c: F.col(c).cast("double")
+    facets = [F.struct(F.lit("wall").alias("facet"), F.col("stage").alias("of"), wall.alias("ms"), none.alias("value"))]
+    for name in RATES:
+        counts = (asr if name == "rtf" else summary) & F.col(name).isNotNull()
+        facets.append(F.when(counts, F.struct(F.lit("rate").alias("facet"), F.lit(name).alias("of"), F.lit(None).cast("long").alias("ms"), some(name).alias("value"))))
+    flat = events.select("task_id", F.inline(F.array_compact(F.array(*facets))))
+    sums = flat.groupBy("task_id", "facet", "of").agg(F.sum("ms").alias("ms"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
+    keys = [F.when(F.col(key).isNotNull(), F.struct(F.lit(name).alias("of"), some(key).alias("key"))) for name, key in WORST.items()]
+    ranked = events.filter(summary).select("task_id", "segment_id", "event_pos", F.inline(F.array_compact(F.array(*keys))))
+    rank = F.row_number().over(Window.partitionBy("task_id", "of").orderBy(F.desc("key"), "event_pos"))
+    tops = ranked.withColumn("rank", rank).filter(F.col("rank") <= n)
+    segment = events.schema["segment_id"].dataType
+    rows = sums.select("task_id", "facet", "of", "ms", "p", F.lit(None).cast("int").alias("rank"), F.lit(None).cast(segment).alias("segment_id"))
+    rows = rows.unionByName(tops.select("task_id", F.lit("top").alias("facet"), "of", F.lit(None).cast("long").alias("ms"), F.lit(None).cast("array<double>").alias("p"), "rank", "segment_id"))
+
+    def rate(name: str, i: int) -> Column:
+        return F.bround(F.max(F.when((F.col("facet") == "rate") & (F.col("of") == name), F.get("p", F.lit(i)))), 4)
+
+    def listed(kind: Column, item: Column) -> Column:
+        every = F.array_sort(F.collect_list(F.when(kind, item)))
+        return F.when(F.size(every) > 0, every)
+
+    measures = [rate(name, i).alias(f"p{p}_{name}") for name in RATES for i, p in enumerate((50, 95))]
+    walls = listed((F.col("facet") == "wall") & F.col("ms").isNotNull() & F.col("of").isNotNull(), F.struct("of", "ms"))
+    worsts = [F.transform(listed((F.col("facet") == "top") & (F.col("of") == name), F.struct("rank", "segment_id")), lambda x: x["segment_id"]).alias(name) for name in WORST]
+    return rows.groupBy("task_id").agg(*measures, F.map_from_entries(walls).alias("total_wall_ms_by_stage"), *worsts)
 
 
 def wall_by_stage(events: DataFrame) -> DataFrame:
     return events.filter(F.col("stage") != "task.final").groupBy("task_id", "stage").agg(F.sum(F.col("t_wall_ms").cast("long")).alias("wall_ms"))
 
 
+def user_durations(steps: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The durations of ``step_durations`` with their task's user; steps of unknown tasks don't count."""
+    return step_durations(steps).join(tasks.select("task_id", "user_id"), "task_id")
+
+
 def step_durations(steps: DataFrame) -> DataFrame:
     """Seconds of completed steps with both times and no negative length; a window total under 1 is null."""
     sec = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6

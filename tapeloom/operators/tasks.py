@@ -143,17 +143,49 @@ def users_with(tasks: DataFrame, status: str = "completed") -> DataFrame:
     return tasks.filter(F.col("status") == status).select("user_id").distinct()
 
 
+def canonical_json(raw: Column) -> Column:
+    """One text for all spellings of a JSON value: keys sorted at every depth, no spaces, 1.0 and 1.00 as 1.
+
+    Null counts as JSON's null. A text that isn't JSON, or has a key twice, stands for itself. Numbers with an exponent
+    are doubles, which equal only each other.
+    """
+    plain = F.to_json(F.try_parse_json(raw))
+    whole = F.regexp_replace(plain, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0(?=[,\]}]|$)', "$1$2")
+    return F.when(raw.isNull(), "null").otherwise(F.coalesce(whole, F.concat(F.lit("raw:"), raw)))
+
+
 def donor(tasks: DataFrame, url: str, user_id, options: str, newest_of: int = 20) -> DataFrame:
-    """The newest completed task of another user for a URL whose options equal the given JSON, key order aside."""
+    """The newest completed task of another user for a URL whose options equal the given JSON."""
     near = tasks.filter((F.col("url") == url) & (F.col("status") == "completed") & (F.col("user_id") != user_id))
     near = near.orderBy(F.desc("created_at"), F.desc("task_id")).limit(newest_of)
     return near.filter(same_json(F.col("options"), F.lit(options))).orderBy(F.desc("created_at"), F.desc("task_id")).limit(1)
 
 
 def same_json(a: Column, b: Column) -> Column:
-    """Equality of flat JSON objects, whatever the order of their keys."""
-    pairs = [F.array_sort(F.map_entries(F.from_json(x, "map<string,string>"))) for x in (a, b)]
-    return pairs[0] == pairs[1]
+    """Deep equality of two JSON values."""
+    return canonical_json(a) == canonical_json(b)
+
+
+def donors(asked: DataFrame, tasks: DataFrame, newest_of: int = 20) -> DataFrame:
+    """(task_id, donor_id): for each asking task (task_id, user_id, url, options) the task to copy; null if none.
+
+    A donor is completed, has the URL and equal options, belongs to another user, and is among the ``newest_of`` newest
+    of those for the asker, whatever their options; the newest counts. A URL's candidates are its 2 k newest tasks,
+    at most k a user: whoever asks, the k newest of the others are among them. Both limits hold before the shuffles
+    (by window group limits), so a URL with most of the tasks costs each task 2 k rows, and askers meet one small row a
+    URL by an equi-join. Options are compared by a digest of their canonical form.
+    """
+    digest = F.sha2(canonical_json(F.col("options")), 256)
+    newest = [F.desc("created_at"), F.desc("task_id")]
+    done = tasks.filter("status = 'completed' and url is not null and user_id is not null").select("url", "user_id", "created_at", "task_id", digest.alias("_as"))
+    own = done.withColumn("_r", F.row_number().over(Window.partitionBy("url", "user_id").orderBy(*newest))).filter(F.col("_r") <= newest_of)
+    top = own.withColumn("_r", F.row_number().over(Window.partitionBy("url").orderBy(*newest))).filter(F.col("_r") <= 2 * newest_of)
+    found = top.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("_r", "user_id", "task_id", "_as"))).alias("_all"))
+    own_id = F.col("user_id")
+    met = asked.select("task_id", "user_id", "url", digest.alias("_own")).join(found, "url", "left")
+    others = F.slice(F.filter("_all", lambda c: c["user_id"] != own_id), 1, newest_of)
+    fits = F.filter(others, lambda c: c["_as"] == F.col("_own"))
+    return met.select("task_id", F.get(fits, F.lit(0))["task_id"].alias("donor_id"))
 
 
 def public_lane_positions(queue: DataFrame) -> DataFrame:

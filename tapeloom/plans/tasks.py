@@ -82,6 +82,28 @@ def _donor(s, d):
     return tasks.donor(view(s, d, "tasks"), "https://host.example/7", 3, '{ "k":48}').unionByName(tasks.donor(view(s, d, "tasks"), "file://rec/9", 5, '{"k" : 11}')).select("task_id", "url")
 
 
+def _spelled(s, d):
+    """Tasks with nested options; the askers spell theirs in another key order and with other numbers."""
+    base = read(s, d, "events").select(
+        F.col("event_id").alias("task_id"), (F.col("user_id") % 7).alias("user_id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, "completed").otherwise("queued").alias("status"),
+        F.concat(F.lit("u"), F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("event_id") % 40).cast("string")).alias("url"), (F.col("event_id") % 5).cast("string").alias("k"))
+    one = F.concat(F.lit('{"lang": "de", "steps": {"n": '), "k", F.lit(', "list": [1, {"a": 1.50, "b": "1.0"}]}}'))
+    two = F.concat(F.lit('{"steps":{"list":[1.0,{"b":"1.0","a":1.5}],"n":'), "k", F.lit('.0},"lang":"de"}'))
+    return base.withColumn("options", F.when(F.col("status") == "completed", one).otherwise(F.when(F.col("task_id") % 8 == 0, two).otherwise(F.concat(F.lit("{"), "k"))))
+
+
+def _donors(s, d):
+    t = _spelled(s, d)
+    return tasks.donors(t.filter("status = 'queued'"), t)
+
+
+_DONORS_SQL = """WITH t AS (SELECT event_id AS task_id, user_id % 7 AS user_id, ts AS created_at, event_id % 4 > 0 AS done, 'u' || CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 40 END AS url, event_id % 5 AS k FROM events),
+ p AS (SELECT a.task_id, c.task_id AS donor_id, c.k = a.k AND a.task_id % 8 = 0 AS same, row_number() OVER (PARTITION BY a.task_id ORDER BY c.created_at DESC, c.task_id DESC) AS r
+  FROM t a JOIN t c ON c.url = a.url AND c.done AND NOT a.done AND c.user_id <> a.user_id),
+ b AS (SELECT task_id, min_by(donor_id, r) AS donor_id FROM p WHERE r <= 20 AND same GROUP BY 1)
+ SELECT t.task_id, donor_id FROM t LEFT JOIN b ON b.task_id = t.task_id WHERE NOT done"""
+
+
 def _wait(s, d):
     e = read(s, d, "events").select(F.col("user_id").alias("task_id"), "ts", "event_id", F.col("event_type").alias("event"))
     return tasks.wait_until(e, _now("2024-01-02 00:00:00"), F.col("event").isin("purchase", "error"))
@@ -132,6 +154,7 @@ QUERIES = {
         + """, c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY created_at DESC, task_id DESC) AS r FROM tasks WHERE status = 'completed' AND (url = 'https://host.example/7' AND user_id <> 3 OR url = 'file://rec/9' AND user_id <> 5)),
  m AS (SELECT * FROM c WHERE r <= 20 AND options = CASE url WHEN 'file://rec/9' THEN '{"k": 11}' ELSE '{"k": 48}' END) SELECT task_id, url FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY r) = 1""",
     ),
+    "donors": (_donors, _DONORS_SQL),
     "lane_positions": (
         lambda s, d: tasks.public_lane_positions(view(s, d, "queue")).select("lane", "task_id", "position"),
         cte("queue") + ", f AS (SELECT * FROM queue QUALIFY row_number() OVER (PARTITION BY lane, task_id ORDER BY priority, pos) = 1) SELECT lane, task_id, row_number() OVER (PARTITION BY lane ORDER BY priority, pos, task_id) AS position FROM f",
