@@ -32,6 +32,38 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def fold(values: Column, state: Column, step, kind: str, rest=None) -> Column:
+    """The values that a fold gives out, as an array of ``kind``: ``step(state, value)`` is (new state, whether, what).
+
+    ``rest(state)`` is (whether, what) comes last. An array that grows by one is copied each time, so the values are
+    taken in blocks of their number's square root, whose lists are joined at the end: n^1.5 copies of references.
+    """
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+
+    def over(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), width)).otherwise(F.expr("cast(array() as array<int>)"))
+
+        def one(b: Column, x: Column) -> Column:
+            new, gives, what = step(b["state"], x)
+            return F.struct(new.alias("state"), F.when(gives, F.concat(b["out"], F.array(what))).otherwise(b["out"]).alias("out"))
+
+        def block(a: Column, at: Column) -> Column:
+            start = F.struct(a["state"].alias("state"), empty.alias("out"))
+            return F.aggregate(F.slice(xs, at, width), start, one, lambda b: F.struct(b["state"].alias("state"), F.concat(a["done"], F.array(b["out"])).alias("done")))
+
+        def close(a: Column) -> Column:
+            done = F.flatten(a["done"])
+            if rest is None:
+                return done
+            gives, what = rest(a["state"])
+            return F.when(gives, F.concat(done, F.array(what))).otherwise(done)
+
+        return F.aggregate(starts, F.struct(state.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("done")), block, close)
+
+    return let(values, over)
+
+
 def strip(c: Column) -> Column:
     """Remove all Unicode white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -75,10 +107,11 @@ def hash64(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("binary")), 1, 16), 16, -10).cast("long")
 
 
-def simhash(tokens: Column, hashed=hash64) -> Column:
+def simhash(tokens: Column, hashed=hash64, fits: int = 1 << 22) -> Column:
     """64-bit SimHash over token hashes: a bit is set if more tokens have it than not; no tokens give 0.
 
-    The set bits are counted three at a time, in fields of 22 bits of a long, so a token costs 22 additions.
+    The set bits are counted three at a time, in fields of 22 bits of a long, so a token costs 22 additions. The fields
+    hold 4,194,303 tokens; of more, the bits are counted one by one.
     """
     fields = F.lit(1 | 1 << 22 | 1 << 44).cast("long")
     low = F.lit((1 << 22) - 1).cast("long")
@@ -93,7 +126,13 @@ def simhash(tokens: Column, hashed=hash64) -> Column:
             more = F.shiftrightunsigned(x["n"], 22 * f).bitwiseAND(low) * 2 > F.size(hashes)  # bits 64 and 65 are never set
             return F.when(more, F.call_function("shiftleft", F.lit(1).cast("long"), x["k"] + 22 * f)).otherwise(F.lit(0).cast("long"))
 
-        return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x, 0)).bitwiseOR(bit(x, 1)).bitwiseOR(bit(x, 2)))
+        packed = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(bit(x, 0)).bitwiseOR(bit(x, 1)).bitwiseOR(bit(x, 2)))
+        return F.when(F.size(hashes) < fits, packed).otherwise(one_by_one(hashes))
+
+    def one_by_one(hashes: Column) -> Column:
+        one = F.lit(1).cast("long")
+        each = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct(k.alias("k"), F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, k).bitwiseAND(one)).alias("n")))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.when(x["n"] * 2 > F.size(hashes), F.call_function("shiftleft", one, x["k"])).otherwise(F.lit(0).cast("long"))))
 
     return let(F.transform(tokens, hashed), fold)
 

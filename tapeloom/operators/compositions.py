@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import text as tx
 from tapeloom.operators import intervals as iv
+from tapeloom.operators import metrics as mt
 from tapeloom.operators import sequences as sq
 from tapeloom.operators import tasks as tk
 
@@ -48,11 +49,12 @@ def split_entries(entries: DataFrame, words: DataFrame, turns: DataFrame, min_wo
     n = F.count("*").over(Window.partitionBy(*key))
     part = F.row_number().over(Window.partitionBy(*key).orderBy("island")) - 1
     groups = groups.withColumns({"_n": n, "part": part})
-    whole = iv.speaker_at(entries.drop("speaker").withColumn("span_id", F.col("pos")), turns, by).drop("span_id")
-    single = groups.groupBy(*key).agg(F.max("_n").alias("_n"), F.first("speaker").alias("_own"))
-    whole = whole.join(single, key, "left").filter("coalesce(_n, 0) <= 1").withColumns({"speaker": F.when(F.col("_own").isNotNull(), F.col("_own")).otherwise(F.col("speaker")), "part": F.lit(0)})
-    names = [*key, "part", "speaker", "start", "end", "text"]
-    return groups.filter("_n > 1").select(names).unionByName(whole.select(names))
+    cut = groups.select(*key, "_n", "part", *(F.col(c).alias(f"_{c}") for c in ("speaker", "start", "end", "text")))
+    whole = iv.speaker_at(entries.drop("speaker").withColumn("span_id", F.col("pos")), turns, by).join(cut, key, "left")
+    many = F.coalesce(F.col("_n") > 1, F.lit(False))
+    own = {c: F.when(many, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("start", "end", "text")}
+    speaker = F.when(many, F.col("_speaker")).otherwise(F.coalesce("_speaker", "speaker")).alias("speaker")
+    return whole.select(*key, F.when(many, F.col("part")).otherwise(0).alias("part"), speaker, *own.values())
 
 
 def diarized(entries: DataFrame, words: DataFrame, turns: DataFrame, names: DataFrame, min_words: int, min_seconds: float, min_share: float, word: str = "Speaker") -> tuple[DataFrame, DataFrame]:
@@ -60,7 +62,7 @@ def diarized(entries: DataFrame, words: DataFrame, turns: DataFrame, names: Data
     parts = split_entries(entries, words, turns, min_words, min_seconds)
     order = Window.partitionBy("task_id").orderBy("pos", "part")
     flat = parts.withColumn("pos", F.row_number().over(order).cast("long") - 1).drop("part")
-    cleaned = iv.drop_marginal(sq.trim_entries(flat), min_share)
+    cleaned = iv.drop_marginal(sq.trim_entries(_cut(flat)), min_share)
     return cleaned, sq.render_dialogue(cleaned, sq.label_map(cleaned, names, word))
 
 
@@ -209,14 +211,15 @@ def rebuild_tail(steps: DataFrame, tail: DataFrame) -> DataFrame:
 
 def batch_notes(sizes: Column, budget: int) -> Column:
     """The batch of each note, in order: a note that would exceed the budget opens a new batch, whatever its own size."""
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("of"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("empty"))
 
-    def step(a: Column, s: Column) -> Column:
-        opens = (F.size(a["of"]) > 0) & (a["n"] + s > budget)
+    def step(a: Column, s: Column) -> tuple[Column, Column, Column]:
+        opens = ~a["empty"] & (a["n"] + s > budget)
         k = F.when(opens, a["k"] + 1).otherwise(a["k"])
-        return F.struct(F.concat(a["of"], F.array(k)).alias("of"), k.alias("k"), F.when(opens, s.cast("long")).otherwise(a["n"] + s).alias("n"))
+        new = F.struct(k.alias("k"), F.when(opens, s.cast("long")).otherwise(a["n"] + s).alias("n"), F.lit(False).alias("empty"))
+        return new, F.lit(True), k
 
-    return F.aggregate(sizes, start, step, lambda a: a["of"])
+    return tx.fold(sizes, start, step, "int")
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -230,28 +233,30 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pack_until_fits(notes: DataFrame, budget: int, batch: int, shorten: Callable[[Column], Column], size: Callable[[Column], Column] = tx.estimate_tokens, passes: int = 20) -> DataFrame:
-    """Notes (id, pos, text) of each id, batched and shortened until they fit the budget together or are one note.
+def pack_until_fits(notes: DataFrame, budget: int, batch: int, shorten: Callable[[Column], Column], size: Callable[[Column], Column] = tx.estimate_tokens) -> DataFrame:
+    """Notes (id, pos, text, fits) of each id, batched and shortened until they fit the budget together or are one note.
 
     ``shorten`` is the model: a batch's text to a shorter one. One pass over all ids at a time; those that fit are
-    left alone. ``passes`` bounds the passes of a model that doesn't shorten.
+    left alone. An id whose last pass left neither fewer notes nor fewer tokens can't get shorter and stays as it is;
+    ``fits`` tells which ids ended within the budget. So the passes end by themselves, however many they are.
     """
-    order = Window.partitionBy("id").orderBy("pos")
-    now = notes.select("id", "pos", "text")
-    for i in range(passes):
-        now = _cut(now) if i else now
-        total = now.withColumn("_n", size(F.col("text"))).withColumns({"_t": F.sum("_n").over(Window.partitionBy("id")), "_k": F.count("*").over(Window.partitionBy("id"))})
-        over = (F.col("_t") > budget) & (F.col("_k") > 1)
-        if total.filter(over).isEmpty():
-            return now
-        fits = total.filter(~over).select("id", "pos", "text")
-        many = total.filter(over).withColumn("_i", F.row_number().over(order) - 1)
-        arrays = many.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_i", "_n", "text"))).alias("_all"))
+    order, own = Window.partitionBy("id").orderBy("pos"), Window.partitionBy("id")
+    never = F.lit(None).cast("long")
+    now, first = notes.select("id", "pos", "text", never.alias("_was_n"), never.alias("_was_k")), True
+    while True:
+        total = now.withColumn("_n", size(F.col("text"))).withColumns({"_t": F.sum("_n").over(own), "_k": F.count("*").over(own)})
+        shorter = F.col("_was_k").isNull() | (F.col("_k") < F.col("_was_k")) | (F.col("_t") < F.col("_was_n"))
+        over = (F.col("_t") > budget) & shorter & (F.lit(first) | (F.col("_k") > 1))
+        total = _cut(total.withColumn("_over", F.coalesce(over, F.lit(False))))
+        if total.filter("_over").isEmpty():
+            return total.select("id", "pos", "text", (F.col("_t") <= budget).alias("fits"))
+        rest = total.filter("not _over").select(now.columns)
+        many = total.filter("_over").withColumn("_i", F.row_number().over(order) - 1)
+        arrays = many.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_i", "_n", "text"))).alias("_all"), F.max("_t").cast("long").alias("_was_n"), F.max("_k").alias("_was_k"))
         arrays = arrays.withColumn("_of", batch_notes(F.transform("_all", lambda x: x["_n"]), batch))
-        flat = arrays.select("id", F.explode(F.arrays_zip("_all", "_of")).alias("x")).select("id", F.col("x._of").cast("long").alias("pos"), "x._all.*")
-        packed = flat.groupBy("id", "pos").agg(sq.ordered_texts("text", "_i", sep="\n\n").alias("text"))
-        now = fits.unionByName(packed.select("id", "pos", shorten(F.col("text")).alias("text")))
-    return now
+        flat = arrays.select("id", "_was_n", "_was_k", F.explode(F.arrays_zip("_all", "_of")).alias("x")).select("id", "_was_n", "_was_k", F.col("x._of").cast("long").alias("pos"), "x._all.*")
+        packed = flat.groupBy("id", "pos", "_was_n", "_was_k").agg(sq.ordered_texts("text", "_i", sep="\n\n").alias("text"))
+        now, first = rest.unionByName(packed.withColumn("text", shorten(F.col("text"))).select(now.columns)), False
 
 
 def preview_spans(turns: DataFrame, by: str, seconds: float, n: int, least: float) -> DataFrame:
@@ -285,10 +290,23 @@ def delivery_refs(delivery: Column) -> Column:
     return F.coalesce(F.transform(good, lambda d: F.struct(d["deliver_to"].alias("deliver_to"), F.nullif(d["variant"], F.lit("")).alias("variant"))), F.expr("cast(array() as array<struct<deliver_to:string,variant:string>>)"))
 
 
-def expand_options(options: Column) -> Column:
-    """A preset's options, an allow-list with defaults; ``options`` is a struct of them, null where absent."""
+def prompt_refs(prompts: Column, valid: Column) -> Column:
+    """References (source, id) of a preset: the system's, and a user's whose id is in the array ``valid``; others go."""
+    known = F.coalesce(valid, F.expr("cast(array() as array<string>)"))
+    good = F.filter(prompts, lambda r: (r["source"] == "system") | ((r["source"] == "user") & F.array_contains(known, r["id"])))
+    return F.coalesce(F.transform(good, lambda r: F.struct(r["source"].alias("source"), r["id"].alias("id"))), F.expr("cast(array() as array<struct<source:string,id:string>>)"))
+
+
+def expand_options(options: Column, valid: Column) -> Column:
+    """A preset's options, an allow-list with defaults; ``options`` is a struct of them, null where absent.
+
+    ``valid`` are the ids of the user's prompts, as strings.
+    """
     flag = lambda c, d: F.coalesce(options[c], F.lit(d)).alias(c)
-    return F.struct(options["language"].alias("language"), flag("audio_only", False), flag("transcript", True), flag("diarize", False), delivery_refs(options["delivery"]).alias("delivery"))
+    return F.struct(
+        options["language"].alias("language"), flag("audio_only", False), flag("transcript", True), flag("diarize", False),
+        prompt_refs(options["prompts"], valid).alias("prompts"), delivery_refs(options["delivery"]).alias("delivery"),
+    )
 
 
 def resolve_preset(refs: DataFrame, system: DataFrame, own: DataFrame) -> DataFrame:
@@ -297,24 +315,38 @@ def resolve_preset(refs: DataFrame, system: DataFrame, own: DataFrame) -> DataFr
     return refs.join(presets, ["source", "id"], "left")
 
 
+def _stated(value: Column) -> Column:
+    """A variant value as text; null where it is missing or says nothing: null, false, 0, an empty text, list or object."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "double")
+    says = F.when(kind.isin("VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.rlike("^(OBJECT|ARRAY)"), ~text.isin("{}", "[]")).otherwise(number != 0)
+    return F.when(F.coalesce(says, F.lit(False)), text)
+
+
 def parse_delivery(raw: Column) -> Column:
-    """(entries, error) of a delivery list in JSON: anything but a list of objects with a target and a known variant is an error."""
-    rows = F.from_json(raw, "array<string>")
-    kind = F.substring(F.ltrim(raw), 1, 1)
-    entries = F.transform(rows, lambda x: F.struct(F.get_json_object(x, "$.deliver_to").alias("deliver_to"), F.get_json_object(x, "$.variant").alias("variant"), x.startswith("{").alias("_object")))
-    wrong = F.filter(entries, lambda e: ~e["_object"])
-    bare = F.filter(entries, lambda e: F.coalesce(e["deliver_to"], F.lit("")) == "")
-    odd = F.filter(entries, lambda e: (F.coalesce(e["variant"], F.lit("")) != "") & ~e["variant"].isin("raw", "redacted", "summary") & tx.parse_ref(e["variant"]).isNull())
+    """(entries, error) of a delivery list in JSON: anything but a list of objects with a target and a known variant is an error.
+
+    The first wrong entry tells the error. A target of 0, false, null, or an empty text, list or object is none. JSON
+    that has a key twice counts as broken. Null and the empty text are an empty list.
+    """
+    whole = F.try_parse_json(raw)
+
+    def judged(x: Column) -> Column:
+        to, variant = (_stated(F.try_variant_get(x, f"$.{c}", "variant")) for c in ("deliver_to", "variant"))
+        odd = variant.isNotNull() & ~variant.isin("raw", "redacted", "summary") & tx.parse_ref(variant).isNull()
+        is_object = F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))
+        return F.struct(to.alias("deliver_to"), variant.alias("variant"), F.when(~is_object, "not an object").when(to.isNull(), "no target").when(odd, "unknown variant").alias("error"))
+
+    def result(entries: Column) -> Column:
+        wrong = F.get(F.filter(entries, lambda e: e["error"].isNotNull()), F.lit(0))["error"]
+        good = F.transform(entries, lambda e: F.struct(e["deliver_to"].alias("deliver_to"), e["variant"].alias("variant")))
+        return F.struct(F.when(wrong.isNull(), good).otherwise(F.slice(good, 1, 0)).alias("entries"), wrong.alias("error"))
+
     none = F.expr("cast(array() as array<struct<deliver_to:string,variant:string>>)")
-    error = (
-        F.when(F.coalesce(raw, F.lit("")) == "", F.lit(None))
-        .when(F.get_json_object(raw, "$").isNull(), "not JSON")
-        .when(kind != "[", "not a list")
-        .when(F.size(wrong) > 0, "not an object")
-        .when(F.size(bare) > 0, "no target")
-        .when(F.size(odd) > 0, "unknown variant")
-    )
-    return F.struct(F.when(error.isNull() & (F.coalesce(raw, F.lit("")) != ""), delivery_refs(F.transform(entries, lambda e: F.struct(e["deliver_to"].alias("deliver_to"), e["variant"].alias("variant"))))).otherwise(none).alias("entries"), error.alias("error"))
+    failed = lambda why: F.struct(none.alias("entries"), F.lit(why).cast("string").alias("error"))
+    is_list = F.coalesce(F.schema_of_variant(whole).startswith("ARRAY"), F.lit(False))
+    listed = tx.let(F.transform(F.try_variant_get(whole, "$", "array<variant>"), judged), result)
+    return F.when(F.coalesce(raw, F.lit("")) == "", failed(None)).when(whole.isNull(), failed("not JSON")).when(~is_list, failed("not a list")).otherwise(listed)
 
 
 def parse_prompts(raw: Column) -> Column:
@@ -322,7 +354,7 @@ def parse_prompts(raw: Column) -> Column:
     rows = F.from_json(raw, "array<string>")
     refs = F.transform(rows, tx.parse_ref)
     summary = F.array(F.struct(F.lit("system").alias("source"), F.lit("summary").alias("id")))
-    error = F.when(raw.isNull(), F.lit(None)).when(F.get_json_object(raw, "$").isNull(), "not JSON").when(F.substring(F.ltrim(raw), 1, 1) != "[", "not a list").when(F.exists(refs, lambda r: r.isNull()), "invalid reference")
+    error = F.when(raw.isNull(), F.lit(None)).when(F.try_parse_json(raw).isNull(), "not JSON").when(F.substring(F.ltrim(raw), 1, 1) != "[", "not a list").when(F.exists(refs, lambda r: r.isNull()), "invalid reference")
     return F.struct(F.when(raw.isNull(), summary).when(error.isNull(), refs).alias("refs"), error.alias("error"))
 
 
@@ -345,28 +377,75 @@ def replace_manifest(segments: DataFrame, spans: DataFrame) -> DataFrame:
     return segments.join(spans.select("task_id").distinct(), "task_id", "left_anti").unionByName(new)
 
 
-def resolve_voices(actions: DataFrame, speakers: DataFrame, prior: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(decisions, new speakers, doomed samples) of a dialog's answers; a task with any error gives none of them.
+def resolve_voices(actions: DataFrame, speakers: DataFrame, prior: DataFrame, clips: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(decisions, new speakers, doomed samples, new samples) of a dialog's answers; a task with any error gives none of them.
 
-    ``actions``: task_id, user_id, label, action, new_name, speaker_id, voice_sample_id, distance, is_noise. ``prior``: the last
-    decision's sample of each (task_id, label). A sample that an earlier save added goes unless this one refers to it.
-    New speakers are known by their task and label.
+    ``actions``: task_id, user_id, label, action, new_name, speaker_id, voice_sample_id, distance, is_noise, add_fragment. ``prior``:
+    the last decision's sample of each (task_id, label). A sample that an earlier save added goes unless this one
+    refers to it. New speakers are known by their task and label; so are new samples, and a decision whose label has one
+    refers to it (``adds_sample``) instead of the given sample. A label's new sample is its first clip (``clips``: task_id, label, pos,
+    path, start, end, embedding; a null embedding: the file is missing) under the task's model (``models``: task_id,
+    embedding_model); a task without a model, or a label without such a clip, is an error. Anonymous labels add none.
     """
     named = F.coalesce(tx.strip(F.col("new_name")), F.lit("")) != ""
     alive = actions.join(speakers.select("user_id", "speaker_id", F.lit(True).alias("_alive")), ["user_id", "speaker_id"], "left")
+    first = clips.groupBy("task_id", "label").agg(F.min_by(F.struct("path", "start", "end", "embedding"), "pos").alias("_clip"))
+    alive = alive.join(models.select("task_id", "embedding_model"), "task_id", "left").join(first, ["task_id", "label"], "left")
+    binds = F.col("action").isin("bind_existing", "accept_auto")
+    adds = F.coalesce("add_fragment", F.lit(False)) & (binds | (F.col("action") == "bind_new"))
     error = (
         F.when(~F.col("action").isin("bind_new", "bind_existing", "accept_auto", "leave_anonymous"), "unknown action")
         .when((F.col("action") == "bind_new") & ~named, "no name")
-        .when(F.col("action").isin("bind_existing", "accept_auto") & F.col("speaker_id").isNull(), "no speaker")
-        .when(F.col("action").isin("bind_existing", "accept_auto") & F.col("_alive").isNull(), "speaker not found")
+        .when(binds & F.col("speaker_id").isNull(), "no speaker")
+        .when(binds & F.col("_alive").isNull(), "speaker not found")
+        .when(adds & (F.coalesce("embedding_model", F.lit("")) == ""), "no embedding model")
+        .when(adds & F.col("_clip").isNull(), "no fragment")
+        .when(adds & F.col("_clip.embedding").isNull(), "fragment missing")
     )
-    judged = alive.withColumn("_error", error).withColumn("_bad", F.max(F.col("_error").isNotNull().cast("int")).over(Window.partitionBy("task_id")))
+    judged = alive.withColumns({"_adds": adds, "_error": error}).withColumn("_bad", F.max(F.col("_error").isNotNull().cast("int")).over(Window.partitionBy("task_id")))
     good = judged.filter("_bad = 0")
-    bound = F.when(F.col("action").isin("bind_existing", "accept_auto"), F.col("speaker_id"))
-    decisions = good.select("task_id", "label", bound.alias("speaker_id"), (F.col("action") == "bind_new").alias("is_new"), "voice_sample_id", "distance", "is_noise")
+    bound = F.when(binds, F.col("speaker_id"))
+    sample = F.when(~F.col("_adds"), F.col("voice_sample_id"))
+    decisions = good.select("task_id", "label", bound.alias("speaker_id"), (F.col("action") == "bind_new").alias("is_new"), sample.alias("voice_sample_id"), F.col("_adds").alias("adds_sample"), "distance", "is_noise")
     created = good.filter("action = 'bind_new'").select("task_id", "label", "user_id", tx.strip(F.col("new_name")).alias("name"))
     doomed = good.join(prior.withColumnRenamed("voice_sample_id", "_prior"), ["task_id", "label"]).filter("_prior is not null and not (_prior <=> voice_sample_id)")
-    return decisions, created, doomed.select("task_id", "label", F.col("_prior").alias("voice_sample_id"))
+    samples = good.filter("_adds").select("task_id", "label", bound.alias("speaker_id"), "_clip.path", (F.col("_clip.end") - F.col("_clip.start")).alias("duration_sec"), "_clip.embedding", "embedding_model", F.col("task_id").alias("source_task_id"))
+    return decisions, created, doomed.select("task_id", "label", F.col("_prior").alias("voice_sample_id")), samples
+
+
+MEASURES = ["processing_seconds", "transcript_chars", "summary_chars", "redacted_chars", "media_seconds", "media_bytes", "speaker_count"]
+
+
+def text_chars(raw: Column, is_json: Column) -> Column:
+    """Length of a stripped text; of a JSON object its ``text`` member, if that is a text; null for anything else."""
+    whole = F.when(is_json, F.try_parse_json(raw))
+    member = F.try_variant_get(whole, "$.text", "variant")
+    inner = F.when(F.schema_of_variant(member) == "STRING", F.try_variant_get(member, "$", "string"))
+    return F.length(tx.strip(F.when(is_json, inner).otherwise(raw)))
+
+
+def counted_speakers(matches: Column) -> Column:
+    """How many labels of a match file are people: objects not flagged as noise. Null if it isn't a JSON object."""
+    whole = F.try_parse_json(matches)
+    own = F.map_values(F.try_variant_get(whole, "$", "map<string,variant>"))
+    noise = lambda x: F.coalesce(_stated(F.try_variant_get(x, "$.noise", "variant")).isNotNull(), F.lit(False))
+    people = F.filter(own, lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)) & ~noise(x))
+    return F.when(F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False)), F.size(people))
+
+
+def task_measures(tasks: DataFrame, steps: DataFrame, texts: DataFrame, media: DataFrame, matches: DataFrame) -> DataFrame:
+    """(task_id, the seven measures of a task's row): null where the artifact is missing or unreadable.
+
+    ``texts``: task_id, kind (transcript, summary, redacted), path, text; a transcript in a .json file counts its text member.
+    ``media``: task_id, size, seconds (whole ones count, none below 0); ``matches``: task_id, raw JSON. One artifact a task and kind.
+    """
+    is_json = (F.col("kind") == "transcript") & F.lower("path").endswith(".json")
+    own = texts.select("task_id", "kind", text_chars(F.col("text"), F.coalesce(is_json, F.lit(False))).alias("n"))
+    chars = own.groupBy("task_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("n"))).alias(f"{k}_chars") for k in ("transcript", "summary", "redacted")))
+    out = tasks.select("task_id").join(mt.processing_seconds(steps).withColumnRenamed("seconds", "processing_seconds"), "task_id", "left").join(chars, "task_id", "left")
+    seconds = F.when(F.col("seconds").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("seconds").cast("long")))
+    out = out.join(media.select("task_id", seconds.alias("media_seconds"), F.col("size").alias("media_bytes")), "task_id", "left")
+    return out.join(matches.select("task_id", counted_speakers(F.col("raw")).alias("speaker_count")), "task_id", "left").select("task_id", *MEASURES)
 
 
 def finalize(tasks: DataFrame, refs: DataFrame, prompts: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
@@ -381,8 +460,9 @@ def window_report(durations: DataFrame, windowed: str = "summarize_windows") ->
     ok = durations.filter((F.col("name") != windowed) | (F.col("window_total") >= 1))
     per = F.when(F.col("name") == windowed, F.col("duration_sec") / F.col("window_total")).otherwise(F.col("duration_sec"))
     steps = ok.groupBy("name").agg(F.percentile(per, F.lit(0.5)).alias("_w"), F.count("*").alias("n"))
-    typical = durations.filter("window_total >= 1").agg(F.floor(F.percentile("window_total", F.lit(0.5))).alias("t")).head()["t"]
-    return steps.select("name", F.round(F.when(F.col("name") == windowed, F.col("_w") * F.lit(typical)).otherwise(F.col("_w")), 1).alias("seconds"), "n")
+    typical = durations.filter("window_total >= 1").agg(F.floor(F.percentile("window_total", F.lit(0.5))).alias("_t"))
+    both = steps.join(F.broadcast(typical))  # one row
+    return both.select("name", F.round(F.when(F.col("name") == windowed, F.col("_w") * F.col("_t")).otherwise(F.col("_w")), 1).alias("seconds"), "n")
 
 
 def live_totals(events: DataFrame) -> DataFrame:

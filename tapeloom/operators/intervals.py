@@ -16,11 +16,11 @@ def _bins(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
     return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(start, end) / width))))
 
 
-def speaker_at(spans: DataFrame, turns: DataFrame, by: str = "task_id", width: float = 60.0) -> DataFrame:
+def speaker_at(spans: DataFrame, turns: DataFrame, by: str = "task_id", width: float = 60.0, onto: DataFrame | None = None) -> DataFrame:
     """Spans (task, span_id, start, end) with the speaker whose turn overlaps most.
 
     Ties go to the turn that comes first (seg_pos). A span without length gets the first turn that holds its point,
-    both ends included. No turn: null.
+    both ends included. No turn: null. ``onto`` are the spans with more columns, if those shall be kept.
     """
     s = _bins(spans.select(by, "span_id", "start", "end"), "start", "end", width)
     t = _bins(turns.select(by, "seg_pos", F.col("start").alias("t_start"), F.col("end").alias("t_end"), "speaker"), "t_start", "t_end", width)
@@ -28,30 +28,31 @@ def speaker_at(spans: DataFrame, turns: DataFrame, by: str = "task_id", width: f
     point = (F.col("start") == F.col("end")) & (F.col("start") >= F.col("t_start")) & (F.col("start") <= F.col("t_end"))
     met = s.join(t, [by, "_bin"]).withColumn("_ov", ov).filter((F.col("_ov") > 0) | point)
     best = met.groupBy(by, "span_id").agg(F.max_by("speaker", F.struct("_ov", -F.col("seg_pos"))).alias("speaker"))
-    return spans.join(best, [by, "span_id"], "left")
+    return (spans if onto is None else onto).join(best, [by, "span_id"], "left")
 
 
 def nearest_speaker(spans: DataFrame, turns: DataFrame, by: str = "task_id", width: float = 60.0) -> DataFrame:
     """As ``speaker_at``; spans without an overlap get the turn nearest to their midpoint, the first of equals.
 
     The nearest turn ends last before the midpoint or starts first after it: two running values over the merged
-    time line, carried inside a recording.
+    time line, carried inside a recording, on which the spans travel with all their columns.
     """
-    direct = speaker_at(spans, turns, by, width)
     mid = (F.col("start") + F.col("end")) / 2
     none = "struct<at:double,seg_pos:bigint,speaker:string>"
-    points = direct.filter("speaker is null").select(by, "span_id", mid.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(none).alias("last_end"), F.lit(None).cast(none).alias("first_start"))
-    ends = turns.select(by, F.lit(None).cast(spans.schema["span_id"].dataType).alias("span_id"), F.col("end").cast("double").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("end").cast("double").alias("at"), F.col("seg_pos").cast("long").alias("seg_pos"), "speaker").alias("last_end"), F.lit(None).cast(none).alias("first_start"))
-    starts = turns.select(by, F.lit(None).cast(spans.schema["span_id"].dataType).alias("span_id"), F.col("start").cast("double").alias("at"), F.lit(2).alias("kind"), F.lit(None).cast(none).alias("last_end"), F.struct(F.col("start").cast("double").alias("at"), F.col("seg_pos").cast("long").alias("seg_pos"), "speaker").alias("first_start"))
+    null = F.lit(None).cast(none)
+    kind = spans.select(F.struct(*(c for c in spans.columns if c != by)).alias("s")).schema["s"].dataType
+    edge = lambda c: F.struct(F.col(c).cast("double").alias("at"), F.col("seg_pos").cast("long").alias("seg_pos"), "speaker")
+    points = spans.select(by, F.struct(*(c for c in spans.columns if c != by)).alias("_span"), mid.alias("at"), F.lit(1).alias("kind"), null.alias("last_end"), null.alias("first_start"))
+    ends = turns.select(by, F.lit(None).cast(kind).alias("_span"), F.col("end").cast("double").alias("at"), F.lit(0).alias("kind"), edge("end").alias("last_end"), null.alias("first_start"))
+    starts = turns.select(by, F.lit(None).cast(kind).alias("_span"), F.col("start").cast("double").alias("at"), F.lit(2).alias("kind"), null.alias("last_end"), edge("start").alias("first_start"))
     line = points.unionByName(ends).unionByName(starts)
     back = Window.partitionBy(by).orderBy("at", "kind", F.desc("last_end.seg_pos")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(by).orderBy(F.desc("at"), F.desc("kind"), F.desc("first_start.seg_pos")).rowsBetween(Window.unboundedPreceding, 0)
     line = line.withColumns({"b": F.last("last_end", ignorenulls=True).over(back), "f": F.last("first_start", ignorenulls=True).over(ahead)}).filter("kind = 1")
     gap_b, gap_f = F.col("at") - F.col("b.at"), F.col("f.at") - F.col("at")
     takes_b = F.col("f").isNull() | F.coalesce((gap_b < gap_f) | ((gap_b == gap_f) & (F.col("b.seg_pos") < F.col("f.seg_pos"))), F.lit(False))
-    filled = line.select(by, "span_id", F.when(takes_b, F.col("b.speaker")).otherwise(F.col("f.speaker")).alias("_near"))
-    out = direct.join(filled, [by, "span_id"], "left")
-    return out.withColumn("speaker", F.coalesce("speaker", "_near")).drop("_near")
+    near = line.select(by, "_span.*", F.when(takes_b, F.col("b.speaker")).otherwise(F.col("f.speaker")).alias("_near"))
+    return speaker_at(spans, turns, by, width, near).withColumn("speaker", F.coalesce("speaker", "_near")).select(*spans.columns, "speaker")
 
 
 def midpoint_blocks(blocks: DataFrame, sentences: DataFrame, by: str = "task_id", width: float = 60.0) -> DataFrame:

@@ -180,49 +180,50 @@ def previous_tail(segments: DataFrame, by: str = "task_id", most: int = 800) ->
 
 def pack_units(units: Column, sizes: Column, budget: int) -> Column:
     """Greedy packing in order: a unit that would exceed the budget opens a new pack; an oversized one stands alone."""
-    none = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("open"), F.lit(0).cast("long").alias("n"))
-    pairs = F.arrays_zip(units.alias("u"), sizes.alias("s"))
-
-    def step(a: Column, x: Column) -> Column:
-        unit, n = F.array(x["u"]), x["s"].cast("long")
-        flushed = F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        return (
-            F.when(n > budget, F.struct(F.concat(flushed, F.array(unit)).alias("done"), none.alias("open"), F.lit(0).cast("long").alias("n")))
-            .when(a["n"] + n > budget, F.struct(flushed.alias("done"), unit.alias("open"), n.alias("n")))
-            .otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], unit).alias("open"), (a["n"] + n).alias("n")))
-        )
+    start = F.struct(F.lit(1).alias("first"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"))
+    over = lambda s: s.cast("long") > budget
+
+    def step(a: Column, s: Column) -> tuple[Column, Column, Column]:
+        """The open pack holds ``k`` units from ``first`` on; given out are the (first, k) of the one before, closed by s."""
+        n, next_ = s.cast("long"), a["first"] + a["k"]
+        full = (a["k"] > 0) & (over(s) | (a["n"] + n > budget) | (a["n"] > budget))
+        opened = F.struct(next_.alias("first"), F.lit(1).alias("k"), n.alias("n"))
+        joined = F.struct(a["first"].alias("first"), (a["k"] + 1).alias("k"), (a["n"] + n).alias("n"))
+        return F.when(full | (a["k"] == 0), opened).otherwise(joined), full, F.struct(a["first"].alias("first"), a["k"].alias("k"))
 
-    return F.aggregate(pairs, start, step, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    spans = tx.fold(sizes, start, step, "struct<first:int,k:int>", lambda a: (a["k"] > 0, F.struct(a["first"].alias("first"), a["k"].alias("k"))))
+    return tx.let(units, lambda u: F.transform(spans, lambda x: F.slice(u, x["first"], x["k"])))
 
 
 def chunk_sentences(text: Column) -> Column:
     """Sentences for packing: no cut after abbreviations, initials and bare numbers; "!", "?" and "…" always cut."""
     marked = F.regexp_replace(text, r"(?U)((?<=[.!?…])\s+|\n{2,})", "$1\u0001")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     lists = F.array(*[F.lit(a) for a in tx.ABBREVIATIONS])
 
-    def step(a: Column, piece: Column) -> Column:
-        whole = F.concat(a["open"], piece)
-        bare = F.regexp_replace(whole, r"(?U)\s+$", "")
+    def false_end(piece: Column) -> Column:
+        """Whether a piece ends in an abbreviation: its last word tells, as pieces end in white space."""
+        bare = F.regexp_replace(piece, r"(?U)\s+$", "")
         word = F.lower(F.regexp_extract(bare, r"(?U)(\S+)$", 1))
-        false = bare.endswith(".") & (F.array_contains(lists, word) | word.rlike(r"(?U)^[^\W\d_]\.$") | word.rlike(r"(?U)^\d+\.$"))
-        return F.when(false, F.struct(a["done"].alias("done"), whole.alias("open"))).otherwise(
-            F.struct(F.when(tx.strip(whole) != "", F.concat(a["done"], F.array(tx.strip(whole)))).otherwise(a["done"]).alias("done"), F.lit("").alias("open"))
-        )
+        return bare.endswith(".") & (F.array_contains(lists, word) | word.rlike(r"(?U)^[^\W\d_]\.$") | word.rlike(r"(?U)^\d+\.$"))
+
+    judged = F.transform(F.split(marked, "\u0001"), lambda p: F.struct(p.alias("p"), false_end(p).alias("goes_on")))
 
-    last = lambda a: F.when(tx.strip(a["open"]) != "", F.concat(a["done"], F.array(tx.strip(a["open"])))).otherwise(a["done"])
-    return F.aggregate(F.split(marked, "\u0001"), start, step, last)
+    def step(open_: Column, x: Column) -> tuple[Column, Column, Column]:
+        whole = F.concat(open_, x["p"])
+        return F.when(x["goes_on"], whole).otherwise(""), ~x["goes_on"] & (tx.strip(whole) != ""), tx.strip(whole)
+
+    return tx.fold(judged, F.lit(""), step, "string", lambda open_: (tx.strip(open_) != "", tx.strip(open_)))
 
 
 def thin_points(points: Column, window: float) -> Column:
     """Silence points in order, each kept if it is more than max(window / 10, 1) after the last kept one."""
     gap = max(window / 10, 1.0)
-    return F.aggregate(
-        F.array_sort(points),
-        F.array().cast("array<double>"),
-        lambda a, p: F.when((F.size(a) == 0) | (p - F.get(a, F.size(a) - 1) > gap), F.concat(a, F.array(p))).otherwise(a),
-    )
+
+    def step(last: Column, p: Column) -> tuple[Column, Column, Column]:
+        far = last.isNull() | (p - last > gap)
+        return F.when(far, p).otherwise(last), far, p
+
+    return tx.fold(F.array_sort(points).cast("array<double>"), F.lit(None).cast("double"), step, "double")
 
 
 def plan_segments(duration: Column, points: Column, target: float, window: float, overlap: float, least: float = 45.0) -> Column:

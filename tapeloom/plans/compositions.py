@@ -135,6 +135,36 @@ _ROWS_SQL = (
 )
 
 
+# The artifacts of a task: its events' values as times, each turn's text as one of its files, a match file per task.
+_FILE = "CASE turn % 4 WHEN 0 THEN 'transcript' WHEN 1 THEN 'summary' WHEN 2 THEN 'redacted' ELSE 'other' END"
+_PATH = "concat('t', conv_id, CASE WHEN conv_id % 2 = 0 THEN '.JSON' ELSE '.txt' END)"
+_BODY = "CASE WHEN conv_id % 2 = 1 OR turn % 4 > 0 THEN concat(' ', text, '  ') WHEN conv_id % 8 = 0 THEN text WHEN conv_id % 8 = 2 THEN '{\"text\": 5}' WHEN conv_id % 8 = 4 THEN '[1]' ELSE concat('{\"text\": \"  ', regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' \"}') END"
+_MATCH = "CASE conv_id % 6 WHEN 0 THEN '[]' WHEN 1 THEN '{' ELSE concat('{\"A\": {\"noise\": ', CASE WHEN conv_id % 4 = 0 THEN 'true' WHEN conv_id % 4 = 1 THEN '0' ELSE 'false' END, '}, \"B', length(text), '\": {}, \"C\": ', turn, '}') END"
+
+
+def _measured(s, d):
+    turns = read(s, d, "conversations")
+    tasks = turns.select(F.col("conv_id").alias("task_id")).distinct()
+    steps = view(s, d, "steps").withColumns({"task_id": F.col("event_id") % 300, "started_at": F.expr("timestampadd(SECOND, -CAST(event_id % 50 - 5 AS INT), started_at)")})
+    texts = turns.filter("turn < 4").selectExpr("conv_id AS task_id", f"{_FILE} AS kind", f"{_PATH} AS path", _BODY.replace(", 'g')", ")") + " AS text")
+    media = turns.filter("turn = 0 AND conv_id % 3 > 0").selectExpr("conv_id AS task_id", "octet_length(text) AS size", "length(text) / 7.0E0 - 3 AS seconds")
+    matches = turns.filter("turn = 0 AND conv_id % 5 > 0").selectExpr("conv_id AS task_id", f"{_MATCH} AS raw")
+    return co.task_measures(tasks, steps, texts, media, matches)
+
+
+_MEASURED_SQL = (
+    cte("steps")
+    + f""", p AS (SELECT event_id % 300 AS task_id, CAST(sum(event_id % 50 - 5) FILTER (finished_at IS NOT NULL AND event_id % 50 >= 5) AS BIGINT) AS processing_seconds FROM steps GROUP BY 1),
+ b AS (SELECT conv_id, turn, text, {_BODY} AS body, {_MATCH} AS match FROM conversations),
+ n AS (SELECT conv_id, turn, length(regexp_replace(CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' AND json_type(json_extract(body, '$.text')) = 'VARCHAR' THEN json_extract_string(body, '$.text') END ELSE body END, '^\\s+|\\s+$', '', 'g'))::INT AS n FROM b WHERE turn < 3),
+ w AS (SELECT conv_id, max(n) FILTER (turn = 0) AS transcript_chars, max(n) FILTER (turn = 1) AS summary_chars, max(n) FILTER (turn = 2) AS redacted_chars FROM n GROUP BY 1),
+ m AS (SELECT conv_id, strlen(text)::INT AS media_bytes, greatest(0, trunc(length(text) / 7.0::DOUBLE - 3)::BIGINT) AS media_seconds FROM b WHERE turn = 0 AND conv_id % 3 > 0),
+ o AS (SELECT conv_id, CASE WHEN json_valid(match) AND json_type(match) = 'OBJECT' THEN len(list_filter(json_extract(match, '$.*'), lambda x: json_type(x) = 'OBJECT' AND coalesce(x ->> '$.noise', 'false') NOT IN ('true')))::INT END AS speaker_count FROM b WHERE turn = 0 AND conv_id % 5 > 0)
+ SELECT t.task_id, processing_seconds, transcript_chars, summary_chars, redacted_chars, media_seconds, media_bytes, speaker_count FROM (SELECT DISTINCT conv_id AS task_id FROM conversations) t
+ LEFT JOIN p ON p.task_id = t.task_id LEFT JOIN w ON w.conv_id = t.task_id LEFT JOIN m ON m.conv_id = t.task_id LEFT JOIN o ON o.conv_id = t.task_id"""
+)
+
+
 def _abilities(s, d):
     steps = view(s, d, "steps").groupBy("task_id").agg(F.collect_list(F.struct(F.when(F.col("name") == "final_summary", "summarize_final").otherwise(F.col("name")).alias("name"), F.when(F.col("event_id") % 5 == 0, "failed").otherwise(F.col("status")).alias("status"))).alias("steps"))
     status = F.element_at(F.array(*map(F.lit, ("completed", "failed", "running", "archived"))), (F.col("task_id") % 4 + 1).cast("int"))
@@ -225,16 +255,32 @@ def _refs(s, d):
     return co.valid_refs(e, read(s, d, "nation").select(F.col("n_nationkey").alias("prompt_id")))
 
 
-_DELIVERIES = ['[{"deliver_to": "7", "variant": "raw", "secret": "s"}]', '[{"deliver_to": "8"}, {"deliver_to": "9", "variant": "user:1"}]', '{"deliver_to": "7"}', "[{", '[{"variant": "raw"}]', '[{"deliver_to": "7", "variant": "odd"}]', "[5]", ""]
+# A delivery list in JSON around each turn's text, and how it is spoilt; both engines build it by the same expression.
+_CLEAN = "regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g')"
+_TARGET = "CASE conv_id % 7 WHEN 1 THEN CASE turn % 7 WHEN 0 THEN '0' WHEN 1 THEN 'false' WHEN 2 THEN 'null' WHEN 3 THEN '[]' WHEN 4 THEN '\"\"' WHEN 5 THEN '0.0' ELSE 'true' END WHEN 2 THEN CAST(turn AS VARCHAR(9)) ELSE concat('\"', role, turn, '\"') END"
+_VARIANT = "CASE WHEN turn % 3 = 0 THEN 'raw' WHEN turn % 3 = 1 THEN concat('user:', conv_id) WHEN conv_id % 11 = 3 THEN role WHEN conv_id % 2 = 0 THEN '' ELSE 'summary' END"
+_LIST = f"concat('[{{\"deliver_to\": ', {_TARGET}, ', \"variant\": \"', {_VARIANT}, '\", \"note\": \"', c, '\"}}', CASE WHEN turn % 4 = 1 THEN ', {{\"deliver_to\": \"b\"}}' WHEN turn % 4 = 2 THEN concat(', \"', c, '\"') ELSE '' END, ']')"
+_SPOILT = "CASE conv_id * 3 + turn WHEN 0 THEN NULL ELSE CASE (conv_id * 3 + turn) % 10 WHEN 4 THEN substring(j, 1, CAST(length(j) * 0.8 AS INT)) WHEN 5 THEN concat('{\"list\": ', j, '}') WHEN 6 THEN concat('[null, ', substring(j, 2, length(j))) WHEN 7 THEN CASE WHEN turn % 2 = 0 THEN '' ELSE c END ELSE j END END"
 
 
 def _deliveries(s, d):
-    raw = F.element_at(F.array(*map(F.lit, _DELIVERIES)), (F.col("event_id") % len(_DELIVERIES) + 1).cast("int"))
-    p = read(s, d, "events").select("event_id", co.parse_delivery(raw).alias("p"))
-    return p.select("event_id", "p.error", F.array_join(F.transform("p.entries", lambda x: F.concat_ws("/", x["deliver_to"], x["variant"])), ",").alias("entries"))
+    t = read(s, d, "conversations").selectExpr("conv_id", "turn", "role", _CLEAN.replace(", 'g')", ")") + " AS c").selectExpr("conv_id", "turn", "c", f"{_LIST} AS j")
+    p = t.selectExpr("conv_id", "turn", f"{_SPOILT} AS raw").select("conv_id", "turn", co.parse_delivery(F.col("raw")).alias("p"))
+    return p.select("conv_id", "turn", "p.error", F.array_join(F.transform("p.entries", lambda x: F.concat_ws("/", x["deliver_to"], x["variant"])), ",").alias("entries"))
+
 
+def _says_sql(j: str) -> str:
+    return f"CASE json_type({j}) WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN {j} ->> '$' = 'true' WHEN 'VARCHAR' THEN {j} ->> '$' <> '' WHEN 'ARRAY' THEN json_array_length({j}) > 0 WHEN 'OBJECT' THEN len(json_keys({j})) > 0 ELSE ({j} ->> '$')::DOUBLE <> 0 END"
 
-_DELIVERIES_SQL = """SELECT event_id, [NULL, NULL, 'not a list', 'not JSON', 'no target', 'unknown variant', 'not an object', NULL][event_id % 8 + 1] AS error, ['7/raw', '8,9/user:1', '', '', '', '', '', ''][event_id % 8 + 1] AS entries FROM events"""
+
+_DELIVERIES_SQL = f"""WITH t AS (SELECT conv_id, turn, role, {_CLEAN} AS c FROM conversations), l AS (SELECT *, {_LIST} AS j FROM t), r AS (SELECT conv_id, turn, {_SPOILT} AS raw FROM l),
+ k AS (SELECT *, CASE WHEN coalesce(raw, '') = '' THEN 'none' WHEN NOT json_valid(raw) THEN 'not JSON' WHEN json_type(raw) <> 'ARRAY' THEN 'not a list' ELSE 'list' END AS kind FROM r),
+ e AS (SELECT conv_id, turn, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, json_extract(raw, '$[*]') AS x FROM k WHERE kind = 'list')),
+ f AS (SELECT conv_id, turn, i, json_type(e) AS t, json_extract(e, '$.deliver_to') AS d, json_extract(e, '$.variant') AS v FROM e),
+ g AS (SELECT conv_id, turn, i, t, CASE WHEN {_says_sql("d")} THEN d ->> '$' END AS d, CASE WHEN {_says_sql("v")} THEN v ->> '$' END AS v FROM f),
+ h AS (SELECT *, CASE WHEN t <> 'OBJECT' THEN 'not an object' WHEN d IS NULL THEN 'no target' WHEN v IS NOT NULL AND v NOT IN ('raw', 'redacted', 'summary') AND NOT regexp_matches(v, '^[^:]+:.+$') THEN 'unknown variant' END AS error FROM g),
+ a AS (SELECT conv_id, turn, first(error ORDER BY i) FILTER (error IS NOT NULL) AS error, string_agg(d || coalesce('/' || v, ''), ',' ORDER BY i) AS entries FROM h GROUP BY 1, 2)
+ SELECT conv_id, turn, CASE WHEN kind = 'list' THEN error WHEN kind <> 'none' THEN kind END AS error, CASE WHEN kind = 'list' AND error IS NULL THEN coalesce(entries, '') ELSE '' END AS entries FROM k LEFT JOIN a USING (conv_id, turn)"""
 
 
 def _voices(s, d):
@@ -243,16 +289,25 @@ def _voices(s, d):
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     a = read(s, d, "events").select((F.col("event_id") / 4).cast("long").alias("task_id"), F.lit(1).alias("user_id"), (F.col("event_id") % 4).cast("string").alias("label"), action.alias("action"), F.when(k > 1, " Ann ").otherwise(" ").alias("new_name"), k.alias("speaker_id"), F.when(F.col("event_id") % 5 == 0, F.col("event_id")).alias("voice_sample_id"), F.lit(0.5).alias("distance"), F.lit(False).alias("is_noise"))
     speakers = read(s, d, "customer").filter("c_custkey <= 95").select(F.lit(1).alias("user_id"), F.col("c_custkey").cast("int").alias("speaker_id"))
-    prior = read(s, d, "events").filter("event_id % 3 = 0").select((F.col("event_id") / 4).cast("long").alias("task_id"), (F.col("event_id") % 4).cast("string").alias("label"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("voice_sample_id"))
-    decisions, created, doomed = co.resolve_voices(a, speakers, prior)
-    out = decisions.select("task_id", "label", F.lit("decision").alias("kind"), F.col("speaker_id").cast("string").alias("value"))
+    a = a.withColumn("add_fragment", F.col("speaker_id") % 3 == 0)
+    task, label = (F.col("event_id") / 4).cast("long"), (F.col("event_id") % 4).cast("string")
+    clip = read(s, d, "events").filter("event_id % 71 > 0").select(task.alias("task_id"), label.alias("label"), F.explode(F.array(F.lit(1), F.lit(0))).alias("pos"), "value", "event_id")
+    clips = clip.select("task_id", "label", "pos", F.concat_ws("/", "label", "pos").alias("path"), F.col("pos").cast("double").alias("start"), (F.col("pos") + F.col("value")).alias("end"), F.when(F.col("event_id") % 31 > 0, F.array("value")).alias("embedding"))
+    models = read(s, d, "events").select(task.alias("task_id")).distinct().filter("task_id % 5 > 0").withColumn("embedding_model", F.when(F.col("task_id") % 7 > 0, "m").otherwise(""))
+    prior = read(s, d, "events").filter("event_id % 3 = 0").select(task.alias("task_id"), label.alias("label"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("voice_sample_id"))
+    decisions, created, doomed, samples = co.resolve_voices(a, speakers, prior, clips, models)
+    given = F.when(F.col("adds_sample"), "new").otherwise(F.coalesce(F.col("voice_sample_id").cast("string"), F.lit("none")))
+    out = decisions.select("task_id", "label", F.lit("decision").alias("kind"), F.concat_ws("/", F.col("speaker_id").cast("string"), given).alias("value"))
     out = out.unionByName(created.select("task_id", "label", F.lit("speaker").alias("kind"), F.col("name").alias("value")))
+    out = out.unionByName(samples.select("task_id", "label", F.lit("sample").alias("kind"), F.concat_ws("|", "path", F.round("duration_sec", 2).cast("string"), "embedding_model").alias("value")))
     return out.unionByName(doomed.select("task_id", "label", F.lit("doomed").alias("kind"), F.col("voice_sample_id").cast("string").alias("value")))
 
 
-_VOICES_SQL = """WITH a AS (SELECT event_id, event_id // 4 AS task_id, (event_id % 4)::VARCHAR AS label, event_id % 4 AS act, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM events),
- b AS (SELECT *, event_id % 997 = 0 OR act = 0 AND k <= 1 OR act IN (1, 2) AND k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 95) AS wrong FROM a), g AS (SELECT * FROM b QUALIFY NOT bool_or(wrong) OVER (PARTITION BY task_id))
- SELECT task_id, label, 'decision' AS kind, CASE WHEN act IN (1, 2) THEN k::VARCHAR END AS value FROM g UNION ALL SELECT task_id, label, 'speaker', 'Ann' FROM g WHERE act = 0
+_VOICES_SQL = """WITH a AS (SELECT event_id, event_id // 4 AS task_id, (event_id % 4)::VARCHAR AS label, event_id % 4 AS act, regexp_extract(props, '([0-9]+)', 1)::INT AS k, value FROM events),
+ b AS (SELECT *, k % 3 = 0 AND act < 3 AS adds, event_id % 997 = 0 OR act = 0 AND k <= 1 OR act IN (1, 2) AND k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 95)
+  OR k % 3 = 0 AND act < 3 AND (task_id % 5 = 0 OR task_id % 7 = 0 OR event_id % 71 = 0 OR event_id % 31 = 0) AS wrong FROM a), g AS (SELECT * FROM b QUALIFY NOT bool_or(wrong) OVER (PARTITION BY task_id))
+ SELECT task_id, label, 'decision' AS kind, coalesce(CASE WHEN act IN (1, 2) THEN k || '/' END, '') || CASE WHEN adds THEN 'new' WHEN event_id % 5 = 0 THEN event_id::VARCHAR ELSE 'none' END AS value FROM g UNION ALL SELECT task_id, label, 'speaker', 'Ann' FROM g WHERE act = 0
+ UNION ALL SELECT task_id, label, 'sample', label || '/0|' || round(value, 2)::VARCHAR || '|m' FROM g WHERE adds
  UNION ALL SELECT task_id, label, 'doomed', event_id::VARCHAR FROM g WHERE event_id % 6 = 0 AND event_id % 5 > 0"""
 
 
@@ -279,9 +334,18 @@ _MANIFESTS_SQL = """SELECT l_orderkey AS task_id, l_linenumber AS segment_index,
 
 
 def _trims(s, d):
+    """Labels with fewer or more vectors than they are, one of them null at times."""
     o = read(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 100).alias("a"), (F.col("o_totalprice") % 70 - 5).alias("b"))
-    vectors = F.map_from_entries(F.transform(F.map_entries(co.voice_vectors(F.array(F.lit("A"), F.lit("B"), F.lit("C")), F.array(F.array(F.col("a")), F.array(F.col("b"))))), lambda e: F.struct(e["key"], F.get(e["value"], F.lit(0)))))
-    return o.withColumn("v", vectors).select("o_orderkey", co.accepted_trim(F.col("a"), F.col("b"), 30.0).alias("trimmed"), F.size("v").alias("n"), F.col("v")["B"].alias("second"))
+    labels = F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), 1, (F.col("o_orderkey") % 4).cast("int"))
+    vectors = F.slice(F.array(F.array("a"), F.when(F.col("o_orderkey") % 5 > 0, F.array("b")), F.array(F.col("a") + F.col("b"))), 1, (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = o.withColumn("v", F.transform_values(co.voice_vectors(labels, vectors), lambda k, x: F.get(x, F.lit(0))))
+    joined = F.array_join(F.transform(F.array_sort(F.map_keys("v")), lambda k: F.concat(k, F.round(F.col("v")[k], 2).cast("string"))), ",")
+    return o.select("o_orderkey", co.accepted_trim(F.col("a"), F.col("b"), 30.0).alias("trimmed"), F.size("v").alias("n"), joined.alias("voices"))
+
+
+_TRIMS_SQL = """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS l, o_orderkey % 3 + 1 AS m, o_totalprice % 100 AS a, o_totalprice % 70 - 5 AS b FROM orders),
+ v AS (SELECT *, list_filter([CASE WHEN l >= 1 THEN 'A' || round(a, 2)::VARCHAR END, CASE WHEN l >= 2 AND m >= 2 AND o_orderkey % 5 > 0 THEN 'B' || round(b, 2)::VARCHAR END, CASE WHEN l >= 3 AND m >= 3 THEN 'C' || round(a + b, 2)::VARCHAR END], lambda x: x IS NOT NULL) AS v FROM o)
+ SELECT o_orderkey, CASE WHEN b <= 0 OR greatest(0, a - b) > 30 THEN 0 ELSE greatest(0, a - b) END::DOUBLE AS trimmed, len(v)::INT AS n, array_to_string(v, ',') AS voices FROM v"""
 
 
 _RAISED = (None, "paused", "awaiting_input", "gone", "diarization_cancelled", "download_cancelled", "interrupted", "ValueError")
@@ -310,14 +374,19 @@ def _options(s, d):
     flag = lambda n: F.when(F.col("k") != n, F.col("o_custkey") % 2 == n % 2)
     entry = lambda to, v: F.struct(to.alias("deliver_to"), v.alias("variant"), F.lit("s").alias("secret"))
     delivery = F.when(F.col("k") > 0, F.array(entry(F.col("o_custkey").cast("string"), F.when(F.col("k") == 1, "").otherwise("raw")), entry(F.when(F.col("k") == 2, ""), F.lit("raw"))))
-    options = F.struct(F.when(F.col("k") < 3, F.col("o_orderstatus")).alias("language"), flag(1).alias("audio_only"), flag(2).alias("transcript"), flag(3).alias("diarize"), delivery.alias("delivery"))
-    x = o.withColumn("options", options).select("o_orderkey", co.expand_options(F.col("options")).alias("x")).select("o_orderkey", "x.*")
-    return x.withColumn("delivery", F.array_join(F.transform("delivery", lambda e: F.concat_ws("/", e["deliver_to"], e["variant"])), ","))
+    ref = lambda source, i: F.struct(F.lit(source).alias("source"), i.cast("string").alias("id"), F.lit("s").alias("secret"))
+    prompts = F.when(F.col("k") > 0, F.array(ref("system", F.col("o_orderstatus")), ref("user", F.col("o_custkey")), ref("other", F.col("o_custkey")), ref("user", F.col("k"))))
+    valid = F.when(F.col("k") != 3, F.array(F.col("k").cast("string"), F.lit("x")))
+    options = F.struct(F.when(F.col("k") < 3, F.col("o_orderstatus")).alias("language"), flag(1).alias("audio_only"), flag(2).alias("transcript"), flag(3).alias("diarize"), delivery.alias("delivery"), prompts.alias("prompts"))
+    x = o.withColumns({"options": options, "valid": valid}).select("o_orderkey", co.expand_options(F.col("options"), F.col("valid")).alias("x")).select("o_orderkey", "x.*")
+    joined = lambda c, *names: F.array_join(F.transform(c, lambda e: F.concat_ws("/", *(e[n] for n in names))), ",")
+    return x.withColumns({"delivery": joined("delivery", "deliver_to", "variant"), "prompts": joined("prompts", "source", "id")})
 
 
 _OPTIONS_SQL = """WITH k AS (SELECT *, o_orderkey % 5 AS k FROM orders)
  SELECT o_orderkey, CASE WHEN k < 3 THEN o_orderstatus END AS language, CASE WHEN k = 1 THEN false ELSE o_custkey % 2 = 1 END AS audio_only, CASE WHEN k = 2 THEN true ELSE o_custkey % 2 = 0 END AS transcript,
- CASE WHEN k = 3 THEN false ELSE o_custkey % 2 = 1 END AS diarize, CASE k WHEN 0 THEN '' WHEN 1 THEN o_custkey::VARCHAR ELSE o_custkey || '/raw' END AS delivery FROM k"""
+ CASE WHEN k = 3 THEN false ELSE o_custkey % 2 = 1 END AS diarize, CASE k WHEN 0 THEN '' WHEN 1 THEN o_custkey::VARCHAR ELSE o_custkey || '/raw' END AS delivery,
+ CASE WHEN k = 0 THEN '' ELSE 'system/' || o_orderstatus || CASE WHEN k <> 3 AND o_custkey = k THEN ',user/' || o_custkey ELSE '' END || CASE WHEN k <> 3 THEN ',user/' || k ELSE '' END END AS prompts FROM k"""
 
 
 def _presets(s, d):
@@ -331,31 +400,39 @@ _PRESETS_SQL = """WITH r AS (SELECT event_id, ['system', 'user', 'other'][event_
  SELECT event_id, source, user_id::VARCHAR AS id, coalesce(n_name, c_name) AS options FROM r LEFT JOIN nation ON source = 'system' AND n_nationkey = user_id LEFT JOIN customer ON source = 'user' AND c_custkey = user_id"""
 
 
+# A list of references around each event's names, and how it is spoilt.
+_REFS = "concat('[\"', event_type, ':', user_id, '\", \"system:', event_type, '\"', CASE WHEN user_id % 3 = 0 THEN concat(', \"', event_type, '\"') ELSE '' END, ']')"
+_REFS_SPOILT = "CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 9 = 1 THEN substring(j, 1, length(j) - CAST(user_id % 4 AS INT) - 1) WHEN event_id % 9 = 2 THEN concat('{\"a\": ', j, '}') WHEN event_id % 9 = 3 THEN props WHEN event_id % 9 = 4 THEN replace(j, ':', CASE WHEN user_id % 2 = 0 THEN '' ELSE '::' END) WHEN event_id % 9 = 5 THEN '[]' ELSE j END"
+
+
 def _prompts(s, d):
-    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
-    raw = F.element_at(F.array(F.lit(None), F.to_json(F.array(F.lit("system:summary"), user)), F.to_json(F.array(user, F.lit("user"))), F.lit("{}"), F.lit("["), F.lit("[]")), (F.col("event_id") % 6 + 1).cast("int"))
-    p = read(s, d, "events").select("event_id", co.parse_prompts(raw).alias("p"))
-    return p.select("event_id", "p.error", F.array_join(F.transform("p.refs", lambda r: F.concat_ws(":", r["source"], r["id"])), ",").alias("refs"))
+    raw = read(s, d, "events").selectExpr("event_id", "user_id", "props", f"{_REFS} AS j").selectExpr("event_id", f"{_REFS_SPOILT} AS raw")
+    p = raw.select("event_id", co.parse_prompts(F.col("raw")).alias("p"))
+    return p.select("event_id", "p.error", F.array_join(F.transform("p.refs", lambda r: F.concat_ws("=", r["source"], r["id"])), ",").alias("refs"))
 
 
-_PROMPTS_SQL = """SELECT event_id, [NULL, NULL, 'invalid reference', 'not a list', 'not JSON', NULL][event_id % 6 + 1] AS error,
- CASE event_id % 6 WHEN 0 THEN 'system:summary' WHEN 1 THEN 'system:summary,user:' || user_id WHEN 5 THEN '' END AS refs FROM events"""
+_PROMPTS_SQL = f"""WITH j AS (SELECT *, {_REFS} AS j FROM events), r AS (SELECT event_id, {_REFS_SPOILT} AS raw FROM j),
+ k AS (SELECT *, CASE WHEN raw IS NULL THEN 'none' WHEN NOT json_valid(raw) THEN 'not JSON' WHEN json_type(raw) <> 'ARRAY' THEN 'not a list' ELSE 'list' END AS kind FROM r),
+ e AS (SELECT event_id, list_transform(json_extract(raw, '$[*]'), lambda x: x ->> '$') AS x FROM k WHERE kind = 'list'),
+ b AS (SELECT event_id, x, len(list_filter(x, lambda y: NOT regexp_matches(y, '^[^:]+:.+$'))) > 0 AS bad FROM e)
+ SELECT event_id, CASE WHEN kind = 'list' THEN CASE WHEN bad THEN 'invalid reference' END WHEN kind <> 'none' THEN kind END AS error,
+ CASE WHEN kind = 'none' THEN 'system=summary' WHEN kind = 'list' AND NOT bad THEN array_to_string(list_transform(x, lambda y: split_part(y, ':', 1) || '=' || y[length(split_part(y, ':', 1)) + 2:]), ',') END AS refs FROM k LEFT JOIN b USING (event_id)"""
 
 
 def _fitted(s, d):
     """Sentences of each document as notes; the model's stand-in is a digest of the batch."""
     t = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "text"))
-    return co.pack_until_fits(t.withColumn("pos", F.col("pos").cast("long")), 60, 40, lambda c: F.md5(c.cast("binary"))).groupBy("id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "|").cast("binary")).alias("h"))
+    return co.pack_until_fits(t.withColumn("pos", F.col("pos").cast("long")), 60, 40, lambda c: F.md5(c.cast("binary"))).groupBy("id").agg(F.count("*").alias("n"), F.bool_and("fits").alias("fits"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "|").cast("binary")).alias("h"))
 
 
 def _fitted_sql(passes: int = 6) -> str:
     """The passes one by one; each numbers its notes, batches those of the ids that don't fit, and digests the batches."""
     out = [f"WITH RECURSIVE l AS (SELECT doc_id AS id, {_SENT} AS l FROM documents), t0 AS (SELECT id, unnest(l) AS text, generate_subscripts(l, 1) AS i FROM l)"]
     for k in range(passes):
-        out.append(f"n{k} AS (SELECT *, greatest(1, length(text) // 4) AS n FROM t{k}), o{k} AS (SELECT *, sum(n) OVER (PARTITION BY id) > 60 AND count(*) OVER (PARTITION BY id) > 1 AS over FROM n{k}), s{k} AS (SELECT * FROM o{k} WHERE over)")
+        out.append(f"n{k} AS (SELECT *, greatest(1, length(text) // 4) AS n FROM t{k}), o{k} AS (SELECT *, sum(n) OVER (PARTITION BY id) > 60 AND ({k} = 0 OR count(*) OVER (PARTITION BY id) > 1) AS over FROM n{k}), s{k} AS (SELECT * FROM o{k} WHERE over)")
         out.append(f"p{k} AS (SELECT id, i, 1 AS batch, n AS total FROM s{k} WHERE i = 1 UNION ALL SELECT s.id, s.i, batch + (total + s.n > 40)::INT, CASE WHEN total + s.n > 40 THEN s.n ELSE total + s.n END FROM p{k} p JOIN s{k} s ON s.id = p.id AND s.i = p.i + 1)")
         out.append(f"t{k + 1} AS (SELECT id, text, i FROM o{k} WHERE NOT over UNION ALL SELECT id, md5(string_agg(text, chr(10) || chr(10) ORDER BY i)), batch FROM p{k} JOIN s{k} USING (id, i) GROUP BY id, batch)")
-    return ", ".join(out) + f" SELECT id, count(*) AS n, md5(string_agg(text, '|' ORDER BY i)) AS h FROM t{passes} GROUP BY id"
+    return ", ".join(out) + f" SELECT id, count(*) AS n, sum(greatest(1, length(text) // 4)) <= 60 AS fits, md5(string_agg(text, '|' ORDER BY i)) AS h FROM t{passes} GROUP BY id"
 
 
 QUERIES = {
@@ -363,6 +440,7 @@ QUERIES = {
     "diarized_entries": (lambda s, d: _dialogue(s, d)[0], _CLEAN_SQL + ' SELECT task_id, pos, speaker, start, "end", text FROM cl'),
     "diarized_text": (lambda s, d: _dialogue(s, d)[1].select("task_id", F.md5("rendered").alias("h")), _RENDER_SQL),
     "task_rows": (_rows, _ROWS_SQL),
+    "task_measures": (_measured, _MEASURED_SQL),
     "task_abilities": (_abilities, _ABILITIES_SQL),
     "task_outcomes": (_outcomes, _OUTCOMES_SQL + " SELECT * FROM o"),
     "wrong_ends": (lambda s, d: co.wrong_ends(_outcomes(s, d), view(s, d, "tasks")), _OUTCOMES_SQL + " SELECT task_id, t.status, o.status AS expected FROM tasks t JOIN o USING (task_id) WHERE t.status <> o.status"),
@@ -381,7 +459,7 @@ QUERIES = {
     "resolve_voices": (_voices, _VOICES_SQL),
     "finalize": (_finalized, _FINALIZED_SQL),
     "replace_manifest": (_manifests, _MANIFESTS_SQL),
-    "accepted_trim": (_trims, "SELECT o_orderkey, CASE WHEN b <= 0 OR greatest(0, a - b) > 30 THEN 0 ELSE greatest(0, a - b) END::DOUBLE AS trimmed, 2 AS n, b AS second FROM (SELECT o_orderkey, o_totalprice % 100 AS a, o_totalprice % 70 - 5 AS b FROM orders)"),
+    "accepted_trim": (_trims, _TRIMS_SQL),
     "window_report": (
         lambda s, d: co.window_report(view(s, d, "durations")),
         cte("durations") + ", t AS (SELECT floor(median(window_total)) AS t FROM durations WHERE window_total >= 1) SELECT name, round(CASE WHEN name = 'summarize_windows' THEN median(duration_sec / window_total) * any_value(t) ELSE median(duration_sec) END, 1) AS seconds, count(*) AS n FROM durations, t WHERE name <> 'summarize_windows' OR window_total >= 1 GROUP BY name",

@@ -91,6 +91,10 @@ QUERIES = {
         lambda s, d: mt.step_durations(view(s, d, "steps").withColumns({"started_at": F.expr("timestampadd(SECOND, -CAST(event_id % 50 - 5 AS INT), started_at)"), "window_total": (F.col("event_id") % 4).cast("int")})).select("event_id", "duration_sec", "window_total"),
         _S + " SELECT event_id, CAST(event_id % 50 - 5 AS DOUBLE) AS duration_sec, CASE WHEN event_id % 4 >= 1 THEN CAST(event_id % 4 AS INT) END AS window_total FROM steps WHERE status = 'completed' AND finished_at IS NOT NULL AND event_id % 50 >= 5",
     ),
+    "user_durations": (
+        lambda s, d: mt.user_durations(view(s, d, "steps").withColumns({"task_id": F.col("event_id") * 2, "started_at": F.expr("timestampadd(SECOND, -CAST(event_id % 50 - 5 AS INT), started_at)"), "window_total": F.lit(None).cast("int")}), view(s, d, "tasks")).select("event_id", "user_id", "name", "duration_sec"),
+        cte("steps", "tasks") + " SELECT event_id, t.user_id, name, CAST(event_id % 50 - 5 AS DOUBLE) AS duration_sec FROM steps s JOIN tasks t ON t.task_id = s.event_id * 2 WHERE s.status = 'completed' AND finished_at IS NOT NULL AND event_id % 50 >= 5",
+    ),
     "processing_seconds": (
         lambda s, d: mt.processing_seconds(view(s, d, "steps").withColumn("started_at", F.expr("timestampadd(SECOND, -CAST(event_id % 50 - 5 AS INT), started_at)"))),
         _S + " SELECT task_id, CAST(sum(event_id % 50 - 5) FILTER (finished_at IS NOT NULL AND event_id % 50 >= 5) AS BIGINT) AS seconds FROM steps GROUP BY 1",

@@ -101,6 +101,17 @@ def _utterances(s, d):
     return t.select("conv_id", F.posexplode(tx.split_utterances(F.col("t"))).alias("pos", "utterance"))
 
 
+# Messages around each turn's text, and languages and probabilities of its length; both engines build them alike.
+_MESSAGE = "CASE (conv_id + turn) % 6 WHEN 0 THEN concat(substring(text, 1, 40), ' PREMIERES in ', turn, ' hours') WHEN 1 THEN concat('this live event will Begin in a few moments. ', text) WHEN 2 THEN concat('n_ctx ', text, ' too LARGE') WHEN 3 THEN concat('N_CTX is ', length(text)) WHEN 4 THEN concat(text, ' context length exceeded: ', turn) ELSE text END"
+_LANGUAGE = "CASE turn % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(' ', upper(substring(role, 1, 2)), ' ') WHEN 2 THEN 'auto' WHEN 3 THEN '' ELSE role END"
+_SURE = "CASE WHEN conv_id % 6 > 0 THEN length(text) % 100 / 100.0E0 END"
+
+
+def _failures(s, d):
+    t = read(s, d, "conversations").selectExpr("conv_id", "turn", "role", f"{_MESSAGE} AS m", f"{_LANGUAGE} AS l", f"{_SURE} AS p")
+    return t.select("conv_id", "turn", tx.classify_failure(F.col("m")).alias("code"), tx.is_context_overflow(F.col("m")).alias("overflow"), tx.effective_language(F.col("l"), F.col("role")).alias("language"), tx.language_gate(F.col("l"), F.col("p"), 0.5).alias("gate"))
+
+
 # Pieces of comparison SQL: a token without its signs; sentences of a transcript; the heuristics for ASR texts.
 def _token(x: str) -> str:
     return rf"lower(regexp_replace({x}, '[^\p{{L}}\p{{M}}\p{{N}}_]+', '', 'g'))"
@@ -191,6 +202,11 @@ _THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT event_id, user_id AS task_id, CAS
  SELECT event_id, task_id FROM p WHERE passes UNION ALL SELECT event_id, task_id FROM e WHERE k IS NULL"""
 
 
+_FAILURES_SQL = f"""WITH t AS (SELECT conv_id, turn, role, {_MESSAGE} AS m, {_LANGUAGE} AS l, {_SURE} AS p FROM conversations)
+ SELECT conv_id, turn, CASE WHEN regexp_matches(m, '(?i){tx.LIVE_NOT_STARTED}') THEN 'download_live_not_started' END AS code, regexp_matches(lower(m), '{tx.OVERFLOW_HINTS}') OR contains(lower(m), 'n_ctx') AND regexp_matches(lower(m), 'exceed|too long|too large') AS overflow,
+ CASE WHEN trim(l) IN ('', 'auto') OR l IS NULL THEN role ELSE lower(trim(l)) END AS language, CASE WHEN l IS NULL THEN 'missing_language' WHEN p IS NULL THEN 'missing_probability' WHEN p < 0.5 THEN 'low_confidence' ELSE 'ok' END AS gate FROM t"""
+
+
 def _facts_sql(text: str) -> str:
     """SQL: (numbers, dates, units) of a text as sorted lists."""
     number = r"""list_reduce(range(1, len(regexp_split_to_array({0}, '[,.]'))), lambda a, i: a || CASE WHEN length(regexp_split_to_array({0}, '[,.]')[i + 1]) = 3 THEN '' ELSE regexp_extract_all({0}, '[,.]')[i] END || regexp_split_to_array({0}, '[,.]')[i + 1], regexp_split_to_array({0}, '[,.]')[1])"""
@@ -338,10 +354,7 @@ QUERIES = {
     "facts": (lambda s, d: read(s, d, "documents").select("doc_id", F.array_join(F.array_sort(tx.extract_numbers(F.col("text"))), ";").alias("numbers"), F.array_join(F.array_sort(tx.extract_dates(F.col("text"))), ";").alias("dates"), F.array_join(F.array_sort(tx.extract_units(F.col("text"))), ";").alias("units")), _FACTS_SQL),
     "hallucinations": (lambda s, d: read(s, d, "documents").select("doc_id", tx.is_probable_hallucination(F.col("text")).alias("suspicious"), tx.transcript_quality(F.col("text")).alias("score")), _ASR_SQL),
     "utterances": (_utterances, "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, regexp_replace(role || ': ' || replace(text, chr(10), ' '), '\\s+$', '') AS utterance FROM conversations"),
-    "failures": (
-        lambda s, d: read(s, d, "events").select("event_id", tx.classify_failure(F.concat(F.lit("x PREMIERES in "), "props")).alias("code"), tx.is_context_overflow(F.concat(F.lit("N_CTX "), F.when(F.col("event_id") % 2 == 0, "too large").otherwise("fine"))).alias("overflow"), tx.effective_language(F.when(F.col("event_id") % 3 == 0, " DE "), F.col("event_type")).alias("language"), tx.language_gate(F.col("event_type"), F.when(F.col("event_id") % 5 > 0, F.col("value") / 100), 0.5).alias("gate")),
-        "SELECT event_id, 'download_live_not_started' AS code, event_id % 2 = 0 AS overflow, CASE WHEN event_id % 3 = 0 THEN 'de' ELSE event_type END AS language, CASE WHEN event_id % 5 = 0 THEN 'missing_probability' WHEN value / 100 < 0.5 THEN 'low_confidence' ELSE 'ok' END AS gate FROM events",
-    ),
+    "failures": (_failures, _FAILURES_SQL),
     "timecodes": (
         lambda s, d: read(s, d, "orders").select("o_orderkey", tx.timecode(F.col("o_totalprice") / 10).alias("code"), tx.user_hash(F.col("o_custkey").cast("string")).alias("dir")),
         "SELECT o_orderkey, CASE WHEN x >= 3600 THEN (x // 3600) || ':' || lpad((x // 60 % 60)::VARCHAR, 2, '0') ELSE (x // 60)::VARCHAR END || ':' || lpad((x % 60)::VARCHAR, 2, '0') AS code, sha256(o_custkey::VARCHAR)[1:24] AS dir FROM (SELECT *, floor(o_totalprice / 10)::INT AS x FROM orders)",

@@ -27,7 +27,7 @@ WINDOWS = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("te
 _RATES = "t_wall_ms rtf llm_tok_per_s compression_ratio redundancy_dup_sentence_ratio".split()
 EVENTS = T.StructType(
     [
-        *(T.StructField(c, T.StringType()) for c in ("task_id", "run_id", "stage")),
+        *(T.StructField(c, T.StringType()) for c in ("task_id", "run_id", "prompt_version", "stage")),
         T.StructField("ts", T.TimestampType()),
         T.StructField("segment_id", T.IntegerType()),
         *(T.StructField(c, T.DoubleType()) for c in _RATES),
@@ -72,6 +72,34 @@ def read_windows(spark: SparkSession, primary: str, mirror: str, total: int) ->
     return fill_gaps(read_json(spark, primary, WINDOWS).filter("text is not null"), read_json(spark, mirror, WINDOWS).filter("text is not null"), "idx", total)
 
 
+def restore_windows(spark: SparkSession, pattern: str, totals: DataFrame) -> DataFrame:
+    """(folder, window_index, summary, path): the windows that each summary folder of a glob has done.
+
+    A folder's ``windows.json`` comes first; a ``window_NN.txt`` fills a gap, as a killed run may have written it without its line.
+    Malformed files and entries are skipped, indices outside 1..total (``totals``: folder, total) dropped, and a folder
+    without a total has none. ``summary`` is the note's JSON, or its text as a JSON string; a path that is missing is
+    the file's own.
+    """
+    empty = spark.createDataFrame([], "folder string, window_index int, summary string, path string")
+    if not _exists(spark, pattern):
+        return empty
+    load = lambda name: spark.read.text(pattern, wholetext=True, pathGlobFilter=name).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"), F.input_file_name().alias("path"), "value")
+    own = F.concat("folder", F.lit("/window_"), F.when(F.col("window_index") < 10, F.lpad(F.col("window_index").cast("string"), 2, "0")).otherwise(F.col("window_index").cast("string")), F.lit(".txt"))
+    items = load("windows.json").select("folder", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$.windows", "array<variant>")).alias("_i", "x"))
+    index = F.try_variant_get("x", "$.window_index", "int")
+    given = F.try_variant_get("x", "$.path", "string")
+    stated = items.select("folder", "_i", index.alias("window_index"), F.to_json(F.try_variant_get("x", "$.summary", "variant")).alias("summary"), given.alias("_path")).filter("window_index >= 1")
+    stated = stated.withColumn("path", F.when(F.coalesce(F.trim("_path"), F.lit("")) != "", F.col("_path")).otherwise(own))
+    stated = stated.groupBy("folder", "window_index").agg(F.max_by(F.struct("summary", "path"), "_i").alias("w"), F.lit(0).alias("_rank"))  # the last of equals
+    parsed = F.try_parse_json("value")
+    quoted = F.regexp_replace(F.to_json(F.array("value")), r"(?s)^\[(.*)\]$", "$1")
+    note = F.when(F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), F.to_json(parsed)).otherwise(quoted)
+    files = load("window_*.txt").withColumn("window_index", F.regexp_extract("path", r"/window_(\d+)\.txt$", 1).try_cast("int")).filter("window_index is not null")
+    files = files.select("folder", "window_index", F.struct(note.alias("summary"), "path").alias("w"), F.lit(1).alias("_rank"))
+    both = stated.unionByName(files).groupBy("folder", "window_index").agg(F.min_by("w", F.struct("_rank", "w.path")).alias("w"))
+    return both.join(totals, "folder").filter("window_index <= total").select("folder", "window_index", "w.summary", "w.path")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, EVENTS, multi_line=False)
 
@@ -135,9 +163,13 @@ def write_atomic(df: DataFrame, path: str, fmt: str = "json") -> None:
         fs.delete(aside, True)
 
 
-def append_events(events: DataFrame, path: str, task_id: str, run_id: str) -> None:
-    """Append metric events as JSON lines, stamped with time, task and run."""
-    events.withColumns({"ts": F.current_timestamp(), "task_id": F.lit(task_id), "run_id": F.lit(run_id)}).write.mode("append").json(path)
+def append_events(events: DataFrame, path: str, task_id: str, run_id: str, prompt_version: str = "") -> None:
+    """Append metric events as JSON lines, stamped with time, task, run and the prompts' version.
+
+    An event's own ``prompt_version``, where it has one, stands.
+    """
+    own = F.coalesce("prompt_version", F.lit(prompt_version)) if "prompt_version" in events.columns else F.lit(prompt_version)
+    events.withColumns({"ts": F.current_timestamp(), "task_id": F.lit(task_id), "run_id": F.lit(run_id), "prompt_version": own}).write.mode("append").json(path)
 
 
 def mirror_batches(primary: str, mirror: str, fmt: str = "parquet"):

@@ -35,12 +35,32 @@ def test_windows_fill_gaps(spark, tmp_path):
     assert [(r.idx, r.text) for r in got] == [(1, "p1"), (2, "m2")]
 
 
+def test_windows_of_a_killed_run(spark, tmp_path):
+    one, two = tmp_path / "t1", tmp_path / "t2"
+    for folder in (one, two):
+        folder.mkdir()
+    (one / "windows.json").write_text(json.dumps({"windows": [{"window_index": 1, "summary": {"a": 1}, "path": " "}, {"window_index": "2", "summary": "two", "path": "/x/2"}, 5, {"window_index": "no"}, {"window_index": 0}, {"window_index": 9, "summary": "high"}]}))
+    (one / "window_02.txt").write_text("ignored")
+    (one / "window_03.txt").write_text('say "3"')
+    (one / "window_04.txt").write_text('{"b": 2}')
+    (one / "window_x.txt").write_text("no")
+    (two / "windows.json").write_text("{ broken")
+    (two / "window_12.txt").write_text("[1]")
+    totals = spark.createDataFrame([(f"file://{one}", 4), (f"file://{two}", 12)], "folder string, total int")
+    rows = artifacts.restore_windows(spark, f"{tmp_path}/t*", totals).orderBy("folder", "window_index").collect()
+    assert [(r.folder[-2:], r.window_index, json.loads(r.summary), r.path.rsplit("/", 2)[1:]) for r in rows] == [
+        ("t1", 1, {"a": 1}, ["t1", "window_01.txt"]), ("t1", 2, "two", ["x", "2"]), ("t1", 3, 'say "3"', ["t1", "window_03.txt"]), ("t1", 4, {"b": 2}, ["t1", "window_04.txt"]), ("t2", 12, "[1]", ["t2", "window_12.txt"])]
+    assert artifacts.restore_windows(spark, f"{tmp_path}/none*", totals).count() == 0
+
+
 def test_events_write_and_read(spark, tmp_path):
     df = spark.createDataFrame([("download", 5.0), ("task.final", 1.0)], "stage string, t_wall_ms double")
     for _ in range(2):
         artifacts.append_events(df, f"{tmp_path}/ev", "t1", "r1")
     back = artifacts.read_events(spark, f"{tmp_path}/ev")
     assert back.count() == 4 and {r.task_id for r in back.collect()} == {"t1"}
+    artifacts.append_events(df.withColumn("prompt_version", F.when(F.col("stage") == "download", "own")), f"{tmp_path}/ev", "t2", "r1", prompt_version="v7")
+    assert {(r.stage, r.prompt_version) for r in artifacts.read_events(spark, f"{tmp_path}/ev").filter("task_id = 't2'").collect()} == {("download", "own"), ("task.final", "v7")}
     for k in (1, 2):
         artifacts.write_atomic(df.limit(k), f"{tmp_path}/atomic")
         assert spark.read.json(f"{tmp_path}/atomic").count() == k
