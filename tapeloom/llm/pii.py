@@ -10,8 +10,11 @@ Equal entities get equal surrogates wherever and in whatever formatting they sta
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -39,14 +42,23 @@ _PARTS = [range(1, 10), range(10, 13), range(13, 29), range(29, 31), range(31, 3
 _OCTETS = [list(range(10)), list(range(10, 100)), list(range(100, 256))]
 _NAME = r"[^\W\d_a-zßà-öø-ÿа-яё][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _FORMS = [
-    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+%-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")),
+    ("token", re.compile(r"(?<=://)(?P<v>[^\s:/?#@]{1,256})(?=:[^\s/?#@]+@)")),
+    ("secret", re.compile(r"(?<=://)[^\s:/?#@]{1,256}:(?P<v>[^\s/?#@]+)(?=@)")),
+    ("token", re.compile(r"(?<![\w.-])eyJ[\w-]{4,}\.[\w-]{4,}(?:\.[\w-]*)?(?![\w-])")),
+    ("token", re.compile(r"(?<![\w-])(?:gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[sprk]k_(?:live|test)_|sk-|AIza|npm_|hf_|SG\.)[\w.-]{12,}[\w-]")),
+    ("email", re.compile(r"(?<![\w.+%-])[^\W_](?:[\w.%+-]*[\w+%-])?@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")),
     ("aws", re.compile(r"(?<![A-Za-z0-9])A(?:KI|SI)A[0-9A-Z]{16}(?![A-Za-z0-9])")),
     ("secret", re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}([\"']?)([^\s\"',;]{6,})(?=\1)")),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("secret", re.compile(r"(?i)(?<!\w)(?:password|passwd|passphrase|pass ?code|passwort|kennwort|mot de passe|contraseña|пароль)(?: (?:is|was|ist|lautet|war|est|es|era)(?: now| jetzt)?:?| ?:) {1,2}[\"'“„«]?(?P<v>(?=[^\s\"'”“»,;]*[0-9])[^\s\"'”“»,;]{4,}[^\s\"'”“»,;.!?)])")),
+    ("iban", re.compile(r"(?i)(?<![a-z0-9])[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?![a-z0-9])")),
+    ("mac", re.compile(r"(?i)(?<![\w:-])[0-9a-f]{2}([:-])(?:[0-9a-f]{2}\1){4}[0-9a-f]{2}(?![\w:-])")),
+    ("ipv6", re.compile(r"(?i)(?<![\w:.])(?=[0-9a-f:]*[0-9])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![\w:.]*[\w:])")),
     ("ip", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])")),
     ("card", re.compile(r"(?<![\w.,-])[0-9]{4}(?:([ -]?)[0-9]{4}(?:\1[0-9]{4}\1[0-9]{1,7}|[0-9]{0,3}\1[0-9]{5}))(?![\w])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("birth", re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[: ]{1,3}(?P<v>[0-9]{1,4}([./-])[0-9]{1,2}\2[0-9]{1,4})(?![\w./-])")),
+    ("birth", re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[: ]{1,3}(?P<v>[0-9]{1,4}([./-])[0-9]{1,2}\2[0-9]{1,4})(?![\w/-]|\.\w)")),
+    # a day and a year around a month's name, which may have "de" or a comma beside it
+    ("birth", re.compile(r"(?i)(?<!\w)(?:born(?: on)?|date of birth|d\.?o\.?b\.?|geboren(?: am)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento)[: ]{1,3}(?P<v>(?:[0-9]{1,2}(?:\.|st|nd|rd|th|er)? (?:de |of )?[^\W\d_]{3,10}\.?,?(?: del?)? |[^\W\d_]{3,10}\.? [0-9]{1,2}(?:st|nd|rd|th)?,? )(?:19|20)[0-9]{2})(?!\w)")),
     ("passport", re.compile(r"(?i)(?<!\w)(?:passport|reisepass|passeport|pasaporte)[ -]?(?:no|nr|number|nummer|num|n°)?\.?[:# ]{1,3}(?P<v>(?=[A-Z]*[0-9])[A-Z0-9]{6,9})(?!\w)")),
     ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w]|[.,][0-9])")),
     # after a plus or a leading 0: groups of any length, or none
@@ -60,6 +72,8 @@ _TITLE = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, HONORIFICS), key=
 _INTRO = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es)[ \t]+({_NAME}(?:[ \t]+{_NAME}){{0,2}})")
 _DATE = re.compile(r"(?:19|20)[0-9]{2}([-. ])(?:0[1-9]|1[0-2])\1(?:[0-2][0-9]|3[01])(?![0-9])")
 _MAYBE = re.compile(r"[0-9@]")
+_WORD, _PART = re.compile(r"\w+(?:[-'’]\w+)*"), re.compile(r"\w+")
+_MARKED = re.compile(r"gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[sprk]k_(?:live|test)_|sk-|AIza|npm_|hf_|SG\.|eyJ")
 _SECRET_WORDS = ("passw", "pwd", "secret", "token", "key")
 
 
@@ -74,43 +88,81 @@ def _iban_rest(text: str) -> int:
 
 
 def canonical(kind: str, raw: str) -> str:
-    """The form under which mentions of one entity are one: without separators, e-mail and names in lower case."""
+    """The form under which mentions of one entity are one: without separators; letters that may vary in one case."""
     if kind in ("card", "ssn", "phone"):
         return ("+" if raw.startswith("+") else "") + re.sub("[^0-9]", "", raw)
     if kind == "iban":
-        return raw.replace(" ", "")
-    return raw.lower() if kind in ("email", "surname") or kind.startswith("given") else raw
+        return raw.replace(" ", "").upper()
+    if kind == "mac":
+        return re.sub("[:-]", "", raw).lower()
+    low = raw.lower()
+    return low if (kind in ("email", "surname", "ipv6") or kind.startswith("given")) and len(low) == len(raw) else raw
+
+
+def _valid(kind: str, raw: str) -> bool:
+    """What a form alone can't tell: check digits, octets, and numbers that are dates or too short."""
+    if kind == "ip":
+        return all(int(x) <= 255 for x in raw.split("."))
+    if kind == "ipv6":
+        try:
+            return len(raw) > 4 and ipaddress.IPv6Address(raw).version == 6
+        except ValueError:
+            return False
+    if kind == "iban":
+        short = raw.replace(" ", "").upper()
+        return 15 <= len(short) <= 34 and _iban_rest(short) == 1
+    if kind == "phone":
+        digits = sum(c.isdigit() for c in raw)
+        return 7 <= digits <= 15 and not _DATE.match(raw) and (raw[0] in "+(" or digits >= 9)
+    return True
+
+
+def _trimmed(kind: str, start: int, raw: str) -> tuple[int, str]:
+    """A bank number may be followed by a word that looks like its last group; the longest valid beginning counts."""
+    short = raw
+    while kind == "iban" and not _valid(kind, short):
+        short, sep, _ = short.rpartition(" ")
+        if not sep:
+            return start, raw
+    return start, short
+
+
+class _Spans:
+    """Spans without overlaps, in order; those of an earlier form win."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, int, str, str]] = []
+        self.starts: list[int] = []
+
+    def add(self, found: Iterable[tuple[int, int, str, str]]) -> None:
+        """``found`` has no overlaps of its own and comes in order."""
+        new = []
+        for span in found:
+            i = bisect_left(self.starts, span[1])
+            if not i or self.held[i - 1][1] <= span[0]:
+                new.append(span)
+        if new:
+            self.held = sorted(self.held + new)  # two sorted runs
+            self.starts = [a for a, _, _, _ in self.held]
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities, in order and without overlaps; earlier kinds win.
 
     Names are found after an honorific or words such as "my name is", birth dates, passports and streets by the words
-    around them; once a name is found, its words count as the same person's throughout the text.
+    around them; once a name is found, its words count as the same person's throughout the text. The work grows with
+    the text's length and its number of entities, not with their product.
     """
-    found: list[tuple[int, int, str, str]] = []
-    low = None
+    spans = _Spans()
     free = _MAYBE.search(text) is not None
     if not free:
         low = text.lower()
         free = any(w in low for w in _SECRET_WORDS)
     if free:
         for kind, form in _FORMS:
-            for m in form.finditer(text):
-                a, b = m.span(2) if kind == "secret" else m.span("v") if "v" in form.groupindex else m.span()
-                raw = text[a:b]
-                if kind == "ip" and any(int(x) > 255 for x in raw.split(".")):
-                    continue
-                if kind == "iban" and _iban_rest(raw.replace(" ", "")) != 1:
-                    continue
-                if kind == "phone" and not 7 <= sum(c.isdigit() for c in raw) <= 15:
-                    continue
-                if kind == "phone" and _DATE.match(raw):
-                    continue
-                if kind == "phone" and not (raw[0] in "+(" or sum(c.isdigit() for c in raw) >= 9):
-                    continue
-                if not any(x < b and a < y for x, y, _, _ in found):
-                    found.append((a, b, kind, canonical(kind, raw)))
+            group = 2 if kind == "secret" and form.groups > 1 else "v" if "v" in form.groupindex else 0
+            places = (_trimmed(kind, m.start(group), m[group]) for m in form.finditer(text))
+            spans.add((a, a + len(raw), kind, canonical(kind, raw)) for a, raw in places if _valid(kind, raw))
     people: dict[str, str] = {}
     named = [(HONORIFICS[m[1]], m[2]) for m in _TITLE.finditer(text)] + [("x", m[1]) for m in _INTRO.finditer(text)]
     for gender, name in named:
@@ -118,10 +170,16 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         for i, n in enumerate(names):
             people.setdefault(n, "surname" if i == len(names) - 1 else f"given-{gender}")
     if people:
-        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, people), key=len, reverse=True))})(?!\w)", text):
-            if not any(x < m.end() and m.start() < y for x, y, _, _ in found):
-                found.append((*m.span(), people[m[0]], canonical("given", m[0])))
-    return sorted(found)
+        spans.add(_mentions(text, people))
+    return spans.held
+
+
+def _mentions(text: str, people: dict[str, str]) -> Iterable[tuple[int, int, str, str]]:
+    """Where the names stand: whole words, or the parts of hyphenated ones."""
+    for m in _WORD.finditer(text):
+        for w in [m] if m[0] in people else _PART.finditer(text, *m.span()):
+            if w[0] in people:
+                yield *w.span(), people[w[0]], canonical("given", w[0])
 
 
 def _permute(symbols: list[int], radix: list[int], key: bytes) -> list[int]:
@@ -156,6 +214,7 @@ def _like(c: str) -> str | None:
     return near if c in near else None
 
 
+@lru_cache(1 << 14)
 def _base(c: str) -> str:
     """The letter that carries an accent, if it is one of ``ALPHABETS``; else the character itself."""
     if any(c in a for pair in ALPHABETS for a in pair):
@@ -180,11 +239,17 @@ def _classes(kind: str, value: str) -> list[str | None]:
     if kind == "secret":
         hexed = re.fullmatch("[0-9a-f]+", value) is not None
         return [_HEX if hexed else next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), None) or _like(c) for c in value]
+    if kind == "token":  # what its beginning says about its kind stays
+        mark = _MARKED.match(value)
+        own = [None if mark and i < mark.end() else next((a for a in (_DIGITS, _LOWER, _UPPER) if c in a), None) for i, c in enumerate(value)]
+        return own if any(own) else _classes("secret", value)
+    if kind in ("mac", "ipv6"):  # no group of an address gets a leading zero
+        return [None if c == ":" else _HEX[1:] if kind == "ipv6" and c != "0" and (not i or value[i - 1] == ":") else _HEX for i, c in enumerate(value)]
     if kind == "passport":
         return [_DIGITS if c.isdigit() else _UPPER if c in _UPPER else _LOWER for c in value]
     if kind == "email":
         top = value.rfind(".")
-        return [None if i >= top else next((a for a in (_DIGITS, _LOWER) if c in a), None) for i, c in enumerate(value)]
+        return [None if i >= top else next((a for a in (_DIGITS, _LOWER) if c in a), None) or (_like(c) if c.isalpha() else None) for i, c in enumerate(value)]
     out: list[str | None] = []
     for i, c in enumerate(value):  # names and streets: vowels stay vowels of their script
         if c in _DIGITS:
@@ -237,17 +302,23 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         value = _wider(kind, value, more)
     if kind == "email" and "@" in value:  # mentions of one domain keep a domain in common
         local, domain = value.rsplit("@", 1)
-        return _shuffle("email", local + ".", key, attempt)[:-1] + "@" + _shuffle("email", domain, key, 0)
+        return _shuffle("email", local + ".", key, attempt)[:-1] + "@" + _domain(domain, key)
     return _shuffle(kind, value, key, attempt)
 
 
+@lru_cache(1 << 14)
+def _domain(domain: str, key: bytes) -> str:
+    return _shuffle("email", domain, key, 0)
+
+
 def _shuffle(kind: str, value: str, key: bytes, attempt: int) -> str:
     classes = _classes(kind, value)
     names = kind == "surname" or kind == "address" or kind.startswith("given")
     chars = [_base(c) if names and (a is None or c not in a) else c for c, a in zip(value, classes, strict=True)]
     chars = [c.upper() if a is not None and c not in a and c.upper() in a else c for c, a in zip(chars, classes, strict=True)]
     at = [i for i, a in enumerate(classes) if a is not None and chars[i] in a]
-    shape = "".join("|" + (classes[i] or "") if i in set(at) else "=" + c for i, c in enumerate(chars))
+    moves = set(at)
+    shape = "".join("|" + (classes[i] or "") if i in moves else "=" + c for i, c in enumerate(chars))
     k = hashlib.blake2b(f"{kind}/{attempt}/{shape}".encode(), key=key).digest()
     moved = _permute([classes[i].index(chars[i]) for i in at], [len(classes[i]) for i in at], k)
     out = list(value)
@@ -271,10 +342,11 @@ def render(raw: str, kind: str, new: str) -> str:
     old = canonical(kind, raw)
     if len(new) != len(old):
         return new
+    cased = kind in ("email", "surname", "mac", "ipv6") or kind.startswith("given")
     out, i = [], 0
     for c in raw:
-        if i < len(old) and (c == old[i] or c.lower() == old[i]):
-            out.append(new[i].upper() if c.isupper() and kind in ("email", "surname") or c.isupper() and kind.startswith("given") else new[i])
+        if i < len(old) and c.lower() == old[i].lower():
+            out.append(new[i].upper() if c.isupper() and cased else new[i].lower() if c.islower() and kind == "iban" else new[i])
             i += 1
         else:
             out.append(c)
@@ -285,9 +357,11 @@ def replace(text: str, key: bytes, other: dict[tuple[str, str], int]) -> tuple[s
     spans = detect(text)
     if not spans:
         return text, 0
-    out, at = [], 0
+    out, at, made = [], 0, {}
     for a, b, kind, value in spans:
-        out += [text[at:a], render(text[a:b], kind, surrogate(kind, value, key, other.get((kind, value), 0)))]
+        if (kind, value) not in made:
+            made[kind, value] = surrogate(kind, value, key, other.get((kind, value), 0))
+        out += [text[at:a], render(text[a:b], kind, made[kind, value])]
         at = b
     return "".join([*out, text[at:]]), len(spans)
 
