@@ -28,16 +28,28 @@ HEADINGS = {f"h{i}" for i in range(1, 7)}
 BOILER = set("nav footer aside form menu dialog button noscript head label fieldset".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "main", "aside", "nav", "footer", "header", "form", "div", "blockquote"}
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|sign-?up"
-    r"|shar(?:e|ing)|social|side-?bar|related|recommend\w*|comments?|comment\w*|repl(?:y|ies)|respond|disqus|nav|navbar|navigation|menus?|breadcrumbs?|foot(?:er)?|page-?header|site-?header|masthead|copyright"
-    r"|legal|login|log-?in|search|widgets?|tags?|pagination|pager|toolbar|skip\w*|disclaimer|paywall|taboola|outbrain|teasers?|trending|popular|byline|meta)(?:$|[\s_-])",
-    re.I,
+# Words in class and id tokens. Parts of a layout; notices and forms that cover a page; reader comments.
+LAYOUT = (
+    r"ads?|adverts?|advertis\w*|adsense|banner\w*|promo\w*|sponsor\w*|shar(?:e|ing)|social|side-?bar|related|recommend\w*|nav|navbar|navigation|menus?|breadcrumbs?|foot(?:er)?|page-?header"
+    r"|site-?header|masthead|search|widgets?|tags?|pagination|pager|toolbar|skip\w*|taboola|outbrain|teasers?|trending|popular|byline|meta"
 )
+NOTICES = r"cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscri\w*|sign-?up|copyright|legal|login|log-?in|disclaimer|paywall"
+THREADS = r"comments?|comment\w*|repl(?:y|ies)|respond|responses|disqus|discussions?|guestbook"
+_NAMES = re.compile(rf"(?:^|[\s_-])(?:(?P<thread>{THREADS})|(?P<notice>{NOTICES})|(?P<layout>{LAYOUT}))(?=$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|content|body|main|text|prose)(?:$|[\s_-])", re.I)
-# what a page has or lacks, said on its wrapper; topics of a post, said on its article
+# what a page has or lacks, said on its wrapper
 _ABOUT = re.compile(r"(?:^|(?<=[_-]))(?:has|with|without|no)[_-].*", re.I)
-_TOPIC = re.compile(r"tag[_-]", re.I)
+# Headings of comment threads that say how many there are or ask for one, and bare ones; a comment's own line.
+_THREAD_HEAD = re.compile(
+    r"(?:\d+|no|one|two|three) (?:reader |user )?(?:comments?|thoughts?|repl(?:y|ies)|responses?|reactions?|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,80}"
+    r"|(?:comments?|responses?|repl(?:y|ies)|kommentare|commentaires|comentarios|respuestas) ?[(:] ?\d+\)?"
+    r"|(?:leave|post|write|add) (?:a|your) (?:reply|comment|response)\b.{0,40}|join the (?:discussion|conversation)\b.{0,40}"
+    r"|(?:schreiben? (?:sie )?einen kommentar|hinterlasse einen kommentar|laissez? un commentaire|deja (?:un comentario|una respuesta))\b.{0,40}", re.I)
+_BARE_HEAD = re.compile(r"(?:reader |user |your )?(?:comments?|discussion|responses?|replies|reactions?|thoughts|feedback|kommentare|diskussion|commentaires|réactions|comentarios)", re.I)
+_BYLINE = re.compile(
+    r"\b(?:said|says|wrote|writes|replied|replies|commented|schrieb|schreibt|sagte?|a écrit|a dit|escribió|dijo)\b.{0,60}$|\b(?:\d+|an?) (?:second|minute|hour|day|week|month|year)s? ago\b|^vor \d+ |^il y a \d+ |^hace \d+ "
+    r"|^(?:reply|antworten|répondre|responder|report|like|permalink)\b|\b(?:at|um|à|a las) \d{1,2}[:.h]\d{2}\b|^(?:posted |comment )?(?:by|von|par|por) \S+.{0,60}\d", re.I)
+_COOKIES = re.compile(r"\b(?:we|our|this (?:web)?site|this page|wir|unsere|diese (?:web)?seite|nous|ce site|nosotros|este sitio|esta web)\b.{0,60}\b(?:us(?:e|es|ing)|stores?|verwende[nt]?|nutz(?:t|en)|utilis\w+|usa(?:mos)?|utiliza\w*)\b.{0,60}\bcookies?\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BAD_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _TOKEN = re.compile(
@@ -46,68 +58,81 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SCALE, ADJACENT, KIN, ACROSS = 100, 1.0, 0.8, 0.2
+NAMED, ROLE, HIDDEN, THREAD, COOKIES = 7.0, 6.0, 20.0, 8.0, 9.0
+LAYOUT_SHARE, OTHER_SHARE = 0.5, 0.9
 
 
-def _boilerplate(names: str, main: bool) -> bool:
-    """Whether one of the class and id tokens names boilerplate."""
-    return any(_BAD.search(_ABOUT.sub("", t)) for t in names.split() if not (main and _TOPIC.match(t)))
+def _named(names: str) -> str:
+    """What the class and id tokens name: a thread, a notice, a part of a layout, or nothing."""
+    found = {m.lastgroup for t in names.split() if not t.lower().startswith("tag-") for m in _NAMES.finditer(_ABOUT.sub("", t))}
+    return next((k for k in ("thread", "notice", "layout") if k in found), "")
 
 
 class Node:
-    """An element; ``bad`` is the greater of what elements (``kind``) and names (``named``) around it say against it.
+    """An element; ``bad`` is the greatest of what elements, roles and names around it say against it.
 
-    An article or main part inside a wrapper with such a name speaks for itself; one inside an aside does not. ``own``
-    is what the element and its own names add; ``excuse`` takes it back.
+    ``kind`` and ``names`` are what the element itself adds, ``text`` and ``heading`` what it holds (set once the page
+    is read). An article or main part inside a wrapper with a name speaks for itself, and its own names are topics of
+    its text, unless they say that it is a comment; one inside an aside, or a hidden one, does not.
     """
 
-    __slots__ = ("tag", "parent", "own", "main", "kind", "named", "bad", "article", "good", "depth")
+    __slots__ = ("tag", "parent", "block", "kind", "names", "main", "article", "good", "like", "text", "heading", "bad", "bad_kind", "bad_name")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str):
         self.tag, self.parent = tag, parent
         up = parent
-        self.depth = up.depth + 1 if up else 0
+        self.block = self if tag in BLOCKS or up is None else up.block
         self.article = bool(up and up.article) or tag == "article"
         self.good = 1.5 if tag == "main" else up.good if up else 0.0
-        kind = named = 0.0
+        self.kind, self.names, self.text, self.heading = 0.0, "", 0, False
         a = {k.lower(): x or y or z for k, x, y, z in _ATTR.findall(attrs)} if attrs else {}
         role = a.get("role", "").lower()
-        self.main = main = tag in ("article", "main") or role in ("article", "main")
+        self.main = tag in ("article", "main") or role in ("article", "main")
+        self.like = (tag, a.get("class", ""))
         if tag in BOILER or tag == "header" and not self.article:
-            kind = 6.0
+            self.kind = ROLE
         if a:
             names = f"{a.get('class', '')} {a.get('id', '')}"
             if names != " " and tag not in ("html", "body"):
-                if _boilerplate(names, main):
-                    named = 7.0
-                elif _GOOD.search(names):
+                self.names = _named(names)
+                if self.main and self.names != "thread":
+                    self.names = ""
+                if not self.names and _GOOD.search(names):
                     self.good = max(self.good, 1.5)
             if role in BAD_ROLES:
-                kind = 6.0
+                self.kind = ROLE
             if role in ("main", "article"):
                 self.good = max(self.good, 1.5)
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-                kind = 20.0
-        self.own = kind, named
-        self.settle()
+                self.kind = HIDDEN
 
-    def settle(self) -> None:
-        up, (kind, named) = self.parent, self.own
-        self.kind = max(up.kind if up else 0.0, kind)
-        self.named = max(up.named if up and not self.main else 0.0, named)
-        self.bad = max(self.kind, self.named)
+    def settle(self, total: int, articles: int) -> None:
+        """Weigh what speaks against the element, its parent being settled: a wrapper of the page's text isn't a part of it.
+
+        A name or a form that holds half of the text is a layout's, if no article or main part stands outside; names of notices
+        and threads need a main heading, too, or nearly all of the text.
+        """
+        up, share = self.parent, self.text / max(1, total)
+        wraps = share >= LAYOUT_SHARE and (self.heading or self.text >= articles > 0 or not articles)
+        whole = share >= OTHER_SHARE or share >= LAYOUT_SHARE and (self.heading or self.main)
+        name = NAMED if self.names and not (wraps if self.names == "layout" else whole) else 0.0
+        kind = 0.0 if self.tag == "form" and self.kind < HIDDEN and wraps else self.kind
+        self.bad_kind = max(up.bad_kind if up else 0.0, kind)
+        self.bad_name = max(up.bad_name if up and not self.main else 0.0, name)
+        self.bad = max(self.bad_kind, self.bad_name)
 
 
 class Block:
-    __slots__ = ("text", "node", "linked", "words")
+    __slots__ = ("text", "node", "linked", "words", "bad")
 
     def __init__(self, text: str, node: Node, linked: int):
-        self.text, self.node, self.linked, self.words = text, node, linked, text.count(" ") + 1
+        self.text, self.node, self.linked, self.words, self.bad = text, node, linked, text.count(" ") + 1, 0.0
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; markup may be cut off anywhere or left unclosed."""
-    at, root = Node("html", None, ""), None
-    root = at
+    root = at = Node("html", None, "")
+    nodes, opened = [root], {"html": 1}
     out: list[Block] = []
     parts: list[str] = []
     link, linked = 0, 0
@@ -121,15 +146,23 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, owner, min(linked, len(text))))
         parts, linked = [], 0
 
-    def close(names: set[str], until: set[str]) -> None:
+    def leave(x: Node) -> None:
+        """Close all elements up to ``x``."""
         nonlocal at
+        while at is not x.parent:
+            opened[at.tag] -= 1
+            at = at.parent
+
+    def close(names: set[str], until: set[str]) -> None:
+        if not any(opened.get(n) for n in names):
+            return  # else a stray end tag would look through the whole depth
         x = at
         while x is not root and x.tag not in names:
             if x.tag in until:
                 return
             x = x.parent
         if x is not root:
-            at = x.parent
+            leave(x)
 
     pos, size = 0, len(page)
     while pos < size:
@@ -138,9 +171,7 @@ def blocks(page: str) -> list[Block]:
         if start > pos:
             text = page[pos:start]
             if not parts:
-                owner = at
-                while owner.tag not in BLOCKS and owner is not root:
-                    owner = owner.parent
+                owner = at.block
             parts.append(text)
             if link:
                 linked += len(text)
@@ -159,12 +190,12 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCKS:
                 flush()
                 close({tag}, set())
-            elif tag not in VOID:
+            elif tag not in VOID and opened.get(tag):
                 x = at
                 while x is not root and x.tag not in BLOCKS and x.tag != tag:
                     x = x.parent
                 if x.tag == tag and x is not root:
-                    at = x.parent
+                    leave(x)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
@@ -186,53 +217,98 @@ def blocks(page: str) -> list[Block]:
                 close(CLOSES[tag], SCOPE - {"div"} if tag == "li" else {"table"} if tag in ("td", "th", "tr") else SCOPE)
             if tag in HEADINGS:
                 close(HEADINGS, SCOPE)
-            if tag == "body":
-                at = root
+            if tag == "body" and at is not root:
+                leave(next_to_root(at, root))
         if tag == "a":
             link = 1
         if not m[0].endswith("/>") or tag in BLOCKS:
             at = Node(tag, at, m["attrs"] or "")
+            nodes.append(at)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
-    excuse(out)
+    judge(out, nodes)
     return out
 
 
-def excuse(bs: list[Block]) -> None:
-    """Take back what is held against a form or a name that wraps the page: over half its text and a main heading.
+def next_to_root(x: Node, root: Node) -> Node:
+    while x.parent is not root:
+        x = x.parent
+    return x
 
-    Such wrappers are layouts (the form around a whole page, a div named after its side bar), not parts of the page.
+
+def judge(bs: list[Block], nodes: list[Node]) -> None:
+    """Set what speaks against each block: its elements, then comment threads and cookie sentences by their form.
+
+    ``nodes`` has each element after its parent, so two passes over it add up the text that elements hold, and settle
+    them; both are linear, however deep the page is.
     """
-    held: dict[int, list] = {}
     total = 0
     for b in bs:
-        n = len(b.text)
-        total += n
-        x = b.node
-        while x is not None:
-            if x.own[1] or x.tag == "form" and x.own[0]:
-                own = held.setdefault(id(x), [x, 0, False])
-                own[1] += n
-                own[2] = own[2] or b.node.tag == "h1"
-            x = x.parent
-    freed = [x for x, n, head in held.values() if head and 2 * n > total]
-    if not freed:
-        return
-    for x in freed:
-        x.own = (0.0 if x.tag == "form" and x.own[0] < 20 else x.own[0], 0.0)
+        b.node.text += len(b.text)
+        b.node.heading = b.node.heading or b.node.tag == "h1"
+        total += len(b.text)
+    for x in reversed(nodes[1:]):
+        x.parent.text += x.text
+        x.parent.heading = x.parent.heading or x.heading
+    articles = sum(x.text for x in nodes if x.main and x.names != "thread" and not (x.parent and x.parent.article))
+    for x in nodes:
+        x.settle(total, articles)
     for b in bs:
-        chain = []
-        x = b.node
-        while x is not None:
-            chain.append(x)
-            x = x.parent
-        for x in reversed(chain):
-            x.settle()
+        b.bad = max(b.node.bad, COOKIES if b.words <= 80 and "cookie" in b.text.lower() and _COOKIES.search(b.text) else 0.0)
+    threads(bs)
+
+
+def threads(bs: list[Block]) -> None:
+    """Mark reader comments that no name gives away.
+
+    They come after the text: behind a heading that counts or asks for comments, to the end of its element; or as two
+    or more elements of one form beside each other, most of which have a line on who said it and when, a bare heading such as
+    "Comments" before them making that certain.
+    """
+    prose = 0
+    alike: dict[tuple, dict[int, list[int]]] = {}
+    inside: set[int] = set()  # of the elements whose rest is a thread
+    bare: dict[int, int] = {}
+    for i, b in enumerate(bs):
+        x, depth = b.node, 0
+        marked = False
+        while x is not None and depth < 12:
+            if id(x) in inside:
+                marked = True
+                break
+            if x.parent is not None and depth < 6:
+                alike.setdefault((id(x.parent), *x.like), {}).setdefault(id(x), []).append(i)
+            x, depth = x.parent, depth + 1
+        heads = b.node.tag in HEADINGS or b.words <= 8
+        if heads and prose and len(b.text) <= 120 and b.node.parent is not None:
+            if _THREAD_HEAD.fullmatch(b.text) and b.node.tag in HEADINGS:
+                inside.add(id(b.node.parent))
+                marked = True
+            elif _BARE_HEAD.fullmatch(b.text) and b.node.tag in HEADINGS:
+                bare[id(b.node.parent)] = i
+        if marked:
+            b.bad = max(b.bad, THREAD)
+        elif not b.bad:
+            prose += b.words >= 12
+    for (parent, *_), members in alike.items():
+        first = min(own[0] for own in members.values())
+        certain = parent in bare and bare[parent] < first
+        if len(members) < 2 and not certain:
+            continue
+        signed = sum(len(own) > 1 and any(bs[i].words <= 14 and _BYLINE.search(bs[i].text) for i in own) for own in members.values())
+        if 2 * signed <= len(members):
+            continue
+        if not any(bs[j].words >= 12 and not bs[j].bad for j in range(first)):
+            continue  # nothing is said before: the posts are the page
+        start = bare[parent] if certain else first
+        for i in range(start, max(own[-1] for own in members.values()) + 1):
+            bs[i].bad = max(bs[i].bad, THREAD)
 
 
 def score(b: Block) -> float:
     """The classifier: above 0 speaks for content, below for boilerplate."""
     n = b.node
-    s = min(b.words, 60) / 30 - 0.3 - 3 * b.linked / max(1, len(b.text)) - n.bad + n.good
+    s = min(b.words, 60) / 30 - 0.3 - 3 * b.linked / max(1, len(b.text)) - b.bad + n.good
     s += 2.5 if n.article else 0
     s += 0.5 if n.tag in HEADINGS else 0.7 if n.tag in ("p", "pre", "blockquote") else -0.3 if n.tag == "li" else 0
     s += 0.5 if b.text[-1] in ".!?…\"”»" else 0
@@ -247,12 +323,12 @@ def ties(bs: list[Block]) -> list[tuple[int, int, int]]:
         if i:
             a = bs[i - 1]
             same = a.node is b.node or a.node.parent is b.node.parent
-            across = (a.node.bad > 0) != (b.node.bad > 0) or a.node.article != b.node.article
+            across = (a.bad > 0) != (b.bad > 0) or a.node.article != b.node.article
             out.append((i - 1, i, int(SCALE * (ACROSS if across else ADJACENT if same else ADJACENT / 2))))
         key = id(b.node.parent)
         if key in last and last[key] != i - 1:
             j = last[key]
-            out.append((j, i, int(SCALE * (ACROSS if (bs[j].node.bad > 0) != (b.node.bad > 0) else KIN))))
+            out.append((j, i, int(SCALE * (ACROSS if (bs[j].bad > 0) != (b.bad > 0) else KIN))))
         last[key] = i
     return out
 

@@ -80,3 +80,66 @@ def test_wrappers_of_whole_pages_are_not_boilerplate():
     assert htmltext.main_text(thread)[0].count("whole sentence") == 3 and "I say" not in htmltext.main_text(thread)[0]
     search = f"<body><form><label>Search</label><input><button>Go</button></form><h1>Title of it</h1>{PARAGRAPHS}</body>"
     assert "Search" not in htmltext.main_text(search)[0] and "Go" not in htmltext.main_text(search)[0].split()
+
+
+def said(i, kind="div", by="p"):
+    return f"<{kind} class=c{i % 2 * 0}><{by}>Reader{i} said 3 days ago</{by}><p>I say this and that about the whole thing, and I say it again, at some length {i}.</p></{kind}>"
+
+
+MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More of it</a></li></ul></nav>"
+END = "<footer>© 2020 Firm. All rights reserved.</footer>"
+# (before the article, after it, between the article and the page's end): what stands around three paragraphs
+SHAPES = [
+    ("<div>", "</div>", ""),
+    ('<article class="post tags-news">', "</article>", ""),
+    ('<article class="post category-social">', "</article>", ""),
+    ('<form id="aspnetForm"><h2>Title of it</h2>', "</form>", ""),
+    ('<div class="ads-layout"><h2>Title of it</h2>', "</div>", ""),
+    ('<div id="page" class="site-menu-open">', "</div>", ""),
+    ('<div class="widget"><div class="widget-content">', "</div></div>", ""),
+    ('<div class="shared-search sidebar">', "</div>", "<div class=sidebar><p>Other posts that you may like to read on this site of ours, all of them.</p></div>"),
+    ("<article>", "</article>", '<section class="discussion"><h3>3 thoughts on this</h3>' + "".join(map(said, range(3))) + "</section>"),
+    ("<article>", "</article>", "<section><h3>3 thoughts on &ldquo;Title&rdquo;</h3>" + "".join(map(said, range(3))) + "</section>"),
+    ("<article>", "</article>", "<div id=x9><h4>Discussion</h4>" + "".join(map(said, range(3))) + "</div>"),
+    ("<article>", "</article>", "<ol>" + "".join(said(i, "li", "span") for i in range(4)).replace("</span>", "</span><br>").replace("<span>", "<div>").replace("</span><br>", "</div>") + "</ol>"),
+    ("<div class=main>", "<h3>Leave a reply</h3><p>Your address will not be shown to anyone, and we ask all to stay polite here.</p></div>", ""),
+    ("<article>", "</article>", "<section>" + "".join(map(said, range(12))) + "</section>"),
+    ("<main>", "<p>We use cookies on this site to make it better for you, and you agree to that by reading on.</p></main>", ""),
+    ("<article>", "</article>", '<div class="cookie-bar"><p>' + "This site stores cookies for statistics and for advertising, as told in our policy. " * 20 + "</p></div>"),
+    ('<div role="main" class="has-sidebar no-comments">', "</div>", '<div class="related"><p>Read also the other story of the same writer that came out last week.</p></div>'),
+    ("<table><tr><td class=nav><a href=a>One</a><a href=b>Two</a></td><td>", "</td></tr></table>", ""),
+]
+
+
+def test_labelled_pages():
+    """Precision and recall over words of the main text, and each shape by itself."""
+    right = found = wanted = 0
+    body = [f"The {w} of the story is told here in a long and whole sentence, with more than a few words in it." for w in ("start", "middle", "end")]
+    for before, after, more in SHAPES:
+        page = f"<html><body>{MENU}{before}{PARAGRAPHS}{after}{more}{END}</body></html>"
+        got = htmltext.main_text(page)[0].split("\n\n")
+        assert set(body) <= set(got), (before, after, more, got)
+        rest = [b for b in got if b not in body and b != "Title of it"]
+        right += sum(len(b.split()) for b in body)
+        wanted += sum(len(b.split()) for b in body)
+        found += sum(len(b.split()) for b in [*body, *rest])
+        assert not rest, (before, after, more, rest)
+    assert right / found >= 0.95 and right / wanted >= 0.95
+
+
+def test_dialogue_and_lists_stay():
+    tale = "<article>" + "".join(f"<p>“I don't know about {i},” he said.</p>" for i in range(12)) + "</article>"
+    assert htmltext.main_text(tale)[0].count("he said") == 12
+    talk = f"<article>{PARAGRAPHS}<h2>Discussion</h2>{PARAGRAPHS}</article>"
+    assert htmltext.main_text(talk)[0].count("whole sentence") == 6
+    about = f"<article>{PARAGRAPHS}<p>Browsers keep cookies in a file, which is a small text about what one did.</p></article>"
+    assert "Browsers keep" in htmltext.main_text(about)[0]
+
+
+def test_deep_and_broken_pages_take_seconds():
+    import time
+
+    for page in ("<div>" * 100_000 + PARAGRAPHS, "<div><p>x y" * 50_000, "<div>" * 50_000 + "</p></i></span>" * 50_000, "<b>" * 50_000 + "<i>word</i> " * 50_000, "<ul><li>" * 50_000 + "<li>x" * 50_000):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 15
