@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes.
 
-A bounded sample of labelled rows gives the vocabulary (words and word beginnings that tell the labels apart), its
-IDF and the examples. Every text is then scored by its nearest examples; whole blocks of examples are skipped where
+A bounded sample of labelled rows gives the vocabulary (words, word beginnings and how dense these are, where they tell
+the labels apart), its IDF and the examples. Every text is then scored by its nearest examples; whole blocks of examples are skipped where
 the sum of their list maxima can't reach the k-th best cosine, which leaves the result exact.
 """
 
@@ -19,6 +19,7 @@ from tapeloom.llm.common import drop_table, texts, write_table
 
 SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 ERROR, RATIO, STEMS, CACHED, CALIBRATED = 1e-4, 4.0, (4, 5, 6), 400_000, 4096
+DENSE = (4, 8, 16, 32)  # words of a beginning in 1000
 # letters of ASCII are lower-cased, its other signs but digits separate words; bytes of other scripts are kept
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -32,6 +33,21 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STEMS if len(word) >= n)]
 
 
+def text_terms(text: bytes) -> set[bytes]:
+    """The terms of a text: its words, their beginnings, and for each beginning the marks of density that it reaches.
+
+    A cosine of few terms forgets how often they come: the marks keep apart a text that has a beginning once by chance
+    and one that is full of it.
+    """
+    count = Counter(words_of(text))
+    starts: Counter = Counter()
+    for word, n in count.items():
+        for t in terms_of(word)[1:]:
+            starts[t] += n
+    total = sum(count.values())
+    return {*count, *starts, *(t + b"@%d" % d for t, n in starts.items() for d in DENSE if 1000 * n >= d * total)}
+
+
 def quantile(p: float) -> float:
     """The chi-square (one degree of freedom) that chance exceeds with probability ``p``."""
     low, high = 0.0, 2000.0
@@ -145,19 +161,34 @@ class Model:
 
 
 class Counts(dict):
-    """Term numbers of each word, remembered up to a bound."""
+    """Term numbers of each word, and the beginnings of it that have marks of density, remembered up to a bound."""
 
     def __init__(self, terms: dict[bytes, int]):
         self.terms = terms
+        self.marks: dict[bytes, list[tuple[int, int]]] = {}
+        for t, i in terms.items():
+            start, at, density = t.rpartition(b"@")
+            if at:
+                self.marks.setdefault(start, []).append((int(density), i))
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], tuple[bytes, ...]]:
         if len(self) > CACHED:
             self.clear()
-        out = self[word] = tuple(n for t in terms_of(word) if (n := self.terms.get(t)) is not None)
+        own = terms_of(word)
+        out = self[word] = tuple(n for t in own if (n := self.terms.get(t)) is not None), tuple(t for t in own if t in self.marks)
         return out
 
     def of(self, text: bytes) -> Counter:
-        return Counter(n for w in words_of(text) for n in self[w])
+        words, found, starts = words_of(text), Counter(), Counter()
+        for w in words:
+            numbers, marked = self[w]
+            if numbers:
+                found.update(numbers)
+            if marked:
+                starts.update(marked)
+        for t, n in starts.items():
+            found.update(i for density, i in self.marks[t] if 1000 * n >= density * len(words))
+        return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -181,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch, raw in texts(batches, "text"):
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(raw, batch.column(batch.schema.get_field_index("y")).to_pylist(), strict=True):
-                seen[y].update({x for w in set(words_of(t)) for x in terms_of(w)})
+                seen[y].update(text_terms(t))
             every = list(seen[0].keys() | seen[1].keys())
             if every:
                 yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([seen[1][x] for x in every], pa.int64()), pa.array([seen[0][x] for x in every], pa.int64())], names=["term", "t", "c"])
