@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import by_group, grid, merge_labels, write_table
+from tapeloom.llm.common import by_group, drop_table, grid, merge_labels, write_table
 from tapeloom.llm.graph import connected_components
 
 SAMPLE, RECALL, MOST, ROUNDS = 8192, 0.99, 2048, 8
@@ -164,14 +164,17 @@ def near_duplicates(
     distinct = write_table(distinct.withColumn("v", F.transform("v", lambda c: c / norm)), "distinct")
     n = distinct.count()
     size = distinct.groupBy(F.size("v").alias("d")).count().collect()
-    parts = None
+    parts, placed = None, []
     for d in sorted(r["d"] for r in size):
-        found = _links(distinct.filter(F.size("v") == d), n, threshold, sample, recall, most)
+        found, table = _links(distinct.filter(F.size("v") == d), n, threshold, sample, recall, most)
         parts = found if parts is None else parts.unionByName(found)
+        placed.append(table)
     out = rows.join(distinct.select("h1", "h2", "node", "copies"), ["h1", "h2"], "left")
     if parts is None:
         return out.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     parts = write_table(parts, "pairs")
+    for table in placed:
+        drop_table(table)
     comp = connected_components(parts.select("src", "dst"))
     named = distinct.select("h1", "h2", "node", "copies").join(comp, "node", "left")
     named = named.join(parts.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("n")), "node", "left")
@@ -181,8 +184,11 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def _links(unit: DataFrame, n: int, threshold: float, sample: int, recall: float, most: int) -> DataFrame:
-    """(src, dst, n) for unit vectors of one length: partial link counts of src, and a star link (or src itself)."""
+def _links(unit: DataFrame, n: int, threshold: float, sample: int, recall: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, n) for unit vectors of one length: partial link counts of src, and a star link (or src itself).
+
+    The vectors with their cells are written (the second table), as the cells' sizes and the dealing both read them.
+    """
     spark = unit.sparkSession
     rows = unit.orderBy(F.xxhash64("node"), "node").select("label", "v").limit(sample).collect()
     index = fit(np.array([r["v"] for r in rows]), np.array([r["label"] for r in rows]), threshold, n, recall)
@@ -200,8 +206,9 @@ def _links(unit: DataFrame, n: int, threshold: float, sample: int, recall: float
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.list_(pa.int64()))], names=["label", "node", "unit", "copies", "cells"])
 
     placed = unit.select("label", "node", "v", "copies").mapInArrow(assign, "label string, node long, unit array<double>, copies long, cells array<long>")
+    placed = write_table(placed, "placed")
     # one long names a cell of a label; should two names collide, the labels are still compared in the cell
     each = placed.select("label", "node", "unit", "copies", F.transform("cells", lambda c: F.xxhash64("label", c)).alias("seen"))
     each = each.select("*", F.col("seen")[0].alias("own"), F.explode("seen").alias("cell"))
     dealt = grid(each, "cell", most, F.col("cell") == F.col("own"), F.lit(True))
-    return by_group(dealt, ["cell", "gi", "gj"], _compare(threshold), "src long, dst long, n long")
+    return by_group(dealt, ["cell", "gi", "gj"], _compare(threshold), "src long, dst long, n long"), placed

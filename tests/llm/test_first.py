@@ -98,7 +98,7 @@ def test_simhash(spark, most):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("n,threshold", [(300, 4), (10**9, 4), (10**10, 4), (300, 11), (300_000, 11), (10**7, 11)])
+@pytest.mark.parametrize("n,threshold", [(300, 4), (10**9, 4), (10**10, 4), (300, 11), (300_000, 13), (10**7, 11)])
 def test_anchor_covering_finds_every_close_pair(spark, n, threshold):
     blocks = simhash.plan(n, threshold)
     assert sum(b.size for b in blocks) == 64 and sum(b.threshold + 1 for b in blocks) == threshold + 1 and any(b.code for b in blocks)
@@ -142,7 +142,7 @@ def test_one_of_each(spark):
     got = Counter((r.doc_id, r.text) for r in out.collect())
     fps = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
     far = lambda i, j: [(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)]
-    comp = closure(len(rows), lambda i, j: far(i, j)[0] <= 11 and sum(far(i, j)) <= 21)
+    comp = closure(len(rows), lambda i, j: far(i, j)[0] <= 13 and sum(far(i, j)) <= 24)
     want = {}
     for k, c in enumerate(comp):
         i, t = rows[k]
@@ -211,3 +211,24 @@ def test_components(spark):
     want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
     got = connected_components(spark.createDataFrame(pairs + [(None, 3)], "src long, dst long")).collect()
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_recall_of_near_copies():
+    """Of pairs with an exact similarity of 0.8 or more over five-word shingles at least 0.9 link; unrelated texts never do."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    linked, single = [], []
+    for _ in range(400):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 600))]
+        near = list(base)
+        for _ in range(rng.randint(1, max(1, len(base) // 40))):
+            near[rng.randrange(len(near))] = rng.choice(words)
+        a, b = " ".join(base), " ".join(near)
+        x, y = shingles(a), shingles(b)
+        fps = [simhash.fingerprint(t.encode(), 5) for t in (a, b)]
+        far = [(p ^ q).bit_count() for p, q in zip(*fps, strict=True)]
+        if len(x & y) >= 0.8 * len(x | y):
+            linked.append(far[0] <= 13 and sum(far) <= 24)
+        single.append(fps[0])
+    assert len(linked) > 150 and sum(linked) >= 0.9 * len(linked)
+    assert min((p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count() for i, p in enumerate(single) for q in single[:i]) > 24
