@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.functions import text as tx
-from tapeloom.operators import state, tasks
+from tapeloom.operators import resume, state, tasks
 from tapeloom.plans.adapters import cte, read, view
 
 NOW, CUT = "2024-01-20 00:00:00", "1998-06-01 00:00:00"
@@ -55,6 +55,76 @@ def _next_step(s, d):
     return state.next_step(last, dag)
 
 
+# The manifest of an order's lines, and how it is spoilt; both engines build it alike.
+_PLANNED = "concat('{\"segments\": [', l, ']}')"
+_MANIFEST = f"CASE o_orderkey % 9 WHEN 1 THEN substring({_PLANNED}, 1, 20) WHEN 2 THEN '{{}}' WHEN 3 THEN '[]' WHEN 4 THEN '{{\"segments\": 5}}' WHEN 5 THEN replace({_PLANNED}, '}}]', ', \"more\": 1}}]') ELSE {_PLANNED} END"
+_CHUNKS = "CASE o_orderkey % 5 WHEN 0 THEN '{\"diarized\": false}' WHEN 1 THEN '{\"chunks\": []}' WHEN 2 THEN '[\"diarized\"]' WHEN 3 THEN '{\"diarized\"' ELSE concat('{\"diarized\": true, \"n\": ', o_custkey, '}') END"
+_WINDOWS = "CASE o_custkey % 4 WHEN 0 THEN '{\"windows\": []}' WHEN 1 THEN '{\"windows\": {}}' WHEN 2 THEN '[[]]' ELSE '{\"windows\": [{\"a\": 1}]}' END"
+
+
+def _resumed(s, d):
+    o = read(s, d, "orders")
+    lines = view(s, d, "segments")
+    item = F.concat(F.lit('{"segment_index": '), F.col("segment_index").cast("string"), F.lit("}"))
+    listed = lines.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set(item)), ", ").alias("l"))
+    all_ = o.join(listed, F.col("task_id") == F.col("o_orderkey"), "left").withColumn("l", F.coalesce("l", F.lit("")))
+    file = lambda rows, name, text: rows.selectExpr("o_orderkey AS task_id", f"'{name}' AS name", f"{text} AS text")
+    files = file(all_.filter("o_orderkey % 4 > 0"), "outputs/segments_manifest.json", _MANIFEST)
+    files = files.unionByName(file(o.filter("o_orderkey % 3 > 0"), "outputs/transcript.json", "NULL")).unionByName(file(o.filter("o_orderkey % 5 > 1"), "outputs/transcript.txt", "NULL"))
+    files = files.unionByName(file(o.filter("o_custkey % 3 > 0"), "outputs/speaker_matches.json", "NULL")).unionByName(file(o.filter("o_custkey % 6 > 0"), "summary/chunks.json", _CHUNKS))
+    files = files.unionByName(file(o.filter("o_custkey % 7 > 0"), "summary/windows.json", _WINDOWS))
+    names = [*resume.STEPS, "summarize_final"]
+    dag = o.select(F.col("o_orderkey").alias("task_id"), F.posexplode(F.array(*map(F.lit, names))).alias("ord", "name")).withColumn("enabled", (F.col("task_id") + F.col("ord")) % 8 > 0)
+    steps = dag.filter("(task_id + ord) % 11 > 0").select("task_id", "name", F.when((F.col("task_id") * 3 + F.col("ord")) % 7 == 0, "failed").when((F.col("task_id") + F.col("ord")) % 6 == 0, "skipped").otherwise("completed").alias("status"))
+    points = resume.resume_points(steps, dag, resume.artifact_done(dag, files, lines))
+    return points.select("task_id", "next_step", F.array_join("redo", ",").alias("redo"))
+
+
+_RESUMED_SQL = (
+    cte("segments")
+    + f""", g AS (SELECT task_id, string_agg('{{"segment_index": ' || segment_index || '}}', ', ' ORDER BY segment_index) AS l FROM (SELECT DISTINCT task_id, segment_index FROM segments) GROUP BY 1),
+ o AS (SELECT orders.*, coalesce(l, '') AS l FROM orders LEFT JOIN g ON task_id = o_orderkey),
+ f AS (SELECT o_orderkey AS t, CASE WHEN o_orderkey % 4 > 0 THEN {_MANIFEST} END AS m, o_orderkey % 3 > 0 AS j, o_orderkey % 5 > 1 AS x, o_custkey % 3 > 0 AS k, CASE WHEN o_custkey % 6 > 0 THEN {_CHUNKS} END AS c, CASE WHEN o_custkey % 7 > 0 THEN {_WINDOWS} END AS w FROM o),
+ v AS (SELECT *, CASE WHEN json_valid(m) THEN m END AS mj, CASE WHEN json_valid(c) THEN c END AS cj, CASE WHEN json_valid(w) THEN w END AS wj FROM f),
+ p AS (SELECT t, unnest(json_extract(mj, '$.segments[*].segment_index'))::INT AS i FROM v),
+ u AS (SELECT t, count(*) FILTER (NOT EXISTS (SELECT 1 FROM segments s WHERE s.task_id = t AND s.segment_index = i AND s.raw_json = '{{"text": 1}}')) AS lacks FROM p GROUP BY 1),
+ a AS (SELECT t, [CASE WHEN m IS NULL THEN j ELSE coalesce(json_type(mj) = 'OBJECT' AND coalesce(json_type(json_extract(mj, '$.segments')), 'ARRAY') = 'ARRAY' AND coalesce(lacks, 0) = 0, false) END, j AND x, k,
+  coalesce(json_type(cj) = 'OBJECT' AND list_contains(json_keys(cj), 'diarized'), false), coalesce(json_type(wj) = 'OBJECT' AND json_type(json_extract(wj, '$.windows')) = 'ARRAY', false), true] AS a FROM v f LEFT JOIN u USING (t)),
+ e AS (SELECT t, unnest(range(6)) AS ord, a FROM a),
+ s AS (SELECT t, ord, a[ord + 1] AS whole, (t + ord) % 8 > 0 AS enabled, CASE WHEN (t + ord) % 11 = 0 THEN NULL WHEN (t * 3 + ord) % 7 = 0 THEN 'failed' WHEN (t + ord) % 6 = 0 THEN 'skipped' ELSE 'completed' END AS status FROM e),
+ n AS (SELECT *, ['transcribe_segments', 'merge_transcript', 'match_speakers', 'prepare_summary_chunks', 'summarize_windows', 'summarize_final'][ord + 1] AS name, NOT enabled OR coalesce(status = 'skipped', false) AS off, coalesce(status = 'completed', false) AS done FROM s)
+ SELECT t AS task_id, min_by(name, ord) FILTER (NOT off AND NOT (done AND whole)) AS next_step, coalesce(string_agg(name, ',' ORDER BY ord) FILTER (NOT off AND done AND NOT whole), '') AS redo FROM n GROUP BY 1"""
+)
+
+# A session's folder and sidecar for each event, and how they are spoilt.
+_FOLDER = "concat('/u', user_id, '/', CASE event_id % 13 WHEN 1 THEN md5(CAST(event_id AS VARCHAR(20))) WHEN 2 THEN upper(md5(CAST(event_id AS VARCHAR(20)))) WHEN 3 THEN substring(md5(CAST(event_id AS VARCHAR(20))), 1, 31) ELSE regexp_replace(md5(CAST(event_id - event_id % 26 % 2 AS VARCHAR(20))), '^(.{8})(.{4})(.{4})(.{4})', '{1}-{2}-{3}-{4}-') END)"
+_TIME = "CASE event_id % 5 WHEN 0 THEN 'T00:00:00+00:00' WHEN 1 THEN ' 12:30:00' WHEN 2 THEN '' WHEN 3 THEN 'T23:59:59.5Z' ELSE 'T05:00:00-05:00' END"
+_SIDECAR = f"CASE event_id % 17 WHEN 1 THEN NULL WHEN 2 THEN '{{' WHEN 3 THEN '[]' WHEN 4 THEN '{{\"created_at\": 5}}' WHEN 5 THEN '{{\"created_at\": \"soon\"}}' WHEN 6 THEN props ELSE concat('{{\"created_at\": \"', day, {_TIME}, '\", \"n\": ', event_id, '}}') END"
+
+
+def _spark_groups(sql: str) -> str:
+    return sql.replace("'{1}-{2}-{3}-{4}-'", "'$1-$2-$3-$4-'")
+
+
+def _abandoned(s, d):
+    e = read(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).selectExpr(f"{_spark_groups(_FOLDER)} AS folder", f"{_SIDECAR} AS text")
+    live = read(s, d, "events").filter("event_id % 10 = 7").select(F.md5(F.col("event_id").cast("string").cast("binary")).alias("task_id"))
+    return resume.abandoned_sessions(e, live, _now("2024-01-15 00:00:00"), 5 * 86400)
+
+
+_ABANDONED_SQL = f"""WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM events), c AS (SELECT {_FOLDER.replace("'{1}-{2}-{3}-{4}-'", chr(39) + chr(92) + "1-" + chr(92) + "2-" + chr(92) + "3-" + chr(92) + "4-" + chr(39))} AS folder, {_SIDECAR} AS text FROM e),
+ j AS (SELECT folder, CASE WHEN json_valid(text) THEN text END AS text FROM c),
+ n AS (SELECT folder, replace(lower(split_part(folder, '/', 3)), '-', '') AS id, CASE WHEN json_type(text) = 'OBJECT' AND json_type(json_extract(text, '$.created_at')) = 'VARCHAR' THEN json_extract_string(text, '$.created_at') END AS made FROM j),
+ t AS (SELECT folder, id, CASE WHEN regexp_matches(made, '[Z0-9]$') AND NOT regexp_matches(made, '(Z|[+-][0-9][0-9]:[0-9][0-9])$') THEN TRY_CAST(made || CASE WHEN length(made) = 10 THEN ' 00:00:00' ELSE '' END || '+00' AS TIMESTAMPTZ) ELSE TRY_CAST(made AS TIMESTAMPTZ) END AS made FROM n WHERE regexp_full_match(id, '[0-9a-f]{{32}}')),
+ o AS (SELECT id, count(*) AS k, max(folder) AS folder, max(made) AS made FROM t GROUP BY id)
+ SELECT regexp_replace(id, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-') AS upload_id, folder FROM o WHERE k = 1 AND made <= TIMESTAMPTZ '2024-01-10 00:00:00+00' AND id NOT IN (SELECT md5(event_id::VARCHAR) FROM events WHERE event_id % 10 = 7)"""
+
+
+def _orphaned(s, d):
+    jobs = read(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("job_id"), F.col("l_partkey").alias("task_id"))
+    return resume.orphaned_jobs(jobs, view(s, d, "tasks")).groupBy("task_id").agg(F.count("*").alias("jobs"), F.min("job_id").alias("first"))
+
+
 def _merge_keys(s, d):
     names = read(s, d, "nation").select(F.col("n_nationkey").alias("old"), F.col("n_regionkey").alias("new"))
     return state.merge_keys(read(s, d, "supplier").select("s_suppkey", "s_nationkey"), names, "s_nationkey")
@@ -155,6 +225,9 @@ QUERIES = {
  m AS (SELECT * FROM c WHERE r <= 20 AND options = CASE url WHEN 'file://rec/9' THEN '{"k": 11}' ELSE '{"k": 48}' END) SELECT task_id, url FROM m QUALIFY row_number() OVER (PARTITION BY url ORDER BY r) = 1""",
     ),
     "donors": (_donors, _DONORS_SQL),
+    "resume_points": (_resumed, _RESUMED_SQL),
+    "abandoned_sessions": (_abandoned, _ABANDONED_SQL),
+    "orphaned_jobs": (_orphaned, _T + " SELECT l_partkey AS task_id, count(*) AS jobs, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem WHERE l_partkey NOT IN (SELECT task_id FROM tasks WHERE status IN ('running', 'waiting')) GROUP BY 1"),
     "lane_positions": (
         lambda s, d: tasks.public_lane_positions(view(s, d, "queue")).select("lane", "task_id", "position"),
         cte("queue") + ", f AS (SELECT * FROM queue QUALIFY row_number() OVER (PARTITION BY lane, task_id ORDER BY priority, pos) = 1) SELECT lane, task_id, row_number() OVER (PARTITION BY lane ORDER BY priority, pos, task_id) AS position FROM f",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.operators.resume import FILES, READ
 from tapeloom.operators.state import fill_gaps
 
 ENTRIES = T.StructType([T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("speaker", T.StringType())])
@@ -115,6 +116,32 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def task_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(task_id, name, text) of the files two levels below the task folders of a glob, for ``operators.resume``.
+
+    Names are ``outputs/...`` or ``summary/...``; only the small JSON files that are judged by their content are read.
+    Empty files aren't listed, as a killed run leaves them; their steps count as not done.
+    """
+    shape = "task_id string, name string, text string"
+    spots = [f"{pattern.rstrip('/')}/{d}" for d in ("outputs", "summary")]
+    spots = [p for p in spots if _exists(spark, p)]
+    if not spots:
+        return spark.createDataFrame([], shape)
+    parts = lambda c: (F.element_at(F.split(c, "/"), -3).alias("task_id"), F.concat_ws("/", F.element_at(F.split(c, "/"), -2), F.element_at(F.split(c, "/"), -1)).alias("name"))
+    listed = spark.read.format("binaryFile").load(spots).select(F.col("path")).select(*parts(F.col("path"))).filter(F.col("name").isin(list(FILES.values())))
+    judged = "{" + ",".join(FILES[k].split("/")[1] for k in READ) + "}"
+    read = spark.read.text(spots, wholetext=True, pathGlobFilter=judged).select(*parts(F.input_file_name()), F.col("value").alias("text"))
+    return listed.join(read, ["task_id", "name"], "left").select("task_id", "name", "text")
+
+
+def upload_sidecars(spark: SparkSession, pattern: str) -> DataFrame:
+    """(folder, text) of the upload.json files in the folders of a glob, for ``resume.abandoned_sessions``."""
+    where = f"{pattern.rstrip('/')}/upload.json"
+    if not _exists(spark, where):
+        return spark.createDataFrame([], "folder string, text string")
+    return spark.read.text(where, wholetext=True).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"), F.col("value").alias("text"))
+
+
 def pick_media(files: DataFrame, by: str, patterns: list[str]) -> DataFrame:
     """Of each group the file whose name matches the earliest pattern; of equals the first name."""
     rank = F.coalesce(*[F.when(F.col("name").rlike(p), F.lit(i)) for i, p in enumerate(patterns)])
