@@ -27,10 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_WRITTEN: set[str] = set()
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table read back (cuts lineage)."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
@@ -38,9 +42,22 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table that ``write_table`` made, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.table_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.table_path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all tables that ``write_table`` made and that are still there.
+
+    Results are lazy and read some of them: call this once the results are written and nothing is read any more.
+    """
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.discard(where)
 
 
 def partitions(spark: SparkSession) -> int:
