@@ -166,9 +166,14 @@ def normalize_number(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", ""), r"(?U)[,.](?=\d{3}(?!\d))", "")
 
 
+def _with_digits(c: Column, found: Column) -> Column:
+    """What a text without any digit can't have isn't looked for; null texts give null."""
+    return F.when(c.rlike(r"(?U)\d"), found).when(c.isNotNull(), F.expr("cast(array() as array<string>)"))
+
+
 def extract_numbers(c: Column) -> Column:
     found = F.regexp_extract_all(c, F.lit(r"(?U)-?\b\d+(?:[.,\s]\d+)*\b"), 0)
-    return F.array_distinct(F.filter(F.transform(found, normalize_number), lambda x: ~x.isin("", "-")))
+    return _with_digits(c, F.array_distinct(F.filter(F.transform(found, normalize_number), lambda x: ~x.isin("", "-"))))
 
 
 def extract_dates(c: Column) -> Column:
@@ -176,14 +181,15 @@ def extract_dates(c: Column) -> Column:
     forms = [r"(?U)\b\d{4}-\d{2}-\d{2}\b", r"(?U)\b\d{1,2}\.\d{1,2}\.\d{4}\b", r"(?U)\b\d{1,2}/\d{1,2}/\d{4}\b"]
     found = [F.regexp_extract_all(c, F.lit(f), 0) for f in forms]
     found.append(F.transform(F.regexp_extract_all(c, F.lit(rf"(?iU)\b\d{{1,2}}\s+(?:{named})\b|\b(?:{named})\s+\d{{1,4}}\b"), 0), F.lower))
-    return F.array_distinct(F.concat(*found))
+    return _with_digits(c, F.array_distinct(F.concat(*found)))
 
 
 def extract_units(c: Column) -> Column:
     """Values with their unit, normalised and in lower case."""
     form = rf"(?iU)(-?\d+(?:[.,]\d+)?)\s*({UNITS})(?!\w)"
-    value, unit = (F.regexp_extract_all(c, F.lit(form), i) for i in (1, 2))
-    return F.array_distinct(F.zip_with(value, unit, lambda v, u: F.concat(normalize_number(v), F.lower(u))))
+    found = F.regexp_extract_all(c, F.lit(form), 0)  # the parts are taken from the short matches
+    parts = F.transform(found, lambda m: F.concat(normalize_number(F.regexp_extract(m, form, 1)), F.lower(F.regexp_extract(m, form, 2))))
+    return _with_digits(c, F.array_distinct(parts))
 
 
 def lines(c: Column) -> Column:

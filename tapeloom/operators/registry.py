@@ -2,31 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.functions.numbers import bucket, cosine_distance
+from tapeloom.functions.numbers import bucket, cosine_distance, dot
 
 
-def nearest(queries: DataFrame, samples: DataFrame, k: int, most: int = 64, deal: int = 16) -> DataFrame:
+def nearest(queries: DataFrame, samples: DataFrame, k: int, most: int = 64, per_part: int = 256) -> DataFrame:
     """For each query (query_id, vector, model) the k speakers with the least distance of any sample of that model.
 
-    A speaker's samples are packed into arrays of about ``most``, however many there are, so a query meets few rows; a
-    query that is itself a sample (``query_id`` = ``sample_id``) leaves itself out. The few models would be hot join
-    keys, so each model's arrays are dealt to ``deal`` parts and the queries sent to all of them: a block-wise search.
-    Distances reduce to one per speaker before the ranking. Ties go by speaker.
+    A query that is itself a sample (``query_id`` = ``sample_id``) leaves itself out. A speaker's samples are packed into
+    arrays of about ``most``, however many there are. The few models would be hot join keys, so a model's arrays are
+    dealt to as many parts as it has ``per_part`` of them, and the queries sent to each: a block-wise search whose
+    tasks grow with the table. Arrays that can't hold one of the k nearest are skipped, see ``search``. Distances
+    reduce to one per speaker before the ranking. Ties go by speaker.
     """
-    n = samples.groupBy("model", "speaker_id").agg(F.count("*").alias("_n"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("int")
-    packed = samples.join(n, ["model", "speaker_id"]).withColumn("_b", F.pmod(F.xxhash64("sample_id"), parts))
-    packed = packed.groupBy("model", "speaker_id", "_b").agg(F.collect_list(F.struct("sample_id", "vector")).alias("_v")).withColumn("_p", F.pmod(F.xxhash64("speaker_id", "_b"), F.lit(deal)))
-    others = F.filter("_v", lambda v: v["sample_id"] != F.col("query_id"))
-    least = F.array_min(F.transform(others, lambda v: cosine_distance(F.col("vector"), v["vector"])))
-    sent = queries.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
-    each = sent.join(packed, ["model", "_p"]).select("query_id", "speaker_id", least.alias("d")).filter("d is not null")
-    each = each.groupBy("query_id", "speaker_id").agg(F.min("d").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "speaker_id"))
-    return each.withColumn("rank", rank).filter(F.col("rank") <= k)
+    each = search(queries, samples, k, most, per_part).filter("d is not null").groupBy("query_id", "speaker_id").agg(F.min("d").alias("distance"))
+    return each.withColumn("rank", _rank()).filter(F.col("rank") <= k)
+
+
+def _rank() -> Column:
+    return F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "speaker_id"))
+
+
+def search(queries: DataFrame, samples: DataFrame, k: int, most: int = 64, per_part: int = 256) -> DataFrame:
+    """(query_id, speaker_id, d, skipped) for each query and array of its model: the least distance, or that it was skipped.
+
+    An array has a pivot, one of its samples, and a radius around it. The k least distances of a query to the pivots of
+    different speakers bound its k-th result from above. By the triangle inequality (of the chords sqrt(2 d) between
+    unit vectors; a zero vector, at distance 1 from all, behaves like one at a right angle) no sample of an array is nearer than
+    the query's chord to the pivot less the radius: arrays beyond the bound aren't looked into, and the result is exact.
+    """
+    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
+    sized = samples.select("model", "speaker_id", "sample_id", "vector", norm.alias("norm"))
+    n = sized.groupBy("model", "speaker_id").agg(F.count("*").alias("_n")).withColumn("_k", F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("int"))
+    parts = n.groupBy("model").agg(F.greatest(F.lit(1), F.ceil(F.sum("_k") / per_part)).cast("int").alias("_parts"))
+    packed = sized.join(n.select("model", "speaker_id", "_k"), ["model", "speaker_id"]).withColumn("_b", F.pmod(F.xxhash64("sample_id"), F.col("_k")))
+    packed = packed.groupBy("model", "speaker_id", "_b").agg(F.array_sort(F.collect_list(F.struct("sample_id", "vector", "norm"))).alias("_v"))
+    packed = packed.join(parts, "model").withColumns({"_p": F.pmod(F.xxhash64("speaker_id", "_b"), F.col("_parts")).cast("int"), "_pivot": F.get("_v", F.lit(0))})
+
+    def chord(d: Column) -> Column:
+        return F.sqrt(F.greatest(F.lit(0.0), 2 * d))
+
+    def distance(a: Column, b: Column, sizes: Column) -> Column:
+        return F.when(sizes == 0, 1.0).otherwise(1 - dot(a, b) / sizes)
+
+    radius = F.array_max(F.transform("_v", lambda v: chord(distance(v["vector"], F.col("_pivot.vector"), v["norm"] * F.col("_pivot.norm")))))
+    whole = F.forall("_v", lambda v: v["vector"].isNotNull())  # a null vector has no distance: such an array is looked into
+    packed = packed.withColumn("_radius", F.when(whole, radius))
+    sent = queries.select("query_id", "model", "vector", norm.alias("norm")).join(parts, "model").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    to_pivot = distance(F.col("vector"), F.col("_pivot.vector"), F.col("norm") * F.col("_pivot.norm"))
+    others = F.when(F.col("query_id") != F.col("_pivot.sample_id"), to_pivot)
+    first = sent.join(packed.select("model", "_p", "speaker_id", "_pivot"), ["model", "_p"]).select("query_id", "speaker_id", others.alias("distance")).filter("distance is not null")
+    first = first.groupBy("query_id", "speaker_id").agg(F.min("distance").alias("distance")).withColumn("rank", _rank()).filter(F.col("rank") == k)
+    bound = first.select("query_id", F.col("distance").alias("_bound"))
+    met = sent.join(bound, "query_id", "left").join(packed.drop("_k", "_parts"), ["model", "_p"])
+    far = F.coalesce(chord(to_pivot) - F.col("_radius") > chord(F.col("_bound")) + 1e-6, F.lit(False))
+    left = F.filter("_v", lambda v: v["sample_id"] != F.col("query_id"))
+    least = F.array_min(F.transform(left, lambda v: distance(F.col("vector"), v["vector"], F.col("norm") * v["norm"])))
+    return met.withColumn("skipped", far).select("query_id", "speaker_id", F.when(~F.col("skipped"), least).alias("d"), "skipped")
 
 
 def bucketed(matches: DataFrame, auto: float = 0.25, candidate: float = 0.55) -> DataFrame:

@@ -44,6 +44,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as the session shuffles to, where a table's few row groups give fewer; else as they are."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, exprs = VIEWS[name]
     return read(spark, sf_dir, table).selectExpr(*exprs)

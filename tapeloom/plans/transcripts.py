@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as tx
 from tapeloom.operators import intervals as iv
 from tapeloom.operators import sequences as sq
-from tapeloom.plans.adapters import cte, read, view
+from tapeloom.plans.adapters import cte, read, spread, view
 from tapeloom.streaming.throttle import throttle
 
 
@@ -351,7 +351,7 @@ QUERIES = {
     "simhash64": (_fingerprints, _FINGERPRINTS + f" SELECT conv_id, turn, {_SIGNED} AS fingerprint FROM conversations LEFT JOIN f USING (conv_id, turn)"),
     "redundancy": (lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.bround(tx.redundancy(F.col("text")), 4).alias("redundancy")), _redundancy_sql("conv_id, turn", "conversations") + " SELECT conv_id, turn, round_even(share, 4) AS redundancy FROM share"),
     "quality_record": (_quality, _quality_sql()),
-    "facts": (lambda s, d: read(s, d, "documents").select("doc_id", F.array_join(F.array_sort(tx.extract_numbers(F.col("text"))), ";").alias("numbers"), F.array_join(F.array_sort(tx.extract_dates(F.col("text"))), ";").alias("dates"), F.array_join(F.array_sort(tx.extract_units(F.col("text"))), ";").alias("units")), _FACTS_SQL),
+    "facts": (lambda s, d: spread(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.array_sort(tx.extract_numbers(F.col("text"))), ";").alias("numbers"), F.array_join(F.array_sort(tx.extract_dates(F.col("text"))), ";").alias("dates"), F.array_join(F.array_sort(tx.extract_units(F.col("text"))), ";").alias("units")), _FACTS_SQL),
     "hallucinations": (lambda s, d: read(s, d, "documents").select("doc_id", tx.is_probable_hallucination(F.col("text")).alias("suspicious"), tx.transcript_quality(F.col("text")).alias("score")), _ASR_SQL),
     "utterances": (_utterances, "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, regexp_replace(role || ': ' || replace(text, chr(10), ' '), '\\s+$', '') AS utterance FROM conversations"),
     "failures": (_failures, _FAILURES_SQL),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,38 @@ def upload_sidecars(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.text(where, wholetext=True).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder"), F.col("value").alias("text"))
 
 
+def file_slices(spark: SparkSession, path: str, requests: DataFrame, cap: int = 200_000) -> DataFrame:
+    """(path, offset, limit, text, is_end): parts of text files, in characters, without any task or row that holds a whole file.
+
+    ``requests``: path (as ``_metadata.file_path`` gives it), offset, limit (at most ``cap`` counts). Files are read in the
+    splits that Spark cuts at line ends, whatever their size. Splits count their characters; only the lines of those
+    splits that a request touches are numbered and cut. An offset beyond the end gives an empty text; requests for other
+    files are left out. A single line isn't split.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(m["file_path"].alias("path"), m["file_size"].alias("_size"), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    chars, octets = F.length("value").cast("long") + 1, F.octet_length("value").cast("long") + 1  # with the line's end
+    blocks = lines.groupBy("path", "_block").agg(F.sum(chars).alias("_n"), F.sum(octets).alias("_bytes"), F.max("_size").alias("_size"))
+    order, whole = Window.partitionBy("path").orderBy("_block"), Window.partitionBy("path")
+    missing = F.greatest(F.lit(0), F.sum("_bytes").over(whole) - F.col("_size"))  # 1 where the last line has no end
+    blocks = blocks.withColumns({"_from": F.sum("_n").over(order) - F.col("_n"), "_total": F.sum("_n").over(whole) - missing})
+    asked = requests.select("path", F.col("offset").cast("long").alias("offset"), F.col("limit").cast("long").alias("limit"), F.least("limit", F.lit(cap)).cast("long").alias("_take")).distinct()
+    spans = asked.join(blocks.select("path", "_block", "_from", "_n", "_total"), "path")
+    touched = (F.col("_from") < F.col("offset") + F.col("_take")) & (F.col("offset") < F.col("_from") + F.col("_n"))
+    needed = spans.filter(touched).select("path", "_block", "_from").distinct()
+    held = lines.join(F.broadcast(needed), ["path", "_block"])  # few: a request touches the splits of ``cap`` characters
+    start = F.col("_from") + F.sum(chars).over(Window.partitionBy("path", "_block").orderBy("_id")) - chars
+    placed = held.select("path", start.alias("_start"), F.concat("value", F.lit("\n")).alias("_line"))
+    met = placed.join(asked, "path").filter((F.col("_start") < F.col("offset") + F.col("_take")) & (F.col("offset") < F.col("_start") + F.length("_line")))
+    skip = F.greatest(F.lit(0).cast("long"), F.col("offset") - F.col("_start"))
+    piece = F.substring("_line", (skip + 1).cast("int"), (F.col("offset") + F.col("_take") - F.col("_start") - skip).cast("int"))
+    own = met.groupBy("path", "offset", "limit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", piece.alias("_p")))), lambda x: x["_p"]), "").alias("_text"))
+    totals = spans.groupBy("path", "offset", "limit").agg(F.max("_total").alias("_total"), F.max("_take").alias("_take"))
+    room = F.greatest(F.lit(0).cast("long"), F.least("_take", F.col("_total") - F.col("offset"))).cast("int")
+    out = totals.join(own, ["path", "offset", "limit"], "left")
+    return out.select("path", "offset", "limit", F.substring(F.coalesce("_text", F.lit("")), F.lit(1), room).alias("text"), (F.col("offset") + F.col("_take") >= F.col("_total")).alias("is_end"))
+
+
 def pick_media(files: DataFrame, by: str, patterns: list[str]) -> DataFrame:
     """Of each group the file whose name matches the earliest pattern; of equals the first name."""
     rank = F.coalesce(*[F.when(F.col("name").rlike(p), F.lit(i)) for i, p in enumerate(patterns)])

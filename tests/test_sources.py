@@ -35,6 +35,27 @@ def test_windows_fill_gaps(spark, tmp_path):
     assert [(r.idx, r.text) for r in got] == [(1, "p1"), (2, "m2")]
 
 
+def test_slices_of_large_files(spark, tmp_path):
+    """A file in many splits, with characters of several bytes; equal to plain slices."""
+    text = "".join(f"Zeile {i} – über {'ß𝄞' * (i % 7)}\r\n" if i % 3 else f"{i}\n" for i in range(60_000)) + "ohne Ende"
+    files = {"a.txt": text, "b.txt": "kurz\n", "c.txt": "x"}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body.encode())
+    asked = [("a.txt", o, n) for o, n in ((0, 10), (len(text) - 5, 100), (len(text), 5), (len(text) + 9, 5), (123_456, 5000), (77, 300_000), (len(text) // 2, 1), (5, 0))]
+    asked += [("b.txt", 0, 5), ("b.txt", 3, 100), ("b.txt", 0, 4), ("c.txt", 0, 1), ("c.txt", 0, 9), ("d.txt", 0, 9)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        requests = spark.createDataFrame([(f"file:{tmp_path}/{f}", o, n) for f, o, n in asked], "path string, offset long, limit long")
+        assert spark.read.text(f"{tmp_path}/*.txt").rdd.getNumPartitions() > 8
+        rows = artifacts.file_slices(spark, f"{tmp_path}/*.txt", requests, cap=200_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(r.path.rsplit("/", 1)[1], r.offset, r.limit): (r.text, r.is_end) for r in rows}
+    want = {(f, o, n): (files[f][o : o + min(n, 200_000)], o + min(n, 200_000) >= len(files[f])) for f, o, n in asked if f in files}
+    assert got == want
+
+
 def test_windows_of_a_killed_run(spark, tmp_path):
     one, two = tmp_path / "t1", tmp_path / "t2"
     for folder in (one, two):
