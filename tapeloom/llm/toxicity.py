@@ -84,37 +84,42 @@ class Index:
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.blocks = max(1, -(-len(order) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for row, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((row, w))
-        self.rows = [np.array([r for r, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
+        sizes = [len(vectors[i]) for i in order]
+        self.row = np.repeat(np.arange(len(order)), sizes)  # the lists' entries, block after block
+        self.term = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
+        self.weight = np.fromiter((w for i in order for w in vectors[i].values()), np.float64, sum(sizes))
         self.top = np.zeros((n_terms, self.blocks))
-        for t in range(n_terms):
-            np.maximum.at(self.top[t], self.rows[t] // BLOCK, self.weights[t])
-        self.cut = [np.searchsorted(r, np.arange(self.blocks + 1) * BLOCK) for r in self.rows]
+        np.maximum.at(self.top, (self.term, self.row // BLOCK), self.weight)
+        self.start = np.searchsorted(self.row, np.arange(self.blocks + 1) * BLOCK)
 
     def nearest(self, q: dict[int, float], k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, row) of the k nearest examples with a positive cosine, ties by id; ``skip`` leaves an id out."""
-        bound = np.zeros(self.blocks)
-        for t, w in q.items():
-            bound += w * self.top[t]
+        """(cosine, row) of the k nearest examples with a positive cosine, ties by id; ``skip`` leaves an id out.
+
+        Blocks come by the most that their list maxima allow, a growing number at once, until the next can't hold one
+        of the k nearest.
+        """
+        terms, weights = list(q), np.array(list(q.values()))
+        dense = np.zeros(len(self.top))
+        dense[terms] = weights
+        bound = weights @ self.top[terms]
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
+        at, size = 0, 4
+        while at < self.blocks:
+            floor = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            chosen = order[at : at + size]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= floor)]
+            if not len(chosen):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in q.items():
-                i, j = self.cut[t][b], self.cut[t][b + 1]
-                if i < j:
-                    score[self.rows[t][i:j] - b * BLOCK] += w * self.weights[t][i:j]
-            floor = best[-1][0] if len(best) == k else 0.0
-            for r in np.flatnonzero((score > 0) & (score >= floor - 1e-9)).tolist():
-                row = b * BLOCK + r
-                if self.ids[row] != skip:
-                    best.append((round(float(score[r]), 9), -int(self.ids[row]), row))
-            best = sorted(best, reverse=True)[:k]
+            entries = np.concatenate([np.arange(self.start[b], self.start[b + 1]) for b in chosen.tolist()])
+            score = np.bincount(self.row[entries], dense[self.term[entries]] * self.weight[entries], len(self.ids))
+            rows = np.flatnonzero((score > 0) & (score >= floor))
+            if skip is not None:
+                rows = rows[self.ids[rows] != skip]
+            if len(rows) > k:
+                rows = rows[score[rows] >= np.partition(score[rows], len(rows) - k)[len(rows) - k] - 1e-8]
+            best = sorted(best + [(round(float(score[r]), 9), -int(self.ids[r]), r) for r in rows.tolist()], reverse=True)[:k]
+            at, size = at + size, size * 4
         return [(s, row) for s, _, row in best]
 
     def vote(self, near: list[tuple[float, int]], prior: float) -> float:
