@@ -19,7 +19,7 @@ from tapeloom.llm.common import drop_table, texts, write_table
 
 SAMPLE, NEIGHBOURS, BLOCK = 20_000, 15, 64
 ERROR, RATIO, STEMS, CACHED, CALIBRATED = 1e-4, 4.0, (4, 5, 6), 400_000, 4096
-DENSE = (4, 8, 16, 32)  # words of a beginning in 1000
+DENSE, MARKED = (4, 8, 16, 32), 2.0  # words of a beginning in 1000; how much more a mark must tell than its beginning
 # letters of ASCII are lower-cased, its other signs but digits separate words; bytes of other scripts are kept
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -62,7 +62,8 @@ def select_terms(counts: DataFrame, toxic: int, clean: int) -> list:
 
     A term's rates among the two labels differ by the factor ``RATIO`` or more (words that nearly every text has would
     make lists long and neighbours meaningless), and chance would bring its chi-square with a probability of ``ERROR``
-    over all terms together.
+    over all terms together. A mark of density stays only if its rates are ``MARKED`` times further apart than those of
+    its beginning.
     """
     n, share = toxic + clean, toxic / (toxic + clean)
     df = F.col("t") + F.col("c")
@@ -73,7 +74,19 @@ def select_terms(counts: DataFrame, toxic: int, clean: int) -> list:
     near = counts.observe(seen, F.count(F.lit(1)).alias("n")).withColumn("chi2", chi2)
     near = near.filter((F.col("chi2") >= quantile(ERROR)) & ((rates >= RATIO) | (rates <= 1 / RATIO))).collect()
     least = quantile(ERROR / max(1, seen.get["n"]))
-    return sorted((r for r in near if r["chi2"] >= least), key=lambda r: (-r["chi2"], bytes(r["term"])))
+    chosen = {bytes(r["term"]): r for r in near if r["chi2"] >= least}
+
+    def lift(t: bytes) -> float:
+        """How far the rates are apart; 0 for terms that aren't chosen."""
+        r = chosen.get(t)
+        return abs(math.log((r["t"] + 0.5) / (toxic + 1) / ((r["c"] + 0.5) / (clean + 1)))) if r else 0.0
+
+    def more(t: bytes) -> bool:
+        """Whether a mark of density says more than its beginning does."""
+        start, at, _ = t.rpartition(b"@")
+        return not at or lift(t) >= lift(start) + math.log(MARKED)
+
+    return sorted((r for t, r in chosen.items() if more(t)), key=lambda r: (-r["chi2"], bytes(r["term"])))
 
 
 class Index:
