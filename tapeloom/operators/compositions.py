@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,7 @@ from tapeloom.operators import intervals as iv
 from tapeloom.operators import metrics as mt
 from tapeloom.operators import sequences as sq
 from tapeloom.operators import tasks as tk
+from tapeloom.sources.shared import shared_folder
 
 # Steps that a new summary runs again, and the last step's name.
 SUMMARY_STEPS = ["prepare_llama_model", "prepare_summary_chunks", "summarize_windows", "pack_window_notes", "summarize_final"]
@@ -223,13 +223,10 @@ def batch_notes(sizes: Column, budget: int) -> Column:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; a local session without one gets its own."""
+    """A checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="tapeloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

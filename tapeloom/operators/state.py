@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 from tapeloom.functions.numbers import backoff_seconds
 
 
-def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Append the rows whose key the table lacks; of rows that repeat a key, one."""
-    return table.unionByName(rows.dropDuplicates(keys).join(table.select(keys), keys, "left_anti"))
+def one_per_key(rows: DataFrame, keys: list[str], order: str | None = None, last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by ``order``; without one, the least (or greatest) by its other columns, so a rerun picks the same."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    by = [order] if order else []
+    pick = (F.max if last else F.min)(F.struct(*by, *(c for c in rest if c not in by)))
+    return rows.groupBy(*keys).agg(pick.alias("_row")).select(*(F.col(c) if c in keys else F.col(f"_row.{c}") for c in rows.columns))
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the rows whose key comes again, append the others; of new rows that repeat a key, one."""
-    return table.join(rows.select(keys), keys, "left_anti").unionByName(rows.dropDuplicates(keys))
+def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Append the rows whose key the table lacks; of rows that repeat a key, the first (``one_per_key``)."""
+    return table.unionByName(one_per_key(rows, keys, order).join(table.select(keys), keys, "left_anti"))
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Replace the rows whose key comes again, append the others; of new rows that repeat a key, the last (``one_per_key``)."""
+    return table.join(rows.select(keys), keys, "left_anti").unionByName(one_per_key(rows, keys, order, last=True))
 
 
 def delete(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeloom.functions import numbers as nm
 from tapeloom.functions import text as tx
 from tapeloom.operators import metrics as mt
-from tapeloom.plans.adapters import cte, read, view
+from tapeloom.plans.adapters import VIEWS, cte, read, view
+from tapeloom.sources.shared import shared_folder
+from tapeloom.streaming.rollup import rollup_stream
 
 # Seconds of each step before there are measurements.
 SEED = [
@@ -17,7 +21,26 @@ SEED = [
 
 
 def task_rollup(s, d):
-    out = mt.rollup(view(s, d, "metrics"))
+    return _flat(mt.rollup(view(s, d, "metrics")))
+
+
+def _final_rollups(s, d):
+    """The roll-ups of the tasks that have ended, from the events as a stream: all files there are, then the stream ends."""
+    exprs = ["CAST(ts AS timestamp) AS ts", *VIEWS["metrics"][1]]
+    read(s, d, "events")  # sets the session's zone
+    stream = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/event[s].parquet").selectExpr(*exprs)
+    where, store = f"{shared_folder(s)}/rollups-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    old = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = rollup_stream(stream, late="36500 days").writeStream.format("parquet").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/rows")
+        query.awaitTermination()
+    finally:
+        s.conf.set(store, old)
+    return _flat(s.read.parquet(f"{where}/rows"))
+
+
+def _flat(out):
     stages = F.array_join(F.transform(F.array_sort(F.map_entries("total_wall_ms_by_stage")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return out.withColumns({"total_wall_ms_by_stage": stages, **{c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("worst3_number_mismatch", "worst3_redundancy")}})
 
@@ -77,6 +100,7 @@ _M, _D, _S = cte("metrics"), cte("durations"), cte("steps")
 _NORM = _D + ", n AS (SELECT *, CASE WHEN name <> 'summarize_windows' THEN duration_sec WHEN window_total - 1 >= 1 THEN duration_sec / (window_total - 1) END AS sec FROM durations)"
 QUERIES = {
     "task_rollup": (task_rollup, ROLLUP_SQL),
+    "final_rollups": (_final_rollups, ROLLUP_SQL + " WHERE task_id IN (SELECT task_id FROM metrics WHERE stage = 'task.final')"),
     "wall_by_stage": (lambda s, d: mt.wall_by_stage(view(s, d, "metrics")), _M + " SELECT task_id, stage, CAST(sum(CAST(trunc(t_wall_ms) AS BIGINT)) AS BIGINT) AS wall_ms FROM metrics WHERE stage <> 'task.final' GROUP BY ALL"),
     "worst_n": (lambda s, d: mt.worst(view(s, d, "metrics"), ["task_id"], "number_mismatch_count", 3).select("task_id", "rank", "segment_id"), _M + " SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY number_mismatch_count DESC, event_pos) AS INT) AS rank, segment_id FROM metrics WHERE number_mismatch_count IS NOT NULL QUALIFY rank <= 3"),
     "percentiles": (

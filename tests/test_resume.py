@@ -70,3 +70,15 @@ def test_orphaned_jobs(spark):
     jobs = spark.createDataFrame([("j1", 1), ("j2", 2), ("j3", None), ("j4", 9)], "job_id string, task_id long")
     tasks = spark.createDataFrame([(1, "running"), (2, "queued")], "task_id long, status string")
     assert {r.job_id for r in resume.orphaned_jobs(jobs, tasks).collect()} == {"j2", "j3", "j4"}
+
+
+def test_rows_that_repeat_a_key(spark):
+    from tapeloom.operators import state
+
+    table = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "id int, v string, at int")
+    rows = spark.createDataFrame([(2, "x", 5), (2, "y", 4), (3, "z", 1), (3, "w", 2), (None, "n", 1)], "id int, v string, at int")
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert plain(state.upsert(table, rows, ["id"], "at")) == [(1, "a", 0), (2, "x", 5), (3, "w", 2), (None, "n", 1)]
+    assert plain(state.upsert(table, rows, ["id"])) == [(1, "a", 0), (2, "y", 4), (3, "z", 1), (None, "n", 1)]
+    assert plain(state.insert_if_absent(table, rows, ["id"], "at")) == [(1, "a", 0), (2, "b", 0), (3, "z", 1), (None, "n", 1)]
+    assert plain(state.upsert(table.select("id"), rows.select("id"), ["id"])) == [(1,), (2,), (3,), (None,)]
