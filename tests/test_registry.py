@@ -44,3 +44,19 @@ def test_nearest(spark, most, per_part):
     skipped = rg.search(asked, df, 3, most, per_part).groupBy().agg({"*": "count"}).head()[0], rg.search(asked, df, 3, most, per_part).filter("skipped").count()
     assert skipped[1] > 0.7 * skipped[0]  # samples of a speaker lie close together, so most arrays are skipped
     assert rg.nearest(asked, df.limit(0), 3).count() == 0
+
+
+def test_nearest_unrelated_vectors_and_null_speakers(spark):
+    """Vectors that bounds can't skip, met in several query parts and arrays; samples without a speaker are a group, ranked last."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1500, 6)).round(3)
+    samples = [(i, None if i % 10 == 9 else i % 10, 0, v.tolist()) for i, v in enumerate(vectors)]
+    samples += [(2000, None, 0, samples[0][3]), (2001, 3, 0, samples[0][3]), (2002, 4, None, samples[0][3]), (2003, 5, 0, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    queries = [(i, m, v) for i, _, m, v in samples[:200]]
+    df = spark.createDataFrame(samples, SAMPLES)
+    got = {}
+    for r in rg.nearest(spark.createDataFrame(queries, "query_id long, model int, vector array<double>"), df, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.speaker_id, round(r.distance, 9)))
+    want = brute(queries, [(i, 99 if s is None else s, m, v) for i, s, m, v in samples if i != 2003], 3)
+    assert [s for s, _ in got[0][:2]] == [3, None]
+    assert {q: [(99 if s is None else s, d) for s, d in v] for q, v in got.items()} == want
