@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.numbers import round_even
+
 SUMMARIES = ["summarize.segment", "summarize.global"]
 
 
@@ -14,7 +16,7 @@ def percentile_or_zero(value: Column, p: float) -> Column:
 
 
 def percentile_or_null(value: Column, p: float, digits: int = 4) -> Column:
-    return F.bround(F.percentile(value, F.lit(p / 100)), digits)
+    return round_even(F.percentile(value, F.lit(p / 100)), digits)
 
 
 def worst(events: DataFrame, by: list[str], key: str, n: int = 3, order: str = "event_pos") -> DataFrame:
@@ -53,7 +55,7 @@ def rollup(events: DataFrame, n: int = 3) -> DataFrame:
     rows = rows.unionByName(tops.select("task_id", F.lit("top").alias("facet"), "of", F.lit(None).cast("long").alias("ms"), F.lit(None).cast("array<double>").alias("p"), "rank", "segment_id"))
 
     def rate(name: str, i: int) -> Column:
-        return F.bround(F.max(F.when((F.col("facet") == "rate") & (F.col("of") == name), F.get("p", F.lit(i)))), 4)
+        return round_even(F.max(F.when((F.col("facet") == "rate") & (F.col("of") == name), F.get("p", F.lit(i)))), 4)
 
     def listed(kind: Column, item: Column) -> Column:
         every = F.array_sort(F.collect_list(F.when(kind, item)))
@@ -91,7 +93,7 @@ def _normalised(durations: DataFrame, offset: int) -> DataFrame:
 
 def step_weights(durations: DataFrame, offset: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Median seconds and number of samples of each step, for all or per ``by``."""
-    return _normalised(durations, offset).groupBy(*by, "name").agg(F.bround(F.median("seconds"), 1).alias("weight"), F.count("*").alias("samples"))
+    return _normalised(durations, offset).groupBy(*by, "name").agg(round_even(F.median("seconds"), 1).alias("weight"), F.count("*").alias("samples"))
 
 
 def merge_with_seed(weights: DataFrame, seed: DataFrame, least: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Decimal
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ def _percentile(counts: list[tuple[float, int]], p: float) -> float | None:
     place = p * (n - 1)
     low, high = int(place), min(int(place) + (place != int(place)), n - 1)
     value = at(low) if low == high else (high - place) * at(low) + (place - low) * at(high)
-    return float(Decimal(repr(value)).quantize(Decimal("0.0001"), ROUND_HALF_EVEN))
+    return round(value * 1e4) / 1e4 if math.isfinite(value * 1e4) else value  # as numbers.round_even
 
 
 def _some(value) -> bool:
