@@ -30,13 +30,18 @@ def delivery_targets(specs: DataFrame, targets: DataFrame) -> DataFrame:
     return flat.filter("target_id is not null").join(targets, "target_id")
 
 
-def enabled_steps(tasks: DataFrame) -> DataFrame:
-    """A task's steps in order: diarization steps by their flag, summary steps by theirs, one final step per prompt."""
+def step_lists(tasks: DataFrame) -> DataFrame:
+    """(task_id, steps): a task's steps in order: diarization steps by their flag, summary steps by theirs, one final step per prompt."""
     base = F.array(*[F.lit(s) for s in DAG[:-1]])
     voices, summaries = ["diarize", "match_speakers"], ["prepare_summary_chunks", "summarize_windows", "pack_window_notes"]
     kept = F.filter(base, lambda s: (~s.isin(voices) | F.col("diarize")) & (~s.isin(summaries) | F.col("summarize")))
     tail = F.when(F.col("summarize"), F.transform("prompts", lambda p: F.concat(F.lit("finalize:"), p))).otherwise(F.expr("cast(array() as array<string>)"))
-    return tasks.select("task_id", F.posexplode(F.concat(kept, tail)).alias("ord", "name"))
+    return tasks.select("task_id", F.concat(kept, tail).alias("steps"))
+
+
+def enabled_steps(tasks: DataFrame) -> DataFrame:
+    """The steps of ``step_lists``, one a row; what is asked of each task needs no grouping of these rows, but its list."""
+    return step_lists(tasks).select("task_id", F.posexplode("steps").alias("ord", "name"))
 
 
 def can_restart_summary(status: Column, steps: Column) -> Column:

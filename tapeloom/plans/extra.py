@@ -30,7 +30,7 @@ def _targets(s, d):
 
 def _steps(s, d):
     t = read(s, d, "customer").select(F.col("c_custkey").alias("task_id"), (F.col("c_custkey") % 2 == 0).alias("diarize"), (F.col("c_custkey") % 3 > 0).alias("summarize"), F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("prompts"))
-    return pj.enabled_steps(t).groupBy("task_id").agg(F.count("*").alias("n"), F.max_by("name", "ord").alias("last"))
+    return pj.step_lists(t).select("task_id", F.size("steps").cast("long").alias("n"), F.element_at("steps", -1).alias("last"))
 
 
 def _restart(s, d):
