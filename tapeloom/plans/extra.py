@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import text as tx
 from tapeloom.operators import projections as pj
 from tapeloom.operators import state
-from tapeloom.plans.adapters import cte, read, view
+from tapeloom.plans.adapters import cte, dealt, read, view
 
 
 def _children(s, d):
@@ -97,7 +97,8 @@ def _probes(s, d):
 
 
 def _order(s, d):
-    parts = read(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("x"), F.max("l_partkey").alias("last_modified"))
+    lines = dealt(read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey"), "l_orderkey")
+    parts = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_shipdate").alias("x"), F.max("l_partkey").alias("last_modified"))
     parts = parts.select("l_orderkey", "l_linenumber", F.when((F.col("l_orderkey") % 3 > 0) | (F.col("l_linenumber") > 1), F.unix_micros("x")).alias("creation_time"), F.when(F.col("l_orderkey") % 6 > 0, F.col("last_modified")).alias("last_modified"), F.concat(F.lit("rec_"), 20 - F.col("l_linenumber")).alias("filename"))
     return pj.upload_order(parts, "l_orderkey").select("l_orderkey", "l_linenumber", "rule", "position")
 
