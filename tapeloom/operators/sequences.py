@@ -202,17 +202,19 @@ def chunk_sentences(text: Column) -> Column:
 
     def false_end(piece: Column) -> Column:
         """Whether a piece ends in an abbreviation: its last word tells, as pieces end in white space."""
-        bare = F.regexp_replace(piece, r"(?U)\s+$", "")
-        word = F.lower(F.regexp_extract(bare, r"(?U)(\S+)$", 1))
-        return bare.endswith(".") & (F.array_contains(lists, word) | word.rlike(r"(?U)^[^\W\d_]\.$") | word.rlike(r"(?U)^\d+\.$"))
+        listed = lambda word: F.array_contains(lists, word) | word.rlike(r"(?U)^[^\W\d_]\.$") | word.rlike(r"(?U)^\d+\.$")
+        last = lambda bare: F.lower(F.regexp_extract(bare, r"(?U)(?<!\S)(\S++)$", 1))
+        return tx.let(F.regexp_replace(piece, r"(?U)\s+$", ""), lambda bare: bare.endswith(".") & tx.let(last(bare), listed))
 
     judged = F.transform(F.split(marked, "\u0001"), lambda p: F.struct(p.alias("p"), false_end(p).alias("goes_on")))
 
     def step(open_: Column, x: Column) -> tuple[Column, Column, Column]:
         whole = F.concat(open_, x["p"])
-        return F.when(x["goes_on"], whole).otherwise(""), ~x["goes_on"] & (tx.strip(whole) != ""), tx.strip(whole)
+        return F.when(x["goes_on"], whole).otherwise(""), ~x["goes_on"], whole
 
-    return tx.fold(judged, F.lit(""), step, "string", lambda open_: (tx.strip(open_) != "", tx.strip(open_)))
+    # The fold only joins pieces; each sentence is stripped once, afterwards.
+    sentences = tx.fold(judged, F.lit(""), step, "string", lambda open_: (open_ != "", open_))
+    return F.filter(F.transform(sentences, tx.strip), lambda x: x != "")
 
 
 def thin_points(points: Column, window: float) -> Column:

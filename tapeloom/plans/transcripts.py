@@ -69,7 +69,7 @@ def _glued(s, d):
 
 
 def _chunks(s, d):
-    return read(s, d, "documents").select("doc_id", F.posexplode(sq.chunk_sentences(F.col("text"))).alias("pos", "chunk"))
+    return spread(read(s, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(sq.chunk_sentences(F.col("text"))).alias("pos", "chunk"))
 
 
 def _packed(s, d):

@@ -64,3 +64,8 @@ def test_tasks_grow_with_the_table(spark):
     rows = spark.range(1000).withColumn("k", F.col("id") % 300)
     assert dealt(rows, "k", rows=50).rdd.getNumPartitions() == 20 and dealt(rows, "k").rdd.getNumPartitions() == 4
     assert dealt(rows, "k", rows=50).groupBy("k").count().count() == 300
+
+
+def test_sentences_are_cut_in_many_tasks(spark):
+    """One row group of documents must not be one task."""
+    assert __spark_entry__.queries()["chunk_sentences"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
