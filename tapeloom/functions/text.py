@@ -154,7 +154,7 @@ def sentence_hashes(sentences: Column, n: int = 3) -> Column:
 def redundancy(c: Column, n: int = 3, most: int = 3) -> Column:
     """Share of sentences that nearly repeat an earlier one; fewer than two sentences give 0.
 
-    Compares all sentences of a text, so it is for short texts; ``sequences.repeat_shares`` does the same for long ones.
+    Compares all sentences of a text, so it is for short texts; ``sequences.repeat_share`` does the same for long ones.
     """
     sentences = split_sentences(c)
     hashes = sentence_hashes(sentences, n)
@@ -198,46 +198,51 @@ def lines(c: Column) -> Column:
 
 
 def format_metrics(c: Column) -> Column:
-    """Paragraphs, share of bullet lines, headings, and an array of violations that stays empty."""
-    ls = lines(c)
-    bullets = F.size(F.filter(ls, lambda x: x.rlike(r"(?U)^\s*[-*•]\s")))
-    heads = F.size(F.filter(ls, lambda x: x.rlike(r"(?U)^\s*#{1,6}\s") | x.rlike(r"(?U)^[A-ZА-ЯЁ][A-ZА-ЯЁ0-9 ]{2,}:\s*$")))
-    full = F.transform(ls, lambda x: (strip(x) != "").cast("int"))
-    paragraphs = let(full, lambda f: F.size(F.filter(F.transform(f, lambda x, i: (x == 1) & ((i == 0) | (F.get(f, i - 1) == 0))), lambda x: x)))
+    """Paragraphs, share of bullet lines, headings, and an array of violations that stays empty; each is one search of the whole text."""
+    start, space = r"(?:[\r\n]|\A)", r"[\s&&[^\r\n]]"  # of a line, in a line
+    end, more = r"[\r\n](?<!\r(?=\n))", r"(?>\r\n|\r|\n)"  # the last character of a line end; another line end
+    n = F.when(F.length(c) == 0, 0).otherwise(F.regexp_count(c, F.lit(rf"{end}(?!\z)")) + 1)
+    bullets = F.regexp_count(c, F.lit(rf"(?U){start}{space}*[-*•]{space}"))
+    heads = F.regexp_count(c, F.lit(rf"(?U){start}(?:{space}*#{{1,6}}{space}|[A-ZА-ЯЁ][A-ZА-ЯЁ0-9 ]{{2,}}:{space}*(?![^\r\n]))"))
+    gaps = F.regexp_count(c, F.lit(rf"(?U){end}{space}*+{more}\s*+(?!\z)"))
+    first = F.when(c.rlike(rf"(?U)\A(?!{space}*+{more}{space}*+{more})\s*+(?!\z)"), 1).otherwise(0)
     return F.struct(
-        paragraphs.alias("paragraph_count"),
-        F.when(F.size(ls) == 0, 0.0).otherwise(F.bround(bullets / F.size(ls), 4)).alias("bullet_ratio"),
+        (first + gaps).alias("paragraph_count"),
+        F.when(n == 0, 0.0).otherwise(F.bround(bullets / n, 4)).alias("bullet_ratio"),
         heads.alias("heading_count"),
         F.array().cast("array<string>").alias("format_violations"),
     )
 
 
+def measured(c: Column, tokens: Column | None = None) -> Column:
+    """What is compared of a text: its tokens (``tokens`` where they are known), characters, numbers, dates and units."""
+    known = estimate_tokens(c) if tokens is None else F.coalesce(tokens, estimate_tokens(c))
+    facts = {"number": extract_numbers, "date": extract_dates, "unit": extract_units}
+    return F.struct(known.alias("tokens"), F.length(c).alias("chars"), *(of(c).alias(name) for name, of in facts.items()))
+
+
+def compared(summary: Column, source: Column, estimate: Column, repeats: Column, form: Column) -> Column:
+    """The record of ``quality_record`` from what was ``measured`` of both texts, the summary's redundancy and format."""
+    ratio = F.when(source["tokens"] > 0, F.bround(summary["tokens"] / source["tokens"], 4)).otherwise(0.0)
+    parts = [source["tokens"].alias("transcript_tokens"), source["chars"].alias("transcript_chars"), estimate.alias("token_estimate")]
+    parts += [summary["tokens"].alias("summary_tokens"), summary["chars"].alias("summary_chars"), ratio.alias("compression_ratio")]
+    parts.append(F.bround(repeats, 4).alias("redundancy_dup_sentence_ratio"))
+    for name in ("number", "date", "unit"):
+        s, t = summary[name], source[name]
+        parts += [F.size(s).alias(f"{name}s_in_summary"), F.size(t).alias(f"{name}s_in_transcript"), F.size(F.array_except(s, t)).alias(f"{name}_mismatch_count")]
+    return F.struct(*parts, form.alias("format"))
+
+
 def quality_record(summary: Column, source: Column, prompt_tokens: Column | None = None, completion_tokens: Column | None = None, repeats: Column | None = None) -> Column:
     """All quality measures of a summary against its source, as one struct; ``repeats`` is the summary's redundancy if it is known."""
-    source_tokens = F.coalesce(prompt_tokens, estimate_tokens(source)) if prompt_tokens is not None else estimate_tokens(source)
-    summary_tokens = F.coalesce(completion_tokens, estimate_tokens(summary)) if completion_tokens is not None else estimate_tokens(summary)
-    facts = {"number": extract_numbers, "date": extract_dates, "unit": extract_units}
     base = F.struct(
-        source_tokens.alias("transcript_tokens"),
-        F.length(source).alias("transcript_chars"),
-        (prompt_tokens.isNull() if prompt_tokens is not None else F.lit(True)).alias("token_estimate"),
-        summary_tokens.alias("summary_tokens"),
-        F.length(summary).alias("summary_chars"),
-        F.bround(redundancy(summary) if repeats is None else repeats, 4).alias("redundancy"),
-        format_metrics(summary).alias("format"),
-        *(of(c).alias(f"{name}_{side}") for name, of in facts.items() for side, c in (("s", summary), ("t", source))),
+        measured(summary, completion_tokens).alias("summary"),
+        measured(source, prompt_tokens).alias("source"),
+        (prompt_tokens.isNull() if prompt_tokens is not None else F.lit(True)).alias("estimate"),
+        (redundancy(summary) if repeats is None else repeats).alias("repeats"),
+        format_metrics(summary).alias("form"),
     )
-
-    def record(z: Column) -> Column:
-        ratio = F.when(z["transcript_tokens"] > 0, F.bround(z["summary_tokens"] / z["transcript_tokens"], 4)).otherwise(0.0)
-        parts = [z[c].alias(c) for c in ("transcript_tokens", "transcript_chars", "token_estimate", "summary_tokens", "summary_chars")]
-        parts += [ratio.alias("compression_ratio"), z["redundancy"].alias("redundancy_dup_sentence_ratio")]
-        for name in facts:
-            s, t = z[f"{name}_s"], z[f"{name}_t"]
-            parts += [F.size(s).alias(f"{name}s_in_summary"), F.size(t).alias(f"{name}s_in_transcript"), F.size(F.array_except(s, t)).alias(f"{name}_mismatch_count")]
-        return F.struct(*parts, z["format"].alias("format"))
-
-    return let(base, record)
+    return let(base, lambda z: compared(z["summary"], z["source"], z["estimate"], z["repeats"], z["form"]))
 
 
 def asr_tokens(c: Column) -> Column:

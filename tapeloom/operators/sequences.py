@@ -1,11 +1,18 @@
 """Order-dependent processing: islands, absorption, trimming, numbering, rendering, packing, planning.
 
 Rows carry explicit ordinals. Windows and ordered aggregates do the work; folds over one document's, entry's or
-recording's own array run as ``aggregate`` expressions in the JVM.
+recording's own array run as ``aggregate`` expressions in the JVM. Only the fingerprints of a text's sentences are
+counted by numpy, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from itertools import chain, islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -268,28 +275,88 @@ def preview_turns(turns: DataFrame, by: str, seconds: float, n: int = 3) -> Data
     return out.select(by, "speaker", "rank", ((F.col("start") + F.col("end") - clip) / 2).alias("clip_start"), ((F.col("start") + F.col("end") + clip) / 2).alias("clip_end"))
 
 
-def repeat_shares(texts: DataFrame, key: list[str], text: str = "text", n: int = 3, most: int = 3, few: int = 256) -> DataFrame:
-    """(key, share): ``tx.redundancy`` of texts of any length; texts of fewer than two sentences have no row.
+# As bytes: where a sentence ends, with the white space after it; Unicode's white space beyond that of bytes.
+_CUT = re.compile(rb"[.!?\xa6\n](?:(?<=\n)\n+|(?:(?<=[.!?])|(?<=\xe2\x80\xa6))[ \t-\r]+)")
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 
-    Equal fingerprints of a text collapse first. Up to ``few`` of them are compared in place. Of more, two within
-    ``most`` bits agree in one of ``most`` + 1 blocks of bits, so only those that share a block's value meet; equal
-    texts under one key count once.
+def _fingerprints(text: str, n: int, step: int = 1 << 16) -> tuple[int, np.ndarray]:
+    """The number of sentences of a text in lower case, and their distinct ``tx.sentence_hashes`` as they first occur.
+
+    The bits of ``step`` shingles are counted at once, so a long text takes no more memory than a shingle's 64 bytes for each.
+    """
+    flat = _SPACES.sub(" ", text).encode()
+    ends = [m.end() for m in _CUT.finditer(flat)]
+    said = [w for a, b in zip([0, *ends], [*ends, len(flat)]) if (w := b" ".join(flat[a:b].split()))]
+    once = list(dict.fromkeys(said))
+    lengths = []
+
+    def shingles(sentence: bytes):
+        words = sentence.split(b" ")
+        lengths.append(len(words) - n + 1 if len(words) >= n else len(words))
+        return map(b" ".join, zip(*(words[i:] for i in range(n)))) if len(words) >= n else words
+
+    flow, totals, done = chain.from_iterable(map(shingles, once)), np.zeros((len(once), 64), np.int64), 0
+    while part := [hashlib.md5(x).digest() for x in islice(flow, step)]:
+        bits = np.unpackbits(np.ascontiguousarray(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 16)[:, :8]).ravel())
+        ends = np.cumsum(lengths) - done
+        first = int(np.searchsorted(ends, 0, "right"))
+        starts = np.concatenate(([0], ends[first:-1][ends[first:-1] < len(part)]))
+        # Up to 255 shingles are counted in bytes, eight of them in a word; of longer sentences several such counts are added.
+        runs = np.union1d(starts, np.arange(0, len(part), 255))
+        counts = np.add.reduceat(bits.view(np.uint64).reshape(-1, 8), runs, axis=0).view(np.uint8)
+        totals[first : first + len(starts)] += np.add.reduceat(counts, np.searchsorted(runs, starts), axis=0, dtype=np.int64)
+        done += len(part)
+    hashes = np.packbits(totals * 2 > np.array(lengths, np.int64)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    return len(said), hashes[np.sort(np.unique(hashes, return_index=True)[1])]
+
+
+def _near_earlier(hashes: np.ndarray, most: int, few: int, rows: int = 256) -> int:
+    """How many of distinct fingerprints are within ``most`` bits of an earlier one; ``rows`` meet a group's others at once."""
+    near = np.zeros(len(hashes), bool)
+
+    def meet(at: np.ndarray) -> None:
+        for lo in range(0, len(at), rows):
+            own = at[lo : lo + rows]
+            own = own[~near[own]]
+            for to in range(0, lo + rows, 1 << 14):
+                others = at[to : min(to + (1 << 14), lo + rows)]
+                close = np.bitwise_count(hashes[own, None] ^ hashes[None, others]) <= most
+                near[own] |= (close & (others[None, :] < own[:, None])).any(axis=1)
+
+    if len(hashes) <= few:
+        meet(np.arange(len(hashes)))
+        return int(near.sum())
+    width = -(-64 // (most + 1))
+    for b in range(most + 1):
+        value = hashes >> np.uint64(b * width) & np.uint64((1 << width) - 1)
+        order = np.argsort(value, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(value[order])) + 1):
+            if len(group) > 1:
+                meet(group)
+    return int(near.sum())
+
+
+def repeat_share(text: Column, n: int = 3, most: int = 3, few: int = 256) -> Column:
+    """``tx.redundancy`` of texts of any length; null for texts of fewer than two sentences.
+
+    Equal fingerprints of a text collapse first. Up to ``few`` of them are all compared. Of more, two within ``most`` bits
+    agree in one of ``most`` + 1 blocks of bits, so only those that share a block's value meet.
     """
-    bits = -(-64 // (most + 1))
-
-    def block(x: Column, i: Column, b: int) -> Column:
-        return F.struct(F.lit(b).alias("_b"), F.shiftright(x, b * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("_v"), i.alias("_i"), x.alias("_h"))
-
-    def parts(h: Column) -> Column:
-        near = F.size(F.filter(tx.repeats_before(h, most), lambda x: x))
-        whole = F.array(F.struct(F.lit(-1).alias("_b"), F.lit(0).cast("long").alias("_v"), F.lit(-1).alias("_i"), near.cast("long").alias("_h")))
-        return F.when(F.size(h) <= few, whole).otherwise(F.flatten(F.transform(h, lambda x, i: F.array(*(block(x, i, b) for b in range(most + 1))))))
-
-    hashes = tx.sentence_hashes(tx.split_sentences(F.col(text)), n)
-    once = F.explode(F.array(tx.let(hashes, lambda h: F.struct(F.size(h).alias("n"), F.array_distinct(h).alias("h")))))
-    own = texts.select(*key, once.alias("_s")).filter("_s.n > 1").select(*key, F.col("_s.n").alias("_n"), F.size("_s.h").alias("_m"), F.explode(parts(F.col("_s.h"))).alias("_p")).select(*key, "_n", "_m", "_p.*")
-    met = own.groupBy(*key, "_b", "_v").agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"), F.array_sort(F.collect_set(F.struct("_i", "_h"))).alias("_all"))
-    near = tx.let(tx.repeats_before(F.col("_all._h"), most), lambda r: F.transform(F.filter(F.arrays_zip(r.alias("r"), F.col("_all._i").alias("i")), lambda x: x["r"]), lambda x: x["i"]))
-    flagged = met.select(*key, "_n", "_m", F.when(F.col("_b") < 0, F.get(F.col("_all._h"), F.lit(0))).alias("_in"), F.explode_outer(F.when(F.size("_all") > 1, near)).alias("_i"))
-    out = flagged.groupBy(*key).agg(F.max("_n").alias("_n"), F.max("_m").alias("_m"), (F.coalesce(F.max("_in"), F.lit(0)) + F.count_distinct("_i")).alias("_near"))
-    return out.select(*key, ((F.col("_n") - F.col("_m") + F.col("_near")) / F.col("_n")).alias("share"))
+
+    @F.arrow_udf("double")
+    def share(texts: pa.Array) -> pa.Array:
+        def one(x: str | None) -> float | None:
+            if x is None:
+                return None
+            total, hashes = _fingerprints(x, n)
+            return (total - len(hashes) + _near_earlier(hashes, most, few)) / total if total > 1 else None
+
+        return pa.array([one(x.as_py()) for x in texts], pa.float64())
+
+    return share(F.lower(text))
+
+
+def repeat_shares(texts: DataFrame, key: list[str], text: str = "text", n: int = 3, most: int = 3, few: int = 256) -> DataFrame:
+    """(key, share): ``repeat_share`` by key; texts of fewer than two sentences have no row, equal texts under one key count once."""
+    return texts.select(*key, repeat_share(F.col(text), n, most, few).alias("share")).filter("share is not null").groupBy(*key).agg(F.max("share").alias("share"))

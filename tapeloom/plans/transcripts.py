@@ -87,12 +87,12 @@ def _plan(s, d):
 def _quality(s, d):
     n = int(s.conf.get("spark.sql.shuffle.partitions"))  # much work per row: few row groups or small joins else end in one task
     table = read(s, d, "documents").filter("doc_id is not null")
-    docs = table.select("doc_id", "text", F.xxhash64("text").alias("h")).repartition(n, "doc_id")
-    repeats = sq.repeat_shares(docs, ["doc_id", "h"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "share"))).alias("shares"))
-    source = table.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")).repartition(n, "doc_id")
-    pair = docs.withColumnRenamed("text", "summary").join(source, "doc_id").join(repeats, "doc_id", "left")
-    known = F.when(F.col("summary").isNotNull(), F.coalesce(F.try_element_at("shares", F.col("h")), F.lit(0.0)))
-    q = pair.select("doc_id", F.inline(F.array(tx.quality_record(F.col("summary"), F.col("source"), repeats=known))))  # inline computes the record once
+    text = F.col("text")
+    # Each text is measured where it was dealt to, so the join meets what was measured, not the texts.
+    known = F.when(text.isNotNull(), F.coalesce(sq.repeat_share(text), F.lit(0.0)))
+    summary = table.select("doc_id", "text").repartition(n, "doc_id").select("doc_id", tx.measured(text).alias("summary"), known.alias("repeats"), tx.format_metrics(text).alias("form"))
+    source = table.select((F.col("doc_id") - 1).alias("doc_id"), "text").repartition(n, "doc_id").select("doc_id", tx.measured(text).alias("source"))
+    q = summary.join(source, "doc_id").select("doc_id", tx.compared(F.col("summary"), F.col("source"), F.lit(True), F.col("repeats"), F.col("form")).alias("q")).select("doc_id", "q.*")
     return q.select("*", "format.paragraph_count", "format.bullet_ratio", "format.heading_count").drop("format")
 
 
