@@ -26,6 +26,11 @@ def _is(kind: str, value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
 
+def _object(value: Column) -> Column:
+    """An object's own keys and values; null for all else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
 def artifact_done(tasks: DataFrame, files: DataFrame, segments: DataFrame) -> DataFrame:
     """(task_id, name, artifact): whether each of the judged steps left what a later run can go on with.
 
@@ -36,23 +41,23 @@ def artifact_done(tasks: DataFrame, files: DataFrame, segments: DataFrame) -> Da
     manifest too, isn't done. Other steps have no row. Repeated files count once.
     """
     there = [F.max(F.when(F.col("name") == path, F.struct(F.lit(True).alias("is"), "text"))).alias(k) for k, path in FILES.items()]
-    own = tasks.select("task_id").distinct().join(files.groupBy("task_id").agg(*there), "task_id", "left")
+    own = tasks.select("task_id").distinct().join(files.filter(F.col("name").isin(*FILES.values())).groupBy("task_id").agg(*there), "task_id", "left")
     own = own.withColumns({f"_{k}": F.try_parse_json(F.col(f"{k}.text")) for k in READ})
     listed = F.try_variant_get("_manifest", "$.segments", "array<variant>")
-    planned = own.select("task_id", F.explode(listed).alias("s")).select("task_id", F.try_variant_get("s", "$.segment_index", "int").alias("segment_index"))
-    payload = F.try_parse_json(F.col("raw_json"))
-    full = segments.filter(_is("OBJECT", payload) & (F.to_json(payload) != "{}")).select("task_id", "segment_index", F.lit(True).alias("_full")).distinct()
-    lacking = planned.join(full, ["task_id", "segment_index"], "left").filter("_full is null").select("task_id", F.lit(True).alias("_lacks")).distinct()
-    own = own.join(lacking, "task_id", "left")
+    planned = F.transform(listed, lambda s: F.try_variant_get(s, "$.segment_index", "int"))
+    full = segments.filter("segment_index is not null").filter(F.size(_object(F.try_parse_json(F.col("raw_json")))) > 0)
+    own = own.join(full.groupBy("task_id").agg(F.collect_set("segment_index").alias("_full")), "task_id", "left")
+    none = F.array().cast("array<int>")
+    lacks = F.size(F.array_except(F.coalesce(planned, none), F.coalesce("_full", none))) > 0
     exists = lambda k: F.col(f"{k}.is").isNotNull()
     segments_key = F.try_variant_get("_manifest", "$.segments", "variant")
-    whole = _is("OBJECT", F.col("_manifest")) & (segments_key.isNull() | _is("ARRAY", segments_key)) & F.col("_lacks").isNull()
+    whole = _object(F.col("_manifest")).isNotNull() & (segments_key.isNull() | listed.isNotNull()) & ~lacks
     judged = {
         "transcribe_segments": F.when(exists("manifest"), whole).otherwise(exists("json")),
         "merge_transcript": exists("json") & exists("txt"),
         "match_speakers": exists("matches"),
         "prepare_summary_chunks": F.coalesce(F.array_contains(F.json_object_keys(F.col("chunks.text")), "diarized"), F.lit(False)),
-        "summarize_windows": _is("ARRAY", F.try_variant_get("_windows", "$.windows", "variant")),
+        "summarize_windows": F.try_variant_get("_windows", "$.windows", "array<variant>").isNotNull(),
     }
     pairs = F.array(*(F.struct(F.lit(name).alias("name"), done.alias("artifact")) for name, done in judged.items()))
     return own.select("task_id", F.inline(pairs))
@@ -65,12 +70,23 @@ def resume_points(steps: DataFrame, dag: DataFrame, artifacts: DataFrame) -> Dat
     skipped, or completed with a whole artifact (of steps that aren't judged the status alone counts). ``redo`` are the
     steps that say completed but lost their artifact, in order.
     """
-    each = dag.join(steps.select("task_id", "name", "status"), ["task_id", "name"], "left").join(artifacts, ["task_id", "name"], "left")
-    completed, whole = F.coalesce(F.col("status") == "completed", F.lit(False)), F.coalesce("artifact", F.lit(True))
-    off = ~F.coalesce("enabled", F.lit(True)) | F.coalesce(F.col("status") == "skipped", F.lit(False))
-    to_do = ~off & ~(completed & whole)
-    lost = F.array_sort(F.collect_list(F.when(~off & completed & ~whole, F.struct("ord", "name"))))
-    return each.groupBy("task_id").agg(F.min_by("name", F.when(to_do, F.col("ord"))).alias("next_step"), F.transform(lost, lambda x: x["name"]).alias("redo"))
+    # Counted by step instead of joined, so tables that were dealt by task aren't dealt again, and nothing is sorted.
+    zero, status = F.lit(0).cast("long"), F.coalesce("status", F.lit(""))
+    flag = lambda c: c.cast("long")
+    dags = dag.select("task_id", "name", "ord", F.coalesce("enabled", F.lit(True)).alias("on"), F.lit(1).cast("long").alias("dags"), zero.alias("said"), zero.alias("skipped"), zero.alias("completed"), zero.alias("lost"))
+    none = [F.lit(None).cast(dags.schema["ord"].dataType).alias("ord"), F.lit(None).cast("boolean").alias("on"), zero.alias("dags")]
+    said = steps.filter("name is not null and task_id is not null").select("task_id", "name", *none, F.lit(1).cast("long").alias("said"), flag(status == "skipped").alias("skipped"), flag(status == "completed").alias("completed"), zero.alias("lost"))
+    lost = artifacts.filter("not artifact and name is not null and task_id is not null").select("task_id", "name", *none, zero.alias("said"), zero.alias("skipped"), zero.alias("completed"), F.lit(1).cast("long").alias("lost"))
+    counts = [F.sum(c).alias(c) for c in ("dags", "said", "skipped", "completed", "lost")]
+    each = dags.unionByName(said).unionByName(lost).groupBy("task_id", "name").agg(F.min("ord").alias("ord"), F.max("on").alias("on"), *counts).filter("dags > 0")
+    to_do = F.col("on") & ((F.col("said") == 0) | (F.col("said") > F.col("skipped") + F.when(F.col("lost") == 0, F.col("completed")).otherwise(0)))
+    times = F.when(F.col("on"), F.col("dags") * F.col("completed") * F.col("lost")).otherwise(0).cast("int")
+    told = F.struct("ord", "name", to_do.alias("to_do"), times.alias("times"))
+    own = each.groupBy("task_id").agg(F.collect_list(F.when(to_do | (times > 0), told)).alias("_told"))
+    step = lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"))
+    first = F.array_min(F.transform(F.filter("_told", lambda x: x["to_do"] & x["ord"].isNotNull()), step))
+    redo = F.array_sort(F.flatten(F.transform(F.filter("_told", lambda x: x["times"] > 0), lambda x: F.array_repeat(step(x), x["times"]))))
+    return own.select("task_id", first["name"].alias("next_step"), F.transform(redo, lambda x: x["name"]).alias("redo"))
 
 
 def abandoned_sessions(sidecars: DataFrame, live: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:

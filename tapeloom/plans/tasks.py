@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import text as tx
 from tapeloom.operators import resume, state, tasks
-from tapeloom.plans.adapters import cte, read, view
+from tapeloom.plans.adapters import cte, deals, read, view
 
 NOW, CUT = "2024-01-20 00:00:00", "1998-06-01 00:00:00"
 
@@ -63,8 +63,10 @@ _WINDOWS = "CASE o_custkey % 4 WHEN 0 THEN '{\"windows\": []}' WHEN 1 THEN '{\"w
 
 
 def _resumed(s, d):
-    o = read(s, d, "orders")
-    lines = view(s, d, "segments")
+    # Both tables are dealt by task once; all that follows is by task and stays where it is.
+    n = deals(read(s, d, "lineitem"))
+    o = read(s, d, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    lines = view(s, d, "segments").repartition(n, "task_id")
     item = F.concat(F.lit('{"segment_index": '), F.col("segment_index").cast("string"), F.lit("}"))
     listed = lines.groupBy("task_id").agg(F.array_join(F.array_sort(F.collect_set(item)), ", ").alias("l"))
     all_ = o.join(listed, F.col("task_id") == F.col("o_orderkey"), "left").withColumn("l", F.coalesce("l", F.lit("")))
@@ -76,7 +78,7 @@ def _resumed(s, d):
     names = [*resume.STEPS, "summarize_final"]
     dag = o.select(F.col("o_orderkey").alias("task_id"), F.posexplode(F.array(*map(F.lit, names))).alias("ord", "name")).withColumn("enabled", (F.col("task_id") + F.col("ord")) % 8 > 0)
     steps = dag.filter("(task_id + ord) % 11 > 0").select("task_id", "name", F.when((F.col("task_id") * 3 + F.col("ord")) % 7 == 0, "failed").when((F.col("task_id") + F.col("ord")) % 6 == 0, "skipped").otherwise("completed").alias("status"))
-    points = resume.resume_points(steps, dag, resume.artifact_done(dag, files, lines))
+    points = resume.resume_points(steps, dag, resume.artifact_done(o.select(F.col("o_orderkey").alias("task_id")), files, lines))
     return points.select("task_id", "next_step", F.array_join("redo", ",").alias("redo"))
 
 

@@ -82,3 +82,23 @@ def test_rows_that_repeat_a_key(spark):
     assert plain(state.upsert(table, rows, ["id"])) == [(1, "a", 0), (2, "y", 4), (3, "z", 1), (None, "n", 1)]
     assert plain(state.insert_if_absent(table, rows, ["id"], "at")) == [(1, "a", 0), (2, "b", 0), (3, "z", 1), (None, "n", 1)]
     assert plain(state.upsert(table.select("id"), rows.select("id"), ["id"])) == [(1,), (2,), (3,), (None,)]
+
+
+def test_resume_points_deal_tables_once(spark):
+    from tapeloom.plans import tasks
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tasks.QUERIES["resume_points"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_steps_that_repeat_or_lack_a_name(spark):
+    dag = spark.createDataFrame([(1, 0, "a", True), (1, 1, "b", None), (1, 2, "c", False), (1, 3, "d", True), (2, 0, "a", True), (3, 0, None, True)], "task_id long, ord int, name string, enabled boolean")
+    steps = spark.createDataFrame([(1, "a", "completed"), (1, "a", "skipped"), (1, "b", "completed"), (1, "b", "completed"), (1, "c", "completed"), (2, "a", "completed"), (2, "a", "failed"), (3, None, "completed"), (9, "a", "failed")], "task_id long, name string, status string")
+    artifacts = spark.createDataFrame([(1, "b", False), (1, "c", False), (2, "a", True), (3, None, False)], "task_id long, name string, artifact boolean")
+    got = {r.task_id: (r.next_step, r.redo) for r in resume.resume_points(steps, dag, artifacts).collect()}
+    assert got == {1: ("b", ["b", "b"]), 2: ("a", []), 3: (None, [])}
